@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,10 +33,7 @@ def _one_of(words: Iterable[str]) -> str:
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
-    """Holds one of the words.  One pattern instead of a chain of tests keeps the
-    generated code small."""
-    words = list(words)
-    return F.contains(col, F.lit(words[0])) if len(words) == 1 else F.rlike(col, F.lit(_one_of(words)))
+    return reduce(lambda a, b: a | b, [F.contains(col, F.lit(w)) for w in words])
 
 
 def starts_with_any(col: Column, words: Iterable[str]) -> Column:

@@ -2,74 +2,104 @@
 
 One pass over the files table.  File-wide signals are boolean columns; only lines
 that hold one of a detector's key words leave the line array, so neither text nor
-lines travel past the first explode.  Every detector is a column expression that
-yields a candidate struct or null.
+lines travel past the first explode.  A detector maps a line to an outcome number;
+what the outcome means (category, severity, ...) is looked up once per candidate.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed as K
 from riskloom.functions import paths as P
+from riskloom.functions import sqltext as Q
 from riskloom.functions import text as X
-from riskloom.model import CANDIDATE, CANDIDATE_FIELDS, FLOW, SCANNERS
+from riskloom.model import CANDIDATE_FIELDS, FLOW, SCANNERS
 from riskloom.operators.pyfacts import python_facts
 
-Rules = list[tuple[str, str, list[str]]]
+# ------------------------------------------------------------------ file signals
+_CHECKED = "NOT generated"
+_AI_CODE = Q.all_of(Q.among("suffix", K.AI_CODE), _CHECKED)
 
 
-# ------------------------------------------------------------------ file signals
-def _signals() -> dict[str, Column]:
-    """File-wide booleans, over columns path, suffix, name, generated and text."""
-    text, path, suffix = F.col("text"), F.col("path"), F.col("suffix")
-    lowered_path = F.lower(path)
-    checked = ~F.col("generated")
-    auth_py = X.contains_any(text, K.AUTH_WORDS_PY) | X.matches(text, K.ROUTER_AUTH_PY)
-    auth_js = X.contains_any(text, K.AUTH_WORDS_JS) | X.matches(text, K.ROUTER_AUTH_JS)
-    limit_py = X.contains_any(text, K.LIMIT_WORDS_PY) | X.matches(text, K.ROUTER_LIMIT_PY)
-    limit_js = X.contains_any(text, K.LIMIT_WORDS_JS) | X.matches(text, K.ROUTER_LIMIT_JS)
-    ai_code = suffix.isin(*K.AI_CODE) & checked
-    model_call = ai_code & X.matches(text, K.MODEL_CALL)
-    retrieval = ai_code & X.matches(text, K.RETRIEVAL)
-    return {
-        "f_auth_py": auth_py,
-        "f_auth_js": auth_js,
-        "f_limit_py": limit_py,
-        "f_limit_js": limit_js,
-        "f_auth_project": checked & X.contains_any(lowered_path, K.AUTH_PROJECT_PATHS) & (auth_py | auth_js),
-        "f_limit_project": checked & X.contains_any(lowered_path, K.LIMIT_PROJECT_PATHS) & (limit_py | limit_js),
-        "f_supabase": F.contains(lowered_path, F.lit("supabase"))
-        | (F.col("name").isin(*K.DEPENDENCY_FILES) & X.matches(text, "(?i)supabase"))
-        | (
-            (suffix.isin(*K.CONFIG_SUFFIXES) | P.is_env_file(path))
-            & X.contains_any(text, ["SUPABASE_URL", "SUPABASE_ANON_KEY"])
-        )
-        | ((suffix == ".sql") & X.matches(text, K.SUPABASE_SQL)),
-        "f_model_call": model_call,
-        "f_retrieval": retrieval,
-        "f_sensitive": ai_code & X.matches(text, K.SENSITIVE_DATA),
-        "f_model_context": model_call
-        | retrieval
-        | (ai_code & (X.matches(text, K.PROMPT_ASSIGN) | X.matches(text, K.MODEL_OUTPUT))),
-        "f_handler": P.is_handler_path(path) & X.matches(text, K.HANDLER_EXPORT),
-        "f_python_routes": (suffix == ".py") & checked & X.matches(text, K.AUTH_ROUTE_PY),
-        "f_mcp": (suffix == ".json")
-        & checked
-        & F.contains(text, F.lit("mcpServers"))
-        & F.coalesce(F.array_contains(F.json_object_keys(text), "mcpServers"), F.lit(False))
-        & F.try_parse_json(text).isNotNull(),
-        "f_anon_client": suffix.isin(*K.JS_DB)
-        & X.matches(text, K.CLIENT_CALL)
-        & X.matches(text, K.ANON_KEY)
-        & X.matches(text, K.WRITE_CALL),
-        "f_web_hint": X.matches(F.left(text, F.lit(K.HEAD_CHARS)), K.WEB_HINT),
-    }
+def _text(pattern: str, words: list[str]) -> str:
+    """Pattern over the whole text, tried only where one of the words occurs in ``low``."""
+    return Q.all_of(Q.has("low", words), Q.matches("text", pattern))
+
+
+# file-wide booleans over the columns path, suffix, name, generated, text and low; the
+# later ones build on the earlier ones
+SIGNALS: dict[str, str] = {
+    "f_auth_py": Q.any_of(
+        Q.has("text", K.AUTH_WORDS_PY), _text(K.ROUTER_AUTH_PY, ["dependencies", "add_middleware", "@app.middleware"])
+    ),
+    "f_auth_js": Q.any_of(
+        Q.has("text", K.AUTH_WORDS_JS), _text(K.ROUTER_AUTH_JS, [".use(", "withauth", "next-auth/middleware", "clerkmiddleware"])
+    ),
+    "f_limit_py": Q.any_of(
+        Q.has("text", K.LIMIT_WORDS_PY),
+        _text(K.ROUTER_LIMIT_PY, ["@limiter.limit", "add_middleware", "dependencies", "@app.middleware"]),
+    ),
+    "f_limit_js": Q.any_of(
+        Q.has("text", K.LIMIT_WORDS_JS), _text(K.ROUTER_LIMIT_JS, [".use(", "express-rate-limit", "throttler"])
+    ),
+    "f_auth_project": Q.all_of(_CHECKED, Q.has("lower(path)", K.AUTH_PROJECT_PATHS), "(f_auth_py OR f_auth_js)"),
+    "f_limit_project": Q.all_of(_CHECKED, Q.has("lower(path)", K.LIMIT_PROJECT_PATHS), "(f_limit_py OR f_limit_js)"),
+    "f_supabase": Q.any_of(
+        "contains(lower(path), 'supabase')",
+        Q.all_of(Q.among("name", K.DEPENDENCY_FILES), "contains(low, 'supabase')"),
+        Q.all_of(
+            Q.any_of(Q.among("suffix", K.CONFIG_SUFFIXES), Q.is_env_file("path")),
+            Q.has("text", ["SUPABASE_URL", "SUPABASE_ANON_KEY"]),
+        ),
+        Q.all_of("suffix = '.sql'", Q.matches("text", K.SUPABASE_SQL)),
+    ),
+    "f_model_call": Q.all_of(_AI_CODE, Q.has("low", K.MODEL_CALL_WORDS)),
+    "f_retrieval": Q.all_of(_AI_CODE, Q.has("low", K.RETRIEVAL_WORDS)),
+    "f_sensitive": Q.all_of(_AI_CODE, "(f_model_call OR f_retrieval)", Q.matches("text", K.SENSITIVE_DATA)),
+    "f_model_context": Q.any_of(
+        "f_model_call",
+        "f_retrieval",
+        Q.all_of(
+            _AI_CODE,
+            Q.any_of(Q.has("low", K.MODEL_OUTPUT_WORDS), _text(K.PROMPT_ASSIGN, ["prompt", "messages", "instructions"])),
+        ),
+    ),
+    "f_handler": Q.all_of(
+        Q.matches("lower(path)", r"^app/api/.*/route\.(?:ts|js)$"), Q.matches("text", K.HANDLER_EXPORT)
+    ),
+    "f_python_routes": Q.all_of("suffix = '.py'", _CHECKED, "contains(text, '@')", Q.matches("text", K.AUTH_ROUTE_PY)),
+    "f_mcp": Q.all_of(
+        "suffix = '.json'",
+        _CHECKED,
+        "contains(text, 'mcpServers')",
+        "coalesce(array_contains(json_object_keys(text), 'mcpServers'), false)",
+        "try_parse_json(text) IS NOT NULL",
+    ),
+    "f_anon_client": Q.all_of(
+        Q.among("suffix", K.JS_DB),
+        "contains(text, 'createClient')",
+        Q.matches("text", K.CLIENT_CALL),
+        Q.matches("text", K.ANON_KEY),
+        Q.matches("text", K.WRITE_CALL),
+    ),
+    "f_web_hint": Q.all_of(
+        Q.has(f"left(text, {K.HEAD_CHARS})", ["FastAPI", "APIRouter", "Flask", "Blueprint", "django.urls", "path("]),
+        Q.matches(f"left(text, {K.HEAD_CHARS})", K.WEB_HINT),
+    ),
+}
+# signals made of other signals
+_NEEDS = {
+    "f_auth_project": ["f_auth_py", "f_auth_js"],
+    "f_limit_project": ["f_limit_py", "f_limit_js"],
+    "f_sensitive": ["f_model_call", "f_retrieval"],
+    "f_model_context": ["f_model_call", "f_retrieval"],
+}
+REPO_SIGNALS = ["f_auth_project", "f_limit_project", "f_supabase"]
 
 
 def with_file_columns(files: DataFrame, signals: Iterable[str] | None = None) -> DataFrame:
@@ -81,426 +111,283 @@ def with_file_columns(files: DataFrame, signals: Iterable[str] | None = None) ->
             "generated": P.is_generated(F.col("path")),
         }
     )
-    every = _signals()
-    wanted = every if signals is None else {s: every[s] for s in signals}
-    return base.withColumns({**wanted, "lines": X.split_lines(F.col("text"))})
-
-
-# ------------------------------------------------------------------ candidates
-def _candidate(scanner: str, chk: int, category, severity, status, line, evidence, risk, detail="", seq=0) -> Column:
-    values = {
-        "scanner": SCANNERS.index(scanner),
-        "chk": chk,
-        "seq": seq,
-        "category": category,
-        "severity": severity,
-        "status": status,
-        "line_number": line,
-        "evidence": evidence,
-        "false_positive_risk": risk,
-        "detail": detail,
-    }
-    return F.struct(
-        *[
-            (values[n] if isinstance(values[n], Column) else F.lit(values[n])).cast(t).alias(n)
-            for n, t in CANDIDATE_FIELDS
-        ]
-    )
-
-
-def first_rule(line: Column, lowered: Column, rules: Rules) -> Column:
-    """Label of the first rule that fires on the line, else null."""
-    hit = None
-    for label, pattern, words in rules:
-        condition = X.contains_any(lowered, words) & X.matches(line, pattern)
-        hit = F.when(condition, label) if hit is None else hit.when(condition, label)
-    return hit
-
-
-def rule_words(rules: Rules) -> list[str]:
-    return sorted({w for _, _, words in rules for w in words})
+    wanted = set(SIGNALS if signals is None else signals)
+    below = {n for s in wanted for n in _NEEDS.get(s, [])} | {s for s in wanted if s not in _NEEDS}
+    base = base.withColumns({"low": F.lower("text"), "lines": X.split_lines(F.col("text"))})
+    base = base.withColumns({s: F.expr(SIGNALS[s]) for s in SIGNALS if s in below})
+    return base.withColumns({s: F.expr(SIGNALS[s]) for s in SIGNALS if s in wanted and s in _NEEDS})
 
 
+# ------------------------------------------------------------------ outcomes
 @dataclass(frozen=True)
-class LineDetector:
-    """A detector that looks at one line plus file-wide signals."""
+class Outcome:
+    """What a detector reports; ``evidence`` is 'line' or 'handler' or comes with a block."""
 
-    key: str
-    words: list[str]
-    find: Callable[[], Column]
-    scope: str
-    signals: list[str] = field(default_factory=list)
+    scanner: str
+    chk: int
+    category: str
+    severity: str
+    status: str
+    risk: str
+    detail: str = ""
+    seq: int = 0
+    evidence: str = "line"
 
 
-@dataclass(frozen=True)
-class FileDetector:
-    """A detector that looks at a whole text and yields an array of candidates."""
+OUTCOMES: list[Outcome] = []
 
-    key: str
-    find: Callable[[], Column]
-    signals: list[str] = field(default_factory=list)
-    python: bool = False
+
+def _outcome(*args, **kwargs) -> int:
+    new = Outcome(*args, **kwargs)
+    if new not in OUTCOMES:
+        OUTCOMES.append(new)
+    return OUTCOMES.index(new)
 
 
 # the files a line detector reads
-SCOPES: dict[str, Callable[[], Column]] = {
-    "py": lambda: _suffix_in(K.PY),
-    "js": lambda: _suffix_in(K.JS),
-    "js_db": lambda: _suffix_in(K.JS_DB),
-    "own_py": lambda: _suffix_in(K.PY) & ~F.col("generated"),
-    "own_js": lambda: _suffix_in(K.JS) & ~F.col("generated"),
-    "ai": lambda: _suffix_in(K.AI_CODE) & ~F.col("generated"),
-    "json": lambda: _suffix_in([".json"]),
-    "rules": lambda: F.col("name").isin("firestore.rules", "storage.rules"),
-    "realtime": lambda: F.col("name").isin("firebase.json", "database.rules.json"),
-    "not_env": lambda: ~P.is_env_file(F.col("path")),
+SCOPES: dict[str, str] = {
+    "py": Q.among("suffix", K.PY),
+    "js": Q.among("suffix", K.JS),
+    "js_db": Q.among("suffix", K.JS_DB),
+    "own_py": Q.all_of(Q.among("suffix", K.PY), _CHECKED),
+    "own_js": Q.all_of(Q.among("suffix", K.JS), _CHECKED),
+    "ai": _AI_CODE,
+    "json": "suffix = '.json'",
+    "rules": Q.among("name", ["firestore.rules", "storage.rules"]),
+    "realtime": Q.among("name", ["firebase.json", "database.rules.json"]),
+    "not_env": f"NOT {Q.is_env_file('path')}",
 }
 
 
-def _line() -> Column:
-    return F.col("line")
-
-
-def _low() -> Column:
-    return F.lower(F.col("line"))
-
-
-def _suffix_in(values: list[str]) -> Column:
-    return F.col("suffix").isin(*values)
-
-
-def _injection(key: str, chk: int, scope: str, rules: Rules, category, severity, risk, veto=None, status=None) -> LineDetector:
-    def find() -> Column:
-        label = first_rule(_line(), _low(), rules)
-        keep = label.isNotNull() & ~X.is_comment(_line())
-        if veto is not None:
-            keep = keep & ~X.matches(_line(), veto)
-        return F.when(
-            keep,
-            _candidate(
-                "injection", chk, category, severity, status() if status else "candidate",
-                F.col("line_no"), X.evidence_text(_line()), risk, label,
-            ),
-        )
-
-    return LineDetector(key, rule_words(rules), find, scope)
-
-
-def _log_status() -> Column:
-    return F.when(X.matches(_line(), K.CRLF_SIGNAL), "candidate").otherwise("needs_review")
-
-
-def _auth_regex_py() -> Column:
-    route = F.regexp_extract(_line(), K.AUTH_ROUTE_PY, 1)
-    keep = F.col("f_python_routes") & ~F.col("f_auth_py") & ~F.col("py_parses") & P.is_high_risk_route(route)
-    return F.when(
-        keep,
-        _candidate("auth", 0, "missing_auth", "critical", "needs_review", F.col("line_no"), X.evidence_text(_line()), "medium", route),
-    )
-
-
-def _auth_js() -> Column:
-    route = F.regexp_extract(_line(), K.AUTH_ROUTE_JS, 1)
-    keep = ~F.col("f_auth_js") & P.is_high_risk_route(route)
-    return F.when(
-        keep,
-        _candidate("auth", 2, "missing_auth", "critical", "needs_review", F.col("line_no"), X.evidence_text(_line()), "medium", route),
-    )
-
-
-def _handler_evidence(method: Column) -> Column:
-    # fixed format of the evidence text
-    return F.concat(F.lit("export async function "), method, F.lit("('"), P.handler_route(F.col("path")), F.lit("')"))
-
-
-def _auth_handler() -> Column:
-    method = F.upper(F.regexp_extract(_line(), K.HANDLER_EXPORT, 1))
-    route = P.handler_route(F.col("path"))
-    keep = F.col("f_handler") & (method != "") & ~F.col("f_auth_js") & P.is_high_risk_route(route)
-    return F.when(
-        keep,
-        _candidate("auth", 1, "missing_auth", "critical", "needs_review", F.col("line_no"), _handler_evidence(method), "medium", route),
-    )
-
-
-def _limit(pattern: str, flag: str, chk: int) -> Callable[[], Column]:
-    def find() -> Column:
-        route = F.regexp_extract(_line(), pattern, 1)
-        return F.when(
-            ~F.col(flag) & P.needs_rate_limit(route),
-            _candidate("rate_limit", chk, "missing_rate_limit", "medium", "needs_review", F.col("line_no"), X.evidence_text(_line()), "medium", route),
-        )
+@dataclass(frozen=True)
+class LineDetector:
+    """Looks at one line plus file-wide signals.  The first case that holds wins.
 
-    return find
+    ``words``: lower-case words of which a line must hold one to be looked at.
+    """
 
+    key: str
+    scope: str
+    words: list[str]
+    keep: str
+    cases: list[tuple[str, int]]
+    signals: list[str] = field(default_factory=list)
 
-def _limit_handler() -> Column:
-    method = F.upper(F.regexp_extract(_line(), K.HANDLER_EXPORT, 1))
-    route = P.handler_route(F.col("path"))
-    keep = F.col("f_handler") & method.isin("POST", "PUT", "PATCH", "DELETE") & ~F.col("f_limit_js") & P.needs_rate_limit(route)
-    return F.when(
-        keep,
-        _candidate("rate_limit", 0, "missing_rate_limit", "medium", "needs_review", F.col("line_no"), _handler_evidence(method), "medium", route),
-    )
+    def sql(self) -> str:
+        whens = " ".join(f"WHEN {condition} THEN {number}" for condition, number in self.cases)
+        return f"CASE WHEN {SCOPES[self.scope]} AND {self.keep} THEN CASE {whens} END END"
 
 
-def _cors_header() -> Column:
-    near = F.col("near")
-    credentials = X.matches(near, K.CORS_HEADER_CREDENTIALS)
-    return F.when(
-        X.matches(_line(), K.CORS_HEADER_STAR),
-        _candidate(
-            "cors", 1,
-            F.when(credentials, "cors_wildcard_credentials").otherwise("cors_wildcard"),
-            F.when(credentials, "critical").otherwise("high"),
-            "candidate", F.col("line_no"), X.evidence_text(_line()), "low", "header",
-        ),
-    )
+def _rule(pattern: str, words: list[str]) -> str:
+    return Q.all_of(Q.has("lowered", words), Q.matches("line", pattern))
 
 
-def _rules_file() -> Column:
-    severity = (
-        F.when(X.matches(_line(), K.RULES_READ_WRITE), "critical")
-        .when(X.matches(_line(), K.RULES_READ), "high")
-        .when(X.matches(_line(), K.RULES_WRITE), "critical")
-    )
-    return F.when(
-        severity.isNotNull(),
-        _candidate("database", 0, "firebase_public", severity, "candidate", F.col("line_no"), X.evidence_text(_line()), "low", "rules"),
-    )
+def _injection(key: str, chk: int, scope: str, rules, category: str, severity: str, risk: str, keep="NOT comment", labels=False) -> LineDetector:
+    cases = []
+    for label, pattern, words in rules:
+        detail = label if labels else ""
+        if category == "log_injection":
+            loud = _outcome("injection", chk, category, severity, "candidate", risk)
+            quiet = _outcome("injection", chk, category, severity, "needs_review", risk)
+            cases.append((Q.all_of(_rule(pattern, words), Q.matches("line", K.CRLF_SIGNAL)), loud))
+            cases.append((_rule(pattern, words), quiet))
+        else:
+            cases.append((_rule(pattern, words), _outcome("injection", chk, category, severity, "candidate", risk, detail)))
+    every = sorted({w for _, _, words in rules for w in words})
+    return LineDetector(key, scope, every, keep, cases)
 
 
-def _rtdb() -> Column:
-    return F.when(
-        X.matches(_line(), K.RTDB_PUBLIC),
-        _candidate("database", 0, "firebase_public", "critical", "candidate", F.col("line_no"), X.evidence_text(_line()), "low", "realtime"),
-    )
+def _extract(pattern: str) -> str:
+    return f"regexp_extract(line, {Q.lit(pattern)}, 1)"
 
 
-def _jwt_js() -> Column:
-    none = X.matches(_line(), K.JWT_NONE)
-    short = X.matches(_line(), K.JWT_SHORT) & ~X.matches(_line(), K.JWT_SHORT_ENV)
-    return F.when(
-        (none | short) & ~X.is_comment(_line()) & ~X.is_safe_reference(_line()),
-        _candidate(
-            "database", 1, "weak_jwt", F.when(none, "critical").otherwise("high"), "candidate",
-            F.col("line_no"), X.evidence_text(_line()), F.when(none, "low").otherwise("medium"),
-            F.when(none, "none").otherwise("short"),
-        ),
-    )
+_METHOD = f"upper({_extract(K.HANDLER_EXPORT)})"
+_HANDLER_ROUTE = Q.handler_route("path")
+_AUTH_OPEN = ("auth", "missing_auth", "critical", "needs_review", "medium")
+SECRET_IN_PROMPT = Q.all_of(
+    Q.matches("line", K.SECRET_NEAR_PROMPT),
+    Q.matches("line", K.SECRET_SOURCE),
+    Q.has("line", K.PROMPT_WORDS),
+    Q.has("line", K.ASSIGN_MARKS),
+)
 
 
-def _jwt_py() -> Column:
-    return F.when(
-        X.matches(_line(), K.JWT_NONE) & ~X.is_comment(_line()) & ~X.is_safe_reference(_line()),
-        _candidate("database", 0, "weak_jwt", "critical", "candidate", F.col("line_no"), X.evidence_text(_line()), "low", "none"),
-    )
+def _auth(chk: int, evidence: str = "line") -> int:
+    return _outcome("auth", chk, "missing_auth", "critical", "needs_review", "medium", evidence=evidence)
 
 
-def _ai(seq: int, category: str, severity: str, condition: Callable[[], Column], review=None) -> Callable[[], Column]:
-    def find() -> Column:
-        status = F.when(F.col(review), "candidate").otherwise("needs_review") if review else "candidate"
-        return F.when(
-            condition() & ~X.is_comment(_line()),
-            _candidate("ai", 0, category, severity, status, F.col("line_no"), X.evidence_text(_line()), "medium", "", seq),
-        )
+def _limit(chk: int, evidence: str = "line") -> int:
+    return _outcome("rate_limit", chk, "missing_rate_limit", "medium", "needs_review", "medium", evidence=evidence)
 
-    return find
 
+def _ai(seq: int, category: str, severity: str, status: str = "candidate") -> int:
+    return _outcome("ai", 0, category, severity, status, "medium", seq=seq)
 
-def is_secret_in_prompt(line: Column) -> Column:
-    return (
-        X.matches(line, K.SECRET_NEAR_PROMPT)
-        & X.matches(line, K.SECRET_SOURCE)
-        & X.contains_any(line, K.PROMPT_WORDS)
-        & X.contains_any(line, K.ASSIGN_MARKS)
-    )
 
+_JWT_QUIET = "NOT comment AND NOT safe"
 
-def _secret() -> Column:
-    shape = X.matches(_line(), K.SECRET_SHAPE)
-    keep = (
-        (shape | X.matches(_line(), K.SECRET_ASSIGN))
-        & ~X.is_safe_reference(_line())
-        & ~X.matches(_line(), K.SECRET_PLACEHOLDER)
-    )
-    return F.when(
-        keep,
-        _candidate("secrets", 1, "hardcoded_secret", F.when(shape, "critical").otherwise("high"), "candidate", F.col("line_no"), X.evidence_text(_line()), "low", ""),
-    )
+LINE_DETECTORS: list[LineDetector] = [
+    _injection("DET-01", 0, "py", K.PY_SQL, "sql_injection", "critical", "low", labels=True),
+    _injection("DET-02", 0, "js", K.JS_SQL, "sql_injection", "critical", "low", labels=True),
+    _injection("DET-03", 1, "py", K.PY_LOG, "log_injection", "high", "medium"),
+    _injection("DET-04", 1, "js", K.JS_LOG, "log_injection", "high", "medium"),
+    _injection("DET-05", 2, "py", K.PY_CMD, "command_injection", "critical", "low"),
+    _injection("DET-06", 2, "js", K.JS_CMD, "command_injection", "critical", "low"),
+    _injection("DET-07", 3, "js", K.JS_DYNAMIC, "unsafe_dynamic_code", "high", "low"),
+    _injection("DET-08", 4, "js", K.JS_PATH, "path_traversal", "high", "medium", keep=f"NOT comment AND NOT {Q.matches('line', K.PATH_SANITIZER)}"),
+    LineDetector("DET-10", "own_py", ["@"], "f_python_routes AND NOT f_auth_py AND NOT py_parses", [(Q.high_risk(_extract(K.AUTH_ROUTE_PY)), _auth(0))], ["f_python_routes", "f_auth_py"]),
+    LineDetector("DET-11", "own_js", ["router", "app", "server"], "NOT f_auth_js", [(Q.high_risk(_extract(K.AUTH_ROUTE_JS)), _auth(2))], ["f_auth_js"]),
+    LineDetector("DET-12", "own_js", ["export"], f"f_handler AND NOT f_auth_js AND {_METHOD} != ''", [(Q.high_risk(_HANDLER_ROUTE), _auth(1, "handler"))], ["f_handler", "f_auth_js"]),
+    LineDetector("DET-13", "own_py", ["@"], "NOT f_limit_py", [(Q.rate_limited_route(_extract(K.LIMIT_ROUTE_PY)), _limit(0))], ["f_limit_py"]),
+    LineDetector("DET-14", "own_js", ["router", "app", "server"], "NOT f_limit_js", [(Q.rate_limited_route(_extract(K.LIMIT_ROUTE_JS)), _limit(1))], ["f_limit_js"]),
+    LineDetector(
+        "DET-15", "own_js", ["export"], f"f_handler AND NOT f_limit_js AND {Q.among(_METHOD, ['POST', 'PUT', 'PATCH', 'DELETE'])}",
+        [(Q.rate_limited_route(_HANDLER_ROUTE), _limit(0, "handler"))], ["f_handler", "f_limit_js"],
+    ),
+    LineDetector(
+        "DET-18", "js", ["access-control-allow-origin"], Q.matches("line", K.CORS_HEADER_STAR),
+        [
+            (Q.matches("near", K.CORS_HEADER_CREDENTIALS), _outcome("cors", 1, "cors_wildcard_credentials", "critical", "candidate", "low", "header")),
+            ("true", _outcome("cors", 1, "cors_wildcard", "high", "candidate", "low", "header")),
+        ],
+    ),
+    LineDetector(
+        "DET-20", "rules", ["allow"], "true",
+        [
+            (Q.matches("line", K.RULES_READ_WRITE), _outcome("database", 0, "firebase_public", "critical", "candidate", "low", "rules")),
+            (Q.matches("line", K.RULES_READ), _outcome("database", 0, "firebase_public", "high", "candidate", "low", "rules")),
+            (Q.matches("line", K.RULES_WRITE), _outcome("database", 0, "firebase_public", "critical", "candidate", "low", "rules")),
+        ],
+    ),
+    LineDetector("DET-21", "realtime", ['".read"', '".write"'], "true", [(Q.matches("line", K.RTDB_PUBLIC), _outcome("database", 0, "firebase_public", "critical", "candidate", "low", "realtime"))]),
+    LineDetector(
+        "DET-23", "js_db", ["algorithm", "sign"], _JWT_QUIET,
+        [
+            (Q.matches("line", K.JWT_NONE), _outcome("database", 1, "weak_jwt", "critical", "candidate", "low", "none")),
+            (f"{Q.matches('line', K.JWT_SHORT)} AND NOT {Q.matches('line', K.JWT_SHORT_ENV)}", _outcome("database", 1, "weak_jwt", "high", "candidate", "medium", "short")),
+        ],
+    ),
+    LineDetector("DET-24", "py", ["algorithm"], _JWT_QUIET, [(Q.matches("line", K.JWT_NONE), _outcome("database", 0, "weak_jwt", "critical", "candidate", "low", "none"))]),
+    LineDetector(
+        "DET-25", "ai", ["prompt", "messages", "instructions"],
+        Q.all_of("f_model_call", "NOT comment", Q.matches("line", K.PROMPT_ASSIGN), Q.matches("line", K.UNTRUSTED_INPUT)),
+        [("f_sensitive", _ai(0, "prompt_injection", "medium")), ("true", _ai(0, "prompt_injection", "medium", "needs_review"))],
+        ["f_model_call", "f_sensitive"],
+    ),
+    LineDetector(
+        "DET-26", "ai", ["llm_response", "model_output", "assistant_message", "completion", "response.choices"], "NOT comment",
+        [(Q.all_of(Q.matches("line", K.TOOL_EXEC), Q.matches("line", K.MODEL_OUTPUT)), _ai(1, "unsafe_tool_execution", "high"))],
+    ),
+    LineDetector("DET-27", "ai", ["prompt", "message", "instruction"], "f_model_context AND NOT comment", [(SECRET_IN_PROMPT, _ai(2, "llm_secret_exposure", "high"))], ["f_model_context"]),
+    LineDetector(
+        "DET-28", "ai", ["memory.", "vectorstore.add", "add_documents(", "upsert(", "insert("], "f_model_context AND NOT comment",
+        [(Q.all_of(Q.matches("line", K.MEMORY_WRITE), Q.matches("line", K.UNTRUSTED_INPUT)), _ai(3, "agent_memory_poisoning", "medium"))], ["f_model_context"],
+    ),
+    LineDetector(
+        "DET-29", "ai", ["similarity_search", "retriever", "vectorstore"],
+        Q.all_of("f_retrieval", "f_model_call", "NOT comment", Q.matches("line", K.RETRIEVAL)),
+        [("f_sensitive", _ai(4, "retrieval_poisoning", "medium")), ("true", _ai(4, "retrieval_poisoning", "medium", "needs_review"))],
+        ["f_retrieval", "f_model_call", "f_sensitive"],
+    ),
+    LineDetector("DET-30", "json", K.MCP_KEYS, "f_mcp", [(Q.has("line", K.MCP_KEYS), _outcome("ai", 0, "mcp_untrusted_server", "high", "candidate", "medium"))], ["f_mcp"]),
+    LineDetector(
+        "DET-31", "not_env", ["sk-", "ghp_", "xox", "akia", "key", "secret", "token", "passw"], f"NOT safe AND NOT {Q.matches('line', K.SECRET_PLACEHOLDER)}",
+        [
+            (Q.matches("line", K.SECRET_SHAPE), _outcome("secrets", 1, "hardcoded_secret", "critical", "candidate", "low")),
+            (Q.matches("line", K.SECRET_ASSIGN), _outcome("secrets", 1, "hardcoded_secret", "high", "candidate", "low")),
+        ],
+    ),
+]
 
 
 # ------------------------------------------------------------------ whole-text detectors
-def _none() -> Column:
-    return F.array().cast(f"array<{CANDIDATE}>")
-
-
-def _numbered(lines: Column) -> Column:
-    return F.transform(lines, lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("line")))
+BLOCK = "struct<outcome:int,line_no:int,evidence:string,seq:int>"
+_NO_BLOCK = f"CAST(array() AS array<{BLOCK}>)"
 
 
-def _first_line(keep: Callable[[Column], Column], make: Callable[[Column], Column]) -> Column:
-    hit = F.filter(_numbered(F.col("lines")), lambda h: keep(h.line))
-    return F.transform(F.slice(hit, 1, 1), make)
+@dataclass(frozen=True)
+class FileDetector:
+    """Looks at a whole text; its expression yields an array of blocks."""
 
+    key: str
+    sql: str
+    signals: list[str] = field(default_factory=list)
+    python: bool = False
 
-def _cors_blocks(suffixes, pattern, star, credentials, kind) -> Callable[[], Column]:
-    def find() -> Column:
-        blocks = F.filter(X.match_lines(F.col("text"), pattern), lambda m: X.matches(F.regexp_extract(m.match, pattern, 1), star))
 
-        def make(m: Column) -> Column:
-            both = X.matches(F.regexp_extract(m.match, pattern, 1), credentials)
-            return _candidate(
-                "cors", 0,
-                F.when(both, "cors_wildcard_credentials").otherwise("cors_wildcard"),
-                F.when(both, "critical").otherwise("high"),
-                "candidate", m.line,
-                F.when(both, K.CORS_EVIDENCE[kind, True]).otherwise(K.CORS_EVIDENCE[kind, False]),
-                "low", "block",
-            )
+def _block(outcome, line: str, evidence: str, seq: str = "0") -> str:
+    return f"named_struct('outcome', {outcome}, 'line_no', {line}, 'evidence', {evidence}, 'seq', {seq})"
 
-        return F.when(_suffix_in(suffixes) & X.matches(F.col("text"), pattern), F.transform(blocks, make)).otherwise(_none())
 
-    return find
+def _first_line(where: str, line_test: str, outcome: int) -> str:
+    numbered = "transform(lines, (l, i) -> named_struct('n', i + 1, 'l', l))"
+    hits = f"slice(filter({numbered}, h -> {line_test}), 1, 1)"
+    evidence = f"left({Q.strip('h.l')}, {K.EVIDENCE_CHARS})"
+    return f"CASE WHEN {where} THEN transform({hits}, h -> {_block(outcome, 'h.n', evidence)}) ELSE {_NO_BLOCK} END"
 
 
-def _rls() -> Column:
-    text = F.col("text")
-    made = F.transform(
-        X.match_lines(text, K.CREATE_TABLE),
-        lambda m: F.struct(F.lower(F.regexp_extract(m.match, K.CREATE_TABLE, 1)).alias("name"), m.line.alias("line")),
-    )
-    ordered = F.array_sort(F.filter(made, lambda t: ~t["name"].isin(*K.SYSTEM_TABLES)))
-    enabled = F.transform(F.regexp_extract_all(text, F.lit(K.RLS_ALTER), F.lit(1)), F.lower)
-
-    def outcome(tables: Column) -> Column:
-        # a repeated name counts once, with its last line
-        last = F.filter(tables, lambda t, i: (F.get(tables, i + 1)["name"] != t["name"]) | F.get(tables, i + 1).isNull())
-        bare = F.filter(last, lambda t: ~F.array_contains(enabled, t["name"]))
-        covered = (F.size(last) == 1) & X.matches(text, K.RLS_ANY)
-        return F.when(covered, _none()).otherwise(
-            F.transform(
-                bare,
-                lambda t: _candidate(
-                    "database", 0, "rls_disabled", "high", "candidate", t.line,
-                    # fixed format of the evidence text
-                    F.concat(F.lit("CREATE TABLE "), t["name"], F.lit(" — ENABLE ROW LEVEL SECURITY not found")),
-                    "medium", t["name"],
-                ),
-            )
-        )
-
-    # the one-element transform binds the sorted tables once
-    result = F.get(F.transform(F.array(ordered), outcome), 0)
-    return F.when((F.col("suffix") == ".sql") & X.matches(text, K.CREATE_TABLE), result).otherwise(_none())
-
-
-def _anon_client() -> Column:
-    found = _first_line(
-        lambda l: X.matches(l, K.CLIENT_CALL),
-        lambda h: _candidate("database", 0, "supabase_anon_write", "medium", "candidate", h.line_no, X.evidence_text(h.line), "medium"),
-    )
-    return F.when(F.col("f_anon_client"), found).otherwise(_none())
+def _cors(kind: str, suffixes, pattern: str, star: str, credentials: str) -> str:
+    both = _outcome("cors", 0, "cors_wildcard_credentials", "critical", "candidate", "low", "block", evidence="block")
+    open_ = _outcome("cors", 0, "cors_wildcard", "high", "candidate", "low", "block", evidence="block")
+    inner = f"regexp_extract(m.match, {Q.lit(pattern)}, 1)"
+    loose = Q.matches(inner, credentials)
+    blocks = f"filter({Q.match_lines('text', pattern)}, m -> {Q.matches(inner, star)})"
+    evidence = f"IF({loose}, {Q.lit(K.CORS_EVIDENCE[kind, True])}, {Q.lit(K.CORS_EVIDENCE[kind, False])})"
+    made = f"transform({blocks}, m -> {_block(f'IF({loose}, {both}, {open_})', 'm.line', evidence)})"
+    return f"CASE WHEN {Q.among('suffix', suffixes)} AND {Q.matches('text', pattern)} THEN {made} ELSE {_NO_BLOCK} END"
 
 
-def _env_file() -> Column:
-    found = _first_line(
-        lambda l: X.matches(l, K.ENV_SECRET_KEY) & ~X.is_comment(l) & ~X.matches(l, K.SECRET_PLACEHOLDER),
-        lambda h: _candidate("secrets", 0, "committed_env_file", "critical", "candidate", h.line_no, X.evidence_text(h.line), "low"),
+def _rls() -> str:
+    outcome = _outcome("database", 0, "rls_disabled", "high", "candidate", "medium", evidence="block")
+    name = f"lower(regexp_extract(m.match, {Q.lit(K.CREATE_TABLE)}, 1))"
+    made = f"transform({Q.match_lines('text', K.CREATE_TABLE)}, m -> named_struct('t', {name}, 'n', m.line))"
+    own = f"array_sort(filter({made}, c -> NOT {Q.among('c.t', K.SYSTEM_TABLES)}))"
+    enabled = f"transform(regexp_extract_all(text, {Q.lit(K.RLS_ALTER)}, 1), e -> lower(e))"
+    # a repeated name counts once, with its last line; the one-element transforms bind a value once
+    last = "filter(o, (c, i) -> get(o, i + 1) IS NULL OR get(o, i + 1).t != c.t)"
+    # fixed format of the evidence text
+    evidence = "concat('CREATE TABLE ', c.t, ' — ENABLE ROW LEVEL SECURITY not found')"
+    bare = f"transform(filter(u, c -> NOT array_contains({enabled}, c.t)), c -> {_block(outcome, 'c.n', evidence)})"
+    result = (
+        f"get(transform(transform(array({own}), o -> {last}), "
+        f"u -> IF(size(u) = 1 AND {Q.matches('text', K.RLS_ANY)}, {_NO_BLOCK}, {bare})), 0)"
     )
-    return F.when(P.is_env_file(F.col("path")), found).otherwise(_none())
+    return f"CASE WHEN suffix = '.sql' AND {Q.matches('text', K.CREATE_TABLE)} THEN {result} ELSE {_NO_BLOCK} END"
 
 
-def _ast_routes() -> Column:
-    risky = lambda r: P.is_high_risk_route(r.route)
-    open_routes = F.filter(
-        F.col("py.routes"),
-        lambda r: ~r.guarded & (risky(r) | F.coalesce(r.method.isin("POST", "PUT", "DELETE", "PATCH"), F.lit(False))),
+def _ast_routes() -> str:
+    risky = _outcome("auth", 0, "missing_auth", "critical", "candidate", "medium", evidence="block")
+    write = _outcome("auth", 0, "missing_auth", "medium", "needs_review", "medium", evidence="block")
+    changes = "coalesce(r.method IN ('POST', 'PUT', 'DELETE', 'PATCH'), false)"
+    # fixed format of the evidence text
+    evidence = "concat('@', coalesce(r.method, 'route'), '(\\'', r.route, '\\') - no auth')"
+    made = (
+        f"transform(filter(py.routes, r -> NOT r.guarded AND ({Q.high_risk('r.route')} OR {changes})), "
+        f"r -> {_block(f'IF({Q.high_risk('r.route')}, {risky}, {write})', 'r.line', evidence, 'r.seq')})"
     )
+    return f"CASE WHEN f_python_routes AND NOT f_auth_py AND py.routes IS NOT NULL THEN {made} ELSE {_NO_BLOCK} END"
 
-    def make(r: Column) -> Column:
-        return _candidate(
-            "auth", 0, "missing_auth",
-            F.when(risky(r), "critical").otherwise("medium"),
-            F.when(risky(r), "candidate").otherwise("needs_review"),
-            r.line,
-            # fixed format of the evidence text
-            F.concat(F.lit("@"), F.coalesce(r.method, F.lit("route")), F.lit("('"), r.route, F.lit("') - no auth")),
-            "medium", r.route, r.seq,
-        )
-
-    return F.when(
-        F.col("f_python_routes") & ~F.col("f_auth_py") & F.col("py.routes").isNotNull(), F.transform(open_routes, make)
-    ).otherwise(_none())
 
-
-LINE_DETECTORS: list[LineDetector] = [
-    _injection("DET-01", 0, "py", K.PY_SQL, "sql_injection", "critical", "low"),
-    _injection("DET-02", 0, "js", K.JS_SQL, "sql_injection", "critical", "low"),
-    _injection("DET-03", 1, "py", K.PY_LOG, "log_injection", "high", "medium", status=_log_status),
-    _injection("DET-04", 1, "js", K.JS_LOG, "log_injection", "high", "medium", status=_log_status),
-    _injection("DET-05", 2, "py", K.PY_CMD, "command_injection", "critical", "low"),
-    _injection("DET-06", 2, "js", K.JS_CMD, "command_injection", "critical", "low"),
-    _injection("DET-07", 3, "js", K.JS_DYNAMIC, "unsafe_dynamic_code", "high", "low"),
-    _injection("DET-08", 4, "js", K.JS_PATH, "path_traversal", "high", "medium", veto=K.PATH_SANITIZER),
-    LineDetector("DET-10", ["@"], _auth_regex_py, "own_py", ["f_python_routes", "f_auth_py"]),
-    LineDetector("DET-11", ["router", "app", "server"], _auth_js, "own_js", ["f_auth_js"]),
-    LineDetector("DET-12", ["export"], _auth_handler, "own_js", ["f_handler", "f_auth_js"]),
-    LineDetector("DET-13", ["@"], _limit(K.LIMIT_ROUTE_PY, "f_limit_py", 0), "own_py", ["f_limit_py"]),
-    LineDetector("DET-14", ["router", "app", "server"], _limit(K.LIMIT_ROUTE_JS, "f_limit_js", 1), "own_js", ["f_limit_js"]),
-    LineDetector("DET-15", ["export"], _limit_handler, "own_js", ["f_handler", "f_limit_js"]),
-    LineDetector("DET-18", ["access-control-allow-origin"], _cors_header, "js"),
-    LineDetector("DET-20", ["allow"], _rules_file, "rules"),
-    LineDetector("DET-21", ['".read"', '".write"'], _rtdb, "realtime"),
-    LineDetector("DET-23", ["algorithm", "sign"], _jwt_js, "js_db"),
-    LineDetector("DET-24", ["algorithm"], _jwt_py, "py"),
-    LineDetector(
-        "DET-25", ["prompt", "messages", "instructions"],
-        _ai(0, "prompt_injection", "medium", lambda: F.col("f_model_call") & X.matches(_line(), K.PROMPT_ASSIGN) & X.matches(_line(), K.UNTRUSTED_INPUT), "f_sensitive"),
-        "ai", ["f_model_call", "f_sensitive"],
-    ),
-    LineDetector(
-        "DET-26", ["llm_response", "model_output", "assistant_message", "completion", "response.choices"],
-        _ai(1, "unsafe_tool_execution", "high", lambda: X.matches(_line(), K.TOOL_EXEC) & X.matches(_line(), K.MODEL_OUTPUT)),
-        "ai",
-    ),
-    LineDetector(
-        "DET-27", ["prompt", "message", "instruction"],
-        _ai(2, "llm_secret_exposure", "high", lambda: F.col("f_model_context") & is_secret_in_prompt(_line())),
-        "ai", ["f_model_context"],
-    ),
-    LineDetector(
-        "DET-28", ["memory.", "vectorstore.add", "add_documents(", "upsert(", "insert("],
-        _ai(3, "agent_memory_poisoning", "medium", lambda: F.col("f_model_context") & X.matches(_line(), K.MEMORY_WRITE) & X.matches(_line(), K.UNTRUSTED_INPUT)),
-        "ai", ["f_model_context"],
-    ),
-    LineDetector(
-        "DET-29", ["similarity_search", "retriever", "vectorstore"],
-        _ai(4, "retrieval_poisoning", "medium", lambda: F.col("f_retrieval") & F.col("f_model_call") & X.matches(_line(), K.RETRIEVAL), "f_sensitive"),
-        "ai", ["f_retrieval", "f_model_call", "f_sensitive"],
+FILE_DETECTORS: list[FileDetector] = [
+    FileDetector("DET-09", _ast_routes(), ["f_python_routes", "f_auth_py"], python=True),
+    FileDetector("DET-16", _cors("py", K.PY, K.CORS_PY_BLOCK, K.CORS_PY_STAR, K.CORS_PY_CREDENTIALS)),
+    FileDetector("DET-17", _cors("js", K.JS, K.CORS_JS_BLOCK, K.CORS_JS_STAR, K.CORS_JS_CREDENTIALS)),
+    FileDetector("DET-19", _rls()),
+    FileDetector(
+        "DET-22",
+        _first_line("f_anon_client", Q.matches("h.l", K.CLIENT_CALL), _outcome("database", 0, "supabase_anon_write", "medium", "candidate", "medium", evidence="block")),
+        ["f_anon_client"],
     ),
-    LineDetector(
-        "DET-30", K.MCP_KEYS,
-        lambda: F.when(
-            F.col("f_mcp") & X.contains_any(_line(), K.MCP_KEYS),
-            _candidate("ai", 0, "mcp_untrusted_server", "high", "candidate", F.col("line_no"), X.evidence_text(_line()), "medium"),
+    FileDetector(
+        "DET-32",
+        _first_line(
+            Q.is_env_file("path"),
+            Q.all_of(Q.matches("h.l", K.ENV_SECRET_KEY), f"NOT {Q.matches(Q.strip('h.l'), '^(?:#|//|[*])')}", f"NOT {Q.matches('h.l', K.SECRET_PLACEHOLDER)}"),
+            _outcome("secrets", 0, "committed_env_file", "critical", "candidate", "low", evidence="block"),
         ),
-        "json", ["f_mcp"],
-    ),
-    LineDetector(
-        "DET-31", ["sk-", "ghp_", "xox", "akia", "key", "secret", "token", "passw"], _secret, "not_env",
     ),
 ]
 
-FILE_DETECTORS: list[FileDetector] = [
-    FileDetector("DET-09", _ast_routes, ["f_python_routes", "f_auth_py"], python=True),
-    FileDetector("DET-16", _cors_blocks(K.PY, K.CORS_PY_BLOCK, K.CORS_PY_STAR, K.CORS_PY_CREDENTIALS, "py")),
-    FileDetector("DET-17", _cors_blocks(K.JS, K.CORS_JS_BLOCK, K.CORS_JS_STAR, K.CORS_JS_CREDENTIALS, "js")),
-    FileDetector("DET-19", _rls),
-    FileDetector("DET-22", _anon_client, ["f_anon_client"]),
-    FileDetector("DET-32", _env_file),
-]
-
 DETECTOR_KEYS = sorted([d.key for d in LINE_DETECTORS] + [d.key for d in FILE_DETECTORS])
 
 
@@ -509,12 +396,9 @@ def _select(keys: Iterable[str] | None) -> tuple[list[LineDetector], list[FileDe
     return [d for d in LINE_DETECTORS if d.key in wanted], [d for d in FILE_DETECTORS if d.key in wanted]
 
 
-def _flow_words(text: Column) -> Column:
-    return X.contains_any(text, ["execute", ".raw", "subprocess.", "os.system", "os.popen", "eval(", "exec(", "logger.", "logging.", "print"])
-
-
-ITEM = f"struct<line_no:int,line:string,ctx:string,near:string,flows:array<{FLOW}>,ready:{CANDIDATE}>"
-REPO_SIGNALS = ["f_auth_project", "f_limit_project", "f_supabase"]
+# ------------------------------------------------------------------ the pass
+ITEM = f"struct<line_no:int,line:string,ctx:string,near:string,flows:array<{FLOW}>,ready:{BLOCK}>"
+_FLOW_WORDS = ["execute", ".raw", "subprocess.", "os.system", "os.popen", "eval(", "exec(", "logger.", "logging.", "print"]
 
 
 def file_items(
@@ -529,8 +413,8 @@ def file_items(
     """One row per file: its signals and ``items``, the lines and blocks worth a look.
 
     ``files`` holds (repo_id, path, text).  With ``context`` an item carries the lines
-    around it, so that the evidence step needs no join.  With ``flows`` each Python file is parsed
-    once and its data flows are attached to the lines they end on.
+    around it, so that the evidence step needs no join.  With ``flows`` each Python file
+    is parsed once and its data flows are attached to the lines they end on.
     """
     line_dets, file_dets = _select(keys)
     signals = sorted({s for d in [*line_dets, *file_dets] for s in d.signals} | set(keep))
@@ -538,33 +422,20 @@ def file_items(
 
     needs_tree = flows or any(d.python for d in file_dets) or any(d.key == "DET-10" for d in line_dets)
     if needs_tree:
-        wanted = (F.col("suffix") == ".py") & (
-            (F.col("f_python_routes") if "f_python_routes" in signals else F.lit(False))
-            | (_flow_words(F.col("text")) if flows else F.lit(False))
-        )
+        reasons = (["f_python_routes"] if "f_python_routes" in signals else []) + ([Q.has("text", _FLOW_WORDS)] if flows else [])
+        wanted = F.expr(Q.all_of("suffix = '.py'", Q.any_of(*reasons)))
         df = df.withColumn("py", python_facts(F.col("text"), F.col("path"), wanted))
         df = df.withColumn("py_parses", F.coalesce(F.col("py.parses"), F.lit(True)))
 
-    nothing = F.array().cast(f"array<{FLOW}>")
-
-    def flows_at(line_no: Column) -> Column:
-        if not flows:
-            return nothing
-        return F.coalesce(F.filter(F.col("py.flows"), lambda f: f.line == line_no), nothing)
-
-    empty = F.lit(None).cast(CANDIDATE)
-    unused = F.lit(None).cast("string")
     headers = any(d.key == "DET-18" for d in line_dets)
 
-    def item(line_no: Column, line: Column, ready: Column) -> Column:
-        return F.struct(
-            line_no.cast("int").alias("line_no"),
-            line.alias("line"),
-            (X.frame_text(F.col("lines"), line_no, K.EVIDENCE_WINDOW, K.EVIDENCE_WINDOW) if context else unused).alias("ctx"),
-            (X.frame_text(F.col("lines"), line_no, 2, 3) if headers else unused).alias("near"),
-            flows_at(line_no).alias("flows"),
-            ready.alias("ready"),
-        )
+    def item(line_no: str, line: str, ready: str) -> str:
+        window = K.EVIDENCE_WINDOW
+        ctx = Q.frame("lines", line_no, window, window) if context else "CAST(NULL AS string)"
+        near = Q.frame("lines", line_no, 2, 3) if headers else "CAST(NULL AS string)"
+        nothing = f"CAST(array() AS array<{FLOW}>)"
+        ends = f"coalesce(filter(py.flows, f -> f.line = {line_no}), {nothing})" if flows else nothing
+        return f"named_struct('line_no', {line_no}, 'line', {line}, 'ctx', {ctx}, 'near', {near}, 'flows', {ends}, 'ready', {ready})"
 
     parts = []
     if line_dets:
@@ -572,58 +443,82 @@ def file_items(
         for d in line_dets:
             words.setdefault(d.scope, set()).update(d.words)
 
-        def worth(lowered: Column) -> Column:
-            return reduce(
-                lambda a, b: a | b, [SCOPES[s]() & X.contains_any(lowered, sorted(w)) for s, w in words.items()]
-            )
-
-        hits = F.filter(_numbered(F.col("lines")), lambda h: worth(F.lower(h.line)))
-        parts.append(
-            F.when(worth(F.lower(F.col("text"))), F.transform(hits, lambda h: item(h.line_no, h.line, empty))).otherwise(
-                F.array().cast(f"array<{ITEM}>")
-            )
-        )
+        def worth(lowered: str) -> str:
+            return Q.any_of(*[Q.all_of(SCOPES[s], Q.has(lowered, sorted(w))) for s, w in words.items()])
+
+        numbered = "transform(lines, (l, i) -> named_struct('n', i + 1, 'l', l))"
+        hits = f"filter({numbered}, h -> {worth('lower(h.l)')})"
+        made = f"transform({hits}, h -> {item('h.n', 'h.l', f'CAST(NULL AS {BLOCK})')})"
+        parts.append(f"CASE WHEN {worth('low')} THEN {made} ELSE CAST(array() AS array<{ITEM}>) END")
     for d in file_dets:
-        parts.append(F.transform(d.find(), lambda c: item(c.line_number, unused, c)))
-    items = parts[0] if len(parts) == 1 else F.concat(*parts)
+        parts.append(f"transform({d.sql}, b -> {item('b.line_no', 'CAST(NULL AS string)', 'b')})")
+    items = F.expr(parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
     columns = ["repo_id", "path", "name", "suffix", "generated", *signals, *carry]
     if needs_tree:
         columns.append("py_parses")
     return df.select(*columns, items.alias("items"))
 
 
+def _outcome_table() -> str:
+    rows = [
+        f"named_struct('scanner', {SCANNERS.index(o.scanner)}, 'chk', {o.chk}, 'seq', {o.seq}, 'category', {Q.lit(o.category)}, "
+        f"'severity', {Q.lit(o.severity)}, 'status', {Q.lit(o.status)}, 'risk', {Q.lit(o.risk)}, 'detail', {Q.lit(o.detail)}, "
+        f"'handler', {str(o.evidence == 'handler').lower()})"
+        for o in OUTCOMES
+    ]
+    return f"array({', '.join(rows)})"
+
+
 def candidates_from_items(items: DataFrame, keys: Iterable[str] | None = None, carry: Iterable[str] = ()) -> DataFrame:
     """Explode the items and run the line detectors on them."""
     line_dets, _ = _select(keys)
-    rows = items.withColumn("item", F.explode("items")).drop("items").select("*", "item.*").drop("item")
-    found = [F.when(SCOPES[d.scope](), d.find()) for d in line_dets]
-    if found:
-        tries = F.when(F.col("ready").isNull(), F.array(*found)).otherwise(F.array(F.col("ready")))
-    else:
-        tries = F.array(F.col("ready"))
-    out = rows.withColumn("c", F.explode(tries)).filter(F.col("c").isNotNull())
-    return out.select("repo_id", "path", "c.*", *carry)
+    # the outer form: for the plain one Spark adds a filter on the size of the array, and
+    # pushes it down to where the whole items expression would be computed a second time
+    rows = items.withColumn("item", F.explode_outer("items")).drop("items").filter(F.col("item").isNotNull())
+    rows = rows.select("*", "item.*").drop("item").withColumns(
+        {"lowered": F.lower("line"), "stripped": X.strip(F.col("line"))}
+    )
+    rows = rows.withColumns(
+        {"comment": F.expr(Q.matches("stripped", "^(?:#|//|[*])")), "safe": F.expr(Q.has("line", K.SAFE_REFERENCES))}
+    )
+    tried = ", ".join(d.sql() for d in line_dets)
+    found = f"CASE WHEN ready IS NULL THEN array_compact(array({tried})) ELSE array(ready.outcome) END" if line_dets else "array(ready.outcome)"
+    out = rows.withColumn("number", F.explode(F.expr(found)))
+    out = out.withColumn("o", F.expr(f"element_at({_outcome_table()}, number + 1)"))
+    # fixed format of the evidence text of a file-based handler
+    handler = f"concat('export async function ', {_METHOD}, '(\\'', {_HANDLER_ROUTE}, '\\')')"
+    evidence = f"CASE WHEN ready IS NOT NULL THEN ready.evidence WHEN o.handler THEN {handler} ELSE left(stripped, {K.EVIDENCE_CHARS}) END"
+    values = {
+        "seq": "o.seq + coalesce(ready.seq, 0)",
+        "line_number": "line_no",
+        "evidence": evidence,
+        "false_positive_risk": "o.risk",
+    }
+    return out.select(
+        "repo_id", "path", *[F.expr(values.get(n, f"o.{n}")).cast(t).alias(n) for n, t in CANDIDATE_FIELDS], *carry
+    )
 
 
 def candidates(files: DataFrame, keys: Iterable[str] | None = None) -> DataFrame:
     """Candidate findings of the chosen detectors (all by default).
 
-    Findings of the row-level-security detector are kept only in repositories that
-    show a Supabase signal, as one semi join on the repository id.
+    Findings about row-level security are kept only in repositories that show a Supabase
+    signal.
     """
     wanted = list(DETECTOR_KEYS if keys is None else keys)
     out = candidates_from_items(file_items(files, wanted), wanted)
-    if "DET-19" in wanted:
-        projects = repo_flags(files).filter("supabase_project").select("repo_id")
-        gated = out.join(projects.withColumn("gate", F.lit(True)), "repo_id", "left")
-        out = gated.filter((F.col("category") != "rls_disabled") | F.col("gate")).drop("gate")
-    return out
+    return only_in_supabase_projects(out, repo_flags(files)) if "DET-19" in wanted else out
+
+
+def only_in_supabase_projects(found: DataFrame, flags: DataFrame) -> DataFrame:
+    projects = flags.filter("supabase_project").select("repo_id", F.lit(True).alias("gate"))
+    kept = found.join(projects, "repo_id", "left")
+    return kept.filter((F.col("category") != "rls_disabled") | F.col("gate")).drop("gate")
 
 
 def repo_flags(files: DataFrame) -> DataFrame:
     """Per repository: auth middleware, rate limiting and Supabase signals anywhere."""
-    flagged = with_file_columns(files, REPO_SIGNALS).select("repo_id", *REPO_SIGNALS)
-    return collect_repo_flags(flagged)
+    return collect_repo_flags(with_file_columns(files, REPO_SIGNALS))
 
 
 def collect_repo_flags(flagged: DataFrame) -> DataFrame:
@@ -632,3 +527,13 @@ def collect_repo_flags(flagged: DataFrame) -> DataFrame:
         F.bool_or("f_limit_project").alias("project_rate_limit"),
         F.bool_or("f_supabase").alias("supabase_project"),
     )
+
+
+def line_test(name: str) -> Column:
+    """Named tests over the columns line and lowered, for use on their own."""
+    tests = {
+        "untrusted_input": Q.matches("line", K.UNTRUSTED_INPUT),
+        "secret_in_prompt": SECRET_IN_PROMPT,
+        "safe_reference": Q.has("line", K.SAFE_REFERENCES),
+    }
+    return F.expr(tests[name])

@@ -48,6 +48,7 @@ def found_order() -> list[Column]:
         F.col("line_number"),
         ord_,
         F.col("evidence"),
+        F.col("id"),
     ]
 
 
@@ -239,7 +240,7 @@ def risk_scores(findings: DataFrame) -> DataFrame:
     """
     c = F.col
     rows = visible(findings).select(
-        "repo_id", "category", "severity", "status", "confidence", "path", "line_number", "ord", "evidence",
+        "repo_id", "id", "category", "severity", "status", "confidence", "path", "line_number", "ord", "evidence",
         c("proof.exploitability_proven").alias("exploitability_proven"),
     )
     rows = rows.withColumn("points", _points())
