@@ -459,7 +459,8 @@ def evidence_ctes() -> list[str]:
                 CASE WHEN category = 'missing_auth' AND project_auth THEN 'high' ELSE false_positive_risk END AS false_positive_risk),
             coalesce(l.ctx, '') AS ctx, l.web_hint, kind, external_exposure_proven, sensitive_public_surface
             FROM cand c JOIN flags USING (repo_id) JOIN ctx USING (repo_id)
-            LEFT JOIN line l ON l.repo_id = c.repo_id AND l.path = c.path AND l.line_no = c.line_number)""",
+            LEFT JOIN line l ON l.repo_id = c.repo_id AND l.path = c.path AND l.line_no = c.line_number
+            WHERE (c.repo_id, c.path) NOT IN (SELECT (repo_id, path) FROM named WHERE ignored))""",
         f"""ev1 AS (SELECT *, status AS scanner_status, evidence = '' OR line_number <= 0 AS no_source, {prefilter()} AS reject_notes,
             {rx('evidence', K.ATTACKER_INPUT)} AS direct, regexp_extract(evidence, {q(K.ROUTE_PATH)}, 1) AS route_path,
             upper(regexp_extract(evidence, {q(K.ROUTE_METHOD)}, 1)) AS route_method, kind IN ('internal_service', 'ml_platform') AS internal_kind FROM ev0)""",

@@ -217,7 +217,7 @@ FLOW_ROWS = [
 # (part, line of the function, method, route before the user, guarded)
 ROUTE_ROWS = [(0, 2, "GET", "/api/admin/users"), (1, 2, "POST", "/public/"), (4, 2, "GET", "/info/"), (6, 3, "DELETE", "/internal/"), (7, 3, "ROUTE", "/account/")]
 # lines that the line rules report: (part, line, category)
-HIT_ROWS = [(0, 3, "sql_injection"), (2, 0, ""), (3, 3, "command_injection"), (4, 3, "log_injection"), (6, 4, "sql_injection")]
+HIT_ROWS = [(0, 3, "sql_injection"), (4, 3, "log_injection"), (6, 4, "sql_injection")]
 
 
 def _values(rows) -> str:
@@ -451,7 +451,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT 'scan-' || user_id AS scan_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'running' ELSE 'queued' END AS status, ts, event_id FROM events) GROUP BY scan_id""",
     "taint_flows": _with(MODULE, "SELECT repo_id, path, category, line, confidence, sanitized, kinds FROM flow"),
     "taint_join": _with(
-        [*MODULE, f"hit AS (SELECT repo_id, path, CAST(before + at_line AS INTEGER) AS line_number, category FROM part JOIN {_values([r for r in HIT_ROWS if r[1]])} h(part_no, at_line, category) USING (part_no))"],
+        [*MODULE, f"hit AS (SELECT repo_id, path, CAST(before + at_line AS INTEGER) AS line_number, category FROM part JOIN {_values(HIT_ROWS)} h(part_no, at_line, category) USING (part_no))"],
         """SELECT hit.repo_id, hit.path, line_number, hit.category, confidence AS flow_confidence, sanitized AS flow_sanitized
             FROM hit LEFT JOIN flow ON flow.path = hit.path AND flow.line = hit.line_number AND flow.category = hit.category""",
     ),

@@ -6,14 +6,12 @@ them with map-side combining; only the routes of the sampled files are collected
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed as K
-from riskloom.functions import paths as P
+from riskloom.functions import sqltext as Q
 from riskloom.functions import text as X
 
 # bit layout of the two word masks
@@ -29,9 +27,9 @@ FRAMEWORKS = sorted({"node", "python", "supabase", "firebase", *K.NODE_FRAMEWORK
 _NAME_BITS = ["internal", "agent", "library", "application"]
 
 
-def _mask(conditions: list[Column]) -> Column:
-    bits = [F.when(c, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, c in enumerate(conditions)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def _mask(conditions: list[str]) -> str:
+    """BIGINT with bit i set where condition i holds."""
+    return " + ".join(f"IF({c}, {1 << i}L, 0L)" for i, c in enumerate(conditions))
 
 
 def _bits(group: str, words: list[tuple[str, str]]) -> int:
@@ -51,56 +49,56 @@ def file_context(files: DataFrame) -> DataFrame:
 
     Ignored files count only as names in the root folder.
     """
-    return files.select("repo_id", "path", "ignored", *file_context_columns())
+    return with_sample(files).select("repo_id", "path", "ignored", *file_context_columns())
 
 
 CONTEXT_COLUMNS = ["names", "frameworks", "words_a", "words_b", "routes"]
 
 
 def file_context_columns() -> list[Column]:
-    path, text, ignored = F.col("path"), F.col("text"), F.col("ignored")
-    parts = F.split(F.lower(path), "/")
-    name, in_root = P.file_name(path), ~F.contains(path, F.lit("/"))
-    root_part = F.get(F.split(path, "/"), 0)
+    parts, name = "split(lower(path), '/')", "substring_index(path, '/', -1)"
+    in_root, root_part = "NOT contains(path, '/')", "substring_index(path, '/', 1)"
 
-    def part_of(words: list[str]) -> Column:
-        listed = F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words])) & ~ignored
-        return listed | F.lower(root_part).isin(*words)
+    def part_of(values: list[str]) -> str:
+        return Q.any_of(Q.all_of("NOT ignored", Q.overlap(parts, values)), Q.among(f"lower({root_part})", values))
 
     names = _mask(
         [
             part_of(K.INTERNAL_PARTS),
             part_of(K.AGENT_PARTS),
-            F.lower(name).isin(*K.LIBRARY_FILES) & ~ignored,
-            F.lower(name).isin(*K.APPLICATION_NAMES) & ~ignored,
+            Q.all_of("NOT ignored", Q.among(f"lower({name})", K.LIBRARY_FILES)),
+            Q.all_of("NOT ignored", Q.among(f"lower({name})", K.APPLICATION_NAMES)),
         ]
     )
-    root_package = in_root & (name == "package.json")
-    root_python = in_root & name.isin(*K.PYTHON_ROOT_FILES)
-    lowered = F.lower(text)
+    root_package = Q.all_of(in_root, f"{name} = 'package.json'")
+    root_python = Q.all_of(in_root, Q.among(name, K.PYTHON_ROOT_FILES))
     found = {
-        "node": in_root & name.isin(*K.NODE_ROOT_FILES),
+        "node": Q.all_of(in_root, Q.among(name, K.NODE_ROOT_FILES)),
         "python": root_python,
-        "supabase": F.contains(F.lower(path), F.lit("supabase")) & ~ignored,
-        "firebase": name.isin("firebase.json", "firestore.rules") & ~ignored,
-        **{fw: root_package & F.contains(text, F.lit(token)) for fw, token in K.NODE_FRAMEWORKS.items()},
-        **{fw: root_python & F.contains(lowered, F.lit(fw)) for fw in K.PYTHON_FRAMEWORKS},
+        "supabase": "(NOT ignored AND contains(lower(path), 'supabase'))",
+        "firebase": Q.all_of("NOT ignored", Q.among(name, ["firebase.json", "firestore.rules"])),
+        **{fw: Q.all_of(root_package, f"contains(text, {Q.lit(token)})") for fw, token in K.NODE_FRAMEWORKS.items()},
+        **{fw: Q.all_of(root_python, f"contains(lower(text), {Q.lit(fw)})") for fw in K.PYTHON_FRAMEWORKS},
     }
-    found["nextjs"] = (
-        found["nextjs"]
-        | (in_root & name.isin("next.config.js", "next.config.ts"))
-        | (~in_root & root_part.isin("app", "pages"))
+    found["nextjs"] = Q.any_of(
+        found["nextjs"],
+        Q.all_of(in_root, Q.among(name, ["next.config.js", "next.config.ts"])),
+        Q.all_of("contains(path, '/')", Q.among(root_part, ["app", "pages"])),
     )
-    sample = F.when(~ignored, F.lower(F.left(text, F.lit(K.SAMPLE_CHARS))))
     return [
-        names.alias("names"),
-        _mask([found[fw] for fw in FRAMEWORKS]).alias("frameworks"),
-        _mask([F.contains(sample, F.lit(w)) for _, w in _WORDS_A]).alias("words_a"),
-        _mask([F.contains(sample, F.lit(w)) for _, w in _WORDS_B]).alias("words_b"),
-        F.array_distinct(F.regexp_extract_all(sample, F.lit(K.PUBLIC_ROUTE), F.lit(1))).alias("routes"),
+        F.expr(names).alias("names"),
+        F.expr(_mask([found[fw] for fw in FRAMEWORKS])).alias("frameworks"),
+        F.expr(_mask([f"contains(sample, {Q.lit(w)})" for _, w in _WORDS_A])).alias("words_a"),
+        F.expr(_mask([f"contains(sample, {Q.lit(w)})" for _, w in _WORDS_B])).alias("words_b"),
+        F.expr(f"array_distinct(regexp_extract_all(sample, {Q.lit(K.PUBLIC_ROUTE)}, 1))").alias("routes"),
     ]
 
 
+def with_sample(files: DataFrame) -> DataFrame:
+    """Add ``sample``, the lower-case head of a file; null for ignored ones."""
+    return files.withColumn("sample", F.when(~F.col("ignored"), F.lower(F.left("text", F.lit(K.SAMPLE_CHARS)))))
+
+
 def first_files(files: DataFrame, limit: int) -> DataFrame:
     """The first files of each repository by lower-case path.
 

@@ -6,129 +6,136 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed as K
-from riskloom.functions import paths as P
-from riskloom.functions import text as X
-from riskloom.functions.prose import describe
-from riskloom.model import PROOF_FLAGS, REF
+from riskloom.functions import sqltext as Q
+from riskloom.functions.prose import TEXTS
+from riskloom.model import FINDING_COLUMNS, PROOF_FLAGS, REF
 
+IMPACT = "Exploit scenario held back until line-break or parser impact is shown."
 
-def prefilter_notes(category: Column, path: Column, evidence: Column, ctx: Column) -> Column:
+
+def _notes(pairs: list[tuple[str, str]]) -> str:
+    """Array of the notes whose condition holds; a note is an SQL expression."""
+    return "array_compact(array(" + ", ".join(f"IF({c}, {note}, NULL)" for c, note in pairs) + "))"
+
+
+def _case(col: str, mapping: dict, default: str) -> str:
+    def value(v) -> str:
+        return Q.lit(v) if isinstance(v, str) else f"{v}D"
+
+    return f"CASE {col} " + " ".join(f"WHEN {Q.lit(k)} THEN {value(v)}" for k, v in mapping.items()) + f" ELSE {default} END"
+
+
+def prefilter_sql(category="category", path="path", evidence="evidence", ctx="ctx") -> str:
+    secret = Q.among(category, K.SECRET_LIKE)
+    joined = f"replace({ctx}, '\\n', ' ')"
+    return _notes(
+        [
+            (Q.has(f"lower({path})", K.TEST_PATH_WORDS), Q.lit("Rejected: the path belongs to tests, examples or documentation.")),
+            (Q.all_of(secret, Q.matches(evidence, K.PLACEHOLDER)), Q.lit("Rejected: the value is a placeholder.")),
+            (Q.all_of(secret, Q.matches(evidence, K.CURRENCY)), Q.lit("Rejected: the value is an amount of money.")),
+            (Q.all_of(secret, Q.matches(joined, K.PROMPT_NAME)), Q.lit("Rejected: the surroundings are prompt or template text.")),
+            (
+                Q.all_of(f"{category} = 'log_injection'", f"NOT {Q.matches(evidence, K.ATTACKER_INPUT)}"),
+                Q.lit("Rejected: the log call quotes no attacker-controlled input."),
+            ),
+        ]
+    )
+
+
+def prefilter_notes() -> Column:
     """Reasons to reject a candidate outright; an empty array keeps it."""
-    secret = category.isin(*K.SECRET_LIKE)
-    reasons = [
-        (P.is_test_path(path), "Rejected: the path belongs to tests, examples or documentation."),
-        (secret & X.matches(evidence, K.PLACEHOLDER), "Rejected: the value is a placeholder."),
-        (secret & X.matches(evidence, K.CURRENCY), "Rejected: the value is an amount of money."),
-        (
-            secret & X.matches(F.replace(ctx, F.lit("\n"), F.lit(" ")), K.PROMPT_NAME),
-            "Rejected: the surroundings are prompt or template text.",
-        ),
-        (
-            (category == "log_injection") & ~X.matches(evidence, K.ATTACKER_INPUT),
-            "Rejected: the log call quotes no attacker-controlled input.",
-        ),
-    ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(note)) for c, note in reasons]))
+    return F.expr(prefilter_sql())
 
 
-def interpolated_variables(line: Column) -> Column:
-    """Base names of the variables a line puts into a string."""
-    percent = F.regexp_extract(line, K.VARIABLES_AFTER_PERCENT, 1)
-    names = F.concat(
-        F.regexp_extract_all(line, F.lit(K.VARIABLES_IN_BRACES), F.lit(1)),
-        F.when(percent != "", F.array(percent)).otherwise(F.array().cast("array<string>")),
-        F.regexp_extract_all(line, F.lit(K.VARIABLES_AFTER_PLUS), F.lit(1)),
+def variables_sql(line: str) -> str:
+    percent = f"regexp_extract({line}, {Q.lit(K.VARIABLES_AFTER_PERCENT)}, 1)"
+    found = (
+        f"concat(regexp_extract_all({line}, {Q.lit(K.VARIABLES_IN_BRACES)}, 1), filter(array({percent}), v -> v != ''), "
+        f"regexp_extract_all({line}, {Q.lit(K.VARIABLES_AFTER_PLUS)}, 1))"
     )
-    return F.array_distinct(F.transform(names, lambda n: F.get(F.split(n, r"\."), 0)))
+    return f"array_distinct(transform({found}, v -> substring_index(v, '.', 1)))"
 
 
-def attacker_assignment(evidence: Column, ctx: Column) -> Column:
-    """Is an interpolated variable assigned from attacker input, or a parameter, nearby?"""
-    variables = interpolated_variables(evidence)
+def interpolated_variables() -> Column:
+    """Base names of the variables the evidence puts into a string."""
+    return F.expr(variables_sql("evidence"))
 
-    def tainted(line: Column) -> Column:
-        attacker = X.matches(line, K.ATTACKER_INPUT)
 
-        def by(name: Column) -> Column:
-            assigned = F.concat(F.lit(r"(?i)\b"), name, F.lit(r"\b\s*=\s*.+"))
-            parameter = F.concat(F.lit(r"(?i)(?:def|function)\s+\w+\s*\([^)]*\b"), name, F.lit(r"\b"))
-            # the plain test keeps most lines from compiling a pattern
-            return F.contains(F.lower(line), F.lower(name)) & (
-                (attacker & F.rlike(line, assigned)) | F.rlike(line, parameter)
-            )
+def assignment_sql(evidence: str, ctx: str) -> str:
+    attacker = Q.matches("l", K.ATTACKER_INPUT)
+    assigned = "l RLIKE concat('(?i)\\\\b', v, '\\\\b\\\\s*=\\\\s*.+')"
+    parameter = "l RLIKE concat('(?i)(?:def|function)\\\\s+\\\\w+\\\\s*\\\\([^)]*\\\\b', v, '\\\\b')"
+    # the plain test keeps most lines from compiling a pattern
+    test = f"contains(lower(l), lower(v)) AND (({attacker} AND {assigned}) OR {parameter})"
+    each = f"vars -> exists(split({ctx}, '\\n'), l -> exists(vars, v -> {test}))"
+    return f"coalesce(get(transform(array({variables_sql(evidence)}), {each}), 0), false)"
+
+
+def attacker_assignment() -> Column:
+    """Is an interpolated variable assigned from attacker input, or a parameter, nearby?"""
+    return F.expr(assignment_sql("evidence", "ctx"))
 
-        return F.exists(variables, by)
 
-    return F.when(F.size(variables) == 0, False).otherwise(F.exists(F.split(ctx, "\n"), tainted))
+def has_interpolation() -> Column:
+    return F.expr(Q.has("evidence", K.INTERPOLATION_MARKS))
 
 
-def has_interpolation(evidence: Column) -> Column:
-    return X.contains_any(evidence, K.INTERPOLATION_MARKS)
+def sanitizer_sql() -> str:
+    def named(values: list[str]) -> str:
+        return Q.any_of(Q.has("evidence", values), Q.has("ctx", values))
 
+    return Q.any_of(named(K.SANITIZER_WORDS), Q.all_of("category = 'sql_injection'", named(K.SQL_SANITIZER_WORDS)))
 
-def has_sanitizer(evidence: Column, ctx: Column, category: Column) -> Column:
-    def in_text(words: list[str]) -> Column:
-        return X.contains_any(evidence, words) | X.contains_any(ctx, words)
 
-    return in_text(K.SANITIZER_WORDS) | ((category == "sql_injection") & in_text(K.SQL_SANITIZER_WORDS))
+def has_sanitizer() -> Column:
+    return F.expr(sanitizer_sql())
 
 
-def route_signature(evidence: Column) -> tuple[Column, Column]:
+def exposure_sql() -> str:
+    """Needs route_path, evidence, ctx, f_web_hint, internal_kind and external_exposure_proven."""
+    low = "lower(route_path)"
+    hint = Q.any_of(Q.matches("evidence", K.WEB_HINT), Q.matches("ctx", K.WEB_HINT), "f_web_hint")
+    exposed = Q.any_of(*[f"startswith({low}, {Q.lit(p)})" for p in K.EXPOSED_PREFIXES])
     return (
-        F.regexp_extract(evidence, K.ROUTE_PATH, 1),
-        F.upper(F.regexp_extract(evidence, K.ROUTE_METHOD, 1)),
+        "CASE WHEN route_path = '' THEN false WHEN internal_kind AND NOT exposed THEN false WHEN exposed THEN true "
+        f"WHEN {Q.matches(low, K.INTERNAL_ROUTE)} THEN false "
+        f"WHEN {Q.matches('evidence', K.ROUTE_DECORATOR)} AND {exposed} THEN true "
+        f"ELSE {hint} AND startswith({low}, '/') END"
     )
 
 
-def route_exposure(route: Column, evidence: Column, ctx: Column, head_hint: Column, internal: Column, exposed: Column) -> Column:
-    lowered = F.lower(route)
-    hint = X.matches(evidence, K.WEB_HINT) | X.matches(ctx, K.WEB_HINT) | head_hint
+def action_sql(route="route_path", method="route_method", category="category") -> str:
+    low = f"lower({route})"
     return (
-        F.when(route == "", False)
-        .when(internal & ~exposed, False)
-        .when(exposed, True)
-        .when(X.matches(lowered, K.INTERNAL_ROUTE), False)
-        .when(X.matches(evidence, K.ROUTE_DECORATOR) & X.starts_with_any(lowered, K.EXPOSED_PREFIXES), True)
-        .otherwise(hint & F.startswith(lowered, F.lit("/")))
+        f"CASE WHEN {route} = '' THEN false WHEN {Q.matches(low, K.INTERNAL_ROUTE)} THEN false WHEN {Q.matches(low, K.SENSITIVE_ROUTE)} THEN true "
+        f"WHEN {category} = 'missing_rate_limit' THEN {method} IN ('POST', 'PUT', 'PATCH', 'DELETE') "
+        f"WHEN {category} = 'missing_auth' THEN {method} IN ('PUT', 'PATCH', 'DELETE') ELSE false END"
     )
 
 
-def confidence_score(
-    category: Column, status: Column, path: Column, evidence: Column, source: Column, sink: Column,
-    way: Column, sanitizer: Column, n_refs: Column,
-) -> Column:
-    def add(condition: Column, points: float) -> Column:
-        return F.when(condition, F.lit(points)).otherwise(F.lit(0.0))
-
-    score = F.lit(0.30) * X.lookup(K.PRIOR, category, K.PRIOR_DEFAULT)
-    score = score + add(source, 0.20) + add(sink, 0.20) + add(way, 0.15) + add(~sanitizer, 0.10) + add(n_refs > 1, 0.05)
-    score = score - add(X.matches(evidence, K.PLACEHOLDER), 0.25)
-    score = score - add(X.matches(evidence, K.CURRENCY) | X.matches(evidence, K.PROMPT_NAME), 0.20)
-    score = score - add(P.is_test_path(path), 0.20)
-    cap = (
-        F.when(category == "log_injection", F.lit(0.74))
-        .when(category.isin(*K.ROUTE) & (status == "needs_review"), F.lit(0.69))
-        .otherwise(F.lit(1.0))
-    )
-    return F.round(F.greatest(F.lit(0.0), F.least(cap, score)), 4)
+def score_sql() -> str:
+    """Needs the proof columns, evidence_refs, scanner_status and the candidate columns."""
+    gains = [("source_present", 0.20), ("sink_present", 0.20), ("path_present", 0.15), ("NOT sanitizer_present", 0.10), ("size(evidence_refs) > 1", 0.05)]
+    losses = [
+        (Q.matches("evidence", K.PLACEHOLDER), 0.25),
+        (Q.any_of(Q.matches("evidence", K.CURRENCY), Q.matches("evidence", K.PROMPT_NAME)), 0.20),
+        (Q.has("lower(path)", K.TEST_PATH_WORDS), 0.20),
+    ]
+    score = f"0.30D * {_case('category', K.PRIOR, f'{K.PRIOR_DEFAULT}D')}"
+    score += "".join(f" + IF({c}, {p}D, 0D)" for c, p in gains) + "".join(f" - IF({c}, {p}D, 0D)" for c, p in losses)
+    cap = f"CASE WHEN category = 'log_injection' THEN 0.74D WHEN {Q.among('category', K.ROUTE)} AND scanner_status = 'needs_review' THEN 0.69D ELSE 1D END"
+    return f"round(greatest(0D, least({cap}, {score})), 4)"
 
 
-def best_flow(flows: Column, category: Column) -> Column:
-    """The flow of the category with the highest confidence, the first on a tie."""
-    same = F.filter(flows, lambda f: f.category == category)
-    top = F.array_max(F.transform(same, lambda f: f.confidence))
-    return F.get(F.filter(same, lambda f: f.confidence == top), 0)
+_SAME = "filter(flows, f -> f.category = category)"
+# the flow of the category with the highest confidence, the first on a tie
+BEST_FLOW = f"get(filter({_SAME}, f -> f.confidence = array_max(transform({_SAME}, g -> g.confidence))), 0)"
+ORDER_KEY = "CAST(scanner AS bigint) * 100000000 + CAST(chk AS bigint) * 10000000 + CAST(seq AS bigint)"
 
 
-def primary_ref(path: Column, line: Column, evidence: Column) -> Column:
-    at = F.greatest(line, F.lit(1))
-    return F.struct(
-        F.lit("literal").alias("kind"),
-        path.alias("file_path"),
-        at.alias("line_start"),
-        at.alias("line_end"),
-        F.left(evidence, F.lit(K.QUOTE_CHARS)).alias("quote"),
-    )
+def describe_sql() -> str:
+    sentence = _case("category", {k: v[0] for k, v in TEXTS.items()}, "'A risky construct was found.'")
+    return f"concat({sentence}, IF(coalesce(detail, '') = '', '', concat(' [', detail, ']')), ' At ', path, ':', line_number, '.')"
 
 
 def build_evidence(df: DataFrame) -> DataFrame:
@@ -137,162 +144,108 @@ def build_evidence(df: DataFrame) -> DataFrame:
     Needs the candidate columns plus ctx, flows, f_web_hint, kind and
     external_exposure_proven.  A row-wise step: no shuffle.
     """
-    c = F.col
-    cat, evidence, ctx, path = c("category"), c("evidence"), F.coalesce(c("ctx"), F.lit("")), c("path")
-    is_flow, is_route, is_ai = cat.isin(*K.FLOW), cat.isin(*K.ROUTE), cat.isin(*K.AI)
-    no_notes = F.array().cast("array<string>")
+    flow, route, ai = (Q.among("category", v) for v in (K.FLOW, K.ROUTE, K.AI))
+    known = Q.among("category", [*K.LITERAL_PROOF, *K.AI, *K.OTHER_DIRECT])
+    loose = Q.among("category", ["command_injection", "path_traversal", "unsafe_dynamic_code"])
+    promotable = Q.among("category", K.PROMOTABLE)
+
+    def step(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+        return frame.withColumns({n: F.expr(t) for n, t in columns.items()})
 
-    df = df.withColumns(
+    df = step(
+        df,
         {
-            "ctx": ctx,
-            "scanner_status": c("status"),
-            "no_source": (evidence == "") | (c("line_number") <= 0),
-            "reject_notes": prefilter_notes(cat, path, evidence, ctx),
-            "flow": F.when(is_flow, best_flow(c("flows"), cat)),
-            "direct": F.when(is_flow, X.matches(evidence, K.ATTACKER_INPUT)),
-            "route_path": F.when(is_route, route_signature(evidence)[0]),
-            "route_method": F.when(is_route, route_signature(evidence)[1]),
-            "internal_kind": c("kind").isin("internal_service", "ml_platform"),
-        }
+            "ctx": "coalesce(ctx, '')",
+            "scanner_status": "status",
+            "no_source": "evidence = '' OR line_number <= 0",
+            "reject_notes": prefilter_sql(ctx="coalesce(ctx, '')"),
+            "flow": f"IF({flow}, {BEST_FLOW}, NULL)",
+            "direct": f"IF({flow}, {Q.matches('evidence', K.ATTACKER_INPUT)}, false)",
+            "route_path": f"IF({route}, regexp_extract(evidence, {Q.lit(K.ROUTE_PATH)}, 1), '')",
+            "route_method": f"IF({route}, upper(regexp_extract(evidence, {Q.lit(K.ROUTE_METHOD)}, 1)), '')",
+            "internal_kind": "coalesce(kind IN ('internal_service', 'ml_platform'), false)",
+            "exposed": "coalesce(external_exposure_proven, false)",
+        },
     )
-    df = df.withColumns(
-        {
-            "by_flow": is_flow & c("flow").isNotNull(),
-            "evidence_refs": F.when(evidence == "", F.array().cast(f"array<{REF}>")).otherwise(
-                F.concat(
-                    F.array(primary_ref(path, c("line_number"), evidence)),
-                    F.coalesce(c("flow.refs"), F.array().cast(f"array<{REF}>")),
-                )
-            ),
-        }
+    literal = (
+        f"named_struct('kind', 'literal', 'file_path', path, 'line_start', greatest(line_number, 1), 'line_end', greatest(line_number, 1), "
+        f"'quote', left(evidence, {K.QUOTE_CHARS}))"
     )
-    known = cat.isin(*K.LITERAL_PROOF, *K.AI, *K.OTHER_DIRECT)
-    loose = cat.isin("command_injection", "path_traversal", "unsafe_dynamic_code")
-    # a chain of CASEs, so the costly neighbourhood test only runs where it decides
-    df = df.withColumns(
+    empty = f"CAST(array() AS array<{REF}>)"
+    df = step(
+        df,
         {
-            "source_present": F.when(c("by_flow"), True)
-            .when(is_flow, F.when(c("direct"), True).otherwise(attacker_assignment(evidence, ctx)))
-            .when(is_route, route_exposure(c("route_path"), evidence, ctx, c("f_web_hint"), c("internal_kind"), c("external_exposure_proven")))
-            .otherwise(known | (ctx != "")),
-            "sink_present": F.when(is_flow, True).when(is_route, c("route_path") != "").otherwise(known | (ctx != "")),
-            "path_present": F.when(c("by_flow"), True)
-            .when(is_flow, has_interpolation(evidence) | (loose & c("direct")))
-            .when(is_route, P.sensitive_action(c("route_path"), c("route_method"), cat))
-            .when(is_ai, F.size(c("evidence_refs")) > 0)
-            .otherwise(known | (ctx != "")),
-            "sanitizer_present": F.when(c("by_flow"), c("flow.sanitized"))
-            .when(is_flow, has_sanitizer(evidence, ctx, cat))
-            .otherwise(False),
-        }
+            "by_flow": "flow IS NOT NULL",
+            "evidence_refs": f"IF(evidence = '', {empty}, concat(array({literal}), coalesce(flow.refs, {empty})))",
+        },
     )
-    df = df.withColumns(
+    # chains of CASEs, so the costly neighbourhood test only runs where it decides
+    df = step(
+        df,
         {
-            "attacker_controlled": F.when(is_flow | is_route, c("source_present")).otherwise(cat.isin(*K.AI_ATTACKER)),
-            "exploitability_proven": F.when(
-                c("by_flow"), cat.isin("sql_injection", "command_injection") & ~c("sanitizer_present")
-            )
-            .when(
-                is_flow,
-                cat.isin(*K.PROMOTABLE) & c("source_present") & c("path_present") & ~c("sanitizer_present"),
-            )
-            .when(is_route, c("source_present") & c("path_present"))
-            .otherwise(cat.isin(*K.LITERAL_EXPLOITABLE, *K.OTHER_DIRECT)),
-        }
-    )
-    df = df.withColumn(
-        "score",
-        confidence_score(
-            cat, c("scanner_status"), path, evidence, c("source_present"), c("sink_present"),
-            c("path_present"), c("sanitizer_present"), F.size("evidence_refs"),
-        ),
-    )
-    complete = c("source_present") & c("sink_present") & c("path_present")
-    confirmed = (
-        cat.isin(*K.PROMOTABLE) & c("attacker_controlled") & c("exploitability_proven") & ~c("sanitizer_present")
+            "source_present": f"CASE WHEN by_flow THEN true WHEN {flow} THEN direct OR {assignment_sql('evidence', 'ctx')} "
+            f"WHEN {route} THEN {exposure_sql()} ELSE {known} OR ctx != '' END",
+            "sink_present": f"CASE WHEN {flow} THEN true WHEN {route} THEN route_path != '' ELSE {known} OR ctx != '' END",
+            "path_present": f"CASE WHEN by_flow THEN true WHEN {flow} THEN {Q.has('evidence', K.INTERPOLATION_MARKS)} OR ({loose} AND direct) "
+            f"WHEN {route} THEN {action_sql()} WHEN {ai} THEN size(evidence_refs) > 0 ELSE {known} OR ctx != '' END",
+            "sanitizer_present": f"CASE WHEN by_flow THEN flow.sanitized WHEN {flow} THEN {sanitizer_sql()} ELSE false END",
+        },
     )
-    rejected = c("no_source") | (F.size("reject_notes") > 0)
-    status = (
-        F.when(rejected, "rejected")
-        .when(is_flow & ~complete, "rejected")
-        .when(is_flow & confirmed, "confirmed")
-        .when(is_flow, "candidate")
-        .when(
-            is_route & (c("scanner_status") != "needs_review") & c("source_present") & c("path_present"), "candidate"
-        )
-        .when(is_route | is_ai, "needs_review")
-        .when(known, "candidate")
-        .otherwise("needs_review")
+    df = step(
+        df,
+        {
+            "attacker_controlled": f"CASE WHEN {flow} OR {route} THEN source_present ELSE {Q.among('category', K.AI_ATTACKER)} END",
+            "exploitability_proven": "CASE WHEN by_flow THEN category IN ('sql_injection', 'command_injection') AND NOT sanitizer_present "
+            f"WHEN {flow} THEN {promotable} AND source_present AND path_present AND NOT sanitizer_present "
+            f"WHEN {route} THEN source_present AND path_present ELSE {Q.among('category', [*K.LITERAL_EXPLOITABLE, *K.OTHER_DIRECT])} END",
+            "score": score_sql(),
+            "dropped": "no_source OR size(reject_notes) > 0",
+            "complete": "source_present AND sink_present AND path_present",
+        },
     )
-    confidence = (
-        F.when(rejected, 0.0)
-        .when(is_flow & ~complete, F.least(c("score"), F.lit(0.45)))
-        .when(is_route & (status == "needs_review"), F.least(c("score"), F.lit(0.69)))
-        .when(is_ai, F.least(c("score"), F.lit(0.55)))
-        .otherwise(c("score"))
+    df = step(
+        df,
+        {
+            "status": f"CASE WHEN dropped THEN 'rejected' WHEN {flow} AND NOT complete THEN 'rejected' "
+            f"WHEN {flow} AND {promotable} AND attacker_controlled AND exploitability_proven AND NOT sanitizer_present THEN 'confirmed' "
+            f"WHEN {flow} THEN 'candidate' "
+            f"WHEN {route} AND scanner_status != 'needs_review' AND source_present AND path_present THEN 'candidate' "
+            f"WHEN {route} OR {ai} THEN 'needs_review' WHEN {known} THEN 'candidate' ELSE 'needs_review' END",
+        },
     )
-    held = is_route & (c("scanner_status") != "needs_review")
-    impact = "Exploit scenario held back until line-break or parser impact is shown."
-    notes = [
-        (c("by_flow") & (cat == "log_injection"), F.lit(impact)),
-        (c("by_flow"), F.format_string("Syntax-tree data flow, confidence %.2f.", c("flow.confidence"))),
-        (
-            is_flow & ~c("by_flow") & (cat == "log_injection") & c("source_present") & c("path_present") & ~c("sanitizer_present"),
-            F.lit(impact),
-        ),
-        (
-            is_route & c("internal_kind") & ~c("external_exposure_proven"),
-            F.lit("Route of an internal service: external exposure must be proven first."),
-        ),
-        (is_ai, F.lit("Model-risk candidate: a verifier has to confirm it first.")),
-        (is_flow & ~complete, F.lit("Rejected: source, sink and path are not all proven.")),
-        (held & ~c("source_present"), F.lit("Exposure of the route is not proven; kept for review.")),
-        (held & ~c("path_present"), F.lit("The route's action is not clearly sensitive; kept for review.")),
-        (is_ai, F.lit("Model-risk finding kept for review until it is proven exploitable.")),
-    ]
-    all_notes = (
-        F.when(c("no_source"), F.array(F.lit("Rejected: no quoted evidence or source line.")))
-        .when(F.size("reject_notes") > 0, c("reject_notes"))
-        .otherwise(F.concat(no_notes, F.array_compact(F.array(*[F.when(cond, note) for cond, note in notes]))))
+    held = f"{route} AND scanner_status != 'needs_review'"
+    notes = _notes(
+        [
+            ("by_flow AND category = 'log_injection'", Q.lit(IMPACT)),
+            ("by_flow", "format_string('Syntax-tree data flow, confidence %.2f.', flow.confidence)"),
+            ("NOT by_flow AND category = 'log_injection' AND source_present AND path_present AND NOT sanitizer_present", Q.lit(IMPACT)),
+            (f"{route} AND internal_kind AND NOT exposed", Q.lit("Route of an internal service: external exposure must be proven first.")),
+            (ai, Q.lit("Model-risk candidate: a verifier has to confirm it first.")),
+            (f"{flow} AND NOT complete", Q.lit("Rejected: source, sink and path are not all proven.")),
+            (f"{held} AND NOT source_present", Q.lit("Exposure of the route is not proven; kept for review.")),
+            (f"{held} AND NOT path_present", Q.lit("The route's action is not clearly sensitive; kept for review.")),
+            (ai, Q.lit("Model-risk finding kept for review until it is proven exploitable.")),
+        ]
     )
-    flags = [F.when(rejected, False).otherwise(c(f)).alias(f) for f in PROOF_FLAGS]
-    none = F.lit(None)
-    return df.select(
-        "repo_id",
-        finding_id().alias("id"),
-        cat.alias("rule_id"),
-        "category",
-        status.alias("status"),
-        "severity",
-        confidence.cast("double").alias("confidence"),
-        "path",
-        "line_number",
-        "evidence",
-        "evidence_refs",
-        F.struct(*flags, all_notes.alias("notes")).alias("proof"),
-        describe(cat, path, c("line_number"), c("detail")).alias("description"),
-        F.lit("").alias("attack_chain"),
-        none.cast("string").alias("fix_code"),
-        F.lit("").alias("recommendation"),
-        F.lit("").alias("fix"),
-        F.lit("").alias("fix_source"),
-        none.cast("double").alias("cvss_score"),
-        none.cast("string").alias("cvss_vector"),
-        F.array().cast("array<string>").alias("confirmed_by"),
-        none.cast("string").alias("validator"),
-        X.lookup(K.OWASP, cat).alias("owasp_cat"),
-        "false_positive_risk",
-        order_key().alias("ord"),
+    flags = ", ".join(f"'{f}', NOT dropped AND {f}" for f in PROOF_FLAGS)
+    all_notes = f"CASE WHEN no_source THEN array('Rejected: no quoted evidence or source line.') WHEN dropped THEN reject_notes ELSE {notes} END"
+    key = f"concat_ws('\\u0001', repo_id, category, path, line_number, evidence, {ORDER_KEY})"
+    made = {
+        "id": f"sha2({key}, 256)",
+        "rule_id": "category",
+        "confidence": f"CASE WHEN dropped THEN 0D WHEN {flow} AND NOT complete THEN least(score, 0.45D) "
+        f"WHEN {route} AND status = 'needs_review' THEN least(score, 0.69D) WHEN {ai} THEN least(score, 0.55D) ELSE score END",
+        "proof": f"named_struct({flags}, 'notes', {all_notes})",
+        "description": describe_sql(),
+        "attack_chain": "''",
+        "recommendation": "''",
+        "fix": "''",
+        "fix_source": "''",
+        "confirmed_by": "array()",
+        "owasp_cat": _case("category", K.OWASP, "NULL"),
+        "ord": ORDER_KEY,
+    }
+    blank = ("fix_code", "cvss_score", "cvss_vector", "validator")
+    return df.selectExpr(
+        *[f"CAST({'NULL' if n in blank else made.get(n, n)} AS {t}) AS {n}" for n, t in FINDING_COLUMNS]
     )
-
-
-def order_key() -> Column:
-    """Scanner, check and sequence in one number; within a file it orders the report."""
-    c = F.col
-    return c("scanner").cast("bigint") * 100_000_000 + c("chk").cast("bigint") * 10_000_000 + c("seq").cast("bigint")
-
-
-def finding_id() -> Column:
-    c = F.col
-    parts = [c("repo_id"), c("category"), c("path"), c("line_number").cast("string"), c("evidence"), order_key().cast("string")]
-    return F.sha2(F.concat_ws("\u0001", *parts), 256)

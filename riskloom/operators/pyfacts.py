@@ -19,6 +19,8 @@ from riskloom.functions import fixed as K
 from riskloom.functions.workers import by_value
 from riskloom.model import PY_FACTS
 
+# breaks that split a text into lines but not a Python program
+_ODD_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -92,19 +94,31 @@ def _flows(tree: ast.AST, text: str, lines: list[str], path: str) -> list[dict]:
         at = max(line, 1)
         return {"kind": kind, "file_path": path, "line_start": at, "line_end": at, "quote": quote}
 
+    plain = not any(mark in text for mark in _ODD_BREAKS)
+
+    def segment(node: ast.AST) -> str:
+        """The node's own text, its line where that is not to be had."""
+        if plain and node.lineno == node.end_lineno and node.lineno <= len(lines):
+            return lines[node.lineno - 1].encode()[node.col_offset : node.end_col_offset].decode()
+        return ast.get_source_segment(text, node) or quoted(node.lineno)
+
     flows = []
+    known: dict[int, list[str]] = {}
     for call, function in _calls_with_function(tree):
         category = _sink(call)
         if category is None:
             continue
-        arguments = _handler_arguments(function)
+        if id(function) not in known:
+            known[id(function)] = _handler_arguments(function)
+        arguments = known[id(function)]
         sources, paths, sanitizers = [], [], []
         for arg in call.args:
             inner = list(ast.walk(arg))
             for node in inner:
-                if _reads_request(node):
-                    segment = ast.get_source_segment(text, node)
-                    sources.append(ref("source", node.lineno, segment or quoted(node.lineno)))
+                if sources:
+                    pass  # only the first source is reported
+                elif _reads_request(node):
+                    sources.append(ref("source", node.lineno, segment(node)))
                 elif isinstance(node, ast.Name) and node.id in arguments:
                     sources.append(ref("source", node.lineno))
                 if isinstance(node, ast.Call):

@@ -210,6 +210,11 @@ def _pick_kind(names: list[str]) -> Column:
     return F.col("kind_no").isin(*[i for i, k in enumerate(KINDS) if k[0] in names])
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its size, which Spark would else merge."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def repository(file_no: Column) -> Column:
     return F.when(file_no % 3 == 0, "repo-big").otherwise(
         F.concat(F.lit("repo-"), F.floor(file_no / 60).cast("string"))
@@ -222,7 +227,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     A file has at most forty chunks, so the collected group is bounded.
     """
     c = F.col
-    grouped = chunks(spark, sf_dir).groupBy("file_no", "kind_no", "repo_id").agg(
+    parts = chunks(spark, sf_dir)
+    grouped = parts.repartition(spread(spark), "file_no", "kind_no", "repo_id").groupBy("file_no", "kind_no", "repo_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "chunk"))).alias("parts")
     )
     number = c("file_no").cast("string")

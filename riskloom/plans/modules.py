@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.plans.corpus import spread
+
 PARTS_PER_MODULE = 12
 
 # six lines each; {u} is the user and {e} the event
@@ -49,7 +51,7 @@ def python_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.element_at(F.array(*[F.lit(p) for p in PARTS]), c("part_no") + 1)
     part = F.replace(F.replace(part, F.lit("{u}"), c("user_id").cast("string")), F.lit("{e}"), c("event_id").cast("string"))
     rows = _events(spark, sf_dir).select("module_no", "position", part.alias("part"))
-    grouped = rows.groupBy("module_no").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"))
+    grouped = rows.repartition(spread(spark), "module_no").groupBy("module_no").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"))
     return grouped.select(
         _repo().alias("repo_id"), _path().alias("path"),
         F.array_join(F.transform("parts", lambda p: p.part), "\n").alias("text"),

@@ -27,6 +27,7 @@ from riskloom.operators import report as RP
 from riskloom.operators import review as V
 from riskloom.plans import corpus, modules
 from riskloom.plans import scan as S
+from riskloom.plans.staging import stage
 from riskloom.sources import files as SF
 from riskloom.sources import store as ST
 
@@ -56,18 +57,18 @@ def _flat(findings: DataFrame) -> DataFrame:
 
 
 def _evidenced(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    facts = S.file_facts(S.mark_ignored(_files(spark, sf)))
+    facts = stage(S.file_facts(S.mark_ignored(_files(spark, sf))), "file-facts")
     repos = S.repository_facts(facts)
     return S.evidenced(facts, repos), repos
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return S.scan(_files(spark, sf))
+    return S.scan(_files(spark, sf), staged=True)
 
 
 # ------------------------------------------------------------------ sources
 def repo_risk(spark, sf):
-    return S.repository_scores(S.scan(_files(spark, sf), ["DET-01"]))
+    return S.repository_scores(S.scan(_files(spark, sf), ["DET-01"], staged=True))
 
 
 def scan_risk(spark, sf):
@@ -223,7 +224,7 @@ def evidence_prefilter(spark, sf):
     files = _files(spark, sf)
     items = D.file_items(files, context=True)
     found = D.candidates_from_items(items, carry=["ctx"])
-    notes = E.prefilter_notes(c("category"), c("path"), c("evidence"), c("ctx"))
+    notes = E.prefilter_notes()
     return found.select("repo_id", "path", "line_number", "category", "seq", "evidence", _joined(notes).alias("notes"))
 
 
@@ -232,10 +233,10 @@ def attacker_assignment(spark, sf):
     found = D.candidates_from_items(items, [f"DET-0{i}" for i in range(1, 9)], carry=["ctx"])
     return found.select(
         "repo_id", "path", "line_number", "category",
-        F.array_join(F.array_sort(E.interpolated_variables(c("evidence"))), "|").alias("variables"),
-        E.attacker_assignment(c("evidence"), c("ctx")).alias("assigned"),
-        E.has_interpolation(c("evidence")).alias("interpolated"),
-        E.has_sanitizer(c("evidence"), c("ctx"), c("category")).alias("sanitized"),
+        F.array_join(F.array_sort(E.interpolated_variables()), "|").alias("variables"),
+        E.attacker_assignment().alias("assigned"),
+        E.has_interpolation().alias("interpolated"),
+        E.has_sanitizer().alias("sanitized"),
     )
 
 
@@ -576,7 +577,7 @@ def scan_headers(spark, sf):
 
 
 def _repo_scores(spark, sf) -> DataFrame:
-    return S.repository_scores(S.scan(_files(spark, sf), ["DET-01", "DET-16"], flows=False))
+    return S.repository_scores(S.scan(_files(spark, sf), ["DET-01", "DET-16"], flows=False, staged=True))
 
 
 def _sign_ups(spark, sf) -> DataFrame:
@@ -667,7 +668,7 @@ def syntax_check(spark, sf):
 
 def module_scan(spark, sf):
     """Findings of files that parse: data flows decide."""
-    return S.scan(modules.python_modules(spark, sf)).select(
+    return S.scan(modules.python_modules(spark, sf), staged=True).select(
         "repo_id", "path", "line_number", "category", "status", "severity", F.round("confidence", 4).alias("confidence"), F.size("evidence_refs").alias("n_refs")
     )
 

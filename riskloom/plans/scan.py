@@ -31,7 +31,7 @@ def file_facts(files: DataFrame, keys=None, *, flows: bool = True) -> DataFrame:
     """The one pass over the texts.  ``files`` holds (repo_id, path, text, ignored)."""
     signals = [*D.REPO_SIGNALS, *EVIDENCE_SIGNALS]
     scanned = F.when(~F.col("ignored"), F.col("text")).otherwise("")
-    context = files.select("repo_id", "path", "ignored", scanned.alias("text"), *C.file_context_columns())
+    context = C.with_sample(files).select("repo_id", "path", "ignored", scanned.alias("text"), *C.file_context_columns())
     return D.file_items(
         context, keys, context=True, flows=flows, keep=signals, carry=["ignored", *C.CONTEXT_COLUMNS]
     )
