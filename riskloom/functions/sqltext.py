@@ -76,14 +76,15 @@ def frame(lines: str, line_no: str, before: int, after: int) -> str:
 
 
 def high_risk(route: str) -> str:
-    return has(f"lower({route})", K.HIGH_RISK_PATHS)
+    """For a route in lower case."""
+    return has(route, K.HIGH_RISK_PATHS)
 
 
 def rate_limited_route(route: str) -> str:
-    """A payment route, or an auth route that is worth brute-forcing; auth comes first."""
-    low = f"lower({route})"
-    login = any_of(has(low, K.STRONG_LOGIN_WORDS), all_of(has(low, K.WEAK_LOGIN_WORDS), has(low, K.LOGIN_CONTEXT_WORDS)))
-    return f"(CASE WHEN {has(low, K.AUTH_FRAGMENTS)} THEN {login} ELSE {has(low, K.PAYMENT_FRAGMENTS)} END)"
+    """For a route in lower case: a payment route, or an auth route that is worth
+    brute-forcing; auth comes first."""
+    login = any_of(has(route, K.STRONG_LOGIN_WORDS), all_of(has(route, K.WEAK_LOGIN_WORDS), has(route, K.LOGIN_CONTEXT_WORDS)))
+    return f"(CASE WHEN {has(route, K.AUTH_FRAGMENTS)} THEN {login} ELSE {has(route, K.PAYMENT_FRAGMENTS)} END)"
 
 
 def handler_route(path: str) -> str:

@@ -201,7 +201,16 @@ def _extract(pattern: str) -> str:
     return f"regexp_extract(line, {Q.lit(pattern)}, 1)"
 
 
-_METHOD = f"upper({_extract(K.HANDLER_EXPORT)})"
+# lower-case routes and methods of a line, taken out once for all tests on them
+_LINE_COLUMNS = {
+    "comment": Q.matches("stripped", "^(?:#|//|[*])"),
+    "safe": Q.has("line", K.SAFE_REFERENCES),
+    "auth_route": f"CASE WHEN suffix = '.py' AND contains(line, '@') THEN lower({_extract(K.AUTH_ROUTE_PY)}) "
+    f"WHEN {Q.among('suffix', K.JS)} AND {Q.has('line', ['router', 'app', 'server'])} THEN lower({_extract(K.AUTH_ROUTE_JS)}) ELSE '' END",
+    "limit_route": f"CASE WHEN suffix = '.py' AND contains(line, '@') THEN lower({_extract(K.LIMIT_ROUTE_PY)}) "
+    f"WHEN {Q.among('suffix', K.JS)} AND {Q.has('lowered', ['router', 'app', 'server'])} THEN lower({_extract(K.LIMIT_ROUTE_JS)}) ELSE '' END",
+    "method": f"IF(contains(lowered, 'export'), upper({_extract(K.HANDLER_EXPORT)}), '')",
+}
 _HANDLER_ROUTE = Q.handler_route("path")
 _AUTH_OPEN = ("auth", "missing_auth", "critical", "needs_review", "medium")
 SECRET_IN_PROMPT = Q.all_of(
@@ -235,14 +244,14 @@ LINE_DETECTORS: list[LineDetector] = [
     _injection("DET-06", 2, "js", K.JS_CMD, "command_injection", "critical", "low"),
     _injection("DET-07", 3, "js", K.JS_DYNAMIC, "unsafe_dynamic_code", "high", "low"),
     _injection("DET-08", 4, "js", K.JS_PATH, "path_traversal", "high", "medium", keep=f"NOT comment AND NOT {Q.matches('line', K.PATH_SANITIZER)}"),
-    LineDetector("DET-10", "own_py", ["@"], "f_python_routes AND NOT f_auth_py AND NOT py_parses", [(Q.high_risk(_extract(K.AUTH_ROUTE_PY)), _auth(0))], ["f_python_routes", "f_auth_py"]),
-    LineDetector("DET-11", "own_js", ["router", "app", "server"], "NOT f_auth_js", [(Q.high_risk(_extract(K.AUTH_ROUTE_JS)), _auth(2))], ["f_auth_js"]),
-    LineDetector("DET-12", "own_js", ["export"], f"f_handler AND NOT f_auth_js AND {_METHOD} != ''", [(Q.high_risk(_HANDLER_ROUTE), _auth(1, "handler"))], ["f_handler", "f_auth_js"]),
-    LineDetector("DET-13", "own_py", ["@"], "NOT f_limit_py", [(Q.rate_limited_route(_extract(K.LIMIT_ROUTE_PY)), _limit(0))], ["f_limit_py"]),
-    LineDetector("DET-14", "own_js", ["router", "app", "server"], "NOT f_limit_js", [(Q.rate_limited_route(_extract(K.LIMIT_ROUTE_JS)), _limit(1))], ["f_limit_js"]),
+    LineDetector("DET-10", "own_py", ["@"], "f_python_routes AND NOT f_auth_py AND NOT py_parses", [(Q.high_risk("auth_route"), _auth(0))], ["f_python_routes", "f_auth_py"]),
+    LineDetector("DET-11", "own_js", ["router", "app", "server"], "NOT f_auth_js", [(Q.high_risk("auth_route"), _auth(2))], ["f_auth_js"]),
+    LineDetector("DET-12", "own_js", ["export"], "f_handler AND NOT f_auth_js AND method != ''", [(Q.high_risk("file_route"), _auth(1, "handler"))], ["f_handler", "f_auth_js"]),
+    LineDetector("DET-13", "own_py", ["@"], "NOT f_limit_py", [(Q.rate_limited_route("limit_route"), _limit(0))], ["f_limit_py"]),
+    LineDetector("DET-14", "own_js", ["router", "app", "server"], "NOT f_limit_js", [(Q.rate_limited_route("limit_route"), _limit(1))], ["f_limit_js"]),
     LineDetector(
-        "DET-15", "own_js", ["export"], f"f_handler AND NOT f_limit_js AND {Q.among(_METHOD, ['POST', 'PUT', 'PATCH', 'DELETE'])}",
-        [(Q.rate_limited_route(_HANDLER_ROUTE), _limit(0, "handler"))], ["f_handler", "f_limit_js"],
+        "DET-15", "own_js", ["export"], "f_handler AND NOT f_limit_js AND method IN ('POST', 'PUT', 'PATCH', 'DELETE')",
+        [(Q.rate_limited_route("file_route"), _limit(0, "handler"))], ["f_handler", "f_limit_js"],
     ),
     LineDetector(
         "DET-18", "js", ["access-control-allow-origin"], Q.matches("line", K.CORS_HEADER_STAR),
@@ -362,8 +371,8 @@ def _ast_routes() -> str:
     # fixed format of the evidence text
     evidence = "concat('@', coalesce(r.method, 'route'), '(\\'', r.route, '\\') - no auth')"
     made = (
-        f"transform(filter(py.routes, r -> NOT r.guarded AND ({Q.high_risk('r.route')} OR {changes})), "
-        f"r -> {_block(f'IF({Q.high_risk('r.route')}, {risky}, {write})', 'r.line', evidence, 'r.seq')})"
+        f"transform(filter(py.routes, r -> NOT r.guarded AND ({Q.high_risk('lower(r.route)')} OR {changes})), "
+        f"r -> {_block(f'IF({Q.high_risk('lower(r.route)')}, {risky}, {write})', 'r.line', evidence, 'r.seq')})"
     )
     return f"CASE WHEN f_python_routes AND NOT f_auth_py AND py.routes IS NOT NULL THEN {made} ELSE {_NO_BLOCK} END"
 
@@ -446,8 +455,9 @@ def file_items(
         def worth(lowered: str) -> str:
             return Q.any_of(*[Q.all_of(SCOPES[s], Q.has(lowered, sorted(w))) for s, w in words.items()])
 
-        numbered = "transform(lines, (l, i) -> named_struct('n', i + 1, 'l', l))"
-        hits = f"filter({numbered}, h -> {worth('lower(h.l)')})"
+        # the lower-case form is kept beside the line, so that it is made once
+        numbered = "transform(lines, (l, i) -> named_struct('n', i + 1, 'l', l, 'w', lower(l)))"
+        hits = f"filter({numbered}, h -> {worth('h.w')})"
         made = f"transform({hits}, h -> {item('h.n', 'h.l', f'CAST(NULL AS {BLOCK})')})"
         parts.append(f"CASE WHEN {worth('low')} THEN {made} ELSE CAST(array() AS array<{ITEM}>) END")
     for d in file_dets:
@@ -478,15 +488,14 @@ def candidates_from_items(items: DataFrame, keys: Iterable[str] | None = None, c
     rows = rows.select("*", "item.*").drop("item").withColumns(
         {"lowered": F.lower("line"), "stripped": X.strip(F.col("line"))}
     )
-    rows = rows.withColumns(
-        {"comment": F.expr(Q.matches("stripped", "^(?:#|//|[*])")), "safe": F.expr(Q.has("line", K.SAFE_REFERENCES))}
-    )
+    rows = rows.withColumns({n: F.expr(t) for n, t in _LINE_COLUMNS.items()})
+    rows = rows.withColumn("file_route", F.expr(f"lower({_HANDLER_ROUTE})"))
     tried = ", ".join(d.sql() for d in line_dets)
     found = f"CASE WHEN ready IS NULL THEN array_compact(array({tried})) ELSE array(ready.outcome) END" if line_dets else "array(ready.outcome)"
     out = rows.withColumn("number", F.explode(F.expr(found)))
     out = out.withColumn("o", F.expr(f"element_at({_outcome_table()}, number + 1)"))
     # fixed format of the evidence text of a file-based handler
-    handler = f"concat('export async function ', {_METHOD}, '(\\'', {_HANDLER_ROUTE}, '\\')')"
+    handler = f"concat('export async function ', method, '(\\'', {_HANDLER_ROUTE}, '\\')')"
     evidence = f"CASE WHEN ready IS NOT NULL THEN ready.evidence WHEN o.handler THEN {handler} ELSE left(stripped, {K.EVIDENCE_CHARS}) END"
     values = {
         "seq": "o.seq + coalesce(ready.seq, 0)",

@@ -25,12 +25,12 @@ def _case(col: str, mapping: dict, default: str) -> str:
     return f"CASE {col} " + " ".join(f"WHEN {Q.lit(k)} THEN {value(v)}" for k, v in mapping.items()) + f" ELSE {default} END"
 
 
-def prefilter_sql(category="category", path="path", evidence="evidence", ctx="ctx") -> str:
+def prefilter_sql(category="category", low_path="lower(path)", evidence="evidence", ctx="ctx") -> str:
     secret = Q.among(category, K.SECRET_LIKE)
     joined = f"replace({ctx}, '\\n', ' ')"
     return _notes(
         [
-            (Q.has(f"lower({path})", K.TEST_PATH_WORDS), Q.lit("Rejected: the path belongs to tests, examples or documentation.")),
+            (Q.has(low_path, K.TEST_PATH_WORDS), Q.lit("Rejected: the path belongs to tests, examples or documentation.")),
             (Q.all_of(secret, Q.matches(evidence, K.PLACEHOLDER)), Q.lit("Rejected: the value is a placeholder.")),
             (Q.all_of(secret, Q.matches(evidence, K.CURRENCY)), Q.lit("Rejected: the value is an amount of money.")),
             (Q.all_of(secret, Q.matches(joined, K.PROMPT_NAME)), Q.lit("Rejected: the surroundings are prompt or template text.")),
@@ -119,7 +119,7 @@ def score_sql() -> str:
     losses = [
         (Q.matches("evidence", K.PLACEHOLDER), 0.25),
         (Q.any_of(Q.matches("evidence", K.CURRENCY), Q.matches("evidence", K.PROMPT_NAME)), 0.20),
-        (Q.has("lower(path)", K.TEST_PATH_WORDS), 0.20),
+        (Q.has("low_path", K.TEST_PATH_WORDS), 0.20),
     ]
     score = f"0.30D * {_case('category', K.PRIOR, f'{K.PRIOR_DEFAULT}D')}"
     score += "".join(f" + IF({c}, {p}D, 0D)" for c, p in gains) + "".join(f" - IF({c}, {p}D, 0D)" for c, p in losses)
@@ -152,13 +152,13 @@ def build_evidence(df: DataFrame) -> DataFrame:
     def step(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
         return frame.withColumns({n: F.expr(t) for n, t in columns.items()})
 
+    df = step(df, {"ctx": "coalesce(ctx, '')", "low_path": "lower(path)"})
     df = step(
         df,
         {
-            "ctx": "coalesce(ctx, '')",
             "scanner_status": "status",
             "no_source": "evidence = '' OR line_number <= 0",
-            "reject_notes": prefilter_sql(ctx="coalesce(ctx, '')"),
+            "reject_notes": prefilter_sql(low_path="low_path"),
             "flow": f"IF({flow}, {BEST_FLOW}, NULL)",
             "direct": f"IF({flow}, {Q.matches('evidence', K.ATTACKER_INPUT)}, false)",
             "route_path": f"IF({route}, regexp_extract(evidence, {Q.lit(K.ROUTE_PATH)}, 1), '')",

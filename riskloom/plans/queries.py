@@ -72,7 +72,8 @@ def repo_risk(spark, sf):
 
 
 def scan_risk(spark, sf):
-    return S.repository_scores(_findings(spark, sf))
+    # the findings are stored before they are scored, as the score reads them twice
+    return S.repository_scores(stage(_findings(spark, sf), "findings"))
 
 
 def _sized(spark, sf) -> DataFrame:
