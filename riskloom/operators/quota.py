@@ -62,13 +62,16 @@ def _fold(span: int, names: list[str]):
         for batch in batches:
             rows = batch.to_pydict()
             out: dict[str, list] = {n: [] for n in names}
-            for key, endpoint, part, tick, attempts, limit in zip(
-                rows["key"], rows["endpoint"], rows["part"], rows["tick"], rows["attempts"], rows["limit"], strict=True
+            for key, endpoint, part, tick, attempts, limit, known in zip(
+                *(rows[n] for n in ("key", "endpoint", "part", "tick", "attempts", "limit", "known")), strict=True
             ):
                 if (key, endpoint, part) != current:
                     current, log = (key, endpoint, part), deque()
                 while log and log[0] < tick - span:
                     log.popleft()
+                if known:
+                    log.extend([tick] * attempts)
+                    continue
                 before = len(log)
                 admitted = min(attempts, max(0, limit - before))
                 log.extend([tick] * admitted)
@@ -87,48 +90,63 @@ def _fold(span: int, names: list[str]):
     return run
 
 
-def admissions(events: DataFrame, limit: Column | None = None, seconds: int = K.QUOTA_WINDOW_SECONDS) -> DataFrame:
-    """(key, endpoint, tick, attempts, admitted, remaining, retry_after) per key and tick.
+def count_ticks(events: DataFrame, limit: Column | None = None) -> DataFrame:
+    """(key, endpoint, tick, attempts, limit): attempts per key and millisecond."""
+    quota = limit_of(F.col("endpoint")) if limit is None else limit
+    counted = events.groupBy("key", "endpoint", ticks(F.col("ts")).alias("tick")).agg(F.count("*").alias("attempts"))
+    return counted.withColumn("limit", quota.cast("int"))
 
-    Attempts of the same tick are counted before anything moves, so a busy key costs at
-    most one row per millisecond.  Where a key was quiet for longer than the window the
-    log is empty, so its history is cut there and the parts go to different tasks; the
-    cuts come from one small row per key and window-sized block.  Within a part ticks
-    stream past a state of ``limit`` stamps.
+
+def fold_ticks(counted: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS, before: DataFrame | None = None) -> DataFrame:
+    """Admissions of counted ticks.
+
+    ``before`` holds (key, endpoint, tick, attempts) admitted earlier, for going on where
+    another run ended.
     """
     c = F.col
     span = seconds * 1000
-    quota = limit_of(c("endpoint")) if limit is None else limit
-    counted = (
-        events.groupBy("key", "endpoint", ticks(c("ts")).alias("tick"))
-        .agg(F.count("*").alias("attempts"))
-        .withColumns({"block": F.floor(c("tick") / span), "limit": quota.cast("int")})
-    )
-    free = counted.filter(c("limit").isNull()).select(
+    rows = counted.withColumn("known", F.lit(False))
+    if before is not None:
+        seeds = before.select("key", "endpoint", "tick", "attempts", F.lit(0).alias("limit"), F.lit(True).alias("known"))
+        rows = rows.unionByName(seeds)
+    rows = rows.withColumn("block", F.floor(c("tick") / span))
+    free = rows.filter(c("limit").isNull()).select(
         "key", "endpoint", "tick", "attempts", c("attempts").alias("admitted"),
         F.lit(None).cast("int").alias("remaining"), F.lit(0).alias("retry_after"),
     )
-    counted = counted.filter(c("limit").isNotNull())
-    blocks = counted.groupBy("key", "endpoint", "block").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
+    rows = rows.filter(c("limit").isNotNull())
+    blocks = rows.groupBy("key", "endpoint", "block").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
     history = W.partitionBy("key", "endpoint").orderBy("block")
     # a part starts where the previous block ended more than a window ago
     starts = (c("first") - F.lag("last").over(history)) > span
     parts = blocks.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(
         "part", F.sum("starts").over(history.rowsBetween(W.unboundedPreceding, 0))
     )
-    rows = counted.join(parts.select("key", "endpoint", "block", "part"), ["key", "endpoint", "block"]).select(
-        "key", "endpoint", "part", "tick", "attempts", "limit"
+    placed = rows.join(parts.select("key", "endpoint", "block", "part"), ["key", "endpoint", "block"]).select(
+        "key", "endpoint", "part", "tick", "attempts", "limit", "known"
     )
     by_value(sys.modules[__name__], K)
     names = [f.split()[0] for f in _ADMISSIONS.split(", ")]
     walked = (
-        rows.repartition("key", "endpoint", "part")
-        .sortWithinPartitions("key", "endpoint", "part", "tick")
+        placed.repartition("key", "endpoint", "part")
+        .sortWithinPartitions("key", "endpoint", "part", "tick", c("known").desc())
         .mapInArrow(_fold(span, names), _ADMISSIONS)
     )
     return walked.unionByName(free)
 
 
+def admissions(events: DataFrame, limit: Column | None = None, seconds: int = K.QUOTA_WINDOW_SECONDS) -> DataFrame:
+    """(key, endpoint, tick, attempts, admitted, remaining, retry_after) per key and tick.
+
+    Attempts of the same tick are counted before anything moves, so a busy key costs at
+    most one row per millisecond.  Where a key was quiet for longer than the window the
+    log is empty, so its history is cut there and the parts go to different tasks; the
+    cuts come from one small row per key and window-sized block.  Within a part ticks
+    stream past a state of ``limit`` stamps.
+    """
+    return fold_ticks(count_ticks(events, limit), seconds)
+
+
 def decisions(events: DataFrame, admitted: DataFrame) -> DataFrame:
     """Verdict per event: of the attempts in one tick the first ones are admitted."""
     order = W.partitionBy("key", "endpoint", "tick").orderBy("event_id")

@@ -2,87 +2,62 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.functions import fixed as K
-from riskloom.functions.workers import by_value
 from riskloom.operators import detect as D
-from riskloom.operators.quota import limit_of, ticks
+from riskloom.operators.quota import TICK_MICROS, fold_ticks, limit_of, ticks
 from riskloom.sources.store import keyed_upsert
 
-_DECISIONS = "key string, endpoint string, tick bigint, attempts bigint, admitted bigint"
-
-
-def _quota_step(span: int, hold: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # the mark has passed the attempts that were waiting
-            log, waiting, mark = state.get
-            waiting = sorted(zip(waiting[::3], waiting[1::3], waiting[2::3], strict=True))
-            now = state.getCurrentWatermarkMs()
-        else:
-            log, waiting = ([], []) if not state.exists else state.get[:2]
-            waiting = list(zip(waiting[::3], waiting[1::3], waiting[2::3], strict=True))
-            for batch in batches:
-                waiting += list(zip(batch["tick"].tolist(), batch["attempts"].tolist(), batch["quota"].tolist(), strict=True))
-            waiting.sort()
-            now = state.getCurrentWatermarkMs()
-        log = list(log)
-        out = []
-        while waiting and waiting[0][0] <= now:
-            tick, attempts, quota = waiting[0]
-            # attempts of one tick that came in several batches are one group
-            same = [w for w in waiting if w[0] == tick]
-            waiting = waiting[len(same):]
-            attempts = sum(w[1] for w in same)
-            log = [t for t in log if t >= tick - span]
-            admitted = int(min(attempts, max(0, quota - len(log))))
-            log += [tick] * admitted
-            out.append((*key, tick, attempts, admitted))
-        if waiting or log:
-            state.update((log, [int(v) for w in waiting for v in w], 0))
-            # wake up when the first waiting attempt is due, else when the log has expired
-            wake = waiting[0][0] + 1 if waiting else max(log) + hold
-            state.setTimeoutTimestamp(max(wake, now + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["key", "endpoint", "tick", "attempts", "admitted"])
-
-    return step
-
-
-def quota_stream(
-    events: DataFrame, limit: Column | None = None, seconds: int = K.QUOTA_WINDOW_SECONDS, lateness: str = "10 minutes"
-) -> DataFrame:
-    """Admitted attempts per (key, endpoint, tick) from a stream of (key, endpoint, ts).
-
-    Attempts wait until the watermark has passed them and are then folded in time order,
-    so the result equals the batch operator for everything that is not late.  Attempts of
-    a tick are counted before they reach the state, and the state of a key holds its last
-    admitted stamps and what waits inside the lateness.
+def quota_counts(events: DataFrame, limit: Column | None = None, lateness: str = "10 minutes") -> DataFrame:
+    """Attempts per (key, endpoint, millisecond) from a stream of (key, endpoint, ts).
+
+    Partial sums before the shuffle keep a busy key small.  A count is given out when the
+    watermark has passed it, so batches hold complete ticks and follow each other in time;
+    what comes later than that is dropped, and Spark reports the number of such rows.
     """
-    by_value(sys.modules[__name__], K)
     quota = limit_of(F.col("endpoint")) if limit is None else limit
-    counted = (
-        events.withColumns({"ts": F.col("ts").cast("timestamp"), "quota": quota.cast("int"), "tick": ticks(F.col("ts"))})
-        .filter(F.col("quota").isNotNull())
+    return (
+        events.withColumns({"ts": F.col("ts").cast("timestamp"), "limit": quota.cast("int")})
         .withWatermark("ts", lateness)
-        .select("key", "endpoint", "ts", "tick", F.lit(1).cast("bigint").alias("attempts"), "quota")
-    )
-    hold = seconds * 1000
-    return counted.groupBy("key", "endpoint").applyInPandasWithState(
-        _quota_step(hold, hold), _DECISIONS, "log array<bigint>, waiting array<bigint>, mark bigint", "append", GroupStateTimeout.EventTimeTimeout
+        .groupBy("key", "endpoint", "limit", F.window("ts", f"{TICK_MICROS} microseconds").alias("w"))
+        .agg(F.count("*").alias("attempts"))
+        .select("key", "endpoint", ticks(F.col("w.start")).alias("tick"), "attempts", "limit")
     )
 
 
+def quota_batch(folder: str, seconds: int = K.QUOTA_WINDOW_SECONDS) -> Callable[[DataFrame, int], None]:
+    """Handler for the batches of ``quota_counts``: admissions to ``folder/admitted``.
+
+    The stamps that still matter after a batch go to ``folder/log``, one folder per batch
+    number, so a repeated batch finds the same past and replaces its own output.  The fold
+    is the batch operator's; the results of stream and batch agree.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(_LOG).parquet(f"{folder}/log/batch={number - 1}") if number else None
+        admitted = f"{folder}/admitted/batch={number}"
+        fold_ticks(batch, seconds, before).write.mode("overwrite").parquet(admitted)
+        new = spark.read.parquet(admitted)
+        log = new.filter("admitted > 0 AND remaining IS NOT NULL").select("key", "endpoint", "tick", F.col("admitted").alias("attempts"))
+        if before is not None:
+            log = log.unionByName(before)
+        # later ticks are above all of these; an empty batch keeps what there is
+        last = log.agg(F.max("tick").alias("last"))
+        kept = log.crossJoin(F.broadcast(last)).filter(F.col("tick") >= F.col("last") - seconds * 1000).drop("last")
+        kept.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
+
+    return handle
+
+
+_LOG = "key string, endpoint string, tick bigint, attempts bigint"
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Latest state of each scan from its status events (scan_id, status, error_message, ts)."""
     last = F.max(F.struct("ts", "seq", "status", "error_message"))
