@@ -13,14 +13,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 HEADLINES = [
-    "scan_risk",
-    "detectors_all",
-    "evidence_status",
     "det_01",
     "det_31_documents",
     "line_table",
     "deps_all",
     "repo_context",
+    "detectors_all",
     "taint_flows",
     "dedupe_findings",
     "risk_score",
@@ -28,6 +26,8 @@ HEADLINES = [
     "verdict_merge",
     "quota_attempts",
     "quota_admissions",
+    "evidence_status",
+    "scan_risk",
 ]
 
 

@@ -220,6 +220,19 @@ ROUTE_ROWS = [(0, 2, "GET", "/api/admin/users"), (1, 2, "POST", "/public/"), (4,
 HIT_ROWS = [(0, 3, "sql_injection"), (4, 3, "log_injection"), (6, 4, "sql_injection")]
 
 
+# what a scan finds in each part: (part, line, category, status, severity, confidence, references); every
+# repository of modules is an application whose routes face outward
+SCAN_ROWS = [
+    (0, 3, "sql_injection", "confirmed", "critical", 0.946, 4),
+    (4, 3, "log_injection", "candidate", "high", 0.74, 4),
+    (6, 4, "sql_injection", "confirmed", "critical", 0.946, 4),
+    (0, 2, "missing_auth", "candidate", "critical", 0.866, 1),
+    (1, 2, "missing_auth", "needs_review", "medium", 0.69, 1),
+    (6, 3, "missing_auth", "needs_review", "critical", 0.69, 1),
+    (7, 3, "missing_auth", "candidate", "critical", 0.866, 1),
+]
+
+
 def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(q(v) if isinstance(v, str) and v not in ("true", "false") else str(v) for v in r) + ")" for r in rows) + ")"
 
@@ -399,11 +412,12 @@ ORACLES: dict[str, str] = {
     ),
     "report_json": _with(
         [*MERGED, SCANS, f"counts AS ({_counts('deduped', 'repo_id')})",
-         f"firsts AS (SELECT repo_id, id AS first_id FROM deduped QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY {B.SEV} DESC, ord, path, line_number, id) = 1)"],
-        f"""SELECT scan_id, risk_score, coalesce(verdict, 'UNKNOWN') AS verdict, {SUMMARY} AS summary, highest_severity, critical, total, first_id, total AS n_findings
+         f"""pages AS (SELECT repo_id, CAST(place // 100 AS INTEGER) AS page, first(id ORDER BY place) AS first_id, count(*) AS n_findings FROM (SELECT repo_id, id,
+            row_number() OVER (PARTITION BY repo_id ORDER BY {B.SEV} DESC, ord, path, line_number, id) - 1 AS place FROM deduped) GROUP BY repo_id, place // 100)"""],
+        f"""SELECT scan_id, coalesce(page, 0) AS page, risk_score, coalesce(verdict, 'UNKNOWN') AS verdict, {SUMMARY} AS summary, highest_severity, critical, total, first_id, coalesce(n_findings, 0) AS n_findings
             FROM (SELECT s.scan_id, s.risk_score, s.verdict, s.status, coalesce(c.critical, 0) AS critical, coalesce(c.high, 0) AS high, coalesce(c.medium, 0) AS medium, coalesce(c.low, 0) AS low,
-                coalesce(c.total, 0) AS total, coalesce(c.highest_severity, 'none') AS highest_severity, first_id
-                FROM scans s LEFT JOIN counts c ON c.repo_id = s.scan_id LEFT JOIN firsts f ON f.repo_id = s.scan_id WHERE s.status = 'complete')""",
+                coalesce(c.total, 0) AS total, coalesce(c.highest_severity, 'none') AS highest_severity, page, first_id, f.n_findings
+                FROM scans s LEFT JOIN counts c ON c.repo_id = s.scan_id LEFT JOIN pages f ON f.repo_id = s.scan_id WHERE s.status = 'complete')""",
     ),
     "report_view": _with(
         [*MERGED, *B.final("(SELECT * FROM deduped WHERE status <> 'rejected')", "done"),
@@ -469,6 +483,11 @@ ORACLES: dict[str, str] = {
             FROM ranked WHERE risky OR method IN ('POST', 'PUT', 'DELETE', 'PATCH')""",
     ),
     "syntax_check": _with([*MODULE, *FILES], "SELECT repo_id, path, true AS ok FROM module UNION ALL SELECT repo_id, path, false FROM named WHERE suffix = '.py'"),
+    "module_scan": _with(
+        MODULE,
+        f"""SELECT repo_id, path, CAST(before + at_line AS INTEGER) AS line_number, category, status, severity, CAST(confidence AS DOUBLE) AS confidence, n_refs
+            FROM part JOIN {_values(SCAN_ROWS)} s(part_no, at_line, category, status, severity, confidence, n_refs) USING (part_no)""",
+    ),
     "patch_apply": _with(
         [*MODULE, PATCH],
         f"""SELECT id, fx.repo_id, CASE WHEN nofile THEN NULL ELSE fx.path END AS path, NOT nofile AND kind <> 3 AS ok, CASE WHEN NOT nofile AND kind <> 3 THEN length(text) - {len(_OLD)} + {_NEW_LEN} END AS n_chars,

@@ -433,7 +433,7 @@ def file_items(
     if needs_tree:
         reasons = (["f_python_routes"] if "f_python_routes" in signals else []) + ([Q.has("text", _FLOW_WORDS)] if flows else [])
         wanted = F.expr(Q.all_of("suffix = '.py'", Q.any_of(*reasons)))
-        df = df.withColumn("py", python_facts(F.col("text"), F.col("path"), wanted))
+        df = df.withColumn("py", python_facts(F.col("text"), F.col("path"), wanted, flows=flows))
         df = df.withColumn("py_parses", F.coalesce(F.col("py.parses"), F.lit(True)))
 
     headers = any(d.key == "DET-18" for d in line_dets)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,11 +140,12 @@ def describe_sql() -> str:
     return f"concat({sentence}, IF(coalesce(detail, '') = '', '', concat(' [', detail, ']')), ' At ', path, ':', line_number, '.')"
 
 
-def build_evidence(df: DataFrame) -> DataFrame:
+def build_evidence(df: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     """Proof, confidence and status of every candidate.
 
     Needs the candidate columns plus ctx, flows, f_web_hint, kind and
-    external_exposure_proven.  A row-wise step: no shuffle.
+    external_exposure_proven; ``carry`` names further columns to keep.  A row-wise step:
+    no shuffle.
     """
     flow, route, ai = (Q.among("category", v) for v in (K.FLOW, K.ROUTE, K.AI))
     known = Q.among("category", [*K.LITERAL_PROOF, *K.AI, *K.OTHER_DIRECT])
@@ -247,5 +250,5 @@ def build_evidence(df: DataFrame) -> DataFrame:
     }
     blank = ("fix_code", "cvss_score", "cvss_vector", "validator")
     return df.selectExpr(
-        *[f"CAST({'NULL' if n in blank else made.get(n, n)} AS {t}) AS {n}" for n, t in FINDING_COLUMNS]
+        *[f"CAST({'NULL' if n in blank else made.get(n, n)} AS {t}) AS {n}" for n, t in FINDING_COLUMNS], *carry
     )

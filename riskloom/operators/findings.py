@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import fixed as K
 from riskloom.functions import text as X
 from riskloom.model import PROOF_FLAGS, REF
+from riskloom.plans.ranking import numbered
 
 
 def severity_rank(col: Column) -> Column:
@@ -224,10 +225,8 @@ SATURATED_AT = next(k for k in range(1000) if 1.0 / (1.0 + k * K.SATURATION_STEP
 
 def saturation_ranks(findings: DataFrame) -> DataFrame:
     """Position of each finding within its repository and category, with its factor."""
-    order = W.partitionBy("repo_id", "category").orderBy(*report_order())
-    return visible(findings).withColumn("position", F.row_number().over(order) - 1).withColumn(
-        "factor", saturation(F.col("position"))
-    )
+    placed = numbered(visible(findings), ["repo_id", "category"], report_order(), "position")
+    return placed.withColumn("factor", saturation(F.col("position")))
 
 
 def risk_scores(findings: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from riskloom.operators.pyfacts import python_facts, python_syntax
 def code_index(files: DataFrame) -> DataFrame:
     """(repo_id, path, language, flows): only files that name a sink are parsed."""
     wanted = F.expr(Q.all_of("endswith(lower(path), '.py')", Q.has("text", _FLOW_WORDS)))
-    facts = python_facts(F.col("text"), F.col("path"), wanted)
+    facts = python_facts(F.col("text"), F.col("path"), wanted, routes=False)
     return files.select("repo_id", "path", P.language(F.col("path")).alias("language"), facts.getField("flows").alias("flows"))
 
 
@@ -41,7 +41,7 @@ def join_flows(findings: DataFrame, flows: DataFrame) -> DataFrame:
 def python_routes(files: DataFrame) -> DataFrame:
     """Routes that decorators declare: (repo_id, path, route, method, line, guarded, seq)."""
     df = with_file_columns(files, ["f_python_routes"])
-    facts = df.select("repo_id", "path", python_facts(F.col("text"), F.col("path"), F.col("f_python_routes")).alias("py"))
+    facts = df.select("repo_id", "path", python_facts(F.col("text"), F.col("path"), F.col("f_python_routes"), flows=False).alias("py"))
     return facts.select("repo_id", "path", F.explode("py.routes").alias("r")).select("repo_id", "path", "r.*")
 
 

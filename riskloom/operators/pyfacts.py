@@ -149,8 +149,15 @@ def _flows(tree: ast.AST, text: str, lines: list[str], path: str) -> list[dict]:
     return flows
 
 
-def _routes(tree: ast.AST) -> list[dict]:
+def _quotes_auth_word(node: ast.AST) -> bool:
+    texts = (n.value for n in ast.walk(node) if isinstance(n, ast.Constant) and isinstance(n.value, str))
+    return any(w in t for t in texts for w in K.AUTH_WORDS_PY)
+
+
+def _routes(tree: ast.AST, text: str) -> list[dict]:
     routes = []
+    # writing a function out again is slow; without one of the words there is no need
+    named = any(w.rstrip("(") in text for w in K.AUTH_WORDS_PY)
     signals = [w.lower() for w in K.AUTH_WORDS_PY]
     queue = deque([tree])
     while queue:  # breadth first: the order in which routes are reported
@@ -171,15 +178,16 @@ def _routes(tree: ast.AST) -> list[dict]:
                 method = decorator.func.attr.upper()
         if route is None:
             continue
-        body = "" if guarded else ast.unparse(node)
-        guarded = guarded or any(w in body for w in K.AUTH_WORDS_PY)
+        if not guarded and (named or _quotes_auth_word(node)):
+            body = ast.unparse(node)
+            guarded = any(w in body for w in K.AUTH_WORDS_PY)
         routes.append(
             {"route": route, "method": method, "line": node.lineno, "guarded": guarded, "seq": len(routes)}
         )
     return routes
 
 
-def file_facts(text: str, path: str) -> dict | None:
+def file_facts(text: str, path: str, routes: bool = True, flows: bool = True) -> dict | None:
     """Facts of one file; ``parses`` is false on a syntax error, and a file that
     breaks the parser in any other way yields no facts at all."""
     try:
@@ -189,7 +197,11 @@ def file_facts(text: str, path: str) -> dict | None:
     except (ValueError, RecursionError, MemoryError):
         return None
     try:
-        return {"parses": True, "routes": _routes(tree), "flows": _flows(tree, text, text.splitlines(), path)}
+        return {
+            "parses": True,
+            "routes": _routes(tree, text) if routes else [],
+            "flows": _flows(tree, text, text.splitlines(), path) if flows else [],
+        }
     except (RecursionError, MemoryError):
         return None
 
@@ -226,18 +238,18 @@ _ARROW_FACTS = pa.struct(
 )
 
 
-def _facts(text: pa.Array, path: pa.Array) -> pa.Array:
-    rows = [
-        file_facts(t, p) if t is not None else None
-        for t, p in zip(text.to_pylist(), path.to_pylist(), strict=True)
-    ]
-    return pa.array(rows, type=_ARROW_FACTS)
-
-
-def python_facts(text: Column, path: Column, wanted: Column) -> Column:
+def python_facts(text: Column, path: Column, wanted: Column, *, routes: bool = True, flows: bool = True) -> Column:
     """Facts of the rows where ``wanted`` holds; the others send no text to Python."""
     by_value(sys.modules[__name__], K)
-    return F.arrow_udf(_facts, PY_FACTS)(F.when(wanted, text), path)
+
+    def facts(text: pa.Array, path: pa.Array) -> pa.Array:
+        rows = [
+            file_facts(t, p, routes, flows) if t is not None else None
+            for t, p in zip(text.to_pylist(), path.to_pylist(), strict=True)
+        ]
+        return pa.array(rows, type=_ARROW_FACTS)
+
+    return F.arrow_udf(facts, PY_FACTS)(F.when(wanted, text), path)
 
 
 def _syntax(text: pa.Array) -> pa.Array:

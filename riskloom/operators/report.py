@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import fixed as K
 from riskloom.functions import text as X
 from riskloom.operators.findings import found_order, report_order, severity_name, severity_rank
+from riskloom.plans.ranking import numbered
 
 
 def finding_counts(findings: DataFrame, key: str = "repo_id") -> DataFrame:
@@ -54,29 +55,33 @@ def ordered(findings: DataFrame, stored: bool = False) -> DataFrame:
 
     ``stored`` orders by the severity text, as reading back from the store does.
     """
-    from pyspark.sql import Window as W
-
     order = [F.col("severity").desc(), *found_order()] if stored else report_order()
-    return findings.withColumn("place", F.row_number().over(W.partitionBy("repo_id").orderBy(*order)))
+    return numbered(findings, ["repo_id"], order, "place").withColumn("place", F.col("place") + 1)
 
 
 def by_severity(findings: DataFrame, severity: str = "ALL") -> DataFrame:
     return findings if severity == "ALL" else findings.filter(F.lower("severity") == severity.lower())
 
 
-def report_json(scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """(scan_id, report): one JSON document per complete scan.
+PAGE = 1000
+
+
+def report_json(scans: DataFrame, findings: DataFrame, page: int = PAGE) -> DataFrame:
+    """(scan_id, page, report): the JSON document of each complete scan.
 
-    The findings of one scan are gathered here, at the very edge; the counts come from
-    a partial aggregation of their own.
+    A document lists at most ``page`` findings; a scan with more has several, each with
+    the same head, so no row grows with the scan.  Findings come by severity, highest
+    first; the counts come from a partial aggregation of their own.
     """
     c = F.col
-    listed = findings.groupBy("scan_id").agg(
+    order = [severity_rank(c("severity")).desc(), c("ord"), c("path"), c("line_number"), c("id")]
+    placed = numbered(findings, ["scan_id"], order, "place").withColumn("page", F.floor(c("place") / page).cast("int"))
+    listed = placed.groupBy("scan_id", "page").agg(
         F.transform(
             F.array_sort(
                 F.collect_list(
                     F.struct(
-                        (-severity_rank(c("severity"))).alias("o1"), c("ord").alias("o2"), c("path").alias("o3"), c("line_number").alias("o4"),
+                        "place",
                         F.struct(
                             "id", "category", "status", "severity", F.round("confidence", 4).alias("confidence"),
                             c("path").alias("file_path"), "line_number", "evidence",
@@ -89,16 +94,17 @@ def report_json(scans: DataFrame, findings: DataFrame) -> DataFrame:
     )
     counts = finding_counts(findings, "scan_id")
     rows = complete_scans(scans).join(counts, "scan_id", "left").join(listed, "scan_id", "left")
-    rows = rows.fillna(0, [*K.SEVERITIES, "total"]).fillna("none", ["highest_severity"])
+    rows = rows.fillna(0, [*K.SEVERITIES, "total", "page"]).fillna("none", ["highest_severity"])
     score = F.coalesce("risk_score", F.lit(0))
     document = F.struct(
         "scan_id", "repo_url", "scanned_at", score.alias("risk_score"),
         F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"), summary(score).alias("summary"), "highest_severity",
         F.struct(*reversed(K.SEVERITIES), "total").alias("finding_counts"),
         F.coalesce("findings", F.from_json(F.lit("[]"), findings_type())).alias("findings"),
-        "frameworks", "files_scanned", "scan_ms", "models_used",
+        "frameworks", "files_scanned", "scan_ms", "models_used", "page",
+        F.greatest(F.ceil(c("total") / page), F.lit(1)).alias("pages"),
     )
-    return rows.select("scan_id", F.to_json(document).alias("report"))
+    return rows.select("scan_id", "page", F.to_json(document).alias("report"))
 
 
 def findings_type() -> str:
@@ -124,12 +130,9 @@ def reader_confidence(risk: Column) -> Column:
     return F.when(risk == "high", "low").when(risk == "medium", "medium").otherwise("high")
 
 
-CONSENSUS_SEATS = ["claude", "gpt4o", "gemini"]
-
-
 def consensus(confirmed_by: Column) -> Column:
     """Map of reviewer to agreement: three fixed seats, then anyone else who confirmed."""
-    names = F.filter(F.array_union(F.array(*[F.lit(s) for s in CONSENSUS_SEATS]), confirmed_by), lambda n: n != "")
+    names = F.filter(F.array_union(F.array(*[F.lit(s) for s in K.CONSENSUS_SEATS]), confirmed_by), lambda n: n != "")
     return F.map_from_arrays(names, F.transform(names, lambda n: F.array_contains(confirmed_by, n)))
 
 

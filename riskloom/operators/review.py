@@ -10,6 +10,7 @@ from riskloom.functions import text as X
 from riskloom.functions.prose import advice
 from riskloom.model import PROOF_FLAGS
 from riskloom.operators.findings import found_order
+from riskloom.plans.ranking import numbered
 
 VERDICTS = (
     "id string, verdict string, confidence double, "
@@ -50,21 +51,14 @@ def fix_payload() -> Column:
     )
 
 
-def in_batches(findings: DataFrame, payload: Column, size: int, shares: int = 0) -> DataFrame:
-    """(repo_id, share, batch, n, payload): findings in report order, ``size`` to a batch.
+def in_batches(findings: DataFrame, payload: Column, size: int) -> DataFrame:
+    """(repo_id, batch, n, payload): findings in the order found, ``size`` to a batch.
 
-    A batch is one request to a reviewer.  Numbering needs an order inside a group, so
-    a large repository is first cut into shares of its findings by a hash of the path;
-    ``shares`` 0 keeps one numbering per repository.
+    A batch is one request to a reviewer.
     """
-    from pyspark.sql import Window as W
-
-    share = F.pmod(F.xxhash64("path"), F.lit(shares)).cast("int") if shares else F.lit(0)
-    rows = findings.withColumns({"share": share, "payload": payload})
-    order = W.partitionBy("repo_id", "share").orderBy(*found_order())
-    placed = rows.withColumn("place", F.row_number().over(order) - 1)
+    placed = numbered(findings.withColumn("payload", payload), ["repo_id"], found_order(), "place")
     batched = placed.withColumn("batch", F.floor(F.col("place") / size).cast("int"))
-    return batched.groupBy("repo_id", "share", "batch").agg(
+    return batched.groupBy("repo_id", "batch").agg(
         F.count("*").alias("n"),
         F.to_json(
             F.struct(F.transform(F.array_sort(F.collect_list(F.struct("place", "payload"))), lambda p: p.payload).alias("findings"))
@@ -72,12 +66,12 @@ def in_batches(findings: DataFrame, payload: Column, size: int, shares: int = 0)
     )
 
 
-def verify_batches(findings: DataFrame, shares: int = 0) -> DataFrame:
-    return in_batches(findings.filter(F.col("status") != "rejected"), verify_payload(), K.VERIFY_BATCH, shares)
+def verify_batches(findings: DataFrame) -> DataFrame:
+    return in_batches(findings.filter(F.col("status") != "rejected"), verify_payload(), K.VERIFY_BATCH)
 
 
-def fix_batches(findings: DataFrame, shares: int = 0) -> DataFrame:
-    return in_batches(findings.filter(F.col("status") == "confirmed"), fix_payload(), K.FIX_BATCH, shares)
+def fix_batches(findings: DataFrame) -> DataFrame:
+    return in_batches(findings.filter(F.col("status") == "confirmed"), fix_payload(), K.FIX_BATCH)
 
 
 def parse_verdicts(answers: DataFrame) -> DataFrame:

@@ -345,6 +345,11 @@ def context_downgrade(spark, sf):
 
 
 # ------------------------------------------------------------------ findings
+def _merged(spark, sf) -> DataFrame:
+    """Merged stand-in findings, stored as findings are before reports read them."""
+    return stage(R.dedupe(stand_in(spark, sf)), "findings")
+
+
 def _flat_merged(df: DataFrame) -> DataFrame:
     refs = F.transform("evidence_refs", lambda r: r.quote)
     return df.select(
@@ -373,8 +378,8 @@ def risk_score(spark, sf):
 
 
 def saturation_ranks(spark, sf):
-    ranked = R.saturation_ranks(R.dedupe(stand_in(spark, sf)))
-    return ranked.select("repo_id", "category", "id", "position", F.round("factor", 6).alias("factor"))
+    ranked = R.saturation_ranks(_merged(spark, sf))
+    return ranked.select("repo_id", "category", "id", c("position").cast("int").alias("position"), F.round("factor", 6).alias("factor"))
 
 
 def scan_findings(spark, sf):
@@ -404,7 +409,7 @@ def verify_batches(spark, sf):
 
 
 def fix_batches(spark, sf):
-    batches = V.fix_batches(R.dedupe(stand_in(spark, sf)).withColumn("context", F.array().cast("array<string>")))
+    batches = V.fix_batches(_merged(spark, sf).withColumn("context", F.array().cast("array<string>")))
     parsed = F.from_json("payload", "findings array<struct<id:string>>")
     return batches.select("repo_id", "batch", "n", _joined(F.transform(parsed.findings, lambda f: f.id)).alias("ids"))
 
@@ -511,11 +516,11 @@ def report_counts(spark, sf):
 
 
 def report_order(spark, sf):
-    return RP.ordered(R.visible(R.dedupe(stand_in(spark, sf)))).select("repo_id", "id", "severity", "status", "place")
+    return RP.ordered(R.visible(_merged(spark, sf))).select("repo_id", "id", "severity", "status", c("place").cast("int").alias("place"))
 
 
 def report_order_stored(spark, sf):
-    return RP.ordered(RP.by_severity(R.dedupe(stand_in(spark, sf)), "HIGH"), stored=True).select("repo_id", "id", "severity", "place")
+    return RP.ordered(RP.by_severity(_merged(spark, sf), "HIGH"), stored=True).select("repo_id", "id", "severity", c("place").cast("int").alias("place"))
 
 
 def _scans(spark, sf) -> DataFrame:
@@ -531,18 +536,18 @@ def _scans(spark, sf) -> DataFrame:
 
 
 def _stored(spark, sf) -> DataFrame:
-    return R.dedupe(stand_in(spark, sf)).withColumn("scan_id", c("repo_id"))
+    return _merged(spark, sf).withColumn("scan_id", c("repo_id"))
 
 
 def report_json(spark, sf):
-    reports = RP.report_json(_scans(spark, sf), _stored(spark, sf))
+    reports = RP.report_json(_scans(spark, sf), _stored(spark, sf), page=100)
     shape = (
         "scan_id string, risk_score int, verdict string, summary string, highest_severity string, "
         "finding_counts struct<critical:bigint,high:bigint,medium:bigint,low:bigint,total:bigint>, findings array<struct<id:string,confidence:double>>"
     )
-    r = reports.select(F.from_json("report", shape).alias("r")).select("r.*")
+    r = reports.select("page", F.from_json("report", shape).alias("r")).select("page", "r.*")
     return r.select(
-        "scan_id", "risk_score", "verdict", "summary", "highest_severity", "finding_counts.critical", "finding_counts.total",
+        "scan_id", "page", "risk_score", "verdict", "summary", "highest_severity", "finding_counts.critical", "finding_counts.total",
         F.get(c("findings"), 0)["id"].alias("first_id"), F.size("findings").cast("bigint").alias("n_findings"),
     )
 
@@ -595,9 +600,8 @@ def keyed_upsert(spark, sf):
 
 def retention(spark, sf):
     events = _quota_events(spark, sf)
-    last = events.agg(F.max("ts").alias("as_of"))
-    kept = events.crossJoin(F.broadcast(last))  # one row
-    return QU.retained(kept, c("as_of")).select("event_id", "key", "endpoint")
+    last = events.agg(F.max("ts")).scalar()
+    return QU.retained(events, last).select("event_id", "key", "endpoint")
 
 
 # ------------------------------------------------------------------ quota

@@ -68,14 +68,20 @@ def project_view(joined: DataFrame) -> DataFrame:
     )
 
 
+ABOUT_REPOSITORY = ["kind", "external_exposure_proven", "sensitive_public_surface"]
+
+
 def evidenced(facts: DataFrame, repos: DataFrame, keys=None) -> DataFrame:
-    return build_evidence(raw_findings(facts, repos, keys))
+    """Findings with evidence; what is known about the repository stays with them."""
+    return build_evidence(raw_findings(facts, repos, keys), carry=ABOUT_REPOSITORY)
 
 
-def finish(findings: DataFrame, repos: DataFrame) -> DataFrame:
-    """Context downgrade, merging of duplicates, removal of rejected, final scoring."""
-    about = repos.select("repo_id", "kind", "external_exposure_proven", "sensitive_public_surface")
-    adjusted = C.apply_context(findings.join(about, "repo_id", "left")).drop(*about.columns[1:])
+def finish(findings: DataFrame) -> DataFrame:
+    """Context downgrade, merging of duplicates, removal of rejected, final scoring.
+
+    ``findings`` carries the columns of ABOUT_REPOSITORY.
+    """
+    adjusted = C.apply_context(findings).drop(*ABOUT_REPOSITORY)
     return R.final_scoring(R.visible(R.dedupe(adjusted)))
 
 
@@ -89,7 +95,7 @@ def scan(files: DataFrame, keys=None, *, flows: bool = True, strict: bool = Fals
     if staged:
         facts = stage(facts, "file-facts")
     repos = repository_facts(facts)
-    return finish(evidenced(facts, repos, keys), repos)
+    return finish(evidenced(facts, repos, keys))
 
 
 def repository_scores(findings: DataFrame) -> DataFrame:

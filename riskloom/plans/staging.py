@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_local: dict[str, str | None] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,8 +18,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{SETTING} must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set(SETTING, folder)
+        folder = _local.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="riskloom-")
+        _local[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 

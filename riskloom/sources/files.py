@@ -35,23 +35,25 @@ def with_text(files: DataFrame) -> DataFrame:
 def manifest(
     files: DataFrame, max_files: int | None = K.MAX_FILES, max_bytes: int = K.MAX_SOURCE_BYTES, strict: bool = False
 ) -> DataFrame:
-    """(repo_id, path, size, language, file_no, accepted, over_budget) of every scannable file.
+    """(repo_id, path, size, language, over_budget) of the files to scan.
 
-    ``accepted`` marks the first ``max_files`` by lower-case path, ``over_budget`` the
-    repositories whose accepted files exceed ``max_bytes``.  Only the listing is
-    touched; the row number is a limit, so each task keeps few rows per repository.
+    With ``max_files`` the first ones by lower-case path, with file_no and running_bytes;
+    the row number is a limit, so each task keeps few rows per repository.  Without it
+    all of them, and no window.  ``over_budget`` marks repositories whose files exceed
+    ``max_bytes``.  Only the listing is touched.
     """
     c = F.col
     listed = files.select("repo_id", "path", "size").filter(
         ~P.is_ignored(c("path"), strict) & (c("size") <= K.MAX_FILE_BYTES)
     )
-    order = W.partitionBy("repo_id").orderBy(F.lower("path"), "path")
-    kept = listed.withColumn("file_no", F.row_number().over(order))
+    kept = listed
     if max_files is not None:
-        kept = kept.filter(c("file_no") <= max_files)
-    running = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
-    kept = kept.withColumn("running_bytes", running)
-    over = kept.groupBy("repo_id").agg(F.bool_or(c("running_bytes") > max_bytes).alias("over_budget"))
+        order = W.partitionBy("repo_id").orderBy(F.lower("path"), "path")
+        kept = listed.withColumn("file_no", F.row_number().over(order)).filter(c("file_no") <= max_files)
+        running = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))
+        kept = kept.withColumn("running_bytes", running)
+    # the running sum passes the budget exactly when the whole sum does
+    over = kept.groupBy("repo_id").agg((F.sum("size") > max_bytes).alias("over_budget"))
     return kept.join(over, "repo_id").withColumn("language", P.language(c("path")))
 
 

@@ -97,7 +97,8 @@ def write_findings(findings: DataFrame, folder: str) -> None:
 
         new = stage(kept.unionByName(new, allowMissingColumns=True), "findings")
     (
-        new.repartition("bucket", F.pmod(F.xxhash64("scan_id", "path"), F.lit(8)))
+        # splits large buckets over several writers and keeps small ones whole
+        new.hint("rebalance", "bucket")
         .write.partitionBy("bucket")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -48,8 +48,8 @@ def quota_batch(folder: str, seconds: int = K.QUOTA_WINDOW_SECONDS) -> Callable[
         if before is not None:
             log = log.unionByName(before)
         # later ticks are above all of these; an empty batch keeps what there is
-        last = log.agg(F.max("tick").alias("last"))
-        kept = log.crossJoin(F.broadcast(last)).filter(F.col("tick") >= F.col("last") - seconds * 1000).drop("last")
+        last = log.agg(F.max("tick")).scalar()
+        kept = log.filter(F.col("tick") >= last - seconds * 1000)
         kept.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
 
     return handle

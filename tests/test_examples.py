@@ -123,7 +123,8 @@ def test_repeated_table_counts_once_with_its_last_line(files):
 def test_log_without_attacker_input_is_rejected(files):
     text = 'def f(user_name):\n    logger.info(f"x {user_name} \\n")\n    logger.info(f"req {request.id} \\n")\n'
     rows = result(files, {"a.py": text})
-    assert [r["line_number"] for r in rows] == [2, 3] or all(r["category"] == "log_injection" for r in rows)
+    # "user_name" is no attacker word, "request" is
+    assert [(r["category"], r["line_number"], r["status"]) for r in rows] == [("log_injection", 3, "candidate")]
     assert result(files, {"a.py": 'logger.warning(f"data {datum}")\n'}) == []
 
 

@@ -17,6 +17,7 @@ from riskloom.operators import patches as PT
 from riskloom.operators import quota as QU
 from riskloom.operators import review as V
 from riskloom.plans import corpus, queries
+from riskloom.plans.ranking import numbered
 from riskloom.sources import archives as A
 from riskloom.sources import files as SF
 from riskloom.sources import store as ST
@@ -62,7 +63,7 @@ def test_merging_twice_changes_nothing(spark):
 
 def test_a_crowd_of_copies_folds(spark):
     one = finding(spark, [{"proof": (True, False, False, False, False, False, ["n"])}])
-    crowd = one.crossJoin(spark.range(20000).withColumnRenamed("id", "k")).withColumn("ord", F.col("k")).drop("k")
+    crowd = one.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(19999)).cast("array<bigint>")))
     rows = R.dedupe(crowd).collect()
     assert len(rows) == 1 and rows[0].proof.notes == ["n"] and rows[0].ord == 0
 
@@ -173,11 +174,22 @@ def test_verdicts_from_json(spark):
     assert got == {"f1": ("confirmed", 0.9), "f2": ("rejected", None)}
 
 
-def test_batches_of_a_large_repository_can_be_shared(spark):
+def test_batches(spark):
     rows = finding(spark, [{"path": f"p{i}", "line_number": i} for i in range(40)])
-    whole, shared = V.verify_batches(rows).collect(), V.verify_batches(rows, shares=4).collect()
-    assert sorted(r.n for r in whole) == [4, 6, 6, 6, 6, 6, 6]
-    assert sum(r.n for r in shared) == 40 and max(r.n for r in shared) <= 6 and len({r.share for r in shared}) > 1
+    assert sorted(r.n for r in V.verify_batches(rows).collect()) == [4, 6, 6, 6, 6, 6, 6]
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_numbers_of_a_large_group(spark, slices):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "big").otherwise((F.col("id") % 40).cast("string")).alias("g"), (F.col("id") * 7919 % 5003).alias("v"))
+    got = numbered(rows, ["g"], [F.col("v").desc()], "place", slices).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.g].append((r.place, r.v))
+    for pairs in groups.values():
+        assert [p for p, _ in sorted(pairs)] == list(range(len(pairs)))
+        assert [v for _, v in sorted(pairs)] == sorted((v for _, v in pairs), reverse=True)
+    assert len(got) == 5000
 
 
 # ------------------------------------------------------------------ sources and store
