@@ -154,6 +154,7 @@ def _survivors(fixes: DataFrame, changed: DataFrame, files: DataFrame) -> DataFr
     """
     from riskloom.operators import detect as D
     from riskloom.operators.evidence import build_evidence
+    from riskloom.plans.ranking import slices_of
 
     c = F.col
     own = fixes.select("id", "category", "path", "repo_id")
@@ -163,6 +164,8 @@ def _survivors(fixes: DataFrame, changed: DataFrame, files: DataFrame) -> DataFr
         .join(files.select("repo_id", "path", "text"), ["repo_id", "path"], "left")
         .select(c("id").alias("repo_id"), "path", F.coalesce("new_text", "text", F.lit("")).alias("text"))
     )
+    # scanning is heavy for its bytes, so the rows are spread rather than merged
+    view = view.repartition(slices_of(view), "repo_id")
     keys = ["DET-01", "DET-02", "DET-03", "DET-04", "DET-05", "DET-06"]
     items = D.file_items(view, keys, context=True, flows=True, keep=["f_web_hint"])
     found = D.candidates_from_items(items, keys, carry=["ctx", "flows", "f_web_hint"])
