@@ -137,7 +137,8 @@ class Outcome:
 OUTCOMES: list[Outcome] = []
 
 
-def _outcome(*args, **kwargs) -> int:
+def outcome(*args, **kwargs) -> int:
+    """Number of an outcome, which is added where it is new."""
     new = Outcome(*args, **kwargs)
     if new not in OUTCOMES:
         OUTCOMES.append(new)
@@ -187,12 +188,12 @@ def _injection(key: str, chk: int, scope: str, rules, category: str, severity: s
     for label, pattern, words in rules:
         detail = label if labels else ""
         if category == "log_injection":
-            loud = _outcome("injection", chk, category, severity, "candidate", risk)
-            quiet = _outcome("injection", chk, category, severity, "needs_review", risk)
+            loud = outcome("injection", chk, category, severity, "candidate", risk)
+            quiet = outcome("injection", chk, category, severity, "needs_review", risk)
             cases.append((Q.all_of(_rule(pattern, words), Q.matches("line", K.CRLF_SIGNAL)), loud))
             cases.append((_rule(pattern, words), quiet))
         else:
-            cases.append((_rule(pattern, words), _outcome("injection", chk, category, severity, "candidate", risk, detail)))
+            cases.append((_rule(pattern, words), outcome("injection", chk, category, severity, "candidate", risk, detail)))
     every = sorted({w for _, _, words in rules for w in words})
     return LineDetector(key, scope, every, keep, cases)
 
@@ -222,15 +223,15 @@ SECRET_IN_PROMPT = Q.all_of(
 
 
 def _auth(chk: int, evidence: str = "line") -> int:
-    return _outcome("auth", chk, "missing_auth", "critical", "needs_review", "medium", evidence=evidence)
+    return outcome("auth", chk, "missing_auth", "critical", "needs_review", "medium", evidence=evidence)
 
 
 def _limit(chk: int, evidence: str = "line") -> int:
-    return _outcome("rate_limit", chk, "missing_rate_limit", "medium", "needs_review", "medium", evidence=evidence)
+    return outcome("rate_limit", chk, "missing_rate_limit", "medium", "needs_review", "medium", evidence=evidence)
 
 
 def _ai(seq: int, category: str, severity: str, status: str = "candidate") -> int:
-    return _outcome("ai", 0, category, severity, status, "medium", seq=seq)
+    return outcome("ai", 0, category, severity, status, "medium", seq=seq)
 
 
 _JWT_QUIET = "NOT comment AND NOT safe"
@@ -256,27 +257,27 @@ LINE_DETECTORS: list[LineDetector] = [
     LineDetector(
         "DET-18", "js", ["access-control-allow-origin"], Q.matches("line", K.CORS_HEADER_STAR),
         [
-            (Q.matches("near", K.CORS_HEADER_CREDENTIALS), _outcome("cors", 1, "cors_wildcard_credentials", "critical", "candidate", "low", "header")),
-            ("true", _outcome("cors", 1, "cors_wildcard", "high", "candidate", "low", "header")),
+            (Q.matches("near", K.CORS_HEADER_CREDENTIALS), outcome("cors", 1, "cors_wildcard_credentials", "critical", "candidate", "low", "header")),
+            ("true", outcome("cors", 1, "cors_wildcard", "high", "candidate", "low", "header")),
         ],
     ),
     LineDetector(
         "DET-20", "rules", ["allow"], "true",
         [
-            (Q.matches("line", K.RULES_READ_WRITE), _outcome("database", 0, "firebase_public", "critical", "candidate", "low", "rules")),
-            (Q.matches("line", K.RULES_READ), _outcome("database", 0, "firebase_public", "high", "candidate", "low", "rules")),
-            (Q.matches("line", K.RULES_WRITE), _outcome("database", 0, "firebase_public", "critical", "candidate", "low", "rules")),
+            (Q.matches("line", K.RULES_READ_WRITE), outcome("database", 0, "firebase_public", "critical", "candidate", "low", "rules")),
+            (Q.matches("line", K.RULES_READ), outcome("database", 0, "firebase_public", "high", "candidate", "low", "rules")),
+            (Q.matches("line", K.RULES_WRITE), outcome("database", 0, "firebase_public", "critical", "candidate", "low", "rules")),
         ],
     ),
-    LineDetector("DET-21", "realtime", ['".read"', '".write"'], "true", [(Q.matches("line", K.RTDB_PUBLIC), _outcome("database", 0, "firebase_public", "critical", "candidate", "low", "realtime"))]),
+    LineDetector("DET-21", "realtime", ['".read"', '".write"'], "true", [(Q.matches("line", K.RTDB_PUBLIC), outcome("database", 0, "firebase_public", "critical", "candidate", "low", "realtime"))]),
     LineDetector(
         "DET-23", "js_db", ["algorithm", "sign"], _JWT_QUIET,
         [
-            (Q.matches("line", K.JWT_NONE), _outcome("database", 1, "weak_jwt", "critical", "candidate", "low", "none")),
-            (f"{Q.matches('line', K.JWT_SHORT)} AND NOT {Q.matches('line', K.JWT_SHORT_ENV)}", _outcome("database", 1, "weak_jwt", "high", "candidate", "medium", "short")),
+            (Q.matches("line", K.JWT_NONE), outcome("database", 1, "weak_jwt", "critical", "candidate", "low", "none")),
+            (f"{Q.matches('line', K.JWT_SHORT)} AND NOT {Q.matches('line', K.JWT_SHORT_ENV)}", outcome("database", 1, "weak_jwt", "high", "candidate", "medium", "short")),
         ],
     ),
-    LineDetector("DET-24", "py", ["algorithm"], _JWT_QUIET, [(Q.matches("line", K.JWT_NONE), _outcome("database", 0, "weak_jwt", "critical", "candidate", "low", "none"))]),
+    LineDetector("DET-24", "py", ["algorithm"], _JWT_QUIET, [(Q.matches("line", K.JWT_NONE), outcome("database", 0, "weak_jwt", "critical", "candidate", "low", "none"))]),
     LineDetector(
         "DET-25", "ai", ["prompt", "messages", "instructions"],
         Q.all_of("f_model_call", "NOT comment", Q.matches("line", K.PROMPT_ASSIGN), Q.matches("line", K.UNTRUSTED_INPUT)),
@@ -298,12 +299,12 @@ LINE_DETECTORS: list[LineDetector] = [
         [("f_sensitive", _ai(4, "retrieval_poisoning", "medium")), ("true", _ai(4, "retrieval_poisoning", "medium", "needs_review"))],
         ["f_retrieval", "f_model_call", "f_sensitive"],
     ),
-    LineDetector("DET-30", "json", K.MCP_KEYS, "f_mcp", [(Q.has("line", K.MCP_KEYS), _outcome("ai", 0, "mcp_untrusted_server", "high", "candidate", "medium"))], ["f_mcp"]),
+    LineDetector("DET-30", "json", K.MCP_KEYS, "f_mcp", [(Q.has("line", K.MCP_KEYS), outcome("ai", 0, "mcp_untrusted_server", "high", "candidate", "medium"))], ["f_mcp"]),
     LineDetector(
         "DET-31", "not_env", ["sk-", "ghp_", "xox", "akia", "key", "secret", "token", "passw"], f"NOT safe AND NOT {Q.matches('line', K.SECRET_PLACEHOLDER)}",
         [
-            (Q.matches("line", K.SECRET_SHAPE), _outcome("secrets", 1, "hardcoded_secret", "critical", "candidate", "low")),
-            (Q.matches("line", K.SECRET_ASSIGN), _outcome("secrets", 1, "hardcoded_secret", "high", "candidate", "low")),
+            (Q.matches("line", K.SECRET_SHAPE), outcome("secrets", 1, "hardcoded_secret", "critical", "candidate", "low")),
+            (Q.matches("line", K.SECRET_ASSIGN), outcome("secrets", 1, "hardcoded_secret", "high", "candidate", "low")),
         ],
     ),
 ]
@@ -324,20 +325,20 @@ class FileDetector:
     python: bool = False
 
 
-def _block(outcome, line: str, evidence: str, seq: str = "0") -> str:
-    return f"named_struct('outcome', {outcome}, 'line_no', {line}, 'evidence', {evidence}, 'seq', {seq})"
+def _block(number, line: str, evidence: str, seq: str = "0") -> str:
+    return f"named_struct('outcome', {number}, 'line_no', {line}, 'evidence', {evidence}, 'seq', {seq})"
 
 
-def _first_line(where: str, line_test: str, outcome: int) -> str:
+def _first_line(where: str, line_test: str, number: int) -> str:
     numbered = "transform(lines, (l, i) -> named_struct('n', i + 1, 'l', l))"
     hits = f"slice(filter({numbered}, h -> {line_test}), 1, 1)"
     evidence = f"left({Q.strip('h.l')}, {K.EVIDENCE_CHARS})"
-    return f"CASE WHEN {where} THEN transform({hits}, h -> {_block(outcome, 'h.n', evidence)}) ELSE {_NO_BLOCK} END"
+    return f"CASE WHEN {where} THEN transform({hits}, h -> {_block(number, 'h.n', evidence)}) ELSE {_NO_BLOCK} END"
 
 
 def _cors(kind: str, suffixes, pattern: str, star: str, credentials: str) -> str:
-    both = _outcome("cors", 0, "cors_wildcard_credentials", "critical", "candidate", "low", "block", evidence="block")
-    open_ = _outcome("cors", 0, "cors_wildcard", "high", "candidate", "low", "block", evidence="block")
+    both = outcome("cors", 0, "cors_wildcard_credentials", "critical", "candidate", "low", "block", evidence="block")
+    open_ = outcome("cors", 0, "cors_wildcard", "high", "candidate", "low", "block", evidence="block")
     inner = f"regexp_extract(m.match, {Q.lit(pattern)}, 1)"
     loose = Q.matches(inner, credentials)
     blocks = f"filter({Q.match_lines('text', pattern)}, m -> {Q.matches(inner, star)})"
@@ -347,7 +348,7 @@ def _cors(kind: str, suffixes, pattern: str, star: str, credentials: str) -> str
 
 
 def _rls() -> str:
-    outcome = _outcome("database", 0, "rls_disabled", "high", "candidate", "medium", evidence="block")
+    found = outcome("database", 0, "rls_disabled", "high", "candidate", "medium", evidence="block")
     name = f"lower(regexp_extract(m.match, {Q.lit(K.CREATE_TABLE)}, 1))"
     made = f"transform({Q.match_lines('text', K.CREATE_TABLE)}, m -> named_struct('t', {name}, 'n', m.line))"
     own = f"array_sort(filter({made}, c -> NOT {Q.among('c.t', K.SYSTEM_TABLES)}))"
@@ -356,7 +357,7 @@ def _rls() -> str:
     last = "filter(o, (c, i) -> get(o, i + 1) IS NULL OR get(o, i + 1).t != c.t)"
     # fixed format of the evidence text
     evidence = "concat('CREATE TABLE ', c.t, ' — ENABLE ROW LEVEL SECURITY not found')"
-    bare = f"transform(filter(u, c -> NOT array_contains({enabled}, c.t)), c -> {_block(outcome, 'c.n', evidence)})"
+    bare = f"transform(filter(u, c -> NOT array_contains({enabled}, c.t)), c -> {_block(found, 'c.n', evidence)})"
     result = (
         f"get(transform(transform(array({own}), o -> {last}), "
         f"u -> IF(size(u) = 1 AND {Q.matches('text', K.RLS_ANY)}, {_NO_BLOCK}, {bare})), 0)"
@@ -365,8 +366,8 @@ def _rls() -> str:
 
 
 def _ast_routes() -> str:
-    risky = _outcome("auth", 0, "missing_auth", "critical", "candidate", "medium", evidence="block")
-    write = _outcome("auth", 0, "missing_auth", "medium", "needs_review", "medium", evidence="block")
+    risky = outcome("auth", 0, "missing_auth", "critical", "candidate", "medium", evidence="block")
+    write = outcome("auth", 0, "missing_auth", "medium", "needs_review", "medium", evidence="block")
     changes = "coalesce(r.method IN ('POST', 'PUT', 'DELETE', 'PATCH'), false)"
     # fixed format of the evidence text
     evidence = "concat('@', coalesce(r.method, 'route'), '(\\'', r.route, '\\') - no auth')"
@@ -384,7 +385,7 @@ FILE_DETECTORS: list[FileDetector] = [
     FileDetector("DET-19", _rls()),
     FileDetector(
         "DET-22",
-        _first_line("f_anon_client", Q.matches("h.l", K.CLIENT_CALL), _outcome("database", 0, "supabase_anon_write", "medium", "candidate", "medium", evidence="block")),
+        _first_line("f_anon_client", Q.matches("h.l", K.CLIENT_CALL), outcome("database", 0, "supabase_anon_write", "medium", "candidate", "medium", evidence="block")),
         ["f_anon_client"],
     ),
     FileDetector(
@@ -392,7 +393,7 @@ FILE_DETECTORS: list[FileDetector] = [
         _first_line(
             Q.is_env_file("path"),
             Q.all_of(Q.matches("h.l", K.ENV_SECRET_KEY), f"NOT {Q.matches(Q.strip('h.l'), '^(?:#|//|[*])')}", f"NOT {Q.matches('h.l', K.SECRET_PLACEHOLDER)}"),
-            _outcome("secrets", 0, "committed_env_file", "critical", "candidate", "low", evidence="block"),
+            outcome("secrets", 0, "committed_env_file", "critical", "candidate", "low", evidence="block"),
         ),
     ),
 ]
@@ -400,9 +401,17 @@ FILE_DETECTORS: list[FileDetector] = [
 DETECTOR_KEYS = sorted([d.key for d in LINE_DETECTORS] + [d.key for d in FILE_DETECTORS])
 
 
-def _select(keys: Iterable[str] | None) -> tuple[list[LineDetector], list[FileDetector]]:
-    wanted = set(DETECTOR_KEYS if keys is None else keys)
-    return [d for d in LINE_DETECTORS if d.key in wanted], [d for d in FILE_DETECTORS if d.key in wanted]
+def _select(keys: Iterable | None) -> tuple[list[LineDetector], list[FileDetector]]:
+    """Detectors by key; detectors of one's own may stand among the keys.
+
+    A rule of one's own is a LineDetector or FileDetector whose cases name outcomes made
+    with ``outcome``.
+    """
+    chosen = list(DETECTOR_KEYS if keys is None else keys)
+    own = [k for k in chosen if not isinstance(k, str)]
+    wanted = {k for k in chosen if isinstance(k, str)}
+    lines = [d for d in LINE_DETECTORS if d.key in wanted] + [d for d in own if isinstance(d, LineDetector)]
+    return lines, [d for d in FILE_DETECTORS if d.key in wanted] + [d for d in own if isinstance(d, FileDetector)]
 
 
 # ------------------------------------------------------------------ the pass

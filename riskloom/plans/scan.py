@@ -15,6 +15,9 @@ from riskloom.functions import paths as P
 from riskloom.operators import context as C
 from riskloom.operators import detect as D
 from riskloom.operators import findings as R
+from riskloom.operators import packages as PK
+from riskloom.operators import patches as PT
+from riskloom.operators import review as V
 from riskloom.operators.evidence import build_evidence
 from riskloom.plans.staging import stage
 
@@ -98,6 +101,45 @@ def scan(files: DataFrame, keys=None, *, flows: bool = True, strict: bool = Fals
     return finish(evidenced(facts, repos, keys))
 
 
+def reviewed_scan(
+    files: DataFrame,
+    verdicts: DataFrame | None = None,
+    package_verdicts: DataFrame | None = None,
+    fixes: DataFrame | None = None,
+    keys=None,
+    *,
+    strict: bool = False,
+    staged: bool = False,
+) -> DataFrame:
+    """A scan that takes outside reviews into account, in the order of the full pipeline:
+    evidence, verdicts, contradiction gate, package findings, fixes, standard advice,
+    repository context, merging, final scoring.
+
+    ``verdicts`` and ``fixes`` refer to finding ids (see ``operators.review``);
+    ``fixes`` lacking the columns accepted and reasons are checked here.
+    """
+    marked = mark_ignored(files, strict)
+    facts = file_facts(marked, keys)
+    if staged:
+        facts = stage(facts, "file-facts")
+    repos = repository_facts(facts)
+    found = evidenced(facts, repos, keys)
+    if verdicts is not None:
+        found = V.merge_verdicts(found, verdicts)
+    found = R.contradiction_gate(found)
+    scanned = marked.filter(~F.col("ignored"))
+    if package_verdicts is not None:
+        audited = PK.audit_findings(PK.extract_packages(scanned), package_verdicts)
+        found = found.unionByName(audited, allowMissingColumns=True)
+    if fixes is not None:
+        if "accepted" not in fixes.columns:
+            about = found.filter("status = 'confirmed'").select("id", "repo_id", "category", "path")
+            ready = fixes.filter("status = 'patch_ready'").select("id", "patch").join(about, "id")
+            fixes = fixes.join(PT.verify_fixes(ready, scanned), "id", "left")
+        found = V.merge_fixes(found, fixes)
+    return finish(V.remediate(found))
+
+
 def repository_scores(findings: DataFrame) -> DataFrame:
     """Risk score, verdict and number of findings per repository."""
     return R.risk_scores(findings)

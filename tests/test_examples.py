@@ -206,3 +206,45 @@ def test_scores_do_not_depend_on_row_order(files):
     rows = S.scan(files(FIXTURE))
     again = rows.repartition(3, "line_number").orderBy(F.rand(7))
     assert R.risk_scores(rows).collect() == R.risk_scores(again).collect()
+
+
+def test_a_rule_of_ones_own(files):
+    number = D.outcome("injection", 9, "weak_hash", "low", "candidate", "high", "md5")
+    rule = D.LineDetector("OWN-01", "py", ["md5"], "NOT comment", [("line RLIKE 'md5[(]'", number)])
+    tree = {"a.py": "h = md5(x)\n# md5(y)\n", "b.js": "md5(x)\n"}
+    assert found(files, tree, [rule]) == [("weak_hash", "a.py", 1, "low", "candidate")]
+    rows = result(files, tree, keys=[rule])
+    assert [(r["category"], r["status"]) for r in rows] == [("weak_hash", "needs_review")]
+
+
+def test_reviews_change_a_scan(spark, files):
+    tree = {**FIXTURE, "safe.py": 'def f(uid):\n    db.execute(f"SELECT {uid}")\n'}
+    plain = {(r.path, r.line_number): r.id for r in S.scan(files(tree)).collect()}
+    flags = ",".join(f"{f}:boolean" for f in ("source_present", "sink_present", "path_present", "sanitizer_present", "attacker_controlled", "exploitability_proven"))
+    verdicts = spark.createDataFrame(
+        [
+            (plain["vuln_cors.py", 3], "confirmed", 0.97, None, "", ""),
+            (plain["vuln_auth.py", 5], "rejected", 0.9, None, "", ""),
+            (plain["vuln_sql.py", 6], "confirmed", 0.99, None, "dump the table", ""),
+            (plain["safe.py", 2], "confirmed", 0.8, (False, None, None, None, None, None), "", ""),
+        ],
+        f"id string, verdict string, confidence double, proof struct<{flags}>, attack_scenario string, rationale string",
+    )
+    packages = spark.createDataFrame(
+        [("npm", "react-auth-superhelper-lib", "suspicious", 0.5, None)], "registry string, package string, verdict string, confidence double, reason string"
+    )
+    patch = "--- a/vuln_sql.py\n+++ b/vuln_sql.py\n@@ -6 +6 @@\n-    cursor.execute(f\"SELECT * FROM users WHERE username = '{username}'\")\n+    cursor.find(username)\n"
+    fixes = spark.createDataFrame(
+        [(plain["vuln_sql.py", 6], "patch_ready", 0.9, patch, "Bind it", "")], "id string, status string, confidence double, patch string, recommendation string, explanation string"
+    )
+    rows = {(r.category, r.path, r.line_number): r for r in S.reviewed_scan(files(tree), verdicts, packages, fixes).collect()}
+    assert rows["cors_wildcard_credentials", "vuln_cors.py", 3].status == "confirmed"
+    assert rows["cors_wildcard_credentials", "vuln_cors.py", 3].confirmed_by == ["verifier"]
+    assert rows["cors_wildcard_credentials", "vuln_cors.py", 3].cvss_score == 9.0
+    assert ("missing_auth", "vuln_auth.py", 5) not in rows
+    assert rows["missing_auth", "vuln_auth.py", 8].status == "needs_review"
+    assert ("sql_injection", "safe.py", 2) not in rows  # confirmed without a source: the gate rejects it
+    assert rows["slopsquatting", "package.json", 5].status == "needs_review"
+    sql = rows["sql_injection", "vuln_sql.py", 6]
+    assert sql.fix_code == patch and sql.fix and sql.fix_source == "static_table"
+    assert all(r.recommendation for r in rows.values())
