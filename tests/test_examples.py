@@ -1,6 +1,5 @@
 """Small repositories with the findings they must or must not give."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import context as C
@@ -66,9 +65,7 @@ def test_clean_repository_scores_nothing(files):
     assert result(files, {"main.py": "def add(a, b):\n    return a + b\n"}) == []
 
 
-@pytest.mark.parametrize(
-    ("path", "text"),
-    [
+QUIET = [
         ("db.py", 'cursor.execute("SELECT * FROM t WHERE id = ?", (uid,))\n'),
         ("log.py", 'logger.info("started")\nlogger.info("record saved")\n'),
         ("a.js", "fs.readFile(path.join(base, req.query.file), cb)\n"),
@@ -81,16 +78,19 @@ def test_clean_repository_scores_nothing(files):
         ("limits.py", 'from slowapi import Limiter\n@limiter.limit("5/minute")\n@app.post("/api/auth/login")\ndef login(): pass\n'),
         ("vendor/unsafe.ts", "router.post('/login', handler)\n"),
         ("generated/agent.py", "prompt = request.body\nresponse = client.responses.create(input=prompt)\n"),
-    ],
-)
-def test_no_finding(files, path, text):
-    keys = [k for k in D.DETECTOR_KEYS if not (path.startswith("limits") and k == "DET-09")]
-    assert found(files, {path: text}, keys) == []
+    ]
+
+
+def test_no_findings(files):
+    """One repository per case, so that one scan covers them all."""
+    tree = {f"case{i}": {path: text} for i, (path, text) in enumerate(QUIET)}
+    rows = D.candidates(files(tree)).collect()
+    # a limited route may still lack authentication
+    rows = [r for r in rows if not (r.path == "limits.py" and r.category == "missing_auth")]
+    assert [(r.path, r.category) for r in rows] == []
 
 
-@pytest.mark.parametrize(
-    ("path", "text", "expected"),
-    [
+LOUD = [
         ("a.js", "exec(`ls ${dir}`)\n", ("command_injection", "critical", "candidate")),
         ("a.ts", "fs.readFile(req.query.file, cb)\n", ("path_traversal", "high", "candidate")),
         ("a.js", "db.query(`SELECT * FROM t WHERE id = ${id}`)\n", ("sql_injection", "critical", "candidate")),
@@ -103,11 +103,14 @@ def test_no_finding(files, path, text):
         ("firestore.rules", "allow read: if true;\n", ("firebase_public", "high", "candidate")),
         ("mcp.json", '{"mcpServers": {\n"x": {"command": "npx"}}}\n', ("mcp_untrusted_server", "high", "candidate")),
         ("app/api/admin/x/route.ts", "export async function DELETE(req) {\n}\n", ("missing_auth", "critical", "needs_review")),
-    ],
-)
-def test_one_finding(files, path, text, expected):
-    keys = [k for k in D.DETECTOR_KEYS if not (path == "l.py" and k == "DET-09")]
-    assert [(c, s, t) for c, _, _, s, t in found(files, {path: text}, keys)] == [expected]
+    ]
+
+
+def test_one_finding_each(files):
+    tree = {f"case{i:02}": {path: text} for i, (path, text, _) in enumerate(LOUD)}
+    rows = D.candidates(files(tree)).collect()
+    got = sorted((r.repo_id, r.category, r.severity, r.status) for r in rows if not (r.path == "l.py" and r.category == "missing_auth"))
+    assert got == [(f"case{i:02}", *expected) for i, (_, _, expected) in enumerate(LOUD)]
 
 
 def test_rls_switched_on(files):
@@ -164,20 +167,20 @@ def test_open_delete_route_is_a_candidate(files):
     assert [(r["category"], r["status"]) for r in result(files, {"public_api.py": text})] == [("missing_auth", "candidate")]
 
 
-@pytest.mark.parametrize(
-    ("tree", "kind"),
-    [
+KINDS = [
         ({"pyproject.toml": "[project]\nname='svc'\ndependencies=['fastapi']\n", "internal/worker/app.py": "SERVICE_HOST = '127.0.0.1'\n@app.post('/api/admin/users')\nasync def f(p): return p\n"}, "internal_service"),
         ({"package.json": '{\n  "name": "@acme/sdk",\n  "exports": {".": "./src/index.js"}\n}\n', "src/sdk/index.js": "export function requestClient() { return 'ok'; }\n"}, "library"),
         ({"pyproject.toml": "[project]\nname='framework'\ndependencies=['fastapi']\n", "plugin.py": "from fastapi import APIRouter\nrouter = APIRouter()\ndef install_middleware(app):\n    return app\n"}, "framework"),
         ({"package.json": '{\n  "dependencies": {\n    "express": "^4.0.0"\n  }\n}\n', "routes.js": "app.get('/health', () => {})\n"}, "framework"),
         ({"requirements.txt": "rq\nsqlmodel\n", "rq_pkg/__init__.py": "from rq import Queue\n"}, "library"),
         ({"package.json": '{"dependencies": {"express": "^4.0.0"}}', "server.js": "app.post('/login', handler)\napp.post('/signup', handler)\napp.get('/account/profile', handler)\n"}, "application"),
-    ],
-)
-def test_repository_kinds(files, tree, kind):
+    ]
+
+
+def test_repository_kinds(files):
+    tree = {f"case{i}": paths for i, (paths, _) in enumerate(KINDS)}
     rows = C.repo_contexts(C.file_context(S.mark_ignored(files(tree)))).collect()
-    assert [r.kind for r in rows] == [kind]
+    assert {r.repo_id: r.kind for r in rows} == {f"case{i}": kind for i, (_, kind) in enumerate(KINDS)}
 
 
 def test_ignored_paths(files):
