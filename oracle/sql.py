@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from oracle import base as B
-from oracle.base import NL, has, lst, pick, q, rx, words
+from oracle.base import NL, has, pick, q, rx, words
 from riskloom.functions import fixed as K
 from riskloom.functions.prose import TEXTS
-from riskloom.plans import modules
 from riskloom.plans.queries import _CATEGORIES, _KINDS
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,10 +63,6 @@ def is_generated(path: Column) -> Column:
     )
 
 
-def is_test_path(path: Column) -> Column:
-    return contains_any(F.lower(path), K.TEST_PATH_WORDS)
-
-
 def is_high_risk_route(route: Column) -> Column:
     return contains_any(F.lower(route), K.HIGH_RISK_PATHS)
 
@@ -94,11 +88,6 @@ def needs_rate_limit(route: Column) -> Column:
     return F.coalesce((kind == "payment") | ((kind == "auth") & is_login_target(route)), F.lit(False))
 
 
-def is_handler_path(path: Column) -> Column:
-    lowered = F.lower(path)
-    return F.startswith(lowered, F.lit("app/api/")) & ends_with_any(lowered, ["/route.ts", "/route.js"])
-
-
 def handler_route(path: Column) -> Column:
     """URL of a file-based handler: ``app/api/users/route.ts`` -> ``/api/users``."""
     inner = F.substr(path, F.lit(len("app/api/") + 1))
@@ -139,7 +128,3 @@ def normalise_repo(value: Column) -> Column:
             F.regexp_extract(v, K.REPO_URL_LOOSE, 2),
         ),
     )
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from riskloom.functions.text import lookup
 
@@ -132,12 +131,6 @@ TEXTS: dict[str, tuple[str, str, str]] = {
 }
 
 
-def describe(category: Column, path: Column, line: Column, detail: Column) -> Column:
-    sentence = lookup({k: v[0] for k, v in TEXTS.items()}, category, "A risky construct was found.")
-    about = F.when(F.coalesce(detail, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" ["), detail, F.lit("]")))
-    return F.concat(sentence, about, F.lit(" At "), path, F.lit(":"), line.cast("string"), F.lit("."))
-
-
 def advice(category: Column) -> tuple[Column, Column]:
     """(recommendation, fix) of a known category, else nulls."""
     return (

@@ -75,38 +75,6 @@ def normalized(evidence: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(evidence, r"(?U)\s+", " ")))
 
 
-def count_newlines(col: Column) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit("\n"), F.lit("")))
-
-
-def match_lines(text: Column, pattern: str) -> Column:
-    """``array<struct<line int, match string>>``: every match of a pattern over the
-    whole text with the line its first character is on."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    # newlines before match i = those of the gaps up to it and of the matches before it
-    steps = F.zip_with(
-        gaps, found, lambda g, m: F.struct(count_newlines(g).alias("g"), m.alias("m"))
-    )
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.array().cast("array<struct<line:int,match:string>>").alias("out"),
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        at = acc.line + s.g
-        return F.struct(
-            (at + count_newlines(s.m)).alias("line"),
-            F.concat(acc.out, F.array(F.struct(at.alias("line"), s.m.alias("match")))).alias("out"),
-        )
-
-    return F.aggregate(F.filter(steps, lambda s: s.m.isNotNull()), start, step, lambda acc: acc.out)
-
-
-def in_list(col: Column, values: Iterable[str]) -> Column:
-    return col.isin(*list(values))
-
-
 def literal_map(mapping: dict) -> Column:
     """A constant map; look up with ``F.try_element_at``."""
     pairs: list[Column] = []
