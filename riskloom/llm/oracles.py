@@ -59,4 +59,14 @@ SELECT doc_id, size, source_size, target, CAST(t0 + t1 + t2 AS BIGINT) AS taken,
 FROM k
 """
 
-ORACLES: dict[str, str] = {"op3_rule_ledger": OP3, "op6_curriculum": OP6}
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept, text_sha256
+FROM d
+"""
+
+ORACLES: dict[str, str] = {"op3_rule_ledger": OP3, "op4_stream_dedup": OP4, "op6_curriculum": OP6}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, rule_ledger, token_store
+from riskloom.llm import curriculum, retrieval_packing, rule_ledger, stream_dedup, token_store
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,13 +38,23 @@ def op3_rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_dedup.duplicates(table(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op6_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     got = curriculum.totals(table(spark, sf, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).sortWithinPartitions("position")
 
 
+def op7_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval_packing.pack(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), "bytes", end_id=1).drop("ids")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op3_rule_ledger": op3_rule_ledger,
+    "op4_stream_dedup": op4_stream_dedup,
     "op6_curriculum": op6_curriculum,
+    "op7_retrieval_packing": op7_retrieval_packing,
 }
