@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, retrieval_packing, rule_ledger, stream_dedup, token_store
+from riskloom.llm import curriculum, lsh_forest, retrieval_packing, rule_ledger, stream_dedup, token_store
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,10 +51,15 @@ def op7_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval_packing.pack(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), "bytes", end_id=1).drop("ids")
 
 
+def op8_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf, "documents"), words=3, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_stream_dedup": op4_stream_dedup,
     "op6_curriculum": op6_curriculum,
     "op7_retrieval_packing": op7_retrieval_packing,
+    "op8_lsh_forest": op8_lsh_forest,
 }
