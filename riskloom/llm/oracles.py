@@ -59,6 +59,23 @@ SELECT doc_id, size, source_size, target, CAST(t0 + t1 + t2 AS BIGINT) AS taken,
 FROM k
 """
 
+OP2 = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+v AS (
+  SELECT doc_id, i, word, CASE WHEN count(*) OVER s = 13 THEN string_agg(word, ' ') OVER s END AS stretch
+  FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+b AS (SELECT doc_id, i, word, CASE WHEN stretch IS NOT NULL AND min(doc_id) OVER (PARTITION BY stretch) < doc_id THEN 1 ELSE 0 END AS hit FROM v),
+r AS (
+  SELECT doc_id, i, word, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM b),
+k AS (
+  SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed,
+         sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+  FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP4 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -69,4 +86,4 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DES
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op3_rule_ledger": OP3, "op4_stream_dedup": OP4, "op6_curriculum": OP6}
+ORACLES: dict[str, str] = {"op2_phrase_automata": OP2, "op3_rule_ledger": OP3, "op4_stream_dedup": OP4, "op6_curriculum": OP6}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, lsh_forest, retrieval_packing, rule_ledger, stream_dedup, token_store
+from riskloom.llm import curriculum, lsh_forest, phrase_automata, retrieval_packing, rule_ledger, stream_dedup, token_store
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_token_store(spark: SparkSession, sf: str) -> DataFrame:
     return token_store.read_store(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_phrase_automata(spark: SparkSession, sf: str) -> DataFrame:
+    return phrase_automata.without_repeats(table(spark, sf, "documents"), with_text=False).drop("kept_text")
+
+
 def op3_rule_ledger(spark: SparkSession, sf: str) -> DataFrame:
     book = rule_ledger.ledger(table(spark, sf, "documents"))
     base = F.col("failed").bitwiseAND(F.lit(rule_ledger.mask(rule_ledger.BASE))) != 0
@@ -57,6 +61,7 @@ def op8_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
+    "op2_phrase_automata": op2_phrase_automata,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_stream_dedup": op4_stream_dedup,
     "op6_curriculum": op6_curriculum,
