@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, lsh_forest, phrase_automata, retrieval_packing, rule_ledger, stream_dedup, token_store
+from riskloom.llm import curriculum, lsh_forest, phrase_automata, retrieval_packing, rule_ledger, stream_dedup, suffix_sort, token_store
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op8_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf, "documents"), words=3, percent=85)
 
 
+def op9_suffix_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_sort.without_repeats(table(spark, sf, "documents")).drop("starts", "ends")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_phrase_automata": op2_phrase_automata,
@@ -67,4 +71,5 @@ QUERIES: dict[str, Query] = {
     "op6_curriculum": op6_curriculum,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_lsh_forest": op8_lsh_forest,
+    "op9_suffix_sort": op9_suffix_sort,
 }
