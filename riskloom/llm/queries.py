@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, lsh_forest, phrase_automata, retrieval_packing, rule_ledger, stream_dedup, suffix_sort, token_store
+from riskloom.llm import curriculum, lsh_forest, phrase_automata, ppm, retrieval_packing, rule_ledger, stream_dedup, suffix_sort, token_store
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op9_suffix_sort(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_sort.without_repeats(table(spark, sf, "documents")).drop("starts", "ends")
 
 
+def op10_ppm(spark: SparkSession, sf: str) -> DataFrame:
+    return ppm.scores(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_phrase_automata": op2_phrase_automata,
@@ -72,4 +76,5 @@ QUERIES: dict[str, Query] = {
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_lsh_forest": op8_lsh_forest,
     "op9_suffix_sort": op9_suffix_sort,
+    "op10_ppm": op10_ppm,
 }
