@@ -4,7 +4,7 @@ The model is a byte trie of contexts up to ``order`` bytes, counted over all tra
 byte is coded in its longest known context; where that has not seen the byte, it escapes to
 the context without its oldest byte, with the symbols of the longer one excluded.  A context
 with n counted symbols of d kinds (both without the excluded ones) gives a symbol seen c times
-c / (n + d) and the escape d / (n + d); a context whose symbols are all excluded escapes for
+(c - 1/2) / n and the escape d / 2n; a context whose symbols are all excluded escapes for
 free; below the empty context the symbols never seen are equally likely.  Texts are lower-cased
 words with one space between and a line end after, so the score covers words and end.
 
@@ -189,9 +189,9 @@ class Trie:
                 count = self._count(k, codes & ((1 << 8 * (k + 1)) - 1))
                 codable = left & (free_d > 0)
                 hit = codable & (count > 0)
-                out[hit] += np.log10(count[hit] / (free_n + free_d)[hit])
+                out[hit] += np.log10((count[hit] - 0.5) / free_n[hit])
                 miss = codable & ~hit
-                out[miss] += np.log10(free_d[miss] / (free_n + free_d)[miss])
+                out[miss] += np.log10(0.5 * free_d[miss] / free_n[miss])
                 left &= ~hit
                 gone_n, gone_d = lower, d
         never = 256 - int((self.single > 0).sum())
@@ -200,7 +200,7 @@ class Trie:
         return out
 
 
-def scores(docs: DataFrame, order: int = 4, block_bytes: int = 1 << 22) -> DataFrame:
+def scores(docs: DataFrame, order: int = 5, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The base is the sum over words and end of log10((c + 0.5) / (N + 0.5 (V + 1))), c a
