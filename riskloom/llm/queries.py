@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, lsh_forest, phrase_automata, ppm, retrieval_packing, rule_ledger, stream_dedup, suffix_sort, token_store
+from riskloom.llm import curriculum, dom_boost, lsh_forest, phrase_automata, ppm, retrieval_packing, rule_ledger, stream_dedup, suffix_sort, token_store
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op4_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return stream_dedup.duplicates(table(spark, sf, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_dom_boost(spark: SparkSession, sf: str) -> DataFrame:
+    return dom_boost.extract(table(spark, sf, "pages"))
+
+
 def op6_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     got = curriculum.totals(table(spark, sf, "documents"))
     return got.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).sortWithinPartitions("position")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op2_phrase_automata": op2_phrase_automata,
     "op3_rule_ledger": op3_rule_ledger,
     "op4_stream_dedup": op4_stream_dedup,
+    "op5_dom_boost": op5_dom_boost,
     "op6_curriculum": op6_curriculum,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_lsh_forest": op8_lsh_forest,
