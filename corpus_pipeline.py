@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import curriculum, rule_ledger
+from riskloom.llm import curriculum, lsh_forest, retrieval_packing, rule_ledger, stream_dedup
+from riskloom.llm.queries import tokenizer_file
 from riskloom.plans.staging import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Stages with word packing and tie rules of their own are held against brute force in the tests.
+#: SQL can't express retrieval packing; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -19,15 +20,37 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rule_ledger.apply_policy(docs)
 
 
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal but for white space the longest one."""
+    return stream_dedup.deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles, at a similarity of 0.8 or more."""
+    return lsh_forest.one_of_each(docs, words=5, percent=80)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix uses them, in training order."""
     return curriculum.mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("source_mix", source_mix)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return retrieval_packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), "bytes").drop("ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage in turn over the documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)

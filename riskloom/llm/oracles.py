@@ -34,13 +34,16 @@ OP6 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
 s AS (SELECT source, sum(size) AS source_size, count(*) AS n_docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 p AS (SELECT *, CAST(place % 3 + 1 AS DOUBLE) AS weight, CAST(source_size * 3 AS DOUBLE) AS cap FROM s),
-q AS (
-  SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS all_weight, count(*) OVER () AS n_sources,
-         coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
-         coalesce(sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before
-  FROM p),
-l AS (SELECT *, (total - cap_before) / (all_weight - weight_before) AS lev FROM q),
-t AS (SELECT *, min(CASE WHEN lev * weight <= cap THEN lev END) OVER () AS level FROM l),
+q AS (SELECT *, CAST((SELECT sum(source_size) FROM p) AS DOUBLE) AS total, (SELECT count(*) FROM p) AS n_sources, cap / weight AS ratio FROM p),
+l AS (
+  -- the level at which a source is just full: the words that all sources hold then grow with it
+  SELECT a.source, (any_value(a.total) - coalesce(sum(b.cap) FILTER (WHERE (b.ratio, b.place) < (a.ratio, a.place)), 0))
+         / sum(b.weight) FILTER (WHERE (b.ratio, b.place) >= (a.ratio, a.place)) AS level,
+         sum(least(b.cap, a.ratio * b.weight)) AS held
+  FROM q a, q b GROUP BY a.source, a.ratio, a.place),
+t AS (
+  SELECT q.*, (SELECT l.level FROM l JOIN q o ON l.source IS NOT DISTINCT FROM o.source WHERE l.held >= o.total ORDER BY o.ratio, o.place LIMIT 1) AS level
+  FROM q),
 u AS (
   SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, level * weight) AS target,
          0.8::DOUBLE * (2.0::DOUBLE * place / greatest(n_sources - 1, 1) - 1) AS slope FROM t),
