@@ -507,7 +507,7 @@ def downgrade(source: str, name: str) -> list[str]:
     inward = "(kind IN ('internal_service', 'ml_platform') AND NOT external_exposure_proven)"
     packaged = "(kind IN ('library', 'framework') AND NOT (external_exposure_proven AND sensitive_public_surface))"
     hit = f"(category IN ({words(K.ROUTE)}) AND (({inward} AND status = 'confirmed') OR ({packaged} AND NOT {inward} AND status IN ('confirmed', 'candidate'))))"
-    note = f"'Downgraded for ' || kind || CASE WHEN {inward} THEN ': external exposure not proven.' ELSE ': public exposure and a sensitive action are not both proven.' END"
+    note = f"'Rated lower, as this is a ' || kind || CASE WHEN {inward} THEN ' that nothing shows to be reachable from outside.' ELSE ' without both a public route and a sensitive action.' END"
     return [
         f"{name}_hit AS (SELECT *, {hit} AS hit, {note} AS new_note FROM {source})",
         f"""{name} AS (SELECT * REPLACE (CASE WHEN hit THEN 'needs_review' ELSE status END AS status,

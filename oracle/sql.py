@@ -490,15 +490,15 @@ ORACLES: dict[str, str] = {
     "patch_apply": _with(
         [*MODULE, PATCH],
         f"""SELECT id, fx.repo_id, CASE WHEN nofile THEN NULL ELSE fx.path END AS path, NOT nofile AND kind <> 3 AS ok, CASE WHEN NOT nofile AND kind <> 3 THEN length(text) - {len(_OLD)} + {_NEW_LEN} END AS n_chars,
-            CASE WHEN nofile THEN 'Patch has no file blocks.' WHEN kind = 3 THEN 'Could not apply patch to ' || fx.path || '.' END AS error FROM fx JOIN module m ON m.path = fx.path""",
+            CASE WHEN nofile THEN 'The patch names no file.' WHEN kind = 3 THEN 'The patch does not fit ' || fx.path || '.' END AS error FROM fx JOIN module m ON m.path = fx.path""",
     ),
     "fix_verify": _with(
         [*MODULE, PATCH,
          "others AS (SELECT fx.id, count(*) AS n FROM fx JOIN part p ON p.path = fx.path AND p.event_id <> fx.event_id AND p.part_no IN (0, 6) GROUP BY fx.id)",
-         """judged AS (SELECT id, CASE WHEN nofile THEN 'Patch has no file blocks.' WHEN kind = 3 THEN 'Could not apply patch to ' || path || '.'
-            WHEN kind = 2 THEN 'Python syntax error in ' || path || ': ''('' was never closed.' WHEN kind = 1 OR coalesce(n, 0) > 0 THEN 'Patch did not remove the original weakness.'
-            ELSE 'Patch applies, syntax checks pass, and the weakness is gone.' END AS reasons FROM fx LEFT JOIN others USING (id))"""],
-        "SELECT id, reasons = 'Patch applies, syntax checks pass, and the weakness is gone.' AS accepted, reasons FROM judged",
+         """judged AS (SELECT id, CASE WHEN nofile THEN 'The patch names no file.' WHEN kind = 3 THEN 'The patch does not fit ' || path || '.'
+            WHEN kind = 2 THEN 'After the patch ' || path || ' does not parse: ''('' was never closed.' WHEN kind = 1 OR coalesce(n, 0) > 0 THEN 'The weakness is still there after the patch.'
+            ELSE 'The patch fits, the code parses and the weakness is gone.' END AS reasons FROM fx LEFT JOIN others USING (id))"""],
+        "SELECT id, reasons = 'The patch fits, the code parses and the weakness is gone.' AS accepted, reasons FROM judged",
     ),
     "validate_requests": f"""WITH src AS (SELECT 'p' || page_id AS id, url AS value FROM pages
         UNION ALL SELECT 'd' || doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://github.com/' || source || '/' || lang || '.git/tree' WHEN 1 THEN ' github.com/' || source || '/r.x/ '

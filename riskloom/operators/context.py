@@ -223,10 +223,10 @@ def apply_context(findings: DataFrame) -> DataFrame:
         F.lit(False),
     )
     note = F.concat(
-        F.lit("Downgraded for "),
+        F.lit("Rated lower, as this is a "),
         c("kind"),
-        F.when(inward, ": external exposure not proven.").otherwise(
-            ": public exposure and a sensitive action are not both proven."
+        F.when(inward, " that nothing shows to be reachable from outside.").otherwise(
+            " without both a public route and a sensitive action."
         ),
     )
     confidence = F.least(F.when(c("confidence") == 0, F.lit(1.0)).otherwise(c("confidence")), F.lit(0.49))

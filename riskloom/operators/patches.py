@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import sys
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import fixed as K
 from riskloom.functions import paths as P
+from riskloom.functions import sqltext as Q
 from riskloom.functions import text as X
-from riskloom.functions.workers import by_value
 from riskloom.operators.pyfacts import python_syntax
 
-_HEADER = re.compile(r"@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@")
-RESULT = "struct<ok:boolean,text:string,error:string>"
-
-
 def targets(patch: Column) -> Column:
     """Paths a patch changes, without the a/ and b/ prefixes and time stamps."""
     new = F.regexp_extract_all(patch, F.lit(r"(?m)^--- [^\n]*\n\+\+\+ ([^\t\n]*)"), F.lit(1))
@@ -27,91 +20,78 @@ def targets(patch: Column) -> Column:
     return F.transform(names, lambda n: F.when(n == "/dev/null", "").otherwise(F.regexp_replace(n, "^[ab]/", "")))
 
 
-def _hunks_for(patch: str, path: str) -> list[list[str]]:
-    """Hunks of the blocks of ``patch`` that change ``path``, in order."""
-    hunks: list[list[str]] = []
-    name, before, active = None, "", False
-    for line in patch.splitlines():
-        if line.startswith("--- "):
-            name, active = line[4:].split("\t", 1)[0].strip(), False
-        elif name is not None and before.startswith("--- ") and line.startswith("+++ "):
-            target = line[4:].split("\t", 1)[0].strip() or name
-            target = target[2:] if target[:2] in ("a/", "b/") else target
-            active = target == path
-        elif active and line.startswith("@@"):
-            hunks.append([line])
-        elif active and hunks:
-            hunks[-1].append(line)
-        before = line
-    return hunks
-
-
-def patched(text: str, patch: str, path: str) -> tuple[bool, str | None, str | None]:
-    """Apply the hunks for one file.  A context or removed line that is not where the
-    hunk says is looked for further down."""
-    lines = text.splitlines()
-    result, shift = list(lines), 0
-    for header, *body in _hunks_for(patch, path):
-        place = _HEADER.match(header)
-        if place is None:
-            return False, None, f"Could not apply patch to {path}."
-        at = max(int(place.group(1)) - 1 + shift, 0)
-        for raw in body:
-            if raw == "\\ No newline at end of file":
-                continue
-            mark, content = (raw[0], raw[1:]) if raw else (" ", "")
-            if mark == "+":
-                result.insert(at, content)
-                at, shift = at + 1, shift + 1
-                continue
-            if mark not in " -":
-                return False, None, f"Could not apply patch to {path}."
-            try:
-                at = result.index(content, at)
-            except ValueError:
-                return False, None, f"Could not apply patch to {path}."
-            if mark == "-":
-                del result[at]
-                shift -= 1
-            else:
-                at += 1
-    return True, "\n".join(result) + ("\n" if lines else ""), None
-
-
-def _apply(text: pa.Array, patch: pa.Array, path: pa.Array) -> pa.Array:
-    rows = []
-    for t, p, name in zip(text.to_pylist(), patch.to_pylist(), path.to_pylist(), strict=True):
-        if t is None:
-            rows.append({"ok": False, "text": None, "error": f"Patch target does not exist: {name}"})
-        else:
-            rows.append(dict(zip(("ok", "text", "error"), patched(t, p, name), strict=True)))
-    return pa.array(rows, type=pa.struct([("ok", pa.bool_()), ("text", pa.string()), ("error", pa.string())]))
+# A file's part of a patch: what follows its two name lines, up to the next pair of them.
+_PART = r"(?sm)^--- ([^\t\n]*)[^\n]*\n\+\+\+ ([^\t\n]*)[^\n]*(?:\n|\z)(.*?)(?=^--- [^\n]*\n\+\+\+ |\z)"
+# A hunk: the line it starts at, and its body; a header without a line number gives a hunk that fits nowhere.
+_HUNK = r"(?sm)^@@(?: -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@)?[^\n]*(?:\n|\z)(.*?)(?=^@@|\z)"
+
+
+def _side(lines: str, other: str) -> str:
+    """SQL for one side of a hunk as text: its lines without their marks, each ended by a line feed."""
+    own = f"filter({lines}, l -> NOT startswith(l, '{other}') AND NOT startswith(l, '\\\\'))"
+    return f"array_join(transform({own}, l -> concat(substring(l, 2), '\\n')), '')"
+
+
+def _hunks(part: str) -> str:
+    """SQL for the hunks of a file's part: (line, old, new, sound)."""
+    body = "split(regexp_replace(b, '\\n\\\\z', ''), '\\n')"
+    body = f"IF(b = '', CAST(array() AS array<string>), {body})"
+    zipped = f"zip_with(regexp_extract_all({part}, {Q.lit(_HUNK)}, 1), regexp_extract_all({part}, {Q.lit(_HUNK)}, 2), (n, b) -> named_struct('n', n, 'lines', {body}))"
+    sound = "h.n <> '' AND forall(h.lines, l -> l = '' OR substring(l, 1, 1) IN (' ', '-', '+', '\\\\'))"
+    return (
+        f"transform({zipped}, h -> named_struct('at', CAST(IF(h.n = '', '0', h.n) AS int), 'old', {_side('h.lines', '+')}, "
+        f"'new', {_side('h.lines', '-')}, 'sound', {sound}))"
+    )
+
+
+def _changed() -> str:
+    """SQL for (text, moved, fits): the hunks' old sides replaced by their new ones, in order.
+
+    The text stands between line feeds, so a block of whole lines is a piece of text.  Each
+    block is looked for from the line its hunk names, moved by what earlier hunks added.
+    """
+    count = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
+    start = "least(length(substring_index(s.text, '\\n', greatest(h.at - 1 + s.moved, 0) + 1)) + 1, length(s.text))"
+    found = f"IF(h.old = '', {start}, locate(concat('\\n', h.old), s.text, {start}))"
+    step = (
+        f"IF(NOT s.fits OR NOT h.sound OR {found} = 0, named_struct('text', s.text, 'moved', s.moved, 'fits', false), "
+        f"named_struct('text', concat(left(s.text, {found}), h.new, substring(s.text, {found} + 1 + length(h.old))), "
+        f"'moved', s.moved + {count('h.new')} - {count('h.old')}, 'fits', true))"
+    )
+    begin = f"concat('\\n', regexp_replace(regexp_replace(text, {Q.lit(K.LINE_BREAK)}, '\\n'), '\\n\\\\z', ''), IF(text = '', '', '\\n'))"
+    return f"aggregate(hunks, named_struct('text', {begin}, 'moved', 0, 'fits', true), (s, h) -> {step})"
 
 
 def apply_patches(fixes: DataFrame, files: DataFrame) -> DataFrame:
     """(id, repo_id, path, ok, text, error): every file a fix changes, after the change.
 
-    ``fixes`` holds (id, repo_id, patch).  Files meet patches in one equi join; each
-    row is then changed on its own.
+    ``fixes`` holds (id, repo_id, patch).  A patch is cut into its files' parts, these meet the
+    files in one equi join, and each text is changed by SQL functions alone.
     """
     c = F.col
-    by_value(sys.modules[__name__])
-    apply_udf = F.arrow_udf(_apply, RESULT)
-    wanted = fixes.select("id", "repo_id", "patch", F.array_distinct(targets(c("patch"))).alias("paths"))
-    bare = wanted.filter(F.size("paths") == 0).select(
+    parts = F.regexp_extract_all("patch", F.lit(_PART), F.lit(3))
+    wanted = fixes.select("id", "repo_id", F.arrays_zip(targets(c("patch")).alias("path"), parts.alias("part")).alias("changes"))
+    bare = wanted.filter(F.size("changes") == 0).select(
         "id", "repo_id", F.lit(None).cast("string").alias("path"), F.lit(False).alias("ok"), F.lit(None).cast("string").alias("text"),
-        F.lit("Patch has no file blocks.").alias("error"),
+        F.lit("The patch names no file.").alias("error"),
+    )
+    each = wanted.select("id", "repo_id", F.posexplode("changes").alias("place", "change")).select("id", "repo_id", "place", "change.path", "change.part")
+    # several parts for one file are one after another
+    each = each.groupBy("id", "repo_id", "path").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x.part), "").alias("part")
     )
-    each = wanted.select("id", "repo_id", "patch", F.explode("paths").alias("path"))
-    unsafe = F.when(c("path") == "", "Patch target is missing.").when(
-        F.startswith("path", F.lit("/")) | F.array_contains(F.split("path", "/"), ".."), "Patch target escapes repo root."
+    met = each.join(files.select("repo_id", "path", "text"), ["repo_id", "path"], "left")
+    done = met.withColumn("hunks", F.expr(_hunks("part"))).withColumn("r", F.when(c("text").isNotNull(), F.expr(_changed())))
+    error = (
+        F.when(c("path") == "", "The patch leaves no file to change.")
+        .when(F.startswith("path", F.lit("/")) | F.array_contains(F.split("path", "/"), ".."), "The patch points outside the repository.")
+        .when(c("text").isNull(), F.concat(F.lit("There is no file "), "path", F.lit(" to change.")))
+        .when(~c("r.fits"), F.concat(F.lit("The patch does not fit "), "path", F.lit(".")))
     )
-    met = each.join(files.select("repo_id", "path", "text"), ["repo_id", "path"], "left").withColumn("unsafe", unsafe)
-    done = met.withColumn("r", apply_udf(c("text"), c("patch"), c("path")))
-    good = c("unsafe").isNull()
+    done = done.withColumn("error", error)
+    good = c("error").isNull()
     return done.select(
-        "id", "repo_id", "path", (good & c("r.ok")).alias("ok"), F.when(good, c("r.text")).alias("text"),
-        F.coalesce(c("unsafe"), c("r.error")).alias("error"),
+        "id", "repo_id", "path", good.alias("ok"), F.when(good, F.substring("r.text", F.lit(2), F.length("r.text"))).alias("text"), "error"
     ).unionByName(bare)
 
 
@@ -130,20 +110,20 @@ def verify_fixes(fixes: DataFrame, files: DataFrame) -> DataFrame:
     checked = changed.withColumn("syntax", syntax)
     problem = (
         F.when(~c("ok"), c("error"))
-        .when(~c("syntax.ok"), F.concat(F.lit("Python syntax error in "), c("path"), F.lit(": "), c("syntax.message"), F.lit(".")))
+        .when(~c("syntax.ok"), F.concat(F.lit("After the patch "), c("path"), F.lit(" does not parse: "), c("syntax.message"), F.lit(".")))
     )
-    problems = checked.groupBy("id").agg(F.sort_array(F.collect_set(problem)).alias("problems"))
+    problems = checked.groupBy("id").agg(F.min(F.when(problem.isNotNull(), F.struct("path", problem.alias("what")))).alias("first_problem"))
     rescanned = fixes.filter(c("category").isin("sql_injection", "command_injection", "log_injection"))
     survivors = _survivors(rescanned, changed.filter("ok"), files)
     empty = X.strip(F.coalesce("patch", F.lit(""))) == ""
     rows = fixes.join(problems, "id", "left").join(survivors.withColumn("survives", F.lit(True)), "id", "left")
     reasons = (
-        F.when(empty, F.array(F.lit("Patch is empty.")))
-        .when(F.size("problems") > 0, c("problems"))
-        .when(c("survives"), F.array(F.lit("Patch did not remove the original weakness.")))
-        .otherwise(F.array(F.lit("Patch applies, syntax checks pass, and the weakness is gone.")))
+        F.when(empty, F.array(F.lit("There is no patch.")))
+        .when(c("first_problem").isNotNull(), F.array("first_problem.what"))
+        .when(c("survives"), F.array(F.lit("The weakness is still there after the patch.")))
+        .otherwise(F.array(F.lit("The patch fits, the code parses and the weakness is gone.")))
     )
-    accepted = ~empty & (F.size("problems") == 0) & c("survives").isNull()
+    accepted = ~empty & c("first_problem").isNull() & c("survives").isNull()
     return rows.select("id", accepted.alias("accepted"), reasons.alias("reasons"))
 
 
