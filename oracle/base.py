@@ -65,7 +65,7 @@ def ignored(path: str, size: str) -> str:
     name = f"list_extract(string_split({low}, '/'), -1)"
     ends = " OR ".join(f"ends_with({name}, {q(e)})" for e in K.SKIP_ENDINGS)
     readable = f"({suffix_of(path)} IN ({words(K.SCAN_SUFFIXES)}) OR {name} = '.env' OR starts_with({name}, '.env.') OR {name} IN ({words(K.RULE_FILES)}))"
-    return f"(list_has_any({folders}, {lst(K.SKIP_DIRS)}) OR {name} IN ({words(K.SKIP_FILES)}) OR {ends} OR NOT {readable} OR {size} > {K.MAX_FILE_BYTES})"
+    return f"(list_has_any({folders}, {lst(K.SKIP_DIRS)}) OR {name} IN ({words(K.SKIP_FILES)}) OR {ends} OR NOT {readable})"
 
 
 # ------------------------------------------------------------------ corpora
@@ -129,7 +129,7 @@ def file_ctes(source: str = "code") -> list[str]:
             (suffix = '.py' AND NOT generated AND {rx('text', K.AUTH_ROUTE_PY)}) AS py_routes,
             CASE WHEN suffix = '.json' AND NOT generated AND json_valid(text) THEN coalesce(json_exists(text, '$.mcpServers'), false) ELSE false END AS mcp,
             (suffix IN ({words(K.JS_DB)}) AND {rx('text', K.CLIENT_CALL)} AND {rx('text', K.ANON_KEY)} AND {rx('text', K.WRITE_CALL)}) AS anon_client,
-            {rx(f'left(text, {K.HEAD_CHARS})', K.WEB_HINT)} AS web_hint,
+            {rx('text', K.WEB_HINT)} AS web_hint,
             (lower(name) = '.env' OR starts_with(lower(name), '.env.')) AS env_file,
             CASE WHEN starts_with(path, 'app/api/') THEN '/api/' || regexp_replace(substr(path, 9), '(?:^|/)route\\.(?:ts|js)$', '') ELSE '' END AS handler_route
             FROM named)""",
@@ -152,7 +152,7 @@ COLUMNS = "repo_id, path, scanner, chk, seq, category, severity, status, line_nu
 
 
 def _row(source: str, where: str, scanner: int, chk: int, category: str, severity: str, status: str, risk: str, detail="''", seq=0, line="line_no", evidence=None) -> str:
-    evidence = evidence or f"left(stripped, {K.EVIDENCE_CHARS})"
+    evidence = evidence or "stripped"
     return (
         f"SELECT repo_id, path, CAST({scanner} AS INTEGER) AS scanner, CAST({chk} AS INTEGER) AS chk, CAST({seq} AS INTEGER) AS seq, {category} AS category, "
         f"{severity} AS severity, {status} AS status, CAST({line} AS INTEGER) AS line_number, {evidence} AS evidence, {risk} AS false_positive_risk, {detail} AS detail "
@@ -299,7 +299,7 @@ def candidate_ctes(keys=None) -> list[str]:
 
 # ------------------------------------------------------------------ repository context
 def context_ctes() -> list[str]:
-    sample = f"CASE WHEN NOT ignored THEN lower(left(text, {K.SAMPLE_CHARS})) END"
+    sample = f"CASE WHEN NOT ignored THEN lower(text) END"
 
     def count(col: str, values) -> str:
         return " + ".join(f"CAST(bool_or(contains({col}, {q(v)})) AS INTEGER)" for v in values)
@@ -326,8 +326,7 @@ def context_ctes() -> list[str]:
         f"""ctx_all AS (SELECT repo_id, {names} AS frameworks, bool_or({part(K.INTERNAL_PARTS)}) AS internal_names, bool_or({part(K.AGENT_PARTS)}) AS agent_names,
             bool_or(NOT ignored AND lower(name) IN ({words(K.LIBRARY_FILES)})) AS library_file,
             bool_or(NOT ignored AND lower(name) IN ({words(K.APPLICATION_NAMES)})) AS application_name FROM ctx_file GROUP BY repo_id)""",
-        f"""ctx_sample AS (SELECT * FROM ctx_file WHERE NOT ignored
-            QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY lower(path), path) <= {K.SAMPLE_FILES})""",
+        f"""ctx_sample AS (SELECT * FROM ctx_file WHERE NOT ignored)""",
         f"""ctx_heard AS (SELECT repo_id, {count('sample', K.APPLICATION_HINTS)} AS app_words, {count('sample', K.ML_HINTS)} AS ml_words,
             {count('sample', K.FRAMEWORK_TOKENS)} AS fw_words, {local} AS local_network_hints,
             bool_or({has('sample', K.EXPOSURE_HINTS)}) AS exposure, bool_or({has('sample', K.AGENT_WORDS)}) AS agent_words,

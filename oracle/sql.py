@@ -250,6 +250,11 @@ ORACLES: dict[str, str] = {
     "scan_risk": _scan_score(),
     "scan_findings": _with(_scan(), f"SELECT {FLAT}, attack_chain, cvss_score, cvss_vector, owasp_cat, false_positive_risk, ord FROM scanned"),
     "ingest_files": _with(
+        SIZED,
+        f"""SELECT repo_id, path, size, CASE WHEN {B.suffix_of('path')} IN ({words(K.PY)}) THEN 'python' WHEN {B.suffix_of('path')} IN ({words(K.JS)}) THEN 'javascript' ELSE 'text' END AS language,
+            sum(size) OVER (PARTITION BY repo_id) > 2000000 AS over_budget FROM listed""",
+    ),
+    "ingest_head": _with(
         SIZED,
         f"""SELECT repo_id, path, size, CASE WHEN {B.suffix_of('path')} IN ({words(K.PY)}) THEN 'python' WHEN {B.suffix_of('path')} IN ({words(K.JS)}) THEN 'javascript' ELSE 'text' END AS language,
             file_no, running_bytes, bool_or(running_bytes > 2000000) OVER (PARTITION BY repo_id) AS over_budget FROM kept""",
@@ -258,7 +263,7 @@ ORACLES: dict[str, str] = {
         SIZED,
         """SELECT repo_id, repo_size_bytes, coalesce(s, 0) AS scanned_source_bytes, coalesce(n, 0) AS scanned_file_count, repo_size_bytes - coalesce(s, 0) AS ignored_size_bytes
             FROM (SELECT repo_id, CAST(sum(size) AS BIGINT) AS repo_size_bytes FROM sized GROUP BY repo_id)
-            LEFT JOIN (SELECT repo_id, CAST(sum(size) AS BIGINT) AS s, count(*) AS n FROM kept GROUP BY repo_id) USING (repo_id)""",
+            LEFT JOIN (SELECT repo_id, CAST(sum(size) AS BIGINT) AS s, count(*) AS n FROM listed GROUP BY repo_id) USING (repo_id)""",
     ),
     "page_text": f"""SELECT page_id, length(html) AS n_chars, CASE WHEN starts_with(u, '/m/') THEN substr(u, 4) ELSE u END AS rel, {B.suffix_of("regexp_extract(url, '^[^?#]*')")} AS suffix
         FROM (SELECT *, regexp_replace(url, '^https?:/', '') AS u FROM pages)""",
@@ -269,13 +274,13 @@ ORACLES: dict[str, str] = {
             f"l AS (SELECT repo_id, path, unnest({B.lines_of('text')}) AS line FROM every)",
         ],
         f"""SELECT repo_id, path, count(*) AS n_lines, count(*) FILTER (regexp_matches({B.strip('line')}, '^(?:#|//|[*])')) AS n_comments,
-            count(*) FILTER ({has('line', K.SAFE_REFERENCES)}) AS n_safe, CAST(sum(length(left({B.strip('line')}, {K.EVIDENCE_CHARS}))) AS BIGINT) AS n_chars FROM l GROUP BY repo_id, path""",
+            count(*) FILTER ({has('line', K.SAFE_REFERENCES)}) AS n_safe, CAST(sum(length({B.strip('line')})) AS BIGINT) AS n_chars FROM l GROUP BY repo_id, path""",
     ),
     "deps_npm": _with(_packages(), "SELECT * FROM package WHERE registry = 'npm'"),
     "deps_pypi": _with(_packages(), "SELECT * FROM package WHERE registry = 'pypi'"),
     "deps_all": _with(
         _packages(),
-        f"SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY registry, lower(path), path, pos) AS INTEGER) AS place FROM package QUALIFY place <= {K.PACKAGE_AUDIT_LIMIT}",
+        f"SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY registry, lower(path), path, pos) AS INTEGER) AS place FROM package",
     ),
     **{f"det_{k[-2:]}": _detector(k) for k in B.detector_ctes()[1]},
     "det_31_documents": _with(

@@ -57,7 +57,7 @@ def is_safe_reference(line: Column) -> Column:
 
 
 def evidence_text(line: Column) -> Column:
-    return F.left(strip(line), F.lit(K.EVIDENCE_CHARS))
+    return strip(line)
 
 
 def line_frame(lines: Column, line_no: Column, before: int, after: int) -> Column:

@@ -94,9 +94,10 @@ def file_context_columns() -> list[Column]:
     ]
 
 
-def with_sample(files: DataFrame) -> DataFrame:
-    """Add ``sample``, the lower-case head of a file; null for ignored ones."""
-    return files.withColumn("sample", F.when(~F.col("ignored"), F.lower(F.left("text", F.lit(K.SAMPLE_CHARS)))))
+def with_sample(files: DataFrame, chars: int | None = None) -> DataFrame:
+    """Add ``sample``, the lower-case text of a file, or its head if ``chars`` is given; null for ignored ones."""
+    text = F.col("text") if chars is None else F.left("text", F.lit(chars))
+    return files.withColumn("sample", F.when(~F.col("ignored"), F.lower(text)))
 
 
 def first_files(files: DataFrame, limit: int) -> DataFrame:
@@ -118,17 +119,21 @@ def _framework_names(mask: str) -> Column:
     return F.array_compact(F.array(*[F.when(_has(mask, 1 << i), F.lit(fw)) for i, fw in enumerate(FRAMEWORKS)]))
 
 
-def repo_contexts(contexts: DataFrame) -> DataFrame:
-    """Kind, reasons, hints and exposure of each repository, from ``file_context`` rows."""
+def repo_contexts(contexts: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Kind, reasons, hints and exposure of each repository, from ``file_context`` rows: of all its
+    files, or the first ones by path if ``max_files`` is given."""
     everything = contexts.groupBy("repo_id").agg(
         F.bit_or("names").alias("names"), F.bit_or("frameworks").alias("fw_mask")
     )
-    sampled = first_files(contexts.filter(~F.col("ignored")).select("repo_id", "path", "words_a", "words_b", "routes"), K.SAMPLE_FILES)
-    heard = sampled.groupBy("repo_id").agg(
-        F.bit_or("words_a").alias("words_a"),
-        F.bit_or("words_b").alias("words_b"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("routes")))).alias("public_api_signals"),
+    sampled = contexts.filter(~F.col("ignored")).select("repo_id", "path", "words_a", "words_b", "routes")
+    if max_files is not None:
+        sampled = first_files(sampled, max_files)
+    words = sampled.groupBy("repo_id").agg(F.bit_or("words_a").alias("words_a"), F.bit_or("words_b").alias("words_b"))
+    # distinct routes first, so that a large repository's files do not meet in one row with all their repetitions
+    routes = sampled.select("repo_id", F.explode("routes").alias("route")).distinct().groupBy("repo_id").agg(
+        F.sort_array(F.collect_list("route")).alias("public_api_signals")
     )
+    heard = words.join(routes, "repo_id", "left")
     joined = everything.join(heard, "repo_id", "left").withColumns(
         {
             "words_a": F.coalesce("words_a", F.lit(0).cast("bigint")),

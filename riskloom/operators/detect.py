@@ -88,8 +88,8 @@ SIGNALS: dict[str, str] = {
         Q.matches("text", K.WRITE_CALL),
     ),
     "f_web_hint": Q.all_of(
-        Q.has(f"left(text, {K.HEAD_CHARS})", ["FastAPI", "APIRouter", "Flask", "Blueprint", "django.urls", "path("]),
-        Q.matches(f"left(text, {K.HEAD_CHARS})", K.WEB_HINT),
+        Q.has("text", ["FastAPI", "APIRouter", "Flask", "Blueprint", "django.urls", "path("]),
+        Q.matches("text", K.WEB_HINT),
     ),
 }
 # signals made of other signals
@@ -332,7 +332,7 @@ def _block(number, line: str, evidence: str, seq: str = "0") -> str:
 def _first_line(where: str, line_test: str, number: int) -> str:
     numbered = "transform(lines, (l, i) -> named_struct('n', i + 1, 'l', l))"
     hits = f"slice(filter({numbered}, h -> {line_test}), 1, 1)"
-    evidence = f"left({Q.strip('h.l')}, {K.EVIDENCE_CHARS})"
+    evidence = Q.strip("h.l")
     return f"CASE WHEN {where} THEN transform({hits}, h -> {_block(number, 'h.n', evidence)}) ELSE {_NO_BLOCK} END"
 
 
@@ -505,7 +505,7 @@ def candidates_from_items(items: DataFrame, keys: Iterable[str] | None = None, c
     out = out.withColumn("o", F.expr(f"element_at({_outcome_table()}, number + 1)"))
     # fixed format of the evidence text of a file-based handler
     handler = f"concat('export async function ', method, '(\\'', {_HANDLER_ROUTE}, '\\')')"
-    evidence = f"CASE WHEN ready IS NOT NULL THEN ready.evidence WHEN o.handler THEN {handler} ELSE left(stripped, {K.EVIDENCE_CHARS}) END"
+    evidence = f"CASE WHEN ready IS NOT NULL THEN ready.evidence WHEN o.handler THEN {handler} ELSE stripped END"
     values = {
         "seq": "o.seq + coalesce(ready.seq, 0)",
         "line_number": "line_no",

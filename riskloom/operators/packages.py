@@ -12,6 +12,7 @@ from riskloom.functions import sqltext as Q
 from riskloom.functions import text as X
 from riskloom.functions.prose import TEXTS
 from riskloom.model import PROOF_FLAGS, REF, SCANNERS
+from riskloom.plans.ranking import numbered
 
 _RECORD = "struct<package:string,line_number:int,quote:string>"
 
@@ -83,10 +84,13 @@ def extract_packages(files: DataFrame) -> DataFrame:
     )
 
 
-def audit_batch(packages: DataFrame, limit: int = K.PACKAGE_AUDIT_LIMIT) -> DataFrame:
-    """The records of a repository that go into one audit: npm first, in file order."""
-    order = W.partitionBy("repo_id").orderBy("registry", F.lower("path"), "path", "pos")
-    return packages.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+def audit_batch(packages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The records of a repository in the order of an audit, npm first and then by file; the
+    first ``limit`` of them if a limit is given."""
+    order = [F.col("registry"), F.lower("path"), F.col("path"), F.col("pos")]
+    if limit is None:
+        return numbered(packages, ["repo_id"], order, "place").withColumn("place", F.col("place") + 1)
+    return packages.withColumn("place", F.row_number().over(W.partitionBy("repo_id").orderBy(*order))).filter(F.col("place") <= limit)
 
 
 def audit_findings(packages: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -86,13 +86,19 @@ def _sized(spark, sf) -> DataFrame:
 
 
 def ingest_files(spark, sf):
+    """All files to scan, and which repositories are over a budget."""
+    return SF.manifest(_sized(spark, sf), max_bytes=2_000_000).select("repo_id", "path", "size", "language", "over_budget")
+
+
+def ingest_head(spark, sf):
+    """The first files of each repository, for a scan of so many files at most."""
     return SF.manifest(_sized(spark, sf), max_files=30, max_bytes=2_000_000).select(
         "repo_id", "path", "size", "language", "file_no", "running_bytes", "over_budget"
     )
 
 
 def ingest_stats(spark, sf):
-    return SF.manifest_stats(_sized(spark, sf), max_files=30)
+    return SF.manifest_stats(_sized(spark, sf))
 
 
 def page_text(spark, sf):
@@ -713,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "repo_risk": repo_risk,
     "scan_risk": scan_risk,
     "ingest_files": ingest_files,
+    "ingest_head": ingest_head,
     "ingest_stats": ingest_stats,
     "page_text": page_text,
     "line_table": line_table,

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions import fixed as K
 from riskloom.functions import paths as P
 from riskloom.operators import context as C
 from riskloom.operators import detect as D
@@ -24,10 +23,20 @@ from riskloom.plans.staging import stage
 EVIDENCE_SIGNALS = ["f_web_hint"]
 
 
-def mark_ignored(files: DataFrame, strict: bool = False) -> DataFrame:
-    """Add ``ignored``: paths outside the scan and files above the size limit."""
-    size = F.col("size") if "size" in files.columns else F.octet_length("text")
-    return files.withColumn("ignored", P.is_ignored(F.col("path"), strict) | (size > K.MAX_FILE_BYTES))
+def mark_ignored(files: DataFrame, strict: bool = False, max_file_bytes: int | None = None) -> DataFrame:
+    """Add ``ignored``: paths outside the scan and, where a limit is given, files above it
+    (``left_out`` counts them)."""
+    ignored = P.is_ignored(F.col("path"), strict)
+    if max_file_bytes is not None:
+        size = F.col("size") if "size" in files.columns else F.octet_length("text")
+        ignored = ignored | (size > max_file_bytes)
+    return files.withColumn("ignored", ignored)
+
+
+def left_out(marked: DataFrame) -> DataFrame:
+    """Per repository the files that a scan does not read, and their bytes."""
+    size = F.col("size") if "size" in marked.columns else F.octet_length("text")
+    return marked.filter("ignored").groupBy("repo_id").agg(F.count("*").alias("n_files"), F.sum(size).alias("n_bytes"))
 
 
 def file_facts(files: DataFrame, keys=None, *, flows: bool = True) -> DataFrame:

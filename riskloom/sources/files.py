@@ -33,19 +33,24 @@ def with_text(files: DataFrame) -> DataFrame:
 
 
 def manifest(
-    files: DataFrame, max_files: int | None = K.MAX_FILES, max_bytes: int = K.MAX_SOURCE_BYTES, strict: bool = False
+    files: DataFrame,
+    max_files: int | None = None,
+    max_bytes: int = K.MAX_SOURCE_BYTES,
+    strict: bool = False,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """(repo_id, path, size, language, over_budget) of the files to scan.
 
     With ``max_files`` the first ones by lower-case path, with file_no and running_bytes;
     the row number is a limit, so each task keeps few rows per repository.  Without it
     all of them, and no window.  ``over_budget`` marks repositories whose files exceed
-    ``max_bytes``.  Only the listing is touched.
+    ``max_bytes``, and drops nothing.  Files above ``max_file_bytes`` are left out if it is given.
+    Only the listing is touched.
     """
     c = F.col
-    listed = files.select("repo_id", "path", "size").filter(
-        ~P.is_ignored(c("path"), strict) & (c("size") <= K.MAX_FILE_BYTES)
-    )
+    listed = files.select("repo_id", "path", "size").filter(~P.is_ignored(c("path"), strict))
+    if max_file_bytes is not None:
+        listed = listed.filter(c("size") <= max_file_bytes)
     kept = listed
     if max_files is not None:
         order = W.partitionBy("repo_id").orderBy(F.lower("path"), "path")
@@ -57,8 +62,8 @@ def manifest(
     return kept.join(over, "repo_id").withColumn("language", P.language(c("path")))
 
 
-def manifest_stats(files: DataFrame, max_files: int | None = K.MAX_FILES, strict: bool = False) -> DataFrame:
-    """Bytes and files per repository: in total, scanned and ignored."""
+def manifest_stats(files: DataFrame, max_files: int | None = None, strict: bool = False) -> DataFrame:
+    """Bytes and files per repository: in total, scanned and ignored (by path or a limit)."""
     c = F.col
     total = files.groupBy("repo_id").agg(F.sum("size").alias("repo_size_bytes"))
     scanned = manifest(files, max_files, strict=strict).groupBy("repo_id").agg(

@@ -207,11 +207,12 @@ def test_folders_are_read(spark, tmp_path):
 
 
 def test_budget_of_a_repository(spark):
-    rows = [("r", f"p{i}.py", 400) for i in range(5)] + [("s", "a.py", 10), ("s", "big.py", K.MAX_FILE_BYTES + 1)]
+    rows = [("r", f"p{i}.py", 400) for i in range(5)] + [("s", "a.py", 10), ("s", "big.py", 2 << 20)]
     listed = spark.createDataFrame(rows, "repo_id string, path string, size long")
-    got = SF.manifest(listed, max_files=3, max_bytes=1000).collect()
+    got = SF.manifest(listed, max_files=3, max_bytes=1000, max_file_bytes=1 << 20).collect()
     assert {(r.repo_id, r.over_budget) for r in got} == {("r", True), ("s", False)}
     assert sorted(r.path for r in got) == ["a.py", "p0.py", "p1.py", "p2.py"]
+    assert SF.manifest(listed).count() == 7  # without limits nothing is dropped
 
 
 def _zip(members):
