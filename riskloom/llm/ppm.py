@@ -37,7 +37,7 @@ from riskloom.llm.windows import Words, mixed
 from riskloom.plans.staging import stage
 
 BLOCKS = "block long, uids array<long>, doc_ids array<long>, held array<boolean>, ends array<boolean>, lengths array<long>, blob binary"
-ASKED = "block long, shard long, grams binary, gram_n binary, words binary, word_n binary"
+ASKED = "block long, shard long, grams binary, words binary"
 ANSWER = "block long, shard long, logs binary, counts binary, n_kinds long"
 
 
@@ -105,11 +105,12 @@ class Block:
         real = np.ones(len(text), bool)
         for k in range(order):
             real[first + k] = False
-        at = np.flatnonzero(real)
-        codes = np.zeros(len(at), np.int64)
-        for j in range(order + 1):
-            codes |= self.buffer[at - j].astype(np.int64) << (8 * j)
-        self.codes, self.piece = codes, np.repeat(np.arange(len(size)), size - order)
+        codes = np.zeros(len(text) - order, np.int64)
+        for j in range(order, -1, -1):  # the oldest byte first
+            codes <<= 8
+            codes |= self.buffer[order - j : len(text) - j]
+        self.codes = codes[real[order:]]
+        self.piece = np.repeat(np.arange(len(size), dtype=np.int32), size - order)
         words = Words([text[a + order : a + n] for a, n in zip(first.tolist(), size.tolist())])
         self.word_piece, hashes = words.text, words.windows(1)[1]
         self.words = hashes.view(np.int64)
@@ -127,11 +128,36 @@ def _distinct(block: Block, shards: int) -> Iterator[tuple]:
         place, kinds = pd.factorize(values)
         kinds = np.asarray(kinds, np.int64)
         order, limits = _dealt(kinds, (part(kinds) % np.uint64(shards)).astype(np.int64), shards)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         yield back[place], kinds[order], limits
 
 
+def _folded(values: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending values as differences, with their counts, compressed."""
+    import zstandard
+
+    steps = np.diff(values.view(np.uint64), prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unfolded(message: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(message), np.uint8)
+    n = len(flat) // 12
+    steps = np.ascontiguousarray(flat[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64), np.ascontiguousarray(flat[8 * n :].reshape(4, n).T).view("<u4").ravel()
+
+
+def _column(message: bytes, kind: str) -> np.ndarray:
+    """Numbers whose bytes were laid out by place and compressed."""
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(message), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 class Trie:
     """The contexts of one shard, two bytes and longer, over the counts of byte pairs."""
 
@@ -200,7 +226,7 @@ class Trie:
         return out
 
 
-def scores(docs: DataFrame, order: int = 5, block_bytes: int = 6 << 20) -> DataFrame:
+def scores(docs: DataFrame, order: int = 5, block_bytes: int = 3 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The base is the sum over words and end of log10((c + 0.5) / (N + 0.5 (V + 1))), c a
@@ -237,29 +263,31 @@ def scores(docs: DataFrame, order: int = 5, block_bytes: int = 6 << 20) -> DataF
                 train = ~np.array(held, bool)
                 sent = []
                 for (place, kinds, limits), piece in zip(_distinct(block, shards), (block.piece, block.word_piece)):
-                    n = np.bincount(place[train[piece]], minlength=len(kinds)).astype("<u4")
-                    sent.append([(kinds[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(limits[:-1], limits[1:])])
-                rows = [(number, s, *g, *w) for s, (g, w) in enumerate(zip(*sent)) if g[0] or w[0]]
+                    n = np.bincount(place[train[piece]], minlength=len(kinds))
+                    sent.append([(b > a, _folded(kinds[a:b], n[a:b])) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())])
+                rows = [(number, s, g[1], w[1]) for s, (g, w) in enumerate(zip(*sent)) if g[0] or w[0]]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_pydict({
-                    "block": pa.array(columns[0], pa.int64()), "shard": pa.array(columns[1], pa.int64()), "grams": pa.array(columns[2], pa.binary()),
-                    "gram_n": pa.array(columns[3], pa.binary()), "words": pa.array(columns[4], pa.binary()), "word_n": pa.array(columns[5], pa.binary()),
+                    "block": pa.array(columns[0], pa.int64()), "shard": pa.array(columns[1], pa.int64()),
+                    "grams": pa.array(columns[2], pa.binary()), "words": pa.array(columns[3], pa.binary()),
                 })
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
-        def summed(values: str, counts: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-            each = [np.frombuffer(x, np.int64) for x in rows[values]]
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in rows[counts]]).astype(np.int64)
-            kinds, at = np.unique(np.concatenate(each), return_inverse=True)
-            total = np.bincount(at, weights=n, minlength=len(kinds)).astype(np.int64)
-            return [len(x) for x in each], at, kinds, total
-
-        sizes, at, kinds, total = summed("grams", "gram_n")
+        import zstandard
+
+        def summed(column: str) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+            each = [_unfolded(x) for x in rows[column]]
+            at, kinds = pd.factorize(np.concatenate([values for values, _ in each]), sort=True)
+            total = np.bincount(at, weights=np.concatenate([n for _, n in each]), minlength=len(kinds)).astype(np.int64)
+            return [len(n) for _, n in each], at, np.asarray(kinds, np.int64), total
+
+        squeeze = zstandard.ZstdCompressor(level=1)
+        sizes, at, kinds, total = summed("grams")
         trained = total > 0
         logs = Trie(kinds[trained], total[trained], pairs, order).logs(kinds)[at].astype("<f4")
-        word_sizes, word_at, words, word_total = summed("words", "word_n")
+        word_sizes, word_at, words, word_total = summed("words")
         counts = word_total[word_at].astype("<i8")
-        cut = lambda x, n: [y.tobytes() for y in np.split(x, np.cumsum(n)[:-1])]
+        cut = lambda x, n: [squeeze.compress(y.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) for y in np.split(x, np.cumsum(n)[:-1])]
         return pd.DataFrame({
             "block": rows["block"], "shard": rows["shard"], "logs": cut(logs, sizes), "counts": cut(counts, word_sizes),
             "n_kinds": [int((word_total > 0).sum())] + [0] * (len(rows) - 1),
@@ -279,8 +307,8 @@ def scores(docs: DataFrame, order: int = 5, block_bytes: int = 6 << 20) -> DataF
                 (place, grams, limits), (word_place, words, word_limits) = _distinct(block, shards)
                 logs, counts = np.zeros(len(grams)), np.zeros(len(words), np.int64)
                 for s, x in got.items():
-                    logs[limits[s] : limits[s + 1]] = np.frombuffer(x["logs"], "<f4")
-                    counts[word_limits[s] : word_limits[s + 1]] = np.frombuffer(x["counts"], "<i8")
+                    logs[limits[s] : limits[s + 1]] = _column(x["logs"], "<f4")
+                    counts[word_limits[s] : word_limits[s + 1]] = _column(x["counts"], "<i8")
                 n = len(row["uids"])
                 ends = np.array(row["ends"], np.int64)
                 c = counts[word_place]
