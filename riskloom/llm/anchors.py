@@ -40,6 +40,29 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def squeezed(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns, with ``text`` compressed: texts cross the network once in this form."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = pa.array([small.compress(t) for t in raw(batch.column(0))], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed, *batch.columns[1:]], names=["text", *names])
+
+    kinds = dict(rows.dtypes)
+    return rows.select("text", *names).mapInArrow(squeeze, ", ".join(["text binary", *(f"{n} {kinds[n]}" for n in names)]))
+
+
+def opened(column: pa.Array) -> list[bytes]:
+    """The texts that ``squeezed`` made."""
+    import zstandard
+
+    large = zstandard.ZstdDecompressor()
+    return [large.decompress(x) for x in column.to_pylist()]
+
+
 def recurring(
     docs: DataFrame,
     find: Callable[[list[bytes]], list[np.ndarray]],
@@ -52,7 +75,7 @@ def recurring(
     ``find`` gives the anchor hashes of each text.  ``finish`` gives a row of columns
     ``finished`` for each text that is a copy of one with another id, or shares no anchor; it is
     told whether it is a copy, and how many rows have the text.  Open
-    documents have doc_id, text, n_copies, first_id, and their recurring anchors: cold and
+    documents have doc_id, the squeezed text, n_copies, first_id, and their recurring anchors: cold and
     hot ones.
     """
     rows = keyed(docs)
@@ -81,26 +104,26 @@ def recurring(
     )
     copies = rows.groupBy("key", "key2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"))
     known = copies.join(hits, "key", "left")
-    met = rows.join(known, ["key", "key2"]).select("doc_id", "text", "first_id", "n_copies", "cold", "hot")
+    met = squeezed(rows, "doc_id", "key", "key2").join(known, ["key", "key2"]).select("doc_id", "text", "first_id", "n_copies", "cold", "hot")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 1 << 18):
                 ids, first, n = (batch.column(i).to_pylist() for i in (0, 2, 3))
                 lengths = [pa.compute.fill_null(pa.compute.list_value_length(batch.column(i)), 0).to_numpy(zero_copy_only=False) for i in (4, 5)]
                 any_anchor = ((lengths[0] + lengths[1]) > 0).tolist()
                 copy = [k > 1 and not (i is None and f is None) and i != f for i, f, k in zip(ids, first, n)]
                 done = [not a or c for a, c in zip(any_anchor, copy)]
-                texts = raw(batch.column(1))
+                texts = opened(batch.column(1))
                 made = finish([texts[i] for i in range(len(done)) if done[i]], [(copy[i], n[i]) for i in range(len(done)) if done[i]])
                 at = np.cumsum(done) - 1
                 pick = pa.array([int(at[i]) if done[i] else None for i in range(len(done))], pa.int64())
-                left = pa.array([None if d else t for t, d in zip(texts, done)], pa.binary()).cast(pa.string())
+                left = pa.array([None if d else t for t, d in zip(batch.column(1).to_pylist(), done)], pa.binary())
                 columns = [batch.column(0), pa.array(done), left, *batch.columns[2:]]
                 names = ["doc_id", "done", "text", "first_id", "n_copies", "cold", "hot"]
                 yield pa.RecordBatch.from_arrays([*columns, *(c.take(pick) for c in made.columns)], names=[*names, *made.schema.names])
 
-    schema = "doc_id long, done boolean, text string, first_id long, n_copies long, cold array<long>, hot array<long>, " + finished
+    schema = "doc_id long, done boolean, text binary, first_id long, n_copies long, cold array<long>, hot array<long>, " + finished
     table = stage(met.mapInArrow(part, schema), "anchored")
     names = [x.split()[0] for x in finished.split(", ")]
     return table.where("done").select("doc_id", *names), table.where("NOT done").select("doc_id", "text", "first_id", "n_copies", "cold", "hot")

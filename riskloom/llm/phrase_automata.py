@@ -7,8 +7,10 @@ Documents that share an anchor (``anchors``, here stretches of ``grain`` words)
 around it, as far as windows with that anchor reach, to the anchor's shard.  A shard confirms
 the windows that two documents have, compiles them into Aho-Corasick automata of at most
 ``patterns`` each, and streams all stretches of the shard through them, which finds every
-occurrence.  Stretches with equal words are streamed once.  Each document then gets the
-occurrences in its own stretches and drops the words of those that an earlier document has.
+occurrence.  Equal stretches of a task travel once, and all stretches travel packed by shard.
+Each document then gets the occurrences in its own stretches and drops the words of those that
+an earlier document has.  An anchor with more than ``hot`` texts would make a shard large: its
+windows go one by one as hashes, and the smallest id of each is a grouped minimum.
 
 A null text has no words.  A null doc_id counts as larger than all others.  Copies and rows of
 one doc_id: only smaller ids count, so equal rows of the first id are all kept.  An empty table
@@ -27,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.workers import by_value
-from riskloom.llm.anchors import recurring, smallest_in
-from riskloom.llm.common import pieces, raw
+from riskloom.llm.anchors import opened, recurring, smallest_in
+from riskloom.llm.common import partitions_for, pieces
 from riskloom.llm.windows import Words, mixed, stretch_hashes
 from riskloom.plans.staging import stage
 
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 LAST_ID = (1 << 63) - 1
+#: Stretches that a task holds before it packs them by shard.
+PACKED = 100_000
 
 
 def _anchors(words: Words, size: int, grain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,8 +66,8 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Stretches:
-    """The stretches of a text's recurring anchors: (route, key, first word, words, first of its
-    windows and how many)."""
+    """The stretches of a text's recurring anchors: route, key, first word and end, and whether it
+    is a single window of a hot anchor."""
 
     def __init__(self, text: bytes, cold: list[int], hot: list[int], size: int, grain: int):
         self.words = Words([text])
@@ -83,7 +87,7 @@ class Stretches:
         w = self.words
         content = stretch_hashes(w.buffer, w.starts[self.begin], w.ends[self.end - 1]) if len(self.begin) else np.zeros(0, np.uint64)
         self.key = mixed(content ^ (hashes[self.at] * np.uint64(3)))
-        self.route = np.where(is_hot[self.at], content, hashes[self.at])
+        self.hot, self.route = is_hot[self.at], hashes[self.at]
 
     def words_of(self, i: int) -> bytes:
         w = self.words
@@ -121,6 +125,51 @@ def _locate(group: list[tuple[int, bytes, int, int]], size: int, patterns: int)
         yield coded[i][1], [p for p, _ in hits], [low for _, low in hits]
 
 
+def _packs(held: list[dict[int, list]]) -> pa.RecordBatch:
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+    shard, packs = [], []
+    for number, mine in enumerate(held):
+        if mine:
+            route, low, high, words = zip(*mine.values())
+            numbers = np.array([list(mine), route, low, high], "<i8")
+            packs.append(squeeze.compress(len(mine).to_bytes(8, "little") + numbers.tobytes() + b"\n".join(words)))
+            shard.append(number)
+    return pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int64()), "pack": pa.array(packs, pa.binary())})
+
+
+def _settled(packs: list[bytes], size: int, patterns: int) -> Iterator[pa.RecordBatch]:
+    """What the automata of one shard find, anchor by anchor, some thousand stretches at a time."""
+    import zstandard
+
+    large = zstandard.ZstdDecompressor()
+    numbers, words = [], []
+    for pack in packs:
+        flat = large.decompress(pack)
+        n = int.from_bytes(flat[:8], "little")
+        numbers.append(np.frombuffer(flat[8 : 8 + 32 * n], "<i8").reshape(4, n))
+        words += flat[8 + 32 * n :].split(b"\n")
+    key, route, low, high = np.concatenate(numbers, axis=1)
+    order = np.lexsort((key, route))
+    new = np.flatnonzero(np.concatenate([[True], (route[order][1:] != route[order][:-1]) | (key[order][1:] != key[order][:-1])]))
+    low[order[new]], high[order[new]] = np.minimum.reduceat(low[order], new), np.maximum.reduceat(high[order], new)
+    order = order[new]  # equal stretches of several tasks are one
+    starts = np.flatnonzero(np.concatenate([[True], route[order][1:] != route[order][:-1]]))
+    stops = np.append(starts[1:], len(order))
+    first = 0
+    for last in range(len(starts)):
+        if stops[last] - starts[first] >= patterns // 4 or last == len(starts) - 1:
+            group = [(int(key[i]), words[i], int(low[i]), int(high[i])) for i in order[starts[first] : stops[last]]]
+            keys, places, lows = [], [], []
+            for k, place, least in _locate(group, size, patterns):
+                keys.append(k)
+                places.append(place)
+                lows.append(least)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "places": pa.array(places, pa.list_(pa.int32())), "lows": pa.array(lows, pa.list_(pa.int64()))})
+            first = last + 1
+
+
 def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int = 10_000, patterns: int = 20_000, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the kept words if asked for."""
 
@@ -138,58 +187,71 @@ def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int =
 
     done, open_docs = recurring(docs, find, finish, RESULT, hot)
 
-    def stretches(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                out: list[tuple] = []
-                for doc_id, text, first, cold, hot_ones in zip(batch.column(0).to_pylist(), raw(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                    s = Stretches(text, cold, hot_ones, size, grain)
-                    low = LAST_ID if first is None else first
-                    for i, (route, key) in enumerate(zip(s.route.view(np.int64).tolist(), s.key.view(np.int64).tolist())):
-                        out.append((doc_id, route, key, low, s.words_of(i) if words else None))
-                d, r, k, low, w = zip(*out) if out else ((), (), (), (), ())
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(d, pa.int64()), "route": pa.array(r, pa.int64()), "key": pa.array(k, pa.int64()), "low": pa.array(low, pa.int64()), "words": pa.array(w, pa.binary()),
-                })
-
-    schema = "doc_id long, route long, key long, low long, words binary"
     sent = open_docs.select("doc_id", "text", "first_id", "cold", "hot")
-    sent = stage(sent.mapInArrow(lambda batches: stretches(batches, True), schema), "stretches")
-    # Copies of the first document were finished before; their ids count through it, as all are larger.
-    once = sent.groupBy("route", "key", "words").agg(F.min("low").alias("low"), F.max("low").alias("high"))
-    shards = once.repartition("route").sortWithinPartitions("route")
+    shards = partitions_for(docs)
 
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, bytes, int, int]] = []
-        last = None
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, Stretches]]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 1 << 18):
+                for doc_id, text, first, cold, hot_ones in zip(batch.column(0).to_pylist(), opened(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                    yield doc_id, LAST_ID if first is None else first, Stretches(text, cold, hot_ones, size, grain)
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cold stretches, packed by shard; equal ones of a pack once, with their smallest and largest id."""
+        held: list[dict[int, list]] = [{} for _ in range(shards)]
+        total = 0
+        for _, low, s in each(batches):
+            routes, keys = s.route.view(np.int64).tolist(), s.key.view(np.int64).tolist()
+            for i in np.flatnonzero(~s.hot).tolist():
+                mine = held[routes[i] % shards]
+                known = mine.get(keys[i])
+                if known is None:
+                    mine[keys[i]] = [routes[i], low, low, s.words_of(i)]
+                    total += 1
+                else:
+                    known[1], known[2] = min(known[1], low), max(known[2], low)
+            if total >= PACKED:
+                yield _packs(held)
+                held, total = [{} for _ in range(shards)], 0
+        if total:
+            yield _packs(held)
 
-        def flush() -> pa.RecordBatch:
-            keys, places, lows = [], [], []
-            for key, place, low in _locate(group, size, patterns):
-                keys.append(key)
-                places.append(place)
-                lows.append(low)
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "places": pa.array(places, pa.list_(pa.int32())), "lows": pa.array(lows, pa.list_(pa.int64()))})
+    # Copies of the first document were finished before; their ids count through it, as all are larger.
+    packs = sent.mapInArrow(ship, "shard long, pack binary").repartition(shards, "shard").sortWithinPartitions("shard")
 
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, []
         for batch in batches:
-            for route, key, words, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                if route != last and len(group) >= patterns // 4:
-                    yield flush()
-                    group.clear()
-                last = route
-                group.append((key, words, low, high))
-        if group:
-            yield flush()
-
-    located = stage(shards.select("route", "key", "words", "low", "high").mapInArrow(locate, "key long, places array<int>, lows array<long>"), "located")
-    mine = sent.select("doc_id", "key").join(located, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "places", "lows")).alias("found"))
+            for shard, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != last and mine:
+                    yield from _settled(mine, size, patterns)
+                    mine = []
+                last = shard
+                mine.append(pack)
+        if mine:
+            yield from _settled(mine, size, patterns)
+
+    found = "key long, places array<int>, lows array<long>"
+
+    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, low, s in each(batches):
+            key, at = np.unique(s.key.view(np.int64), return_index=True)
+            n = len(key)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * n, pa.int64()), "key": pa.array(key), "low": pa.array([low] * n, pa.int64()), "hot": pa.array(s.hot[at])})
+
+    keys = sent.mapInArrow(list_keys, "doc_id long, key long, low long, hot boolean")
+    # A hot anchor's windows are whole stretches: which document has one first is a minimum per window.
+    single = keys.where("hot").groupBy("key").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low < high")
+    single = single.select("key", F.array(F.lit(0)).alias("places"), F.array("low").alias("lows"))
+    located = stage(packs.mapInArrow(locate, found).unionByName(single), "located")
+    mine = keys.select("doc_id", "key").join(located, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "places", "lows")).alias("found"))
     whole = open_docs.join(mine, open_docs["doc_id"].eqNullSafe(mine["doc_id"]), "left").select(open_docs["doc_id"], "text", "cold", "hot", "found")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for batch in pieces(whole_batch, "text"):
+            for batch in pieces(whole_batch, "text", 1 << 18):
                 rows = []
-                for doc_id, text, cold, hot_ones, found in zip(batch.column(0).to_pylist(), raw(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                for doc_id, text, cold, hot_ones, found in zip(batch.column(0).to_pylist(), opened(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
                     words = text.split()
                     edges = np.zeros(len(words) + 1, np.int64)
                     if found:
