@@ -51,7 +51,7 @@ ENDED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 ARTICLE = {"article", "main"}
 FRAME = {"nav", "aside", "footer", "header", "form", "menu", "dialog"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-GOOD_TOKENS = {"article", "articlebody", "main", "content", "post", "entry", "story", "body", "text", "page", "blog"}
+GOOD_TOKENS = {"article", "articlebody", "main", "content", "post", "entry", "story", "body", "text", "blog"}
 BAD_TOKENS = {
     "ad", "ads", "adv", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb",
     "breadcrumbs", "header", "masthead", "topbar", "footer", "foot", "copyright", "legal", "sidebar", "side", "aside", "rail", "widget", "related", "recommended",
@@ -303,14 +303,18 @@ def _layout(page: Page, pick: random.Random) -> str:
     if pick.random() < 0.2:
         inner.insert(1, f"<blockquote><p>{few(8, 40)}</p></blockquote>")
     title = f"<h1>{few(3, 9)}</h1>" if pick.random() < 0.7 else ""
-    tag, named = pick.choice([("article", ""), ("main", ""), ("article", ' class="post"'), ("div", ' class="content"'), ("div", ' id="article-body"'), ("div", ' class="entry-content"'), ("div", ""), ("section", "")])
+    tag, named = pick.choice([
+        ("article", ""), ("main", ""), ("article", ' class="post"'), ("div", ' class="content"'), ("div", ' id="content"'), ("div", ' class="main-content"'), ("div", ' id="article-body"'),
+        ("div", ' class="entry-content"'), ("div", ' class="post"'), ("section", ' class="story"'), ("div", ""), ("section", ""),
+    ])
     core = f'<{tag}{named} data-y="1">{title}{"".join(inner)}</{tag}>'
     for _ in range(pick.randint(0, 3)):
-        core = pick.choice([f'<div data-y="0">{core}</div>', f'<div class="{pick.choice(["wrapper", "container", "row", "page", "main"])}" data-y="0">{core}</div>'])
-    return "<html><body>" + "".join(take(before)) + core + "".join(take(after)) + "</body></html>"
+        core = pick.choice([f'<div data-y="0">{core}</div>', f'<div class="{pick.choice(["wrapper", "container", "row", "outer", "layout"])}" data-y="0">{core}</div>'])
+    inside = "".join(take(before)) + core + "".join(take(after))
+    return f"<html><body>{inside}</body></html>" if pick.random() < 0.7 else inside
 
 
-def fit(pages: DataFrame, sample_pages: int = 150, sample_bytes: int = 1 << 17, layouts: int = 3, trees: int = 16, depth: int = 5) -> Trees | None:
+def fit(pages: DataFrame, sample_pages: int = 150, sample_bytes: int = 1 << 17, layouts: int = 8, trees: int = 20, depth: int = 5) -> Trees | None:
     """Trees fitted on weakly labelled nodes; none if there is no page to learn from."""
     fits = F.octet_length("html").between(1, sample_bytes)
     chosen = pages.select("page_id", "html").where(fits).orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample_pages)
