@@ -294,7 +294,8 @@ def detector_ctes() -> tuple[list[str], dict[str, str]]:
 def candidate_ctes(keys=None) -> list[str]:
     helpers, selects = detector_ctes()
     chosen = [selects[k] for k in (keys or selects)]
-    return [*helpers, "cand AS (" + " UNION ALL ".join(chosen) + ")"]
+    every = " UNION ALL ".join(chosen)
+    return [*helpers, f"cand AS (SELECT * FROM ({every}) WHERE (repo_id, path) NOT IN (SELECT (repo_id, path) FROM named WHERE ignored))"]
 
 
 # ------------------------------------------------------------------ repository context

@@ -419,6 +419,11 @@ ITEM = f"struct<line_no:int,line:string,ctx:string,near:string,flows:array<{FLOW
 _FLOW_WORDS = ["execute", ".raw", "subprocess.", "os.system", "os.popen", "eval(", "exec(", "logger.", "logging.", "print"]
 
 
+def read_files(files: DataFrame) -> DataFrame:
+    """The files that a scan reads."""
+    return files if "ignored" in files.columns else files.filter(~P.is_ignored(F.col("path")))
+
+
 def file_items(
     files: DataFrame,
     keys: Iterable[str] | None = None,
@@ -430,13 +435,14 @@ def file_items(
 ) -> DataFrame:
     """One row per file: its signals and ``items``, the lines and blocks worth a look.
 
-    ``files`` holds (repo_id, path, text).  With ``context`` an item carries the lines
+    ``files`` holds (repo_id, path, text).  Paths outside a scan are left out here, unless
+    ``ignored`` marks them for the caller.  With ``context`` an item carries the lines
     around it, so that the evidence step needs no join.  With ``flows`` each Python file
     is parsed once and its data flows are attached to the lines they end on.
     """
     line_dets, file_dets = _select(keys)
     signals = sorted({s for d in [*line_dets, *file_dets] for s in d.signals} | set(keep))
-    df = with_file_columns(files, signals)
+    df = with_file_columns(read_files(files), signals)
 
     needs_tree = flows or any(d.python for d in file_dets) or any(d.key == "DET-10" for d in line_dets)
     if needs_tree:
@@ -536,7 +542,7 @@ def only_in_supabase_projects(found: DataFrame, flags: DataFrame) -> DataFrame:
 
 def repo_flags(files: DataFrame) -> DataFrame:
     """Per repository: auth middleware, rate limiting and Supabase signals anywhere."""
-    return collect_repo_flags(with_file_columns(files, REPO_SIGNALS))
+    return collect_repo_flags(with_file_columns(read_files(files), REPO_SIGNALS))
 
 
 def collect_repo_flags(flagged: DataFrame) -> DataFrame:

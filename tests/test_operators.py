@@ -17,6 +17,7 @@ from riskloom.operators import patches as PT
 from riskloom.operators import quota as QU
 from riskloom.operators import review as V
 from riskloom.plans import corpus, queries
+from riskloom.plans import scan as S
 from riskloom.plans.ranking import numbered
 from riskloom.sources import archives as A
 from riskloom.sources import files as SF
@@ -321,3 +322,9 @@ def test_status_stream_keeps_the_latest(spark, tmp_path):
     query = J.latest_status(stream).writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.scan_id, r.status, r.error_message) for r in spark.table("latest").collect()} == {("s", "failed", "boom"), ("t", "queued", None)}
+
+
+def test_paths_outside_a_scan_are_read_nowhere(spark, files):
+    leak = 'api_key = "sk-proj-abcdefghijklmnopqrstuvwxyz0123456789ABCD"\n'
+    tree = files({"src/a.py": leak, "node_modules/x/a.py": leak, "dist/a.js": leak, "src/a.min.js": leak})
+    assert {r.path for r in D.candidates(tree).collect()} == {r.path for r in S.scan(tree).collect()} == {"src/a.py"}
