@@ -144,7 +144,7 @@ MERGED = [
         FROM heads h JOIN sums USING (kid) JOIN quotes USING (kid) JOIN notes USING (kid) LEFT JOIN confirmed_by USING (kid))""",
 ]
 SCANS = """scans AS (SELECT 'repo-' || s_suppkey AS scan_id, CASE WHEN s_suppkey % 5 = 0 THEN 'running' ELSE 'complete' END AS status, CAST(s_suppkey % 101 AS INTEGER) AS risk_score,
-    CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'HIGH' END AS verdict, CAST(s_suppkey AS INTEGER) AS files_scanned FROM supplier WHERE s_suppkey < 40)"""
+    CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'HIGH' END AS verdict, CAST(s_suppkey AS INTEGER) AS files_scanned FROM supplier)"""
 
 
 def _counts(source: str, key: str) -> str:
@@ -176,7 +176,7 @@ LABELLED = [
         CASE WHEN known THEN v_proven ELSE exploitability_proven END AS exploitability_proven), CASE WHEN known THEN 'verifier' END AS validator FROM met)""",
 ]
 FIX_ROWS = """fx AS (SELECT 'f' || doc_id AS id, doc_id AS n, doc_id % 3 = 0 AS cannot, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '--- a/' || lang || '/a.py' || chr(10) || '+++ b/' || lang
-    || '/a.py' || chr(10) || '@@ -1 +1 @@' || chr(10) END AS patch FROM documents WHERE doc_id % 2 = 1)"""
+    || '/a.py' || chr(10) || '@@ -1 +1 @@' || chr(10) END AS patch FROM documents)"""
 
 # ------------------------------------------------------------------ quota
 EVENTS = """qe AS (SELECT event_id, '10.0.0.' || (user_id % 10) AS key, CASE event_type WHEN 'signup' THEN 'waitlist' WHEN 'error' THEN 'contact' WHEN 'view' THEN 'free'

@@ -430,7 +430,7 @@ def _labelled(spark, sf) -> DataFrame:
         F.when(n % 3 == 0, "sql_injection").otherwise("weak_jwt").alias("category"),
         F.when(n % 4 == 0, "rejected").when(n % 4 == 1, "confirmed").when(n % 4 == 2, "candidate").otherwise("needs_review").alias("status"),
         F.lit("high").alias("severity"), F.round((n % 100) / 100, 4).alias("confidence"), F.concat("lang", F.lit("/a.py")).alias("path"),
-        F.lit(1).alias("line_number"), F.left("text", F.lit(20)).alias("evidence"),
+        F.lit(1).alias("line_number"), c("text").alias("evidence"),
         F.struct(*flags, F.array().cast("array<string>").alias("notes")).alias("proof"),
         F.array(F.lit("x")).alias("evidence_refs"), F.lit("").alias("attack_chain"), F.lit(None).cast("string").alias("fix_code"),
         F.lit("").alias("recommendation"), F.lit("").alias("fix"), F.lit("").alias("fix_source"),
@@ -495,7 +495,7 @@ def det_33(spark, sf):
 
 def _fixes(spark, sf) -> DataFrame:
     n = c("doc_id")
-    docs = table(spark, sf, "documents").filter(n % 2 == 1)
+    docs = table(spark, sf, "documents")
     return docs.select(
         F.concat(F.lit("f"), "doc_id").alias("id"), F.when(n % 3 == 0, "cannot_fix").otherwise("patch_ready").alias("status"), F.lit(0.5).alias("confidence"),
         F.when(n % 5 == 0, "").otherwise(F.concat(F.lit("--- a/"), "lang", F.lit("/a.py\n+++ b/"), "lang", F.lit("/a.py\n@@ -1 +1 @@\n"))).alias("patch"),
@@ -532,7 +532,7 @@ def report_order_stored(spark, sf):
 def _scans(spark, sf) -> DataFrame:
     """Suppliers as scans."""
     n = c("s_suppkey")
-    return table(spark, sf, "supplier").filter(n < 40).select(
+    return table(spark, sf, "supplier").select(
         F.concat(F.lit("repo-"), n.cast("string")).alias("scan_id"), c("s_name").alias("repo_url"),
         F.when(n % 5 == 0, "running").otherwise("complete").alias("status"), (n % 101).cast("int").alias("risk_score"),
         F.when(n % 3 == 0, F.lit(None)).otherwise("HIGH").alias("verdict"), F.lit("2024-01-31T00:00:00Z").alias("scanned_at"),
