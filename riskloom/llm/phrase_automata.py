@@ -99,14 +99,19 @@ def _locate(group: list[tuple[int, bytes, int, int]], size: int, patterns: int)
     smallest and largest doc_id) of one shard's part."""
     import ahocorasick
 
+    # Each word of the part becomes three characters, so a match must begin at a multiple of three.
     number: dict[bytes, str] = {}
-    code = lambda w: number.get(w) or number.setdefault(w, "".join(chr(33 + (len(number) >> s & 127)) for s in (21, 14, 7, 0)))
-    coded = [("".join([code(w) for w in words.split(b" ")]), key, low, high) for key, words, low, high in group]
-    span = 4 * size
+    for _, words, _, _ in group:
+        for w in words.split(b" "):
+            if w not in number:
+                n = len(number)
+                number[w] = chr(33 + (n >> 14)) + chr(33 + (n >> 7 & 127)) + chr(33 + (n & 127))
+    coded = [("".join(map(number.__getitem__, words.split(b" "))), key, low, high) for key, words, low, high in group]
+    span = 3 * size
     least: dict[str, int] = {}
     most: dict[str, int] = {}
     for text, _, low, high in coded:
-        for i in range(0, len(text) - span + 1, 4):
+        for i in range(0, len(text) - span + 1, 3):
             w = text[i : i + span]
             least[w] = min(low, least.get(w, low))
             most[w] = max(high, most.get(w, high))
@@ -119,8 +124,8 @@ def _locate(group: list[tuple[int, bytes, int, int]], size: int, patterns: int)
         automaton.make_automaton()
         for i, (text, _, _, _) in enumerate(coded):
             for end, low in automaton.iter(text):
-                if end % 4 == 3:
-                    found.setdefault(i, []).append(((end + 1 - span) // 4, low))
+                if end % 3 == 2:
+                    found.setdefault(i, []).append(((end + 1 - span) // 3, low))
     for i, hits in found.items():
         yield coded[i][1], [p for p, _ in hits], [low for _, low in hits]
 
