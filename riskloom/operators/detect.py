@@ -357,7 +357,9 @@ def _rls() -> str:
     last = "filter(o, (c, i) -> get(o, i + 1) IS NULL OR get(o, i + 1).t != c.t)"
     # fixed format of the evidence text
     evidence = "concat('CREATE TABLE ', c.t, ' — ENABLE ROW LEVEL SECURITY not found')"
-    bare = f"transform(filter(u, c -> NOT array_contains({enabled}, c.t)), c -> {_block(found, 'c.n', evidence)})"
+    # the enabled tables are looked up once per file, not once per created table
+    open_ = f"transform(filter(u, c -> NOT array_contains(on, c.t)), c -> {_block(found, 'c.n', evidence)})"
+    bare = f"get(transform(array({enabled}), on -> {open_}), 0)"
     result = (
         f"get(transform(transform(array({own}), o -> {last}), "
         f"u -> IF(size(u) = 1 AND {Q.matches('text', K.RLS_ANY)}, {_NO_BLOCK}, {bare})), 0)"
