@@ -416,13 +416,21 @@ ORACLES: dict[str, str] = {
     ),
     "report_json": _with(
         [*MERGED, SCANS, f"counts AS ({_counts('deduped', 'repo_id')})",
-         f"""pages AS (SELECT repo_id, CAST(place // 100 AS INTEGER) AS page, first(id ORDER BY place) AS first_id, count(*) AS n_findings FROM (SELECT repo_id, id,
+         f"""pages AS (SELECT repo_id, CAST(place // 100 AS INTEGER) AS page, first(id ORDER BY place) AS first_id, first(path ORDER BY place) AS first_path, count(*) AS n_findings FROM (SELECT repo_id, id, path,
             row_number() OVER (PARTITION BY repo_id ORDER BY {B.SEV} DESC, ord, path, line_number, id) - 1 AS place FROM deduped) GROUP BY repo_id, place // 100)"""],
-        f"""SELECT scan_id, coalesce(page, 0) AS page, risk_score, coalesce(verdict, 'UNKNOWN') AS verdict, {SUMMARY} AS summary, highest_severity, critical, total, first_id, coalesce(n_findings, 0) AS n_findings
-            FROM (SELECT s.scan_id, s.risk_score, s.verdict, s.status, coalesce(c.critical, 0) AS critical, coalesce(c.high, 0) AS high, coalesce(c.medium, 0) AS medium, coalesce(c.low, 0) AS low,
+        f"""SELECT scan_id, coalesce(page, 0) AS page, risk_score, coalesce(verdict, 'UNKNOWN') AS verdict, {SUMMARY} AS summary, highest_severity, critical, total, first_id, coalesce(n_findings, 0) AS n_findings,
+                first_path, CASE WHEN files_scanned % 2 = 0 THEN 'library' ELSE 'application' END AS kind, 'https://reports.example/r/' || scan_id AS share_url
+            FROM (SELECT s.files_scanned, f.first_path, s.scan_id, s.risk_score, s.verdict, s.status, coalesce(c.critical, 0) AS critical, coalesce(c.high, 0) AS high, coalesce(c.medium, 0) AS medium, coalesce(c.low, 0) AS low,
                 coalesce(c.total, 0) AS total, coalesce(c.highest_severity, 'none') AS highest_severity, page, first_id, f.n_findings
                 FROM scans s LEFT JOIN counts c ON c.repo_id = s.scan_id LEFT JOIN pages f ON f.repo_id = s.scan_id WHERE s.status = 'complete')""",
     ),
+    "report_overview": _with(
+        [*MERGED, SCANS, f"counts AS ({_counts('deduped', 'repo_id')})"],
+        f"""SELECT scan_id, (SELECT s_name FROM supplier WHERE 'repo-' || s_suppkey = scan_id) AS repo_url, '2024-01-31T00:00:00Z' AS created_at, risk_score, coalesce(verdict, 'UNKNOWN') AS verdict,
+                {SUMMARY} AS summary, highest_severity, critical, high, medium, low, files_scanned, CAST(round(files_scanned * 100 / 1000.0) AS BIGINT) AS duration_seconds
+            FROM (SELECT s.*, coalesce(c.critical, 0) AS critical, coalesce(c.high, 0) AS high, coalesce(c.medium, 0) AS medium, coalesce(c.low, 0) AS low,
+                coalesce(c.total, 0) AS total, coalesce(c.highest_severity, 'none') AS highest_severity FROM scans s LEFT JOIN counts c ON c.repo_id = s.scan_id WHERE s.status = 'complete')""",
+    ),
     "report_view": _with(
         [*MERGED, *B.final("(SELECT * FROM deduped WHERE status <> 'rejected')", "done"),
          f"lab AS (SELECT *, {B.case_map('category', K.LABEL, 'category')} AS label, list_extract(string_split(path, '/'), -1) AS fname FROM done)"],

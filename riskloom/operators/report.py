@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fixed as K
 from riskloom.functions import text as X
+from riskloom.model import FINDING_COLUMNS
 from riskloom.operators.findings import found_order, report_order, severity_name, severity_rank
 from riskloom.plans.ranking import numbered
 
@@ -66,9 +67,22 @@ def by_severity(findings: DataFrame, severity: str = "ALL") -> DataFrame:
 PAGE = 1000
 
 
-def report_json(scans: DataFrame, findings: DataFrame, page: int = PAGE) -> DataFrame:
+def listed_fields(findings: DataFrame) -> Column:
+    """A finding as a report lists it, with every field; those that the table lacks are null."""
+    have = set(findings.columns)
+    names = [(n, t) for n, t in FINDING_COLUMNS if n not in ("repo_id", "ord")]
+    fields = [(F.col(n) if n in have else F.lit(None).cast(t)).alias("file_path" if n == "path" else n) for n, t in names if n != "confidence"]
+    return F.struct(*fields, F.round("confidence", 4).alias("confidence"))
+
+
+def report_json(
+    scans: DataFrame, findings: DataFrame, page: int = PAGE, contexts: DataFrame | None = None, share_base: str | None = None
+) -> DataFrame:
     """(scan_id, page, report): the JSON document of each complete scan.
 
+    ``contexts`` has a row for each scan_id, all of which goes into ``repo_context``; the share
+    address is made of ``share_base`` and the scan's id.
+
     A document lists at most ``page`` findings; a scan with more has several, each with
     the same head, so no row grows with the scan.  Findings come by severity, highest
     first; the counts come from a partial aggregation of their own.
@@ -82,10 +96,7 @@ def report_json(scans: DataFrame, findings: DataFrame, page: int = PAGE) -> Data
                 F.collect_list(
                     F.struct(
                         "place",
-                        F.struct(
-                            "id", "category", "status", "severity", F.round("confidence", 4).alias("confidence"),
-                            c("path").alias("file_path"), "line_number", "evidence",
-                        ).alias("f"),
+                        listed_fields(findings).alias("f"),
                     )
                 )
             ),
@@ -94,21 +105,34 @@ def report_json(scans: DataFrame, findings: DataFrame, page: int = PAGE) -> Data
     )
     counts = finding_counts(findings, "scan_id")
     rows = complete_scans(scans).join(counts, "scan_id", "left").join(listed, "scan_id", "left")
+    if contexts is not None:
+        about = F.struct(*[n for n in contexts.columns if n != "scan_id"])
+        rows = rows.join(contexts.select("scan_id", about.alias("repo_context")), "scan_id", "left")
     rows = rows.fillna(0, [*K.SEVERITIES, "total", "page"]).fillna("none", ["highest_severity"])
     score = F.coalesce("risk_score", F.lit(0))
     document = F.struct(
         "scan_id", "repo_url", "scanned_at", score.alias("risk_score"),
         F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"), summary(score).alias("summary"), "highest_severity",
         F.struct(*reversed(K.SEVERITIES), "total").alias("finding_counts"),
-        F.coalesce("findings", F.from_json(F.lit("[]"), findings_type())).alias("findings"),
-        "frameworks", "files_scanned", "scan_ms", "models_used", "page",
+        F.coalesce("findings", F.array().cast(listed.schema["findings"].dataType)).alias("findings"),
+        "frameworks", *(["repo_context"] if contexts is not None else []), "files_scanned", "scan_ms", "models_used",
+        F.lit(None).cast("string").alias("share_url") if share_base is None else F.concat(F.lit(share_base.rstrip("/") + "/"), "scan_id").alias("share_url"),
+        "page",
         F.greatest(F.ceil(c("total") / page), F.lit(1)).alias("pages"),
     )
     return rows.select("scan_id", "page", F.to_json(document).alias("report"))
 
 
-def findings_type() -> str:
-    return "array<struct<id:string,category:string,status:string,severity:string,confidence:double,file_path:string,line_number:int,evidence:string>>"
+def report_overview(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row per complete scan as its page shows it: head, counts and duration."""
+    rows = complete_scans(scans).join(finding_counts(findings, "scan_id"), "scan_id", "left")
+    rows = rows.fillna(0, [*K.SEVERITIES, "total", "files_scanned"]).fillna("none", ["highest_severity"])
+    score = F.coalesce("risk_score", F.lit(0))
+    return rows.select(
+        "scan_id", F.coalesce("repo_url", F.lit("")).alias("repo_url"), F.col("scanned_at").alias("created_at"), score.alias("risk_score"),
+        F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"), summary(score).alias("summary"), "highest_severity", *reversed(K.SEVERITIES),
+        "files_scanned", duration_seconds(F.col("scan_ms")).alias("duration_seconds"),
+    )
 
 
 # ------------------------------------------------------------------ view

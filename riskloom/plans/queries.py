@@ -546,18 +546,26 @@ def _stored(spark, sf) -> DataFrame:
 
 
 def report_json(spark, sf):
-    reports = RP.report_json(_scans(spark, sf), _stored(spark, sf), page=100)
+    scans = _scans(spark, sf)
+    contexts = scans.select("scan_id", F.when(c("files_scanned") % 2 == 0, "library").otherwise("application").alias("kind"))
+    reports = RP.report_json(scans, _stored(spark, sf), page=100, contexts=contexts, share_base="https://reports.example/r/")
     shape = (
         "scan_id string, risk_score int, verdict string, summary string, highest_severity string, "
-        "finding_counts struct<critical:bigint,high:bigint,medium:bigint,low:bigint,total:bigint>, findings array<struct<id:string,confidence:double>>"
+        "finding_counts struct<critical:bigint,high:bigint,medium:bigint,low:bigint,total:bigint>, findings array<struct<id:string,confidence:double,rule_id:string,file_path:string,fix_source:string,cvss_vector:string>>, "
+        "repo_context struct<kind:string>, share_url string"
     )
     r = reports.select("page", F.from_json("report", shape).alias("r")).select("page", "r.*")
     return r.select(
         "scan_id", "page", "risk_score", "verdict", "summary", "highest_severity", "finding_counts.critical", "finding_counts.total",
         F.get(c("findings"), 0)["id"].alias("first_id"), F.size("findings").cast("bigint").alias("n_findings"),
+        F.get(c("findings"), 0)["file_path"].alias("first_path"), c("repo_context.kind").alias("kind"), "share_url",
     )
 
 
+def report_overview(spark, sf):
+    return RP.report_overview(_scans(spark, sf), _stored(spark, sf))
+
+
 def scan_status(spark, sf):
     return RP.scan_status(_scans(spark, sf), _stored(spark, sf)).select("scan_id", "status", "risk_score", "verdict", "files_scanned", "findings_count")
 
@@ -759,6 +767,7 @@ QUERIES: dict[str, Query] = {
     "report_order": report_order,
     "report_order_stored": report_order_stored,
     "report_json": report_json,
+    "report_overview": report_overview,
     "report_view": report_view,
     "scan_status": scan_status,
     "scan_store": scan_store,
