@@ -239,14 +239,29 @@ def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int =
     found = "key long, places array<int>, lows array<long>"
 
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, low, s in each(batches):
-            key, at = np.unique(s.key.view(np.int64), return_index=True)
-            n = len(key)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * n, pa.int64()), "key": pa.array(key), "low": pa.array([low] * n, pa.int64()), "hot": pa.array(s.hot[at])})
+        ids, lows, sizes, every = [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            columns = {"doc_id": pa.array(ids, pa.int64()).take(pa.array(owner)), "key": pa.array(np.concatenate(every)), "low": pa.array(np.array(lows, np.int64)[owner])}
+            return pa.RecordBatch.from_pydict(columns)
 
-    keys = sent.mapInArrow(list_keys, "doc_id long, key long, low long, hot boolean")
+        for doc_id, low, s in each(batches):
+            ids.append(doc_id)
+            lows.append(low)
+            every.append(np.unique(s.key.view(np.int64)))
+            sizes.append(len(every[-1]))
+            if len(ids) == 1000:
+                yield flush()
+                ids, lows, sizes, every = [], [], [], []
+        if ids:
+            yield flush()
+
+    listed = "doc_id long, key long, low long"
+    keys = sent.mapInArrow(list_keys, listed)
     # A hot anchor's windows are whole stretches: which document has one first is a minimum per window.
-    single = keys.where("hot").groupBy("key").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low < high")
+    only_hot = sent.where(F.size("hot") > 0).withColumn("cold", F.array().cast("array<bigint>"))
+    single = only_hot.mapInArrow(list_keys, listed).groupBy("key").agg(F.min("low").alias("low"), F.max("low").alias("high")).where("low < high")
     single = single.select("key", F.array(F.lit(0)).alias("places"), F.array("low").alias("lows"))
     located = stage(packs.mapInArrow(locate, found).unionByName(single), "located")
     mine = keys.select("doc_id", "key").join(located, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "places", "lows")).alias("found"))
