@@ -1,5 +1,7 @@
 """Operators 2, 4, 8 and 9 against plain versions, and their odd cases."""
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,31 @@ def test_near(spark, words, percent, most):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def near_pairs(groups, words=100):
+    """Groups of two close copies each of two texts that are similar near the threshold, so
+    that a copy is nearer than what the groups must be linked by."""
+    pick = random.Random(5)
+    out = []
+    for g in range(groups):
+        one = [f"g{g}w{i}" for i in range(words)]
+        two = one[:]
+        for k in range(1, 1 + g % 4):
+            two[25 * k] = f"g{g}v{k}"
+        out += [" ".join(one), " ".join([*one, f"g{g}a"]), " ".join(two), " ".join([*two, f"g{g}b"])]
+    ids = list(range(len(out)))
+    pick.shuffle(ids)
+    return [(i, t) for i, t in zip(ids, out)]
+
+
+@pytest.mark.parametrize("words, percent, most", [(3, 85, 3), (5, 80, 2)])
+def test_near_pairs_at_the_threshold(spark, words, percent, most):
+    """Regions above the limit are settled as those below it."""
+    pairs = near_pairs(100)
+    docs = brute.documents(spark, [(i, t, "en", "s", 0, *"abcdefg") for i, t in pairs])
+    got = lsh_forest.near_duplicates(docs, words, percent, region_most=most).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_groups(pairs, words, percent)
+
+
 def test_near_keeps_clean_and_null_ids(spark):
     data = [(i, t, "en", "s", 0, *"abcdefg") for i, t in [(None, "quite alone here"), (2, None), (3, ""), (4, "x y z v"), (4, "x y z v"), (None, "x y z v")]]
     got = lsh_forest.one_of_each(brute.documents(spark, data), words=3, percent=85)
