@@ -91,6 +91,16 @@ def test_near_pairs_at_the_threshold(spark, words, percent, most):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_groups(pairs, words, percent)
 
 
+def test_large_regions_of_equal_minima(spark):
+    """Classes that all 60 minima leave in one region are still looked at pair by pair."""
+    labelled = spark.createDataFrame([(1, 0, n, n // 4) for n in range(50)], "region long, tree int, node long, component long")
+    met = set()
+    tasks = lsh_forest._sliced(labelled, 10).collect()
+    for a in (r for r in tasks if r.asks):
+        met |= {frozenset((a.node, b.node)) for b in tasks if b.answers and (a.ask_slice, a.slice) == (b.ask_slice, b.slice)}
+    assert met >= {frozenset((a, b)) for a in range(50) for b in range(a) if a // 4 != b // 4}
+
+
 def test_near_keeps_clean_and_null_ids(spark):
     data = [(i, t, "en", "s", 0, *"abcdefg") for i, t in [(None, "quite alone here"), (2, None), (3, ""), (4, "x y z v"), (4, "x y z v"), (None, "x y z v")]]
     got = lsh_forest.one_of_each(brute.documents(spark, data), words=3, percent=85)
