@@ -1,14 +1,17 @@
 """Packing documents into training windows by lexical retrieval.
 
-Documents are dealt to shards of about ``shard_docs`` by a hash, so that no source or group of
-copies makes a shard large; the number of shards follows the number of documents.  Whole
-windows of a long document stand by themselves, which leaves one rest per document, shorter
-than a window.  Each shard builds an inverted index with BM25 weights over the token ids of
+Whole windows of a long document stand by themselves, which leaves one rest per document,
+shorter than a window.  BM25 weights come from figures of the whole corpus: number of rests,
+their mean length, and the number of rests with each token id.  Rests are sorted by their
+heaviest terms, common ones first (see ``route``), and cut into consecutive shards of about
+``shard_docs``: documents with the same heavy terms stand together, and a term of any
+frequency only spans more shards.  Each shard builds an inverted index over the token ids of
 its rests.  A seed asks it with its ``query_terms`` heaviest terms; unused neighbours, best
 first, fill the seed's window as far as they fit whole.  The best neighbour that does not fit
 is cut to fill the window to the last token, and what is left of it is the next seed.  Where
 nothing shares a term with the seed the longest unused rest is taken.  So only the last
-window of a shard has padding.
+window of a shard has padding.  A neighbour in another shard is not reached; the README
+gives the share that is.
 
 A null text counts as empty: its piece is the end id alone.  Rows may repeat, each is a
 document by itself; ties of scores go by doc_id and length.  An empty table gives no pieces.
@@ -20,6 +23,7 @@ import math
 import sys
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,19 +34,73 @@ from pyspark.sql import functions as F
 from riskloom.functions.workers import by_value
 from riskloom.llm.common import whole_text
 from riskloom.llm.tokens import encoder
+from riskloom.plans.staging import stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-ENCODED = "doc_id long, shard long, doc_tokens long, window_crcs array<long>, windows binary, rest binary"
+PIECE_NAMES = [p.split()[0] for p in PIECES.split(", ")]
+ENCODED = "doc_id long, doc_tokens long, window_crcs array<long>, windows binary, rest binary"
+#: Most partitions that the sorted rests are cut into; a partition holds as many shards as it needs.
+PARTITIONS_MOST = 10_000
 
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+class Corpus(NamedTuple):
+    """Figures of all rests: how many, their mean length, how many have each token id."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def corpus(encoded: DataFrame, code: str) -> Corpus:
+    """One count for each token id in use comes to the driver, however many documents there are."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for rest in batch.column(0).to_pylist():
+                ids = np.unique(np.frombuffer(rest, code))
+                if len(ids) and ids[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
+                df[ids] += 1
+                n += 1
+                tokens += len(rest)
+        some = np.flatnonzero(df)
+        term = np.concatenate([[-2, -1], some])
+        yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "n": pa.array(np.concatenate([[n, tokens], df[some]]), pa.int64())})
+
+    sums = encoded.select("rest").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r.term: r.n for r in sums.collect()}
+    n, size = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, max(size / np.dtype(code).itemsize / max(n, 1), 1.0), df)
+
+
+def idf_of(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def route(ids: np.ndarray, whole: Corpus, k1: float, b: float, shard_docs: int, terms: int = 6) -> bytes:
+    """The sort key of a rest: its heaviest terms of those that recur, first the one that
+    about fills a shard (nearest to ``shard_docs`` among the heaviest), then by weight."""
+    term, tf = np.unique(ids, return_counts=True)
+    df = whole.df[term]
+    shared = df > 1
+    term, tf, df = term[shared], tf[shared], df[shared]
+    weight = idf_of(whole.n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / whole.mean))
+    heavy = np.lexsort((term, -weight))
+    common = heavy[df[heavy] >= shard_docs // 4][:1]
+    return term[np.concatenate([common, heavy[:terms]]).astype(np.int64)].astype(">u4").tobytes()
+
+
 class Index:
-    """BM25 over lists of term numbers."""
+    """BM25 over lists of term numbers, with the figures of these lists or of a whole corpus."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float, b: float):
+    def __init__(self, docs: list[np.ndarray], k1: float, b: float, whole: Corpus | None = None):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
         owner = np.repeat(np.arange(self.n, dtype=np.int64), lengths)
@@ -51,8 +109,9 @@ class Index:
         term, self.doc = pairs // max(self.n, 1), pairs % max(self.n, 1)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.first, self.last = first, first + df
-        idf = np.repeat(np.log1p((self.n - df + 0.5) / (df + 0.5)), df)
-        norm = k1 * (1 - b + b * lengths / max(lengths.mean() if self.n else 1.0, 1.0))
+        idf = np.repeat(idf_of(self.n, df) if whole is None else idf_of(whole.n, whole.df[self.terms]), df)
+        mean = whole.mean if whole else max(lengths.mean() if self.n else 1.0, 1.0)
+        norm = k1 * (1 - b + b * lengths / mean)
         self.weight = idf * tf * (k1 + 1) / (tf + norm[self.doc])
         # The same entries by document, heaviest first: what each document asks with.
         number = np.repeat(np.arange(len(self.terms)), df)
@@ -71,9 +130,11 @@ class Index:
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def fill(rests: list[np.ndarray], window: int, k1: float, b: float, query_terms: int) -> Iterator[list[tuple[int, int, int]]]:
+def fill(
+    rests: list[np.ndarray], window: int, k1: float, b: float, query_terms: int, whole: Corpus | None = None,
+) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (rest, first token, tokens)."""
-    index = Index(rests, k1, b)
+    index = Index(rests, k1, b, whole)
     left = np.array([len(r) for r in rests], np.int64)
     begun = np.zeros(len(rests), np.int64)
     unused = left > 0
@@ -103,11 +164,11 @@ def fill(rests: list[np.ndarray], window: int, k1: float, b: float, query_terms:
         near = near[np.argsort(-scores[near], kind="stable")]
         seed = None
         while room:
-            whole = near[left[near] <= room]
-            if len(whole):
+            fits = near[left[near] <= room]
+            if len(fits):
                 # As many of the best as fit together, then look again at what still fits.
-                n = max(1, int(np.searchsorted(np.cumsum(left[whole]), room, side="right")))
-                for i in whole[:n]:
+                n = max(1, int(np.searchsorted(np.cumsum(left[fits]), room, side="right")))
+                for i in fits[:n]:
                     room -= int(left[i])
                     made.append(take(i, window))
                 near = near[unused[near]]
@@ -146,7 +207,7 @@ def pack(
         code = f"<u{enc.width}"
         for batch in batches:
             counts, crcs, windows, rests = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(1).to_pylist():
                 packed = enc.ids(text) + end
                 ids = np.frombuffer(packed, code)
                 whole = len(ids) // window * window
@@ -155,17 +216,19 @@ def pack(
                 windows.append(packed[: whole * enc.width] if with_ids else b"")
                 rests.append(packed[whole * enc.width :])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "shard": batch.column(1), "doc_tokens": pa.array(counts, pa.int64()),
+                "doc_id": batch.column(0), "doc_tokens": pa.array(counts, pa.int64()),
                 "window_crcs": pa.array(crcs, pa.list_(pa.int64())), "windows": pa.array(windows, pa.binary()), "rest": pa.array(rests, pa.binary()),
             })
 
-    width = encoder(file, style).width
+    text = whole_text()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    encoded = stage(rows.mapInArrow(encode, ENCODED), "encoded")
+    code = f"<u{encoder(file, style).width}"
+    whole = corpus(encoded, code)
 
-    def pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        code = f"<u{width}"
+    def pack_shard(rows: pd.DataFrame, number: int) -> tuple[pd.DataFrame, int]:
         rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable", na_position="last").reset_index(drop=True)
         out = []
-        number = key[0] << 32
 
         def add(row: int, start: int, length: int, total: int, offset: int, ids: np.ndarray | None, check: int | None = None) -> None:
             check = crc(ids) if check is None else check
@@ -179,19 +242,47 @@ def pack(
                 number += 1
         rests = [np.frombuffer(x, code) for x in rows["rest"]]
         before = [t - len(r) for t, r in zip(totals, rests)]
-        for made in fill(rests, window, k1, b, query_terms):
+        for made in fill(rests, window, k1, b, query_terms, whole):
             offset = 0
             for i, first, n in made:
                 add(i, before[i] + first, n, totals[i], offset, rests[i][first : first + n])
                 offset += n
             number += 1
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=PIECE_NAMES).astype({"doc_id": "Int64"}), number
 
-    text = whole_text()
-    dealt = F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).alias("shard")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), dealt, text.alias("text")).mapInArrow(encode, ENCODED)
-    return rows.groupBy("shard").applyInPandas(pack_shard, PIECES)
+    def pack_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Consecutive shards of a sorted partition; the last has up to twice ``shard_docs``."""
+        held, have, number = [], 0, None
+        schema = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in PIECE_NAMES])
+
+        def made(rows: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            pieces, number = pack_shard(rows.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), number)
+            return pa.RecordBatch.from_pandas(pieces, schema, preserve_index=False)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if number is None:
+                number = batch.column("part")[0].as_py() << 40
+            held.append(batch)
+            have += batch.num_rows
+            while have >= 2 * shard_docs:
+                every = pa.Table.from_batches(held)
+                yield made(every.slice(0, shard_docs))
+                held, have = every.slice(shard_docs).to_batches(), have - shard_docs
+        if have:
+            yield made(pa.Table.from_batches(held))
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [route(np.frombuffer(r, code), whole, k1, b, shard_docs) for r in batch.column("rest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "route"])
+
+    keys = ["route", "doc_id", "doc_tokens", "salt"]
+    rows = encoded.mapInArrow(routed, f"{ENCODED}, route binary").withColumn("salt", F.xxhash64("rest"))
+    rows = rows.repartitionByRange(min(shards, PARTITIONS_MOST), *keys).sortWithinPartitions(*keys)
+    return rows.drop("route", "salt").withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(pack_sorted, PIECES)
 
 
 by_value(sys.modules[__name__])

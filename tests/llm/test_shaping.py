@@ -181,6 +181,40 @@ def test_neighbours_share_a_window():
         assert len({i // 2 for i, _, _ in made}) == 1
 
 
+def topics(groups, of_each):
+    """Documents of a topic have its rare words in common, and every one the usual words."""
+    rng = np.random.default_rng(8)
+    made = []
+    for g in range(groups):
+        own = [f"{''.join(rng.choice(list('bcdfgklmnprstvz'), 7))}" for _ in range(12)]
+        made += [(g, " ".join([*rng.choice(own, 20), *rng.choice(["the", "of", "and", "to", "in"], 20)])) for _ in range(of_each)]
+    order = rng.permutation(len(made))
+    return [(int(i), *made[i]) for i in order]
+
+
+def test_packing_neighbours_meet_across_shards(spark):
+    """A document's window holds its topic, though there are many more shards than one."""
+    made = topics(60, 10)
+    data = [(i, t, "", "s", 0, *"abcdefg") for i, _, t in made]
+    got = retrieval_packing.pack(brute.documents(spark, data), public_tokenizers.path("byte_bpe_50k.json"), "bytes", window=512, shard_docs=40).collect()
+    topic, of_window = {i: g for i, g, _ in made}, defaultdict(list)
+    for r in got:
+        of_window[r.sequence_id].append(topic[r.doc_id])
+    same = sum(max(Counter(m).values()) for m in of_window.values())
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    assert same > 0.5 * len(got), (same, len(got))
+
+
+def test_figures_are_of_the_whole_corpus(spark):
+    ids = library("byte_bpe_50k.json")
+    rests = [np.array([*ids(t), 1]) for _, t, *_ in DATA]
+    encoded = spark.createDataFrame([(r.astype("<u2").tobytes(),) for r in rests], "rest binary").repartition(5)
+    found = retrieval_packing.corpus(encoded, "<u2")
+    df = Counter(t for r in rests for t in set(r.tolist()))
+    assert found.n == len(rests) and found.mean == pytest.approx(sum(map(len, rests)) / len(rests))
+    assert {t: int(found.df[t]) for t in np.flatnonzero(found.df)} == dict(df)
+
+
 def plain_ppm(data, order):
     held = lambda d: brute.zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False
     normal = {d: b" ".join((t or "").encode().lower().split()) + b"\n" for d, t in data}
