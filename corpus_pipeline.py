@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskloom.llm import curriculum, lsh_forest, retrieval_packing, rule_ledger, stream_dedup
 from riskloom.llm.queries import tokenizer_file
@@ -35,9 +37,20 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum.mixed(docs)
 
 
+def stored_order(docs: DataFrame) -> Column:
+    """The place of a row in the order in which its table was written: part, file of the
+    part, row.  A frame that is not read from files has the order of its partitions."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema
+    except AnalysisException:
+        return F.array(F.monotonically_increasing_id())
+    file = F.col("_metadata.file_name")
+    return F.array(*[F.regexp_extract(file, p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\.")], F.col("_metadata.row_index"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
-    return retrieval_packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), "bytes").drop("ids")
+    """Pieces of sequences of 2048 tokens, numbered in the training order of the mix."""
+    return retrieval_packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), "bytes", order=stored_order(docs)).drop("ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -13,6 +13,10 @@ nothing shares a term with the seed the longest unused rest is taken.  So only t
 window of a shard has padding.  A neighbour in another shard is not reached; the README
 gives the share that is.
 
+With an ``order`` the training order decides instead: shards are consecutive slices of it, the
+seed is the first unused rest, sequences are numbered by the place of their seeds, and uses
+of one doc_id do not share a window while anything else is left.
+
 A null text counts as empty: its piece is the end id alone.  Rows may repeat, each is a
 document by itself; ties of scores go by doc_id and length.  An empty table gives no pieces.
 """
@@ -28,7 +32,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.workers import by_value
@@ -38,7 +42,7 @@ from riskloom.plans.staging import stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 PIECE_NAMES = [p.split()[0] for p in PIECES.split(", ")]
-ENCODED = "doc_id long, doc_tokens long, window_crcs array<long>, windows binary, rest binary"
+ENCODED = "doc_id long, place array<long>, doc_tokens long, window_crcs array<long>, windows binary, rest binary"
 #: Most partitions that the sorted rests are cut into; a partition holds as many shards as it needs.
 PARTITIONS_MOST = 10_000
 
@@ -132,13 +136,15 @@ class Index:
 
 def fill(
     rests: list[np.ndarray], window: int, k1: float, b: float, query_terms: int, whole: Corpus | None = None,
+    same: np.ndarray | None = None,
 ) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows as lists of (rest, first token, tokens)."""
+    """Windows as lists of (rest, first token, tokens).  With ``same``, rests are in training
+    order and those with equal numbers are kept apart."""
     index = Index(rests, k1, b, whole)
     left = np.array([len(r) for r in rests], np.int64)
     begun = np.zeros(len(rests), np.int64)
     unused = left > 0
-    longest = np.argsort(-left, kind="stable")
+    longest = np.argsort(-left, kind="stable") if same is None else np.arange(len(rests))
     nxt = 0
 
     def take(i: int, room: int) -> tuple[int, int, int]:
@@ -149,10 +155,15 @@ def fill(
         unused[i] = False
         return piece
 
-    def spare() -> int | None:
+    def spare(made: list[tuple[int, int, int]] = ()) -> int | None:
         nonlocal nxt
         while nxt < len(longest) and not unused[longest[nxt]]:
             nxt += 1
+        if same is not None and made:
+            free = longest[nxt:][unused[longest[nxt:]]]
+            free = free[~np.isin(same[free], same[[i for i, _, _ in made]])]
+            if len(free):
+                return int(free[0])
         return int(longest[nxt]) if nxt < len(longest) else None
 
     seed = spare()
@@ -162,6 +173,9 @@ def fill(
         scores = index.scores(seed, query_terms)
         near = np.flatnonzero(unused & (scores > 0))
         near = near[np.argsort(-scores[near], kind="stable")]
+        if same is not None:
+            near = near[same[near] != same[seed]]
+            near = near[np.sort(np.unique(same[near], return_index=True)[1])]
         seed = None
         while room:
             fits = near[left[near] <= room]
@@ -173,7 +187,7 @@ def fill(
                     made.append(take(i, window))
                 near = near[unused[near]]
                 continue
-            cut = int(near[0]) if len(near) else spare()
+            cut = int(near[0]) if len(near) else spare(made)
             if cut is None:
                 break
             made.append(take(cut, room))
@@ -197,9 +211,12 @@ def pack(
     k1: float = 1.2,
     b: float = 0.75,
     with_ids: bool = False,
+    order: Column | None = None,
 ) -> DataFrame:
-    """One row per piece; ``ids`` are its ids as little-endian 32-bit integers if asked for."""
+    """One row per piece; ``ids`` are its ids as little-endian 32-bit integers if asked for.
+    ``order`` is the place of a row in training, an array of longs."""
     shards = max(1, math.ceil(docs.count() / shard_docs))
+    ordered = order is not None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file, style)
@@ -207,7 +224,7 @@ def pack(
         code = f"<u{enc.width}"
         for batch in batches:
             counts, crcs, windows, rests = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 packed = enc.ids(text) + end
                 ids = np.frombuffer(packed, code)
                 whole = len(ids) // window * window
@@ -216,37 +233,47 @@ def pack(
                 windows.append(packed[: whole * enc.width] if with_ids else b"")
                 rests.append(packed[whole * enc.width :])
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "doc_tokens": pa.array(counts, pa.int64()),
+                "doc_id": batch.column(0), "place": batch.column(1), "doc_tokens": pa.array(counts, pa.int64()),
                 "window_crcs": pa.array(crcs, pa.list_(pa.int64())), "windows": pa.array(windows, pa.binary()), "rest": pa.array(rests, pa.binary()),
             })
 
     text = whole_text()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    place = F.lit(None) if order is None else order
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.cast("array<long>").alias("place"), text.alias("text"))
     encoded = stage(rows.mapInArrow(encode, ENCODED), "encoded")
     code = f"<u{encoder(file, style).width}"
     whole = corpus(encoded, code)
 
     def pack_shard(rows: pd.DataFrame, number: int) -> tuple[pd.DataFrame, int]:
-        rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable", na_position="last").reset_index(drop=True)
-        out = []
+        if not ordered:
+            rows = rows.sort_values(["doc_id", "doc_tokens"], kind="stable", na_position="last").reset_index(drop=True)
+        out, windows = [], []
 
         def add(row: int, start: int, length: int, total: int, offset: int, ids: np.ndarray | None, check: int | None = None) -> None:
             check = crc(ids) if check is None else check
             out.append((rows["doc_id"][row], start, length, check, total, number, offset, ids.astype("<u4").tobytes() if with_ids else None))
 
         totals = rows["doc_tokens"].to_list()
-        for i, crcs in enumerate(rows["window_crcs"]):
-            for k, check in enumerate(crcs):
-                ids = np.frombuffer(rows["windows"][i], code)[k * window : (k + 1) * window] if with_ids else None
-                add(i, k * window, window, totals[i], 0, ids, int(check))
-                number += 1
         rests = [np.frombuffer(x, code) for x in rows["rest"]]
         before = [t - len(r) for t, r in zip(totals, rests)]
-        for made in fill(rests, window, k1, b, query_terms, whole):
-            offset = 0
-            for i, first, n in made:
-                add(i, before[i] + first, n, totals[i], offset, rests[i][first : first + n])
-                offset += n
+        same = None
+        if ordered:  # a row without an id is a document by itself
+            same = pd.factorize(rows["doc_id"])[0]
+            same = np.where(same < 0, len(rows) + np.arange(len(rows)), same)
+        for i, crcs in enumerate(rows["window_crcs"]):
+            windows += [(i, k * window, int(check)) for k, check in enumerate(crcs)]
+        windows += [(made[0][0], made, None) for made in fill(rests, window, k1, b, query_terms, whole, same)]
+        if ordered:
+            windows.sort(key=lambda w: w[0])
+        for i, made, check in windows:
+            if check is not None:
+                ids = np.frombuffer(rows["windows"][i], code)[made : made + window] if with_ids else None
+                add(i, made, window, totals[i], 0, ids, check)
+            else:
+                offset = 0
+                for j, first, n in made:
+                    add(j, before[j] + first, n, totals[j], offset, rests[j][first : first + n])
+                    offset += n
             number += 1
         return pd.DataFrame(out, columns=PIECE_NAMES).astype({"doc_id": "Int64"}), number
 
@@ -279,10 +306,13 @@ def pack(
             keys = [route(np.frombuffer(r, code), whole, k1, b, shard_docs) for r in batch.column("rest").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "route"])
 
-    keys = ["route", "doc_id", "doc_tokens", "salt"]
-    rows = encoded.mapInArrow(routed, f"{ENCODED}, route binary").withColumn("salt", F.xxhash64("rest"))
+    if not ordered:
+        keys = ["route", "doc_id", "doc_tokens", "salt"]
+        rows = encoded.mapInArrow(routed, f"{ENCODED}, route binary").withColumn("salt", F.xxhash64("rest"))
+    else:
+        keys, rows = ["place"], encoded
     rows = rows.repartitionByRange(min(shards, PARTITIONS_MOST), *keys).sortWithinPartitions(*keys)
-    return rows.drop("route", "salt").withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(pack_sorted, PIECES)
+    return rows.drop("route", "salt", "place").withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(pack_sorted, PIECES)
 
 
 by_value(sys.modules[__name__])

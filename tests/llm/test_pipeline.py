@@ -8,7 +8,7 @@ import corpus_pipeline
 from test_shaping import measures
 
 import __spark_entry__ as entry
-from riskloom.llm import oracles, queries
+from riskloom.llm import oracles, queries, retrieval_packing
 from riskloom.plans.staging import stage
 
 NAMES = ["quality_rules", "exact_dedup", "near_dedup", "source_mix", "packing"]
@@ -67,6 +67,30 @@ def test_stages(spark):
     assert total == expected
 
 
+def test_packing_keeps_the_training_order(spark):
+    """Sequences follow the stored order, and the uses of a document are apart."""
+    say = lambda i: " ".join(f"{w}{i}" for w in ("alpha", "beta", "gamma", "delta") * 100)
+    data = [(i % 30, say(i % 30), "", "s", 0, *"abcdefg") for i in range(90)]
+    mixed = stage(spark.createDataFrame(data[:45], brute.SCHEMA).coalesce(1).union(spark.createDataFrame(data[45:], brute.SCHEMA).coalesce(1)), "mixed")
+    rows = corpus_pipeline.packing(spark, mixed, "unused").collect()
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+    heads = [min(sequences[s], key=lambda r: r.offset).doc_id for s in sorted(sequences)]
+    assert all(len({r.doc_id for r in m}) == len(m) for m in sequences.values())
+    assert heads[0] == 0 and sum(r.length for r in rows) == 3 * sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_shards_are_slices_of_the_order(spark):
+    data = [(i * 7 % 200, f"word {i * 7 % 200} said", "", "s", 0, *"abcdefg") for i in range(200)]
+    docs = stage(spark.createDataFrame(data, brute.SCHEMA).coalesce(1), "ordered")
+    order, file = corpus_pipeline.stored_order(docs), queries.tokenizer_file("byte_bpe_50k.json")
+    rows = retrieval_packing.pack(docs, file, "bytes", window=32, shard_docs=20, order=order).collect()
+    at = {r[0]: i for i, r in enumerate(data)}
+    ranked = [at[r.doc_id] for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset))]
+    assert all(abs(place - i * 200 / len(ranked)) < 60 for i, place in enumerate(ranked))
+
+
 def test_entry_points():
     every = entry.queries()
     numbers = [int(k[2:].split("_")[0]) for k in queries.QUERIES]
