@@ -5,6 +5,7 @@ therefore cut here at the limits where its pre-tokenizer cuts as well, each dist
 is merged once by the library's model, and the packed ids of a text are the joined ids of
 its pieces.  Texts with characters above U+00FF, or with white space other than the six
 ASCII ones, are cut at safe white space only and go through the library as they are.
+Added tokens such as ``<|endoftext|>`` get their own ids in a text, as in the library.
 """
 
 from __future__ import annotations
@@ -53,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A text that holds one of the file's added tokens goes through the library whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         self.lower = style == "words"
         self.pattern = re.compile(PATTERNS[style])
         self.cut = re.compile(SAFE_CUTS[style])
@@ -89,6 +92,8 @@ class Encoder:
         return b"".join([seen[p] if p in seen else long[p] for p in parts]) if long else b"".join(map(seen.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self._library(text)
         if self.odd.search(text):
             return b"".join([self._odd(unit) for unit in self.cut.split(text) if unit])
         return self._known(self.pattern.findall(text.lower() if self.lower else text), self._merge)

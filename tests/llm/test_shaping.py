@@ -35,6 +35,14 @@ def test_pieces_have_the_library_ids(name, style, text):
     assert np.frombuffer(enc.ids(text), "<u2").tolist() == ids(text)
 
 
+@pytest.mark.parametrize("name, style", STYLES)
+def test_added_tokens_have_the_library_ids(name, style):
+    plain, enc = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name), style)
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    for text in (f"a {end} b", f"{start}A b{end}{end} c", f"été {end}\n漢字 x{start}y", f"{end} a\xa0b", end.upper(), "<|endof text|>", "<|endoftext", f" {end} "):
+        assert np.frombuffer(enc.ids(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_store_round_trip(spark, tmp_path):
     ids = library("word_bpe_49k.json")
     folder = f"{tmp_path}/store"
