@@ -40,7 +40,10 @@ from pyspark.sql import functions as F
 from riskloom.functions.workers import by_value
 from riskloom.plans.staging import stage
 
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
+#: Their content is no markup; all other text of a page is left to the trees.
+RAW = {"script", "style", "title", "textarea"}
+#: Nodes that may stand in a paragraph and do not end it.
+EMBEDDED = {"noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small",
     "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "picture", "source", "nobr", "ruby", "rt", "rp", "data",
@@ -72,7 +75,8 @@ FEATURES = [
 class Page:
     """Block elements of a page in order of their start tags, and its runs of text."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, labelled: bool = False):
+        """``labelled`` pages are those of ``_layout``, with their labels in data-y."""
         self.tag, self.parent, self.tokens, self.label = ["#page"], [-1], [()], [None]
         self.runs: list[tuple[int, str, int]] = []  # block, text, characters of it in links
         stack, tags, held, link, linked = [0], ["#page"], [], 0, 0
@@ -124,12 +128,15 @@ class Page:
                 if not m.group("attrs").endswith("/"):
                     end = re.compile(f"</{tag}[^>]*>", re.I).search(text, at)
                     at = end.end() if end else size
-            elif tag in VOID:
+            elif tag in VOID or (tag in EMBEDDED and m.group("attrs").endswith("/")):
                 flush()
             else:
+                inside = next((d for d in range(len(tags) - 1, 0, -1) if tags[d] in EMBEDDED), 0)
+                if inside and m.group("attrs").endswith("/"):
+                    continue
                 flush()
                 link = 0
-                if "p" in tags:  # any block ends an open paragraph
+                if tag not in EMBEDDED and "p" in tags[inside:]:  # any block ends an open paragraph
                     close(len(tags) - 1 - tags[::-1].index("p"))
                 ended = ENDED.get(tag)
                 if ended:
@@ -144,7 +151,7 @@ class Page:
                 if "=" in attrs:
                     found = [(k.lower(), v.strip("\"'")) for k, v in ATTRIBUTE.findall(attrs)]
                     words = tuple(w for k, v in found if k != "data-y" for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()) if w)
-                    label = next((int(v) for k, v in found if k == "data-y"), None)
+                    label = next((int(v) for k, v in found if k == "data-y"), None) if labelled else None
                 self.tag.append(tag)
                 self.parent.append(stack[-1])
                 self.tokens.append(words)
@@ -325,7 +332,7 @@ def fit(pages: DataFrame, sample_pages: int = 150, sample_bytes: int = 1 << 17,
             for text in batch["html"]:
                 page = Page(text)
                 pick = random.Random(len(text))
-                for p in [page, *(Page(_layout(page, pick)) for _ in range(layouts))]:
+                for p in [page, *(Page(_layout(page, pick), labelled=True) for _ in range(layouts))]:
                     out += [(f.tolist(), float(y)) for f, y in zip(p.features(), p.weak_labels())]
             yield pd.DataFrame(out, columns=["f", "label"])
 

@@ -54,6 +54,22 @@ def test_odd_pages(spark, trees):
     assert all(got[i] == "" for i in (0, 1, 2, 6, 9, 10))
 
 
+def test_pages_have_no_labels_of_their_own():
+    html = "<article><div data-y='1.5'>a</div><div data-y=top>b</div><div data-y='0'>c</div></article>"
+    page = dom_boost.Page(html)
+    assert page.label == [None] * len(page.tag) and page.weak_labels()[1:] == [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "math", "object", "noscript", "video"])
+def test_open_elements_take_no_text_along(tag):
+    page = dom_boost.Page(f"<article><p>one <{tag}>two</{tag}> three</p><{tag}>four<p>five</p></article><p>six</p>")
+    assert " ".join(t for _, t, _ in page.runs) == "one two three four five six"
+    kept = page.weak_labels()
+    assert " ".join(t for b, t, _ in page.runs if kept[b]) == "one two three four five"
+    drawn = dom_boost.Page(f"<p>one <{tag}><path d='x'/><g>two</g></{tag}> three</p>")
+    assert [drawn.tag[b] for b, _, _ in drawn.runs] == ["p", "g", "p"]
+
+
 def test_learns_the_given_pages(spark, trees):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = dom_boost.extract(pages, trees).collect()
