@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import curriculum, dom_boost, lsh_forest, phrase_automata, ppm, retrieval_packing, rule_ledger, stream_dedup, suffix_sort, token_store
+from riskloom.llm import (
+    curriculum, dom_boost, fim_fenwick, lsh_forest, ngram_screen, phrase_automata, ppm, retrieval_packing, rule_ledger, segment_bounds,
+    stream_dedup, suffix_sort, token_store,
+)
 from riskloom.llm.common import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +74,33 @@ def op10_ppm(spark: SparkSession, sf: str) -> DataFrame:
     return ppm.scores(table(spark, sf, "documents"))
 
 
+def op11_ngram_screen(spark: SparkSession, sf: str) -> DataFrame:
+    met = ngram_screen.screened(table(spark, sf, "documents"), table(spark, sf, "benchmark"), size=10)
+    return met.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_segment_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").where(
+        "vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND abs(x) < double('infinity'))"
+    )
+    vectors = rows.select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"),
+    )
+    return segment_bounds.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_fim_fenwick(spark: SparkSession, sf: str) -> DataFrame:
+    made = fim_fenwick.rearranged(table(spark, sf, "documents"), seed=1)
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim_fenwick.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_store": op1_token_store,
     "op2_phrase_automata": op2_phrase_automata,
@@ -82,4 +112,7 @@ QUERIES: dict[str, Query] = {
     "op8_lsh_forest": op8_lsh_forest,
     "op9_suffix_sort": op9_suffix_sort,
     "op10_ppm": op10_ppm,
+    "op11_ngram_screen": op11_ngram_screen,
+    "op12_segment_bounds": op12_segment_bounds,
+    "op13_fim_fenwick": op13_fim_fenwick,
 }
