@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import whole_text
-from riskloom.plans.staging import stage
 
 #: What lies between words, and words, in texts before lowering.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -79,7 +78,7 @@ def _scan(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
 
 def _by_text(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int) -> DataFrame:
     """doc_id, digest, n_words, copies, hits, items: a row for each distinct document."""
-    windows = stage(test_windows(benchmark, size), "test-windows")
+    windows = test_windows(benchmark, size)
     room = F.octet_length("gram") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16) + 64
     total = windows.agg(F.sum(room).alias("bytes"), F.array_sort(F.collect_set("length")).alias("lengths")).first()
     parts = max(1, -(-(total.bytes or 0) // broadcast_bytes))
