@@ -522,3 +522,5 @@ ORACLES: dict[str, str] = {
                 THEN 'https://github.com/' || regexp_extract(t, {q(K.REPO_URL_LOOSE)}, 1) || '/' || regexp_extract(t, {q(K.REPO_URL_LOOSE)}, 2) END AS canonical,
             {rx('value', K.EMAIL)} AS is_email, length(value) % 2 = 0 AS patch_like, left(value, 2) = 'PK' AS is_zip FROM v""",
 }
+#: Streams give what their batch forms give.
+ORACLES["stream_quota"] = ORACLES["quota_admissions"]

@@ -4,9 +4,9 @@ lie in the window before it.  Denied attempts leave no trace."""
 from __future__ import annotations
 
 import sys
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -52,44 +52,90 @@ def attempts_in_window(events: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS)
 
 
 _ADMISSIONS = "key string, endpoint string, tick bigint, attempts bigint, admitted bigint, remaining int, retry_after int"
+_ENTRIES = "key string, endpoint string, block bigint, log array<bigint>"
+#: Ticks are packed in blocks of this many milliseconds, so a block holds at most as many.
+BLOCK = 600_000
 
 
-def _fold(span: int, names: list[str]):
-    """Walk ticks in order; the state of a key is its last ``limit`` admitted ticks."""
+def jump(ticks: np.ndarray, attempts: np.ndarray, limit: int, span: int, log: list[int]) -> list[int]:
+    """The log's stamps with those that ascending ticks add to it.
+
+    With ``limit`` stamps in the log the next one can't be earlier than a window after the
+    oldest of them, so the walk goes there by search: a step for each admitted tick, however
+    many are denied in between.
+    """
+    log, at = list(log), 0
+    while at < len(ticks) and limit > 0:
+        if len(log) >= limit:
+            free = log[-limit] + span + 1
+            if ticks[at] < free:
+                at = int(np.searchsorted(ticks, free))
+                continue
+        tick = int(ticks[at])
+        held = sum(s >= tick - span for s in log[-limit:])
+        log += [tick] * min(int(attempts[at]), limit - held)
+        at += 1
+    return log
+
+
+def verdicts(ticks: np.ndarray, attempts: np.ndarray, limit: int, span: int, log: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(admitted, remaining, retry_after) of ascending ticks, for the log before them."""
+    stamps = np.array(jump(ticks, attempts, limit, span, log), np.int64)
+    first = np.searchsorted(stamps, ticks - span)
+    free = np.maximum(0, limit - (np.searchsorted(stamps, ticks) - first))
+    admitted = np.minimum(attempts, free)
+    oldest = np.append(stamps, 0)[np.minimum(first, len(stamps))] if limit > 0 else ticks
+    wait = np.where(attempts > admitted, np.maximum(1, -((ticks - oldest - span) // 1000)), 0)
+    return admitted, free, wait
+
+
+def _walk(span: int):
+    """Pass the log through a key's blocks in order; what it was before each block goes out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, log = None, deque()
+        current, log = None, []
         for batch in batches:
-            rows = batch.to_pydict()
-            out: dict[str, list] = {n: [] for n in names}
-            for key, endpoint, part, tick, attempts, limit, known in zip(
-                *(rows[n] for n in ("key", "endpoint", "part", "tick", "attempts", "limit", "known")), strict=True
-            ):
-                if (key, endpoint, part) != current:
-                    current, log = (key, endpoint, part), deque()
-                while log and log[0] < tick - span:
-                    log.popleft()
-                if known:
-                    log.extend([tick] * attempts)
-                    continue
-                before = len(log)
-                admitted = min(attempts, max(0, limit - before))
-                log.extend([tick] * admitted)
-                oldest = log[0] if log else tick
-                wait = max(1, -(-(oldest + span - tick) // 1000)) if attempts > admitted else 0
-                for name, value in zip(names, (key, endpoint, tick, attempts, admitted, max(0, limit - before), wait), strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_pydict(
-                out,
-                schema=pa.schema(
-                    [("key", pa.string()), ("endpoint", pa.string()), ("tick", pa.int64()), ("attempts", pa.int64()),
-                     ("admitted", pa.int64()), ("remaining", pa.int32()), ("retry_after", pa.int32())]
-                ),
+            logs = []
+            keys = zip(batch.column("key").to_pylist(), batch.column("endpoint").to_pylist())
+            for key, limit, ticks, attempts in zip(keys, batch.column("limit").to_pylist(), _lists(batch, "ticks"), _lists(batch, "attempts")):
+                if key != current:
+                    current, log = key, []
+                if limit is None:  # stamps of an earlier run
+                    log = np.repeat(ticks, attempts).tolist()
+                else:
+                    log = [s for s in log if s >= ticks[0] - span]
+                logs.append(log)
+                if limit is not None:
+                    log = jump(ticks, attempts, limit, span, log)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("endpoint"), batch.column("block"), pa.array(logs, pa.list_(pa.int64()))], names=["key", "endpoint", "block", "log"]
             )
 
     return run
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    column = batch.column(name)
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(ends, ends[1:]))
+
+
+def _decide(span: int):
+    """A row for each tick of a block, from the log before the block."""
+    names = [f.split()[0] for f in _ADMISSIONS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("limit").to_pylist(), batch.column("log").to_pylist(), _lists(batch, "ticks"), _lists(batch, "attempts"))
+            for i, (limit, log, ticks, attempts) in enumerate(rows):
+                admitted, free, wait = verdicts(ticks, attempts, limit, span, log)
+                same = [pa.array([batch.column(c)[i].as_py()], pa.string()).take(pa.array(np.zeros(len(ticks), np.int64))) for c in ("key", "endpoint")]
+                numbers = [pa.array(x, pa.int64()) for x in (ticks, attempts, admitted)]
+                yield pa.RecordBatch.from_arrays([*same, *numbers, pa.array(free.astype(np.int32)), pa.array(wait.astype(np.int32))], names=names)
+
+    return run
+
+
 def count_ticks(events: DataFrame, limit: Column | None = None) -> DataFrame:
     """(key, endpoint, tick, attempts, limit): attempts per key and millisecond."""
     quota = limit_of(F.col("endpoint")) if limit is None else limit
@@ -97,6 +143,13 @@ def count_ticks(events: DataFrame, limit: Column | None = None) -> DataFrame:
     return counted.withColumn("limit", quota.cast("int"))
 
 
+def packed(counted: DataFrame) -> DataFrame:
+    """(key, endpoint, block, limit, ticks, attempts): the ticks of a block as sorted lists."""
+    pairs = F.array_sort(F.collect_list(F.struct("tick", "attempts")))
+    rows = counted.groupBy("key", "endpoint", "limit", F.floor(F.col("tick") / BLOCK).alias("block")).agg(pairs.alias("pairs"))
+    return rows.select("key", "endpoint", "block", "limit", F.col("pairs.tick").alias("ticks"), F.col("pairs.attempts").alias("attempts"))
+
+
 def fold_ticks(counted: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS, before: DataFrame | None = None) -> DataFrame:
     """Admissions of counted ticks.
 
@@ -105,44 +158,36 @@ def fold_ticks(counted: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS, before
     """
     c = F.col
     span = seconds * 1000
-    rows = counted.withColumn("known", F.lit(False))
-    if before is not None:
-        seeds = before.select("key", "endpoint", "tick", "attempts", F.lit(0).alias("limit"), F.lit(True).alias("known"))
-        rows = rows.unionByName(seeds)
-    rows = rows.withColumn("block", F.floor(c("tick") / span))
-    free = rows.filter(c("limit").isNull()).select(
+    free = counted.filter(c("limit").isNull()).select(
         "key", "endpoint", "tick", "attempts", c("attempts").alias("admitted"),
         F.lit(None).cast("int").alias("remaining"), F.lit(0).alias("retry_after"),
     )
-    rows = rows.filter(c("limit").isNotNull())
-    blocks = rows.groupBy("key", "endpoint", "block").agg(F.min("tick").alias("first"), F.max("tick").alias("last"))
-    history = W.partitionBy("key", "endpoint").orderBy("block")
-    # a part starts where the previous block ended more than a window ago
-    starts = (c("first") - F.lag("last").over(history)) > span
-    parts = blocks.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int")).withColumn(
-        "part", F.sum("starts").over(history.rowsBetween(W.unboundedPreceding, 0))
-    )
-    placed = rows.join(parts.select("key", "endpoint", "block", "part"), ["key", "endpoint", "block"]).select(
-        "key", "endpoint", "part", "tick", "attempts", "limit", "known"
-    )
+    blocks = packed(counted.filter(c("limit").isNotNull()))
+    walked = blocks.withColumn("attempts", F.transform("attempts", lambda n: F.least(n, c("limit").cast("long"))))
+    if before is not None:
+        pairs = F.array_sort(F.collect_list(F.struct("tick", "attempts")))
+        seeds = before.groupBy("key", "endpoint").agg(pairs.alias("p")).select(
+            "key", "endpoint", F.lit(-(1 << 62)).alias("block"), F.lit(None).cast("int").alias("limit"), c("p.tick").alias("ticks"), c("p.attempts").alias("attempts")
+        )
+        walked = walked.unionByName(seeds)
     by_value(sys.modules[__name__], K)
-    names = [f.split()[0] for f in _ADMISSIONS.split(", ")]
-    walked = (
-        placed.repartition("key", "endpoint", "part")
-        .sortWithinPartitions("key", "endpoint", "part", "tick", c("known").desc())
-        .mapInArrow(_fold(span, names), _ADMISSIONS)
-    )
-    return walked.unionByName(free)
+    entries = walked.repartition("key", "endpoint").sortWithinPartitions("key", "endpoint", "block").mapInArrow(_walk(span), _ENTRIES)
+    # Null keys are keys too.
+    left, right = blocks.alias("b"), entries.alias("e")
+    same = [c(f"b.{k}").eqNullSafe(c(f"e.{k}")) for k in ("key", "endpoint", "block")]
+    # Each block has its log; the outer join keeps Spark from taking the logs' partitions, one to a key, for all.
+    known = left.join(right, same[0] & same[1] & same[2], "left").select("b.key", "b.endpoint", "b.limit", "e.log", "b.ticks", "b.attempts")
+    return known.mapInArrow(_decide(span), _ADMISSIONS).unionByName(free)
 
 
 def admissions(events: DataFrame, limit: Column | None = None, seconds: int = K.QUOTA_WINDOW_SECONDS) -> DataFrame:
     """(key, endpoint, tick, attempts, admitted, remaining, retry_after) per key and tick.
 
     Attempts of the same tick are counted before anything moves, so a busy key costs at
-    most one row per millisecond.  Where a key was quiet for longer than the window the
-    log is empty, so its history is cut there and the parts go to different tasks; the
-    cuts come from one small row per key and window-sized block.  Within a part ticks
-    stream past a state of ``limit`` stamps.
+    most one row per millisecond, and ticks are packed in blocks.  Only the log has to pass
+    through a key's blocks in order: one task reads a row per block and jumps from one admitted
+    tick to the next.  All else, a verdict for each tick, is done block by block, so a key that
+    is never quiet is spread over the cluster like many quiet ones.
     """
     return fold_ticks(count_ticks(events, limit), seconds)
 

@@ -27,9 +27,11 @@ from riskloom.operators import report as RP
 from riskloom.operators import review as V
 from riskloom.plans import corpus, modules
 from riskloom.plans import scan as S
-from riskloom.plans.staging import stage
+from riskloom.plans.staging import new_folder, stage
 from riskloom.sources import files as SF
 from riskloom.sources import store as ST
+from riskloom.streaming import quota as SQ
+from riskloom.streaming.arrivals import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
@@ -640,6 +642,19 @@ def quota_decisions(spark, sf):
     return QU.decisions(events, QU.admissions(events)).select("event_id", "key", "endpoint", "allowed")
 
 
+def stream_quota(spark, sf):
+    """The same verdicts from a stream: events arrive in four slices, each taken in by a run that goes
+    on from the state of the one before, and a row without endpoint closes the last window."""
+    events, folder = _quota_events(spark, sf), new_folder(spark, "stream-quota")
+    for stream in arrivals(events, c("ts"), f"{folder}/events"):
+        SQ.run(stream, folder)
+    end = events.agg(F.max("ts").alias("ts")).select(
+        *[F.lit(None).cast(events.schema[n].dataType).alias(n) for n in ("event_id", "key", "endpoint")], (c("ts") + F.expr("INTERVAL 2 HOURS")).alias("ts")
+    )
+    end.write.mode("append").parquet(f"{folder}/events")
+    return SQ.run(stream, folder)[0].drop("batch")
+
+
 def latest_status(spark, sf):
     from riskloom.streaming.jobs import latest_status as latest
 
@@ -777,6 +792,7 @@ QUERIES: dict[str, Query] = {
     "quota_attempts": quota_attempts,
     "quota_admissions": quota_admissions,
     "quota_decisions": quota_decisions,
+    "stream_quota": stream_quota,
     "stream_status": latest_status,
     "taint_flows": taint_flows,
     "taint_join": taint_join,

@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder on the storage that all executors share."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
@@ -30,6 +35,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     they need.
     """
     spark = df.sparkSession
-    target = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    target = new_folder(spark, label)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)

@@ -4,8 +4,9 @@ import io
 import random
 import zipfile
 from collections import defaultdict
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from riskloom.sources import archives as A
 from riskloom.sources import files as SF
 from riskloom.sources import store as ST
 from riskloom.streaming import jobs as J
+from riskloom.streaming import quota as SQ
 
 
 def finding(spark, rows):
@@ -328,3 +330,63 @@ def test_paths_outside_a_scan_are_read_nowhere(spark, files):
     leak = 'api_key = "sk-proj-abcdefghijklmnopqrstuvwxyz0123456789ABCD"\n'
     tree = files({"src/a.py": leak, "node_modules/x/a.py": leak, "dist/a.js": leak, "src/a.min.js": leak})
     assert {r.path for r in D.candidates(tree).collect()} == {r.path for r in S.scan(tree).collect()} == {"src/a.py"}
+
+
+def test_a_busy_key_is_spread_over_tasks(spark):
+    from pyspark.sql.types import LongType
+
+    events = spark.range(60_000, numPartitions=4).select(
+        F.col("id").cast(LongType()).alias("event_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"),
+        F.lit("scan/github").alias("endpoint"), F.timestamp_millis(F.col("id") * 3_000).alias("ts"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        decided = QU.admissions(events)
+        tasks = sorted(r["count"] for r in decided.groupBy(F.spark_partition_id().alias("task")).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 4 and tasks[-1] <= 2 * tasks[1]
+    admitted = [r.tick for r in decided.filter("key = 'hot' AND admitted > 0").orderBy("tick").collect()]
+    log, want = [], []
+    for tick in range(0, 60_000 * 3_000, 6_000):
+        if len(log) < 5 or log[-5] < tick - 3_600_000:
+            log.append(tick)
+            want.append(tick)
+    assert admitted == want and len(want) > 200
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_jumps_equal_a_walk(seed):
+    pick = random.Random(seed)
+    for _ in range(60):
+        ticks = sorted(pick.sample(range(400), pick.randint(1, 120)))
+        attempts, limit, span = [pick.randint(1, 4) for _ in ticks], pick.randint(0, 6), pick.choice([3, 40, 200])
+        before = sorted(pick.choices(range(-span, 0), k=pick.randint(0, limit)))
+        log, want = list(before), []
+        for t, n in zip(ticks, attempts):
+            held = sum(s >= t - span for s in log)
+            took = min(n, max(0, limit - held))
+            log += [t] * took
+            recent = [s for s in log if s >= t - span]
+            want.append((took, max(0, limit - held), max(1, -((t - (recent[0] if recent else t) - span) // 1000)) if n > took else 0))
+        got = QU.verdicts(np.array(ticks), np.array(attempts), limit, span, before)
+        assert list(zip(*(x.tolist() for x in got))) == want
+
+
+def test_quota_stream_keeps_state_and_late_attempts(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    say = lambda *rows: spark.createDataFrame(
+        [(k, e, start + timedelta(minutes=m)) for k, e, m in rows], "key string, endpoint string, ts timestamp"
+    ).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    say(*[("a", "waitlist", m) for m in (0, 9, 3, 6)], ("b", "free", 9))
+    stream = spark.readStream.schema("key string, endpoint string, ts timestamp").parquet(f"{tmp_path}/in")
+    SQ.run(stream, f"{tmp_path}/out")
+    say(("a", "waitlist", 61), ("a", "waitlist", 61), (None, None, 130))  # another run goes on from the state of the first
+    SQ.run(stream, f"{tmp_path}/out")
+    say(("a", "waitlist", 4), ("a", "waitlist", 4), ("b", "free", 1), ("c", "contact", 125), (None, None, 400))
+    admitted, late = SQ.run(stream, f"{tmp_path}/out")
+    minute = lambda r: (r.tick - int(start.replace(tzinfo=timezone.utc).timestamp() * 1000)) // 60_000
+    assert sorted((r.key, minute(r), r.attempts, r.admitted, r.remaining) for r in admitted.collect()) == [
+        ("a", 0, 1, 1, 3), ("a", 3, 1, 1, 2), ("a", 6, 1, 1, 1), ("a", 9, 1, 0, 0), ("a", 61, 2, 1, 1), ("b", 9, 1, 1, None), ("c", 125, 1, 1, 3)
+    ]
+    assert sorted((r.key, minute(r), r.attempts) for r in late.collect()) == [("a", 4, 2), ("b", 1, 1)]
