@@ -246,7 +246,7 @@ _OLD = '    cursor.execute(f"SELECT * FROM t WHERE n = {name}")'
 _NEW_LEN = f"CASE kind WHEN 1 THEN {len(_OLD) + 11} WHEN 2 THEN {len('    cursor.execute(')} ELSE {len('    cursor.find(name)')} END"
 
 ORACLES: dict[str, str] = {
-    "repo_risk": _scan_score(["DET-01"]),
+    "repo_risk": _scan_score(),
     "scan_risk": _scan_score(),
     "scan_findings": _with(_scan(), f"SELECT {FLAT}, attack_chain, cvss_score, cvss_vector, owasp_cat, false_positive_risk, ord FROM scanned"),
     "ingest_files": _with(
@@ -451,9 +451,10 @@ ORACLES: dict[str, str] = {
             WHERE repo_id NOT IN (SELECT scan_id FROM scans WHERE status = 'running') GROUP BY ALL""",
     ),
     "scan_headers": _with(
-        [*_scan(["DET-01", "DET-16"]), *B.scored("scanned"), "seen AS (SELECT repo_id, count(*) AS n FROM named WHERE NOT ignored GROUP BY repo_id)"],
+        [*_scan(), *B.scored("scanned"), "seen AS (SELECT repo_id, count(*) AS n FROM named WHERE NOT ignored GROUP BY repo_id)"],
         f"""SELECT repo_id AS repo_url, 'complete' AS status, coalesce(risk_score, 0) AS risk_score, CASE WHEN risk_score IS NULL THEN 'CLEAN' ELSE {B.VERDICT} END AS verdict,
-            CAST(coalesce(n, 0) AS INTEGER) AS files_scanned, array_to_string(frameworks, '|') AS frameworks, kind FROM ctx LEFT JOIN scored USING (repo_id) LEFT JOIN seen USING (repo_id)""",
+            CAST(coalesce(n, 0) AS INTEGER) AS files_scanned, array_to_string(frameworks, '|') AS frameworks, kind,
+            coalesce(n_findings, 0) AS n_stored FROM ctx LEFT JOIN scored USING (repo_id) LEFT JOIN seen USING (repo_id)""",
     ),
     "keyed_upsert": """SELECT email, epoch_us(min(ts)) AS created_at, first(source ORDER BY ts, source, ip) AS source, first(ip ORDER BY ts, source, ip) AS ip, epoch_us(max(ts)) AS last_seen_at,
         first(source ORDER BY ts DESC, source DESC) AS last_source

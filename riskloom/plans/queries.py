@@ -29,6 +29,7 @@ from riskloom.plans import corpus, modules
 from riskloom.plans import scan as S
 from riskloom.plans.staging import new_folder, stage
 from riskloom.sources import files as SF
+from riskloom.sources import scanlog as SL
 from riskloom.sources import store as ST
 from riskloom.streaming import quota as SQ
 from riskloom.streaming.arrivals import arrivals
@@ -70,7 +71,8 @@ def _findings(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sources
 def repo_risk(spark, sf):
-    return S.repository_scores(S.scan(_files(spark, sf), ["DET-01"], staged=True))
+    """The score as one plan from files to verdict, nothing written in between."""
+    return S.repository_scores(S.scan(_files(spark, sf)))
 
 
 def scan_risk(spark, sf):
@@ -582,24 +584,36 @@ def report_view(spark, sf):
 
 # ------------------------------------------------------------------ store
 def scan_store(spark, sf):
-    """Findings of an older generation (fewer columns) aligned, and scans removed with their findings."""
+    """Findings of an older generation (fewer columns) go into a store, some scans are deleted with their
+    findings, and some others are stored again."""
+    folder = new_folder(spark, "scan-store")
     old = _stored(spark, sf).drop("proof", "recommendation", "fix", "fix_source", "evidence_refs")
-    deleted = _scans(spark, sf).filter("status = 'running'")
-    kept = ST.cascade_delete(ST.align(old, ST.STORED_FINDING), deleted)
+    scans = _scans(spark, sf).drop("scanned_at")
+    SL.commit(spark, folder, old, scans)
+    running = scans.filter("status = 'running'")
+    SL.commit(spark, folder, deleted=running)
+    again = scans.filter(c("files_scanned") % 7 == 0)
+    SL.commit(spark, folder, SL.findings(spark, folder).join(again, "scan_id", "left_semi"))
+    SL.compact(spark, folder)
+    kept = SL.findings(spark, folder)
     return kept.groupBy("scan_id", "severity", "status", "fix_source", "false_positive_risk").agg(
         F.count("*").alias("n"), F.sum(F.size("evidence_refs")).alias("refs"), F.count("proof").alias("proofs")
     )
 
 
 def scan_headers(spark, sf):
-    files = _files(spark, sf)
+    """Whole scans of all repositories, stored with their findings and read back."""
+    files, folder = _files(spark, sf), new_folder(spark, "scan-headers")
     counted = SF.manifest(files.withColumn("size", F.octet_length("text").cast("bigint")), None).groupBy("repo_id").agg(F.count("*").alias("files_scanned"))
-    heads = ST.scan_headers(_repo_scores(spark, sf), _contexts(spark, sf), counted, F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    return heads.select("repo_url", "status", "risk_score", "verdict", "files_scanned", _joined("frameworks").alias("frameworks"), "repo_context.kind")
-
-
-def _repo_scores(spark, sf) -> DataFrame:
-    return S.repository_scores(S.scan(_files(spark, sf), ["DET-01", "DET-16"], flows=False, staged=True))
+    found = stage(S.scan(files, staged=True), "findings")
+    heads = ST.scan_headers(S.repository_scores(found), _contexts(spark, sf), counted, F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    heads = stage(heads, "heads")
+    SL.commit(spark, folder, found.join(heads.select("scan_id", c("repo_url").alias("repo_id")), "repo_id"), heads)
+    n = SL.findings(spark, folder).groupBy("scan_id").agg(F.count("*").alias("n_stored"))
+    return SL.scans(spark, folder).join(n, "scan_id", "left").select(
+        "repo_url", "status", "risk_score", "verdict", "files_scanned", _joined("frameworks").alias("frameworks"), "repo_context.kind",
+        F.coalesce("n_stored", F.lit(0)).alias("n_stored"),
+    )
 
 
 def _sign_ups(spark, sf) -> DataFrame:

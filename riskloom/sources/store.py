@@ -1,56 +1,12 @@
-"""The store: scans and their findings as Parquet tables, and tables keyed by a value."""
+"""What goes into the store, see ``scanlog``, and tables keyed by a value."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.model import PROOF, REF
-
-SCANS = (
-    "scan_id string, repo_url string, status string, risk_score int, verdict string, files_scanned int, scan_ms int, "
-    "frameworks array<string>, repo_context struct<kind:string,reasons:array<string>,local_network_hints:array<string>,"
-    "public_api_signals:array<string>,external_exposure_proven:boolean,sensitive_public_surface:boolean>, "
-    "models_used array<string>, error_message string, created_at timestamp, updated_at timestamp"
-)
-# column -> (type, default of a missing value as SQL)
-STORED_FINDING = {
-    "scan_id": ("string", "NULL"),
-    "id": ("string", "NULL"),
-    "category": ("string", "''"),
-    "severity": ("string", "'low'"),
-    "status": ("string", "'candidate'"),
-    "confidence": ("double", "0"),
-    "path": ("string", "''"),
-    "line_number": ("int", "0"),
-    "evidence": ("string", "''"),
-    "evidence_refs": (f"array<{REF}>", "array()"),
-    "proof": (PROOF, "NULL"),
-    "description": ("string", "''"),
-    "attack_chain": ("string", "''"),
-    "fix_code": ("string", "NULL"),
-    "recommendation": ("string", "''"),
-    "fix": ("string", "''"),
-    "fix_source": ("string", "''"),
-    "cvss_score": ("double", "NULL"),
-    "cvss_vector": ("string", "NULL"),
-    "confirmed_by": ("array<string>", "array()"),
-    "validator": ("string", "NULL"),
-    "owasp_cat": ("string", "NULL"),
-    "false_positive_risk": ("string", "'low'"),
-    "ord": ("bigint", "0"),
-}
-
-
-def align(df: DataFrame, target: dict[str, tuple[str, str]]) -> DataFrame:
-    """Bring an older table to the columns of ``target``: missing columns and null values
-    take the default.  Reading with ``mergeSchema`` before gives mixed generations."""
-    columns = []
-    for name, (kind, default) in target.items():
-        value = F.expr(f"CAST({default} AS {kind})")
-        present = F.coalesce(F.col(name).cast(kind), value) if name in df.columns else value
-        columns.append(present.alias(name))
-    return df.select(*columns)
+from riskloom.sources import scanlog
+from riskloom.sources.scanlog import SCANS, STORED_FINDING, align, bucket  # noqa: F401
 
 
 def scan_headers(scores: DataFrame, contexts: DataFrame, files_scanned: DataFrame, as_of: Column) -> DataFrame:
@@ -77,46 +33,14 @@ def scan_headers(scores: DataFrame, contexts: DataFrame, files_scanned: DataFram
     )
 
 
-BUCKETS = 256
-
-
 def write_findings(findings: DataFrame, folder: str) -> None:
-    """Append-or-replace by scan: partitions of the scans present are overwritten.
-
-    Scans are grouped into a fixed number of folders by hash, so that many small scans
-    do not become as many folders.  ``findings`` holds whole scans; other scans of a
-    folder are carried over.
-    """
-    spark = findings.sparkSession
-    new = align(findings, STORED_FINDING).withColumn("bucket", bucket(F.col("scan_id")))
-    old = read_findings(spark, folder)
-    if old is not None:
-        touched = new.select("bucket").distinct()
-        kept = old.join(touched, "bucket", "left_semi").join(new.select("scan_id").distinct(), "scan_id", "left_anti")
-        from riskloom.plans.staging import stage
-
-        new = stage(kept.unionByName(new, allowMissingColumns=True), "findings")
-    (
-        # splits large buckets over several writers and keeps small ones whole
-        new.hint("rebalance", "bucket")
-        .write.partitionBy("bucket")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(folder)
-    )
-
-
-def bucket(scan_id: Column) -> Column:
-    return F.pmod(F.xxhash64(scan_id), F.lit(BUCKETS)).cast("int")
+    """Add whole scans to a store; a scan that it holds already is replaced."""
+    scanlog.commit(findings.sparkSession, folder, findings)
 
 
 def read_findings(spark: SparkSession, folder: str) -> DataFrame | None:
     """The stored findings, or None before the first write."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    raw = spark.read.option("mergeSchema", True).parquet(folder)
-    return align(raw, STORED_FINDING).withColumn("bucket", bucket(F.col("scan_id")))
+    return scanlog.findings(spark, folder) if scanlog._commits(spark, folder) else None
 
 
 def cascade_delete(findings: DataFrame, deleted: DataFrame) -> DataFrame:

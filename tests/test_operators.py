@@ -22,6 +22,7 @@ from riskloom.plans import scan as S
 from riskloom.plans.ranking import numbered
 from riskloom.sources import archives as A
 from riskloom.sources import files as SF
+from riskloom.sources import scanlog as SL
 from riskloom.sources import store as ST
 from riskloom.streaming import jobs as J
 from riskloom.streaming import quota as SQ
@@ -390,3 +391,60 @@ def test_quota_stream_keeps_state_and_late_attempts(spark, tmp_path):
         ("a", 0, 1, 1, 3), ("a", 3, 1, 1, 2), ("a", 6, 1, 1, 1), ("a", 9, 1, 0, 0), ("a", 61, 2, 1, 1), ("b", 9, 1, 1, None), ("c", 125, 1, 1, 3)
     ]
     assert sorted((r.key, minute(r), r.attempts) for r in late.collect()) == [("a", 4, 2), ("b", 1, 1)]
+
+
+def _in_store(spark, folder, **options):
+    return sorted((r.scan_id, r.id) for r in SL.findings(spark, folder, **options).collect())
+
+
+def _of(spark, scan, *ids):
+    return finding(spark, [{"id": i} for i in ids]).withColumn("scan_id", F.lit(scan))
+
+
+def test_store_versions_deletions_and_compaction(spark, tmp_path):
+    folder = f"file://{tmp_path}/store"
+    head = lambda *rows: spark.createDataFrame(list(rows), "scan_id string, status string, risk_score int")
+    SL.commit(spark, folder, _of(spark, "s1", "a", "b").unionByName(_of(spark, "s2", "c")), head(("s1", "running", None), ("s2", "complete", 7), ("s3", "queued", None)))
+    SL.commit(spark, folder, scans=head(("s3", "running", None)))  # a head alone leaves findings as they are
+    SL.commit(spark, folder, _of(spark, "s1", "d"), head(("s1", "complete", 9)))
+    assert _in_store(spark, folder) == [("s1", "d"), ("s2", "c")]
+    assert sorted((r.scan_id, r.status, r.risk_score) for r in SL.scans(spark, folder).collect()) == [("s1", "complete", 9), ("s2", "complete", 7), ("s3", "running", None)]
+    number = SL.commit(spark, folder, deleted=head(("s1", "", 0), ("s3", "", 0)).select("scan_id"))
+    assert _in_store(spark, folder) == [("s2", "c")] and [r.scan_id for r in SL.scans(spark, folder).collect()] == ["s2"]
+    assert _in_store(spark, folder, at=number - 1) == [("s1", "d"), ("s2", "c")]
+    SL.commit(spark, folder, _of(spark, "s1", "e"))  # it comes back without its old findings
+    before = _in_store(spark, folder)
+    assert before == [("s1", "e"), ("s2", "c")]
+    SL.commit(spark, folder, scans=head(("s2", "complete", 1)), findings=_of(spark, "s9"))  # a whole scan without findings
+    assert _in_store(spark, folder) == [("s1", "e")]
+    base = SL.compact(spark, folder)
+    assert _in_store(spark, folder) == [("s1", "e")] and SL.findings(spark, folder)._jdf.queryExecution().toString().count("LeftSemi") == 0
+    assert _in_store(spark, folder, at=base - 2) == before
+    assert SL.vacuum(spark, folder) == base and _in_store(spark, folder) == [("s1", "e")]
+    assert {r.scan_id for r in SL.heads(spark, folder).collect()} == {"s1", "s2"}
+    SL.commit(spark, folder, _of(spark, "s4", "f"))
+    assert _in_store(spark, folder) == [("s1", "e"), ("s4", "f")]
+
+
+def test_a_failed_write_leaves_the_old_state(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    SL.commit(spark, folder, _of(spark, "s1", "a"))
+    broken = _of(spark, "s2", "b").withColumn("evidence", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        SL.commit(spark, folder, broken)
+    assert _in_store(spark, folder) == [("s1", "a")] and len(SL._commits(spark, folder)) == 1
+    late = SL._commits(spark, folder)[-1]["number"]
+    SL.commit(spark, folder, _of(spark, "s3", "c"))
+    with pytest.raises(SL.Conflict):  # made from a state that is no longer the last one
+        SL.commit(spark, folder, _of(spark, "s1", "a"), base=True, after=late)
+    assert _in_store(spark, folder) == [("s1", "a"), ("s3", "c")]
+
+
+def test_some_scans_are_read_from_their_buckets(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    SL.commit(spark, folder, finding(spark, [{"id": f"f{i}"} for i in range(40)]).withColumn("scan_id", F.concat(F.lit("s"), F.col("id"))))
+    some = SL.findings(spark, folder, scan_ids=["sf3", "sf4"])
+    assert sorted(r.id for r in some.collect()) == ["f3", "f4"]
+    assert some.select(F.input_file_name().alias("f")).distinct().count() <= 2 < SL.findings(spark, folder).select(F.input_file_name().alias("f")).distinct().count()
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
