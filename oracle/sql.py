@@ -525,3 +525,4 @@ ORACLES: dict[str, str] = {
 }
 #: Streams give what their batch forms give.
 ORACLES["stream_quota"] = ORACLES["quota_admissions"]
+ORACLES["stream_upsert"] = ORACLES["keyed_upsert"]

@@ -100,13 +100,9 @@ def _walk(span: int):
             for key, limit, ticks, attempts in zip(keys, batch.column("limit").to_pylist(), _lists(batch, "ticks"), _lists(batch, "attempts")):
                 if key != current:
                     current, log = key, []
-                if limit is None:  # stamps of an earlier run
-                    log = np.repeat(ticks, attempts).tolist()
-                else:
-                    log = [s for s in log if s >= ticks[0] - span]
+                log = [s for s in log if s >= ticks[0] - span]
                 logs.append(log)
-                if limit is not None:
-                    log = jump(ticks, attempts, limit, span, log)
+                log = jump(ticks, attempts, limit, span, log)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("endpoint"), batch.column("block"), pa.array(logs, pa.list_(pa.int64()))], names=["key", "endpoint", "block", "log"]
             )
@@ -150,12 +146,8 @@ def packed(counted: DataFrame) -> DataFrame:
     return rows.select("key", "endpoint", "block", "limit", F.col("pairs.tick").alias("ticks"), F.col("pairs.attempts").alias("attempts"))
 
 
-def fold_ticks(counted: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS, before: DataFrame | None = None) -> DataFrame:
-    """Admissions of counted ticks.
-
-    ``before`` holds (key, endpoint, tick, attempts) admitted earlier, for going on where
-    another run ended.
-    """
+def fold_ticks(counted: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS) -> DataFrame:
+    """Admissions of counted ticks."""
     c = F.col
     span = seconds * 1000
     free = counted.filter(c("limit").isNull()).select(
@@ -164,12 +156,6 @@ def fold_ticks(counted: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS, before
     )
     blocks = packed(counted.filter(c("limit").isNotNull()))
     walked = blocks.withColumn("attempts", F.transform("attempts", lambda n: F.least(n, c("limit").cast("long"))))
-    if before is not None:
-        pairs = F.array_sort(F.collect_list(F.struct("tick", "attempts")))
-        seeds = before.groupBy("key", "endpoint").agg(pairs.alias("p")).select(
-            "key", "endpoint", F.lit(-(1 << 62)).alias("block"), F.lit(None).cast("int").alias("limit"), c("p.tick").alias("ticks"), c("p.attempts").alias("attempts")
-        )
-        walked = walked.unionByName(seeds)
     by_value(sys.modules[__name__], K)
     entries = walked.repartition("key", "endpoint").sortWithinPartitions("key", "endpoint", "block").mapInArrow(_walk(span), _ENTRIES)
     # Null keys are keys too.

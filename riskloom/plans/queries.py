@@ -31,6 +31,7 @@ from riskloom.plans.staging import new_folder, stage
 from riskloom.sources import files as SF
 from riskloom.sources import scanlog as SL
 from riskloom.sources import store as ST
+from riskloom.streaming import jobs as J
 from riskloom.streaming import quota as SQ
 from riskloom.streaming.arrivals import arrivals
 
@@ -669,17 +670,32 @@ def stream_quota(spark, sf):
     return SQ.run(stream, folder)[0].drop("batch")
 
 
-def latest_status(spark, sf):
-    from riskloom.streaming.jobs import latest_status as latest
-
-    events = table(spark, sf, "events")
-    states = events.select(
+def _status_events(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(
         F.concat(F.lit("scan-"), "user_id").alias("scan_id"),
         F.when(c("event_type") == "error", "failed").when(c("event_type") == "purchase", "complete").when(c("event_type") == "click", "running").otherwise("queued").alias("status"),
         F.when(c("event_type") == "error", F.concat(F.lit("code "), "event_id")).alias("error_message"),
         c("ts").cast("timestamp").alias("ts"), c("event_id").alias("seq"),
     )
-    return latest(states).withColumn("updated_at", F.unix_micros("updated_at"))
+
+
+def stream_status(spark, sf):
+    """Status events arrive in four slices; the table holds the last state of each scan."""
+    folder = new_folder(spark, "stream-status")
+    for stream in arrivals(_status_events(spark, sf), c("ts"), f"{folder}/events"):
+        J.keep_status(stream, folder)
+    return J.status_now(spark, folder).drop("seq").withColumn("updated_at", F.unix_micros("updated_at"))
+
+
+def stream_upsert(spark, sf):
+    """Sign-ups arrive in ten slices, each one batch of a keyed table."""
+    folder, how = new_folder(spark, "stream-upsert"), ("email", "ts", ["source", "ip"], {"last_source": "source"})
+    events = _sign_ups(spark, sf)
+    for stream in arrivals(events, c("ts"), f"{folder}/events", parts=10):
+        J.each_batch(stream, J.upsert_batch(f"{folder}/table", *how, every=4), f"{folder}/state").start().awaitTermination()
+    schema = ST.keyed_upsert(events, *how).schema
+    out = J.upserted(spark, f"{folder}/table", schema, how[0], *how[2:])
+    return out.withColumns({"created_at": F.unix_micros("created_at"), "last_seen_at": F.unix_micros("last_seen_at")})
 
 
 # ------------------------------------------------------------------ Python modules
@@ -807,7 +823,8 @@ QUERIES: dict[str, Query] = {
     "quota_admissions": quota_admissions,
     "quota_decisions": quota_decisions,
     "stream_quota": stream_quota,
-    "stream_status": latest_status,
+    "stream_status": stream_status,
+    "stream_upsert": stream_upsert,
     "taint_flows": taint_flows,
     "taint_join": taint_join,
     "code_index": code_index,

@@ -63,9 +63,11 @@ def keyed_upsert(events: DataFrame, key: str, ts: str, on_insert: list[str], alw
         key, c("a.t").alias("created_at"), *[c("a")[n].alias(n) for n in on_insert], c("z.t").alias("last_seen_at"),
         *[c("z")[n].alias(n) for n in always],
     )
-    if existing is None:
-        return out
-    both = existing.unionByName(out)
+    return out if existing is None else merge_keyed(existing.unionByName(out), key, on_insert, list(always))
+
+
+def merge_keyed(rows: DataFrame, key: str, on_insert: list[str], always: list[str]) -> DataFrame:
+    """One row per key of rows that ``keyed_upsert`` has made, from one or more parts of the events."""
     a = F.min(F.struct("created_at", *on_insert)).alias("a")
     z = F.max(F.struct("last_seen_at", *always)).alias("z")
-    return both.groupBy(key).agg(a, z).select(key, "a.*", "z.*")
+    return rows.groupBy(key).agg(a, z).select(key, "a.*", "z.*")

@@ -1,67 +1,23 @@
-"""Streams: quota decisions, scan status and files that arrive over time."""
+"""Streams: scan status, files that arrive over time and keyed tables; quota has a module of its own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from riskloom.functions import fixed as K
 from riskloom.operators import detect as D
-from riskloom.operators.quota import TICK_MICROS, fold_ticks, limit_of, ticks
-from riskloom.sources.store import keyed_upsert
-
-def quota_counts(events: DataFrame, limit: Column | None = None, lateness: str = "10 minutes") -> DataFrame:
-    """Attempts per (key, endpoint, millisecond) from a stream of (key, endpoint, ts).
-
-    Partial sums before the shuffle keep a busy key small.  A count is given out when the
-    watermark has passed it, so batches hold complete ticks and follow each other in time;
-    what comes later than that is dropped, and Spark reports the number of such rows.
-    """
-    quota = limit_of(F.col("endpoint")) if limit is None else limit
-    return (
-        events.withColumns({"ts": F.col("ts").cast("timestamp"), "limit": quota.cast("int")})
-        .withWatermark("ts", lateness)
-        .groupBy("key", "endpoint", "limit", F.window("ts", f"{TICK_MICROS} microseconds").alias("w"))
-        .agg(F.count("*").alias("attempts"))
-        .select("key", "endpoint", ticks(F.col("w.start")).alias("tick"), "attempts", "limit")
-    )
-
-
-def quota_batch(folder: str, seconds: int = K.QUOTA_WINDOW_SECONDS) -> Callable[[DataFrame, int], None]:
-    """Handler for the batches of ``quota_counts``: admissions to ``folder/admitted``.
-
-    The stamps that still matter after a batch go to ``folder/log``, one folder per batch
-    number, so a repeated batch finds the same past and replaces its own output.  The fold
-    is the batch operator's; the results of stream and batch agree.
-    """
-
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.schema(_LOG).parquet(f"{folder}/log/batch={number - 1}") if number else None
-        admitted = f"{folder}/admitted/batch={number}"
-        fold_ticks(batch, seconds, before).write.mode("overwrite").parquet(admitted)
-        new = spark.read.parquet(admitted)
-        log = new.filter("admitted > 0 AND remaining IS NOT NULL").select("key", "endpoint", "tick", F.col("admitted").alias("attempts"))
-        if before is not None:
-            log = log.unionByName(before)
-        # later ticks are above all of these; an empty batch keeps what there is
-        last = log.agg(F.max("tick")).scalar()
-        kept = log.filter(F.col("tick") >= last - seconds * 1000)
-        kept.write.mode("overwrite").parquet(f"{folder}/log/batch={number}")
-
-    return handle
-
-
-_LOG = "key string, endpoint string, tick bigint, attempts bigint"
+from riskloom.sources.store import keyed_upsert, merge_keyed
+from riskloom.streaming.runs import current, into_runs
+from riskloom.streaming.state import STATE, settings
 
 
 def latest_status(events: DataFrame) -> DataFrame:
     """Latest state of each scan from its status events (scan_id, status, error_message, ts)."""
     last = F.max(F.struct("ts", "seq", "status", "error_message"))
-    return events.groupBy("scan_id").agg(last.alias("s")).select("scan_id", "s.status", "s.error_message", F.col("s.ts").alias("updated_at"))
+    return events.groupBy("scan_id").agg(last.alias("s")).select("scan_id", "s.status", "s.error_message", F.col("s.ts").alias("updated_at"), "s.seq")
 
 
 def scan_stream(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -78,18 +34,39 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def upsert_batch(folder: str, key: str, ts: str, on_insert: list[str], always: dict[str, str]) -> Callable[[DataFrame, int], None]:
-    """Handler that merges a micro-batch into a keyed Parquet table, one folder per batch.
+def upsert_batch(folder: str, key: str, ts: str, on_insert: list[str], always: dict[str, str], every: int = 8) -> Callable[[DataFrame, int], None]:
+    """Handler that merges micro-batches into a keyed table of runs: a batch writes its own keys only."""
+    return into_runs(
+        folder, key, lambda batch: keyed_upsert(batch, key, ts, on_insert, always), lambda rows: merge_keyed(rows, key, on_insert, list(always)), every
+    )
+
+
+def upserted(spark: SparkSession, folder: str, schema, key: str, on_insert: list[str], always: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """The keyed table that ``upsert_batch`` keeps, or some keys of it."""
+    return current(spark, folder, schema, lambda rows: merge_keyed(rows, key, on_insert, list(always)), key, keys)
+
 
-    Batches write to a folder of their own number, so a repeated batch replaces itself.
+def newest_status(rows: DataFrame) -> DataFrame:
+    """Of the states of a scan the last one."""
+    last = F.max(F.struct("updated_at", "seq", "status", "error_message"))
+    return rows.groupBy("scan_id").agg(last.alias("s")).select("scan_id", "s.status", "s.error_message", "s.updated_at", "s.seq")
+
+
+def keep_status(events: DataFrame, folder: str) -> None:
+    """Take in the status events (scan_id, status, error_message, ts, seq) that the stream has now;
+    the states they change go to a table of runs in ``folder``.
+
+    The stream's state has a row for each scan, and a batch gives out the scans it changed.
     """
+    handle = into_runs(f"{folder}/runs", "scan_id", lambda batch: batch, newest_status)
+    with settings(events.sparkSession, STATE):
+        changed = latest_status(events).writeStream.outputMode("update").foreachBatch(handle)
+        changed.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+STATUS = "scan_id string, status string, error_message string, updated_at timestamp, seq bigint"
 
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = None
-        if number > 0:
-            before = spark.read.parquet(f"{folder}/batch={number - 1}")
-        merged = keyed_upsert(batch, key, ts, on_insert, always, before)
-        merged.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return handle
+def status_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The table that ``keep_status`` keeps."""
+    return current(spark, f"{folder}/runs", STATUS, newest_status)

@@ -26,6 +26,7 @@ from riskloom.sources import scanlog as SL
 from riskloom.sources import store as ST
 from riskloom.streaming import jobs as J
 from riskloom.streaming import quota as SQ
+from riskloom.streaming import runs as RN
 
 
 def finding(spark, rows):
@@ -292,10 +293,10 @@ def test_quota_stream_equals_batch(spark, tmp_path):
         part = events.filter((F.dayofmonth("ts") >= low) & (F.dayofmonth("ts") < high))
         part.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    J.each_batch(J.quota_counts(stream), J.quota_batch(out), state).start().awaitTermination()
+    admitted, late = SQ.run(stream, str(tmp_path / "out"))
     key = ["key", "endpoint", "tick", "attempts", "admitted"]
-    got = {tuple(r) for r in spark.read.parquet(f"{out}/admitted").filter("remaining IS NOT NULL").select(*key).collect()}
+    got = {tuple(r) for r in admitted.filter("remaining IS NOT NULL").select(*key).collect()}
+    assert late.count() == 0
     want = {tuple(r) for r in QU.admissions(events).filter("remaining IS NOT NULL").select(*key).collect()}
     end = max(t[2] for t in want)
     settled = {t for t in want if t[2] < end - 10 * 60 * 1000}
@@ -310,9 +311,31 @@ def test_status_stream_and_upsert_stream(spark, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     handle = J.upsert_batch(folder, "email", "ts", ["source", "ip"], {"last_source": "source"})
     J.each_batch(stream, handle, str(tmp_path / "state")).start().awaitTermination()
-    last = spark.read.parquet(f"{folder}/batch=2")
     want = ST.keyed_upsert(events, "email", "ts", ["source", "ip"], {"last_source": "source"})
-    assert sorted(map(str, last.collect())) == sorted(map(str, want.collect()))
+    now = lambda **options: J.upserted(spark, folder, want.schema, "email", ["source", "ip"], {"last_source": "source"}, **options)
+    assert sorted(map(str, now().collect())) == sorted(map(str, want.collect()))
+    some = sorted(r.email for r in want.limit(2).collect())
+    assert sorted(map(str, now(keys=some).collect())) == sorted(map(str, want.where(F.col("email").isin(some)).collect()))
+
+
+def test_runs_are_merged_like_digits(spark, tmp_path):
+    folder, merge = str(tmp_path / "runs"), lambda rows: rows.groupBy("k").agg(F.max("n").alias("n"))
+    handle = RN.into_runs(folder, "k", merge, merge, every=2, buckets=2)
+    rows = lambda *data: spark.createDataFrame(list(data), "k string, n long")
+    written = []
+    for i in range(7):
+        handle(rows(("a", i), (f"k{i}", i), ("a", -i)), i)
+        written.append(RN.cover(RN.runs(spark, folder)))
+    assert written == [[(0, 1)], [(0, 2)], [(0, 2), (2, 3)], [(0, 4)], [(0, 4), (4, 5)], [(0, 4), (4, 6)], [(0, 4), (4, 6), (6, 7)]]
+    assert len(RN.runs(spark, folder)) == 3  # what longer runs covered is gone
+    handle(rows(("a", 9), ("k6", 8)), 6)  # a repeated batch replaces its run
+    want = [("a", 9), ("k0", 0), ("k1", 1), ("k2", 2), ("k3", 3), ("k4", 4), ("k5", 5), ("k6", 8)]
+    assert sorted(map(tuple, RN.current(spark, folder, "k string, n long", merge).collect())) == want
+    own = spark.read.parquet(f"{folder}/{6:09d}-{7:09d}")  # a batch writes its own keys only
+    assert sorted(r.k for r in own.collect()) == ["a", "k6"]
+    some = RN.current(spark, folder, "k string, n long", merge, "k", ["k3", "k9"], buckets=2)
+    assert [tuple(r) for r in some.collect()] == [("k3", 3)]
+    assert RN.current(spark, f"{folder}-none", "k string, n long", merge).count() == 0
 
 
 def test_status_stream_keeps_the_latest(spark, tmp_path):
