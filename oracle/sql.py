@@ -526,3 +526,5 @@ ORACLES: dict[str, str] = {
 #: Streams give what their batch forms give.
 ORACLES["stream_quota"] = ORACLES["quota_admissions"]
 ORACLES["stream_upsert"] = ORACLES["keyed_upsert"]
+ORACLES["stream_scan"] = ORACLES["scan_findings"]
+ORACLES["stream_risk"] = ORACLES["scan_risk"]

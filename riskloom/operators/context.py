@@ -144,6 +144,32 @@ def repo_contexts(contexts: DataFrame, max_files: int | None = None) -> DataFram
     return _classify(joined)
 
 
+def context_masks(contexts: DataFrame, flags: list[str]) -> DataFrame:
+    """What ``file_context`` rows and boolean signals say of each repository, in a form that merges:
+    masks, signals and distinct routes."""
+    read = ~F.col("ignored")
+    return contexts.groupBy("repo_id").agg(
+        F.bit_or("names").alias("names"), F.bit_or("frameworks").alias("fw_mask"),
+        *[F.bit_or(F.when(read, F.col(w))).alias(w) for w in ("words_a", "words_b")],
+        F.array_distinct(F.flatten(F.collect_set(F.when(read, F.col("routes"))))).alias("routes"),
+        *[F.bool_or(F.when(read, F.col(f))).alias(f) for f in flags],
+    )
+
+
+def merged_masks(masks: DataFrame, flags: list[str]) -> DataFrame:
+    """The masks of parts of repositories put together; equal parts may come twice."""
+    return masks.groupBy("repo_id").agg(
+        *[F.bit_or(m).alias(m) for m in ("names", "fw_mask", "words_a", "words_b")],
+        F.array_distinct(F.flatten(F.collect_set("routes"))).alias("routes"), *[F.bool_or(f).alias(f) for f in flags],
+    )
+
+
+def masked_contexts(masks: DataFrame) -> DataFrame:
+    """Contexts as ``repo_contexts`` gives them, from masks."""
+    words = {w: F.coalesce(w, F.lit(0).cast("bigint")) for w in ("words_a", "words_b")}
+    return _classify(masks.withColumns(words | {"public_api_signals": F.sort_array("routes")}))
+
+
 def _classify(df: DataFrame) -> DataFrame:
     c = F.col
     routes = c("public_api_signals")

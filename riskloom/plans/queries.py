@@ -33,6 +33,7 @@ from riskloom.sources import scanlog as SL
 from riskloom.sources import store as ST
 from riskloom.streaming import jobs as J
 from riskloom.streaming import quota as SQ
+from riskloom.streaming import scans as SS
 from riskloom.streaming.arrivals import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -687,6 +688,24 @@ def stream_status(spark, sf):
     return J.status_now(spark, folder).drop("seq").withColumn("updated_at", F.unix_micros("updated_at"))
 
 
+def _arriving_files(spark, sf) -> DataFrame:
+    """The corpus arrives in four slices that cut through every repository."""
+    folder = new_folder(spark, "stream-scan")
+    files = _files(spark, sf)
+    place = F.pmod(F.xxhash64("repo_id", "path"), F.lit(1000))
+    for stream in arrivals(files, place, f"{folder}/files"):
+        found = SS.run(stream, folder)
+    return found
+
+
+def stream_scan(spark, sf):
+    return _flat(_arriving_files(spark, sf))
+
+
+def stream_risk(spark, sf):
+    return S.repository_scores(_arriving_files(spark, sf))
+
+
 def stream_upsert(spark, sf):
     """Sign-ups arrive in ten slices, each one batch of a keyed table."""
     folder, how = new_folder(spark, "stream-upsert"), ("email", "ts", ["source", "ip"], {"last_source": "source"})
@@ -824,6 +843,8 @@ QUERIES: dict[str, Query] = {
     "quota_decisions": quota_decisions,
     "stream_quota": stream_quota,
     "stream_status": stream_status,
+    "stream_scan": stream_scan,
+    "stream_risk": stream_risk,
     "stream_upsert": stream_upsert,
     "taint_flows": taint_flows,
     "taint_join": taint_join,

@@ -14,6 +14,7 @@ whatever groups and order rows are merged.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,9 @@ def runs(spark: SparkSession, folder: str) -> list[Run]:
     return sorted(found)
 
 
-def cover(found: list[Run], first: int | None = None) -> list[Run]:
+def cover(found: list[Run]) -> list[Run]:
     """The longest runs that follow each other."""
-    out, at = [], first
+    out, at = [], None
     for a, b in sorted(found, key=lambda r: (r[0], -r[1])):
         if at is None or a >= at:
             out.append((a, b))
@@ -50,13 +51,10 @@ def cover(found: list[Run], first: int | None = None) -> list[Run]:
     return out
 
 
-def _read(spark: SparkSession, folder: str, which: list[Run], schema) -> DataFrame:
-    paths = [f"{folder}/{a:09d}-{b:09d}" for a, b in which]
-    parts = [spark.read.schema(schema).parquet(p) for p in paths]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _read(spark: SparkSession, folder: str, which: list[Run], schema=None, with_bucket: bool = False) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reduce(DataFrame.unionByName, [reader.parquet(f"{folder}/{a:09d}-{b:09d}") for a, b in which])
+    return rows if with_bucket else rows.drop("bucket")
 
 
 def _write(rows: DataFrame, folder: str, run: Run, key: str, buckets: int) -> None:
@@ -64,24 +62,35 @@ def _write(rows: DataFrame, folder: str, run: Run, key: str, buckets: int) -> No
     rows.select("*", where).hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{folder}/{run[0]:09d}-{run[1]:09d}")
 
 
+def before(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """The rows of all batches before one, of keys as often as their runs have them."""
+    found = cover([r for r in runs(spark, folder) if r[1] <= number])
+    return _read(spark, folder, found) if found else None
+
+
+def add(rows: DataFrame, folder: str, number: int, key: str, merge: Merge, every: int = 8, buckets: int = 16) -> DataFrame:
+    """Write the rows of a batch as its run, and merge runs where enough have come together; the
+    batch's rows as they are stored."""
+    spark = rows.sparkSession
+    older = [r for r in runs(spark, folder) if r[1] <= number]
+    path, fs = _names(spark, folder)
+    for a, b in set(older) - set(cover(older)):
+        fs.delete(path.suffix(f"/{a:09d}-{b:09d}"), True)
+    _write(rows, folder, (number, number + 1), key, buckets)
+    size = every
+    while (number + 1) % size == 0:
+        first = number + 1 - size
+        shorter = [r for r in runs(spark, folder) if r[0] >= first and r[1] <= number + 1 and r != (first, number + 1)]
+        _write(merge(_read(spark, folder, cover(shorter), rows.schema)), folder, (first, number + 1), key, buckets)
+        size *= every
+    return _read(spark, folder, [(number, number + 1)], rows.schema)
+
+
 def into_runs(folder: str, key: str, fold: Merge, merge: Merge, every: int = 8, buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """Handler of batches: ``fold`` makes a batch's rows, ``merge`` puts runs together."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = runs(spark, folder)
-        kept = set(cover(before))
-        path, fs = _names(spark, folder)
-        for a, b in set(before) - kept:
-            fs.delete(path.suffix(f"/{a:09d}-{b:09d}"), True)
-        rows = fold(batch)
-        _write(rows, folder, (number, number + 1), key, buckets)
-        size = every
-        while (number + 1) % size == 0:
-            first = number + 1 - size
-            parts = [r for r in cover([r for r in runs(spark, folder) if r != (first, number + 1)], first) if r[1] <= number + 1]
-            _write(merge(_read(spark, folder, parts, rows.schema)), folder, (first, number + 1), key, buckets)
-            size *= every
+        add(fold(batch), folder, number, key, merge, every, buckets)
 
     return handle
 
@@ -94,6 +103,6 @@ def current(spark: SparkSession, folder: str, schema, merge: Merge, key: str | N
     if keys is None:
         return merge(_read(spark, folder, found, schema))
     columns = schema if isinstance(schema, str) else schema.toDDL()
-    rows = _read(spark, folder, found, f"{columns}, bucket int")
+    rows = _read(spark, folder, found, f"{columns}, bucket int", with_bucket=True)
     wanted = F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(k)), F.lit(buckets)).cast("int") for k in keys])
     return merge(rows.where(wanted & F.col(key).isin(keys)).drop("bucket"))

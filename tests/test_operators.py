@@ -27,6 +27,7 @@ from riskloom.sources import store as ST
 from riskloom.streaming import jobs as J
 from riskloom.streaming import quota as SQ
 from riskloom.streaming import runs as RN
+from riskloom.streaming import scans as SS
 
 
 def finding(spark, rows):
@@ -471,3 +472,32 @@ def test_some_scans_are_read_from_their_buckets(spark, tmp_path):
     assert some.select(F.input_file_name().alias("f")).distinct().count() <= 2 < SL.findings(spark, folder).select(F.input_file_name().alias("f")).distinct().count()
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_arriving_files_change_what_was_decided(spark, files, tmp_path):
+    sql = "CREATE TABLE public.accounts (id int);\nCREATE TABLE public.notes (id int);\n"
+    route = "from fastapi import FastAPI\napp = FastAPI()\n\n@app.get('/api/admin/users')\ndef users(q):\n    return q\n"
+    leak = 'api_key = "sk-proj-abcdefghijklmnopqrstuvwxyz0123456789ABCD"\n'
+    steps = [
+        {"one": {"db/schema.sql": sql, "a.py": route}, "two": {"k.py": leak}, "three": {"x.sql": sql}},
+        {"one": {"src/supabase/client.ts": "import { createClient } from '@supabase/supabase-js'\n", "b.py": leak}, "two": {"notes.py": "x = 1\n"}},
+        {"two": {"m.py": leak}, "four": {"n.py": leak}},
+        {"one": {"app/auth/middleware.py": "from fastapi import Depends\n\ndef get_current_user():\n    return Depends(login_required)\n"}},
+    ]
+    columns = "repo_id string, path string, text string"
+    seen, counts = {}, []
+    for number, tree in enumerate(steps):
+        files(tree).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for repo, paths in tree.items():
+            seen.setdefault(repo, {}).update(paths)
+        got = SS.run(spark.readStream.schema(columns).parquet(f"{tmp_path}/in"), str(tmp_path / "out"))
+        want = S.scan(files(seen))
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+        counts.append(want.where("category = 'rls_disabled'").count())
+        decided = {(r.repo_id, r.path): r.batch for r in SS._last(RN.before(spark, f"{tmp_path}/out/decided", 99)).collect()}
+        assert all(decided["two", p] == next(i for i, t in enumerate(steps) if p in t.get("two", {})) for r, p in decided if r == "two")
+    assert counts[0] == 0 < counts[1]  # the tables count once the project is known
+    assert decided["one", "db/schema.sql"] >= 1 and decided["three", "x.sql"] == 0
+    SS.scan_batch(str(tmp_path / "out"))(files(steps[3]), 3)  # a repeated batch changes nothing
+    again = SS.findings(spark, str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
