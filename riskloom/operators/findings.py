@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions import fixed as K
 from riskloom.functions import text as X
+from riskloom.functions.workers import by_value
 from riskloom.model import PROOF_FLAGS, REF
 from riskloom.plans.ranking import numbered
 
@@ -229,32 +234,81 @@ def saturation_ranks(findings: DataFrame) -> DataFrame:
     return placed.withColumn("factor", saturation(F.col("position")))
 
 
+# what decides the order of findings, ascending, with the points of each
+_ORDER = [
+    "level int", "sureness double", "scanner long", "low string", "path string", "chk long", "line_number int", "ord long", "evidence string", "id string",
+    "points double",
+]
+_HEADS = ", ".join(["repo_id string", "category string", *_ORDER, "total double", "n_findings long"])
+
+
+def _heads(top: int, most: int = 200_000):
+    """Of each partition's findings the first ``top`` of every (repo_id, category), and the sum and
+    number of all of them beside the first.  Batches are folded as they come; the state has ``top``
+    rows for a group, and goes out early should there be more than ``most`` of them."""
+    group, order = ["repo_id", "category"], [f.split()[0] for f in _ORDER]
+    names = [*group, *order, "total", "n_findings"]
+
+    def folded(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(n, "ascending") for n in (*group, *order)])
+        labels = [rows.column(n).combine_chunks().dictionary_encode().indices.to_numpy() for n in group]
+        new = np.ones(len(rows), bool)
+        new[1:] = (labels[0][1:] != labels[0][:-1]) | (labels[1][1:] != labels[1][:-1])
+        first = np.flatnonzero(new)
+        place = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
+        sums = [np.zeros(len(rows), rows.column(n).to_numpy().dtype) for n in ("total", "n_findings")]
+        for out, n in zip(sums, ("total", "n_findings")):
+            out[first] = np.add.reduceat(rows.column(n).to_numpy(), first)
+        rows = pa.table([*(rows.column(n) for n in (*group, *order)), *map(pa.array, sums)], names=names)
+        return rows.filter(pa.array(place < top))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if len(batch):
+                rows = pa.Table.from_arrays([batch.column(n) for n in names], names=names)  # without Spark's marks of columns that can't be null
+                state = folded(rows if state is None else pa.concat_tables([state, rows]))
+                if len(state) > most:
+                    yield from state.combine_chunks().to_batches()
+                    state = None
+        if state is not None:
+            yield from state.combine_chunks().to_batches()
+
+    return run
+
+
 def risk_scores(findings: DataFrame) -> DataFrame:
     """Risk score and verdict per repository.
 
-    Only the first findings of a category stand above the floor factor.  The score is
-    the floor share of all findings (a plain partial sum) plus the surplus of those
-    first ones, which Spark cuts to a few rows per group before the shuffle.  No task
-    sorts or holds a whole category of a large repository.
+    Only the first findings of a category stand above the floor factor.  The score is the floor
+    share of all findings plus the surplus of those first ones.  Both come from one pass: each
+    task folds its findings to the first few of every group, with the sums of all, before
+    anything is shuffled; few rows for a group and task meet in two steps.  Outside the AI
+    categories severity and status alone give the points, so there the order needs no more.
     """
     c = F.col
-    rows = visible(findings).select(
-        "repo_id", "id", "category", "severity", "status", "confidence", "path", "line_number", "ord", "evidence",
-        c("proof.exploitability_proven").alias("exploitability_proven"),
-    )
-    rows = rows.withColumn("points", _points())
-    base = rows.groupBy("repo_id").agg(
-        (F.sum("points") * K.SATURATION_FLOOR).alias("raw"), F.count("*").alias("n_findings")
-    )
-    order = W.partitionBy("repo_id", "category").orderBy(*report_order())
-    head = rows.withColumn("place", F.row_number().over(order)).filter(c("place") <= SATURATED_AT)
-    surplus = head.groupBy("repo_id").agg(
-        F.sum(c("points") * (saturation(c("place") - 1) - K.SATURATION_FLOOR)).alias("raw")
+    rows = visible(findings).withColumn("exploitability_proven", c("proof.exploitability_proven"))
+    ties = c("category").isin(*K.AI)
+    rank = severity_rank(c("severity")) * len(K.STATUSES) + status_rank(c("status"))
+    order = {
+        "level": -rank, "sureness": F.when(ties, -F.round("confidence", 4)), "scanner": F.when(ties, F.floor(c("ord") / 100_000_000)),
+        "low": F.when(ties, F.lower("path")), "path": F.when(ties, c("path")), "chk": F.when(ties, F.floor(c("ord") / 10_000_000)),
+        "line_number": F.when(ties, c("line_number")), "ord": F.when(ties, c("ord")), "evidence": F.when(ties, c("evidence")),
+        "id": F.when(ties, c("id")), "points": _points(), "total": _points(), "n_findings": F.lit(1),
+    }
+    kinds = dict(f.split() for f in _HEADS.split(", "))
+    narrow = rows.select("repo_id", "category", *[x.cast(kinds[n]).alias(n) for n, x in order.items()])
+    by_value(sys.modules[__name__], K)
+    heads = narrow.mapInArrow(_heads(SATURATED_AT), _HEADS).withColumn("salt", F.spark_partition_id() % 64)
+    names = [f.split()[0] for f in _ORDER]
+    sums = [F.sum("total").alias("total"), F.sum("n_findings").alias("n_findings")]
+    some = heads.groupBy("repo_id", "category", "salt").agg(*sums, F.slice(F.array_sort(F.collect_list(F.struct(*names))), 1, SATURATED_AT).alias("top"))
+    per = some.groupBy("repo_id", "category").agg(*sums, F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, SATURATED_AT).alias("top"))
+    surplus = F.aggregate(
+        F.transform("top", lambda x, i: x["points"] * (saturation(i.cast("double")) - K.SATURATION_FLOOR)), F.lit(0.0), lambda a, x: a + x
     )
-    total = (
-        base.unionByName(surplus.withColumn("n_findings", F.lit(0).cast("bigint")))
-        .groupBy("repo_id")
-        .agg(F.sum("raw").alias("raw"), F.sum("n_findings").alias("n_findings"))
+    total = per.withColumn("raw", c("total") * K.SATURATION_FLOOR + surplus).groupBy("repo_id").agg(
+        F.sum("raw").alias("raw"), F.sum("n_findings").alias("n_findings")
     )
     # the sum is rounded before it is cut to a whole number, so that no engine's
     # last bits decide

@@ -501,3 +501,24 @@ def test_arriving_files_change_what_was_decided(spark, files, tmp_path):
     SS.scan_batch(str(tmp_path / "out"))(files(steps[3]), 3)  # a repeated batch changes nothing
     again = SS.findings(spark, str(tmp_path / "out")).select(*want.columns)
     assert sorted(map(str, again.collect())) == sorted(map(str, want.collect()))
+
+
+def test_scores_of_many_batches(spark):
+    """Batches and partitions change nothing: the score is the sum over positions."""
+    pick = random.Random(3)
+    rows = [
+        {"id": f"i{i}", "repo_id": f"r{pick.randrange(20)}", "category": pick.choice(["sql_injection", "prompt_injection"]), "severity": pick.choice(K.SEVERITIES[:2]),
+         "status": pick.choice(K.STATUSES), "confidence": pick.choice([0.5, 0.50001, 0.7]), "path": pick.choice(["a", "B", "b"]),
+         "line_number": pick.randrange(5), "ord": pick.randrange(3) * 10**8, "proof": (True, True, True, False, True, pick.random() < 0.5, [])}
+        for i in range(400)
+    ]
+    df = finding(spark, rows)
+    placed = R.saturation_ranks(df).withColumn("exploitability_proven", F.col("proof.exploitability_proven")).withColumn("points", R._points())
+    raw = placed.groupBy("repo_id").agg(F.sum(F.col("points") * F.col("factor")).alias("raw"))
+    want = {r.repo_id: min(100, int(round(r.raw, 6))) for r in raw.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.repo_id: r.risk_score for r in R.risk_scores(df.repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(set(got.values())) > 5
