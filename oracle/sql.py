@@ -528,3 +528,16 @@ ORACLES["stream_quota"] = ORACLES["quota_admissions"]
 ORACLES["stream_upsert"] = ORACLES["keyed_upsert"]
 ORACLES["stream_scan"] = ORACLES["scan_findings"]
 ORACLES["stream_risk"] = ORACLES["scan_risk"]
+ORACLES["own_rules"] = _with(
+    [
+        f"dl AS (SELECT 'd' || doc_id || '.yaml' AS path, {B.lines_of('text')} AS lines FROM documents)",
+        "ln AS (SELECT path, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM dl)",
+        "cap AS (SELECT *, length(line) - length(regexp_replace(line, '[A-Z]', '', 'g')) AS n FROM ln)",
+        "tot AS (SELECT *, sum(n) OVER (PARTITION BY path) AS total FROM cap)",
+    ],
+    """SELECT 'CAPITALS' AS rule, path, 'ZeroDivisionError: integer division or modulo by zero' AS error, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS lines, CAST(NULL AS BIGINT) AS chars
+        FROM (SELECT DISTINCT path FROM tot WHERE total = 0)
+        UNION ALL SELECT 'CAPITALS', path, NULL, count(*), CAST(sum(i) AS BIGINT), CAST(sum(length(line)) AS BIGINT) FROM tot WHERE total > 0 AND 300 * n // total > 100 GROUP BY path
+        UNION ALL SELECT 'LONG-WORDS', path, NULL, count(*), CAST(sum(i) AS BIGINT), CAST(sum(length(line)) AS BIGINT) FROM ln
+            WHERE len(list_filter(string_split(line, ' '), lambda w: length(w) > 14)) > 0 GROUP BY path""",
+)

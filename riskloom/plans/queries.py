@@ -22,10 +22,11 @@ from riskloom.operators import findings as R
 from riskloom.operators import flows as T
 from riskloom.operators import packages as PK
 from riskloom.operators import patches as PT
+from riskloom.operators import plugins as PL
 from riskloom.operators import quota as QU
 from riskloom.operators import report as RP
 from riskloom.operators import review as V
-from riskloom.plans import corpus, modules
+from riskloom.plans import corpus, modules, rules
 from riskloom.plans import scan as S
 from riskloom.plans.staging import new_folder, stage
 from riskloom.sources import files as SF
@@ -398,6 +399,17 @@ def scan_findings(spark, sf):
     return _flat(_findings(spark, sf))
 
 
+def own_rules(spark, sf):
+    """Two plug-ins over whole documents: the findings of both, and the documents on which one fails."""
+    files = table(spark, sf, "documents").select(
+        F.coalesce("source", F.lit("none")).alias("repo_id"), F.concat(F.lit("d"), "doc_id", F.lit(".yaml")).alias("path"), "text"
+    )
+    rows = PL.plugin_rows(files, rules.EXAMPLES)
+    return rows.groupBy("rule", "path", "error").agg(
+        F.count("line_number").alias("n"), F.sum("line_number").cast("bigint").alias("lines"), F.sum(F.length("evidence")).cast("bigint").alias("chars")
+    )
+
+
 # ------------------------------------------------------------------ review
 def verify_batches(spark, sf):
     """Conversation turns as findings, six to a request."""
@@ -820,6 +832,7 @@ QUERIES: dict[str, Query] = {
     "risk_score": risk_score,
     "saturation_ranks": saturation_ranks,
     "scan_findings": scan_findings,
+    "own_rules": own_rules,
     "verify_batches": verify_batches,
     "fix_batches": fix_batches,
     "verdict_merge": verdict_merge,

@@ -16,6 +16,7 @@ from riskloom.operators import detect as D
 from riskloom.operators import findings as R
 from riskloom.operators import packages as PK
 from riskloom.operators import patches as PT
+from riskloom.operators import plugins as PL
 from riskloom.operators import review as V
 from riskloom.operators.evidence import build_evidence
 from riskloom.plans.staging import stage
@@ -55,10 +56,13 @@ def repository_facts(facts: DataFrame) -> DataFrame:
     return C.repo_contexts(facts).join(flags, "repo_id", "left")
 
 
-def raw_findings(facts: DataFrame, repos: DataFrame, keys=None) -> DataFrame:
+FOR_EVIDENCE = ["ctx", "flows", "f_web_hint"]
+
+
+def raw_findings(facts: DataFrame, repos: DataFrame, keys=None, found: DataFrame | None = None) -> DataFrame:
     """Candidates with what the evidence step needs, in the light of their repository."""
-    carry = ["ctx", "flows", "f_web_hint"]
-    found = D.candidates_from_items(facts, keys, carry=carry)
+    if found is None:
+        found = D.candidates_from_items(facts, keys, carry=FOR_EVIDENCE)
     about = repos.select(
         "repo_id", "project_auth", "supabase_project", "kind", "external_exposure_proven", "sensitive_public_surface"
     )
@@ -83,9 +87,9 @@ def project_view(joined: DataFrame) -> DataFrame:
 ABOUT_REPOSITORY = ["kind", "external_exposure_proven", "sensitive_public_surface"]
 
 
-def evidenced(facts: DataFrame, repos: DataFrame, keys=None) -> DataFrame:
+def evidenced(facts: DataFrame, repos: DataFrame, keys=None, found: DataFrame | None = None) -> DataFrame:
     """Findings with evidence; what is known about the repository stays with them."""
-    return build_evidence(raw_findings(facts, repos, keys), carry=ABOUT_REPOSITORY)
+    return build_evidence(raw_findings(facts, repos, keys, found), carry=ABOUT_REPOSITORY)
 
 
 def finish(findings: DataFrame) -> DataFrame:
@@ -110,6 +114,48 @@ def scan(files: DataFrame, keys=None, *, flows: bool = True, strict: bool = Fals
     return finish(evidenced(facts, repos, keys))
 
 
+def scan_with_rules(files: DataFrame, rules: list, keys=None, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(findings, errors) of a scan with rules of one's own: line and file rules in SQL, and plug-ins
+    in Python.
+
+    No rule can stop a scan.  A plug-in that fails on a file says nothing of that file.  An SQL
+    rule runs in the pass over all files; should the pass fail, each is tried alone, and the ones
+    that fail are left out.  ``errors`` has (rule, repo_id, path, error); a rule left out has no path.
+    """
+    spark = files.sparkSession
+    marked = mark_ignored(files, strict)
+    plugins = [r for r in rules if isinstance(r, PL.Plugin)]
+    own = [r for r in rules if not isinstance(r, PL.Plugin)]
+    built_in = list(D.DETECTOR_KEYS if keys is None else keys)
+
+    def passed(chosen: list) -> tuple[DataFrame, DataFrame]:
+        facts = stage(file_facts(marked, chosen), "file-facts")
+        return facts, stage(D.candidates_from_items(facts, chosen, carry=FOR_EVIDENCE), "candidates")
+
+    left_out = []
+    try:
+        facts, found = passed([*built_in, *own])
+    except Exception:
+        if not own:
+            raise
+        good = []
+        for rule in own:
+            try:
+                stage(D.candidates_from_items(D.file_items(marked.where("NOT ignored"), [rule]), [rule]), "candidates")
+                good.append(rule)
+            except Exception as e:
+                left_out.append((rule.key, None, None, str(e).strip().partition("\n")[0]))
+        facts, found = passed([*built_in, *good])
+    errors = spark.createDataFrame(left_out, PL.ERRORS)
+    if plugins:
+        rows = stage(PL.plugin_rows(marked.where("NOT ignored"), plugins), "plug-ins")
+        hints = facts.select("repo_id", "path", "f_web_hint")
+        found = found.unionByName(PL.found(rows).join(hints, ["repo_id", "path"]))
+        errors = errors.unionByName(PL.errors(rows))
+    repos = repository_facts(facts)
+    return finish(evidenced(facts, repos, found=found)), errors
+
+
 def reviewed_scan(
     files: DataFrame,
     verdicts: DataFrame | None = None,

@@ -6,6 +6,7 @@ from riskloom.operators import context as C
 from riskloom.operators import detect as D
 from riskloom.operators import findings as R
 from riskloom.operators import packages as PK
+from riskloom.operators import plugins as PL
 from riskloom.plans import scan as S
 
 
@@ -220,6 +221,33 @@ def test_a_rule_of_ones_own(files):
     assert [(r["category"], r["status"]) for r in rows] == [("weak_hash", "needs_review")]
 
 
+def _raises(path, lines):
+    for i, line in enumerate(lines, 1):
+        if "md5" in line:
+            yield i, line.strip(), 10 // (len(line) - 10) and _WEAK
+
+
+_WEAK = D.outcome("injection", 9, "weak_hash", "low", "candidate", "high", "md5")
+
+
+def test_failing_rules_are_listed_and_change_nothing_else(files):
+    tree = {**FIXTURE, "ok.py": "digest = md5(x)\n", "bad.py": "import md5\nmd5(x) # y\n", "c.js": "md5(a)\n"}
+    good = D.LineDetector("GOOD", "js", ["md5"], "NOT comment", [("line RLIKE 'md5[(]'", _WEAK)])
+    pattern = D.LineDetector("PATTERN", "py", ["md5"], "NOT comment", [("line RLIKE 'md5[('", _WEAK)])
+    zero = D.LineDetector("ZERO", "py", ["md5"], "NOT comment", [("10 / (length(line) - 10) > 0", _WEAK)])
+    plugin = PL.Plugin("PLUG-IN", _raises, (".py",))
+    columns = ("path", "line_number", "category", "severity", "status", "confidence")
+    plain = sorted(S.scan(files(tree)).select(*columns).collect())
+    rows, errors = S.scan_with_rules(files(tree), [good, pattern, zero, plugin])
+    more = [r for r in rows.select(*columns).collect() if r.category == "weak_hash"]
+    assert sorted(r for r in rows.select(*columns).collect() if r.category != "weak_hash") == plain
+    assert sorted((r.path, r.line_number) for r in more) == [("c.js", 1), ("ok.py", 1)]
+    listed = {(r.rule, r.path): r.error for r in errors.collect()}
+    assert set(listed) == {("PATTERN", None), ("ZERO", None), ("PLUG-IN", "bad.py")}
+    assert "ZeroDivisionError" in listed["PLUG-IN", "bad.py"] and "DIVIDE_BY_ZERO" in listed["ZERO", None]
+    assert S.scan_with_rules(files(tree), [good])[1].count() == 0
+
+
 def test_reviews_change_a_scan(spark, files):
     tree = {**FIXTURE, "safe.py": 'def f(uid):\n    db.execute(f"SELECT {uid}")\n'}
     plain = {(r.path, r.line_number): r.id for r in S.scan(files(tree)).collect()}
