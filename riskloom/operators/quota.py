@@ -4,6 +4,7 @@ lie in the window before it.  Denied attempts leave no trace."""
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,22 +55,22 @@ def attempts_in_window(events: DataFrame, seconds: int = K.QUOTA_WINDOW_SECONDS)
 _ADMISSIONS = "key string, endpoint string, tick bigint, attempts bigint, admitted bigint, remaining int, retry_after int"
 _ENTRIES = "key string, endpoint string, block bigint, log array<bigint>"
 #: Ticks are packed in blocks of this many milliseconds, so a block holds at most as many.
-BLOCK = 600_000
+BLOCK = 3_600_000
 
 
-def jump(ticks: np.ndarray, attempts: np.ndarray, limit: int, span: int, log: list[int]) -> list[int]:
+def jump(ticks, attempts, limit: int, span: int, log: list[int]) -> list[int]:
     """The log's stamps with those that ascending ticks add to it.
 
     With ``limit`` stamps in the log the next one can't be earlier than a window after the
     oldest of them, so the walk goes there by search: a step for each admitted tick, however
     many are denied in between.
     """
-    log, at = list(log), 0
-    while at < len(ticks) and limit > 0:
+    log, at, n = list(log), 0, len(ticks)
+    while at < n and limit > 0:
         if len(log) >= limit:
             free = log[-limit] + span + 1
             if ticks[at] < free:
-                at = int(np.searchsorted(ticks, free))
+                at = bisect_left(ticks, free, at)
                 continue
         tick = int(ticks[at])
         held = sum(s >= tick - span for s in log[-limit:])
@@ -80,12 +81,18 @@ def jump(ticks: np.ndarray, attempts: np.ndarray, limit: int, span: int, log: li
 
 def verdicts(ticks: np.ndarray, attempts: np.ndarray, limit: int, span: int, log: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(admitted, remaining, retry_after) of ascending ticks, for the log before them."""
-    stamps = np.array(jump(ticks, attempts, limit, span, log), np.int64)
-    first = np.searchsorted(stamps, ticks - span)
-    free = np.maximum(0, limit - (np.searchsorted(stamps, ticks) - first))
+    return _judged(ticks, attempts, np.int64(limit), span, np.array(jump(ticks, attempts, limit, span, log), np.int64))
+
+
+def _judged(ticks, attempts, limit, span: int, stamps, shift=0):
+    """``verdicts`` for all stamps that are ever admitted.  Ticks and stamps of several logs may
+    follow each other if ``shift`` moves each log's far from the others'."""
+    at, marks = ticks + shift, stamps
+    first = np.searchsorted(marks, at - span)
+    free = np.maximum(0, limit - (np.searchsorted(marks, at) - first))
     admitted = np.minimum(attempts, free)
-    oldest = np.append(stamps, 0)[np.minimum(first, len(stamps))] if limit > 0 else ticks
-    wait = np.where(attempts > admitted, np.maximum(1, -((ticks - oldest - span) // 1000)), 0)
+    oldest = np.append(marks, 0)[np.minimum(first, len(marks))]
+    wait = np.where(attempts > admitted, np.where(limit > 0, np.maximum(1, -((at - oldest - span) // 1000)), max(1, span // 1000)), 0)
     return admitted, free, wait
 
 
@@ -102,7 +109,7 @@ def _walk(span: int):
                     current, log = key, []
                 log = [s for s in log if s >= ticks[0] - span]
                 logs.append(log)
-                log = jump(ticks, attempts, limit, span, log)
+                log = jump(ticks.tolist(), attempts, limit, span, log)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("endpoint"), batch.column("block"), pa.array(logs, pa.list_(pa.int64()))], names=["key", "endpoint", "block", "log"]
             )
@@ -117,17 +124,26 @@ def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
 
 
 def _decide(span: int):
-    """A row for each tick of a block, from the log before the block."""
+    """A row for each tick of a block, from the log before the block.  The blocks of a batch are
+    judged together: each is moved to a stretch of time of its own."""
     names = [f.split()[0] for f in _ADMISSIONS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("limit").to_pylist(), batch.column("log").to_pylist(), _lists(batch, "ticks"), _lists(batch, "attempts"))
-            for i, (limit, log, ticks, attempts) in enumerate(rows):
-                admitted, free, wait = verdicts(ticks, attempts, limit, span, log)
-                same = [pa.array([batch.column(c)[i].as_py()], pa.string()).take(pa.array(np.zeros(len(ticks), np.int64))) for c in ("key", "endpoint")]
-                numbers = [pa.array(x, pa.int64()) for x in (ticks, attempts, admitted)]
-                yield pa.RecordBatch.from_arrays([*same, *numbers, pa.array(free.astype(np.int32)), pa.array(wait.astype(np.int32))], names=names)
+            limits = batch.column("limit").to_numpy().astype(np.int64)
+            ticks, attempts = (batch.column(n).flatten().to_numpy() for n in ("ticks", "attempts"))
+            sizes = np.diff(batch.column("ticks").offsets.to_numpy())
+            whose = np.repeat(np.arange(len(batch)), sizes)
+            apart = np.arange(len(batch), dtype=np.int64) * 2 * (span + BLOCK)
+            starts = np.array([0], np.int64) if not len(ticks) else ticks[np.cumsum(sizes) - sizes]
+            shifts, stamps = apart - starts, []
+            blocks = zip(_lists(batch, "ticks"), _lists(batch, "attempts"), limits.tolist(), batch.column("log").to_pylist(), shifts.tolist())
+            for t, n, limit, log, shift in blocks:
+                stamps += [x + shift for x in jump(t.tolist(), n, limit, span, log)]
+            judged = _judged(ticks, attempts, limits[whose], span, np.array(stamps, np.int64), shifts[whose])
+            same = [batch.column(c).take(pa.array(whose)) for c in ("key", "endpoint")]
+            numbers = [pa.array(x, k) for x, k in zip((ticks, attempts, *judged), (pa.int64(),) * 3 + (pa.int32(),) * 2)]
+            yield pa.RecordBatch.from_arrays([*same, *numbers], names=names)
 
     return run
 
