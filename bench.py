@@ -45,14 +45,16 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     from riskloom.plans.queries import QUERIES
+    from riskloom.plans.staging import staged
 
     names = sys.argv[1:] or HEADLINES
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # the session starts up before the clock
     seconds: dict[str, float] = {}
     for name in names:
-        start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - start, 3)
+        with staged(spark):
+            start = time.perf_counter()
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds[name] = round(time.perf_counter() - start, 3)
     result = {
         "metric": "total wall-clock of the headline queries",
         "value": round(sum(seconds.values()), 3),

@@ -541,3 +541,14 @@ ORACLES["own_rules"] = _with(
         UNION ALL SELECT 'LONG-WORDS', path, NULL, count(*), CAST(sum(i) AS BIGINT), CAST(sum(length(line)) AS BIGINT) FROM ln
             WHERE len(list_filter(string_split(line, ' '), lambda w: length(w) > 14)) > 0 GROUP BY path""",
 )
+ORACLES["fix_payloads"] = _with(
+    [
+        *_scan(),
+        f"t AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {B.FOUND_ORDER}) - 1 AS place FROM scanned WHERE status = 'confirmed')",
+        f"src AS (SELECT repo_id, path, {B.lines_of('text')} AS src_lines FROM code)",
+        """cut AS (SELECT t.repo_id, place, id, t.path, line_number, greatest(line_number - 8, 1) AS first_line,
+            src_lines[greatest(line_number - 8, 1) : line_number + 8] AS near FROM t JOIN src USING (repo_id, path))""",
+    ],
+    """SELECT repo_id, CAST(place // 4 AS INTEGER) AS batch, id, path, line_number, CAST(len(near) AS BIGINT) AS n_lines, CAST(first_line AS INTEGER) AS first_line,
+        array_to_string(near, chr(10)) AS code FROM cut""",
+)

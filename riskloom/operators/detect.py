@@ -20,6 +20,7 @@ from riskloom.functions import sqltext as Q
 from riskloom.functions import text as X
 from riskloom.model import CANDIDATE_FIELDS, FLOW, SCANNERS
 from riskloom.operators.pyfacts import python_facts
+from riskloom.plans.staging import stage
 
 # ------------------------------------------------------------------ file signals
 _CHECKED = "NOT generated"
@@ -529,11 +530,15 @@ def candidates(files: DataFrame, keys: Iterable[str] | None = None) -> DataFrame
     """Candidate findings of the chosen detectors (all by default).
 
     Findings about row-level security are kept only in repositories that show a Supabase
-    signal.
+    signal.  The items of files carry what they say of their repository and are written
+    first, so that the files are read once for both.
     """
     wanted = list(DETECTOR_KEYS if keys is None else keys)
-    out = candidates_from_items(file_items(files, wanted), wanted)
-    return only_in_supabase_projects(out, repo_flags(files)) if "DET-19" in wanted else out
+    if "DET-19" not in wanted:
+        return candidates_from_items(file_items(files, wanted), wanted)
+    items = stage(file_items(files, wanted, keep=REPO_SIGNALS), "file-items")
+    flags = collect_repo_flags(items.select("repo_id", *REPO_SIGNALS))
+    return only_in_supabase_projects(candidates_from_items(items, wanted), flags)
 
 
 def only_in_supabase_projects(found: DataFrame, flags: DataFrame) -> DataFrame:

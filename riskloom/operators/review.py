@@ -70,8 +70,28 @@ def verify_batches(findings: DataFrame) -> DataFrame:
     return in_batches(findings.filter(F.col("status") != "rejected"), verify_payload(), K.VERIFY_BATCH)
 
 
-def fix_batches(findings: DataFrame) -> DataFrame:
-    return in_batches(findings.filter(F.col("status") == "confirmed"), fix_payload(), K.FIX_BATCH)
+def source_lines(findings: DataFrame, files: DataFrame, window: int = K.FIX_WINDOW) -> DataFrame:
+    """(repo_id, path, line_number, context): the numbered lines around each place that has a finding.
+
+    A file's text meets the distinct lines wanted of it, not its findings, and goes no further.
+    """
+    wanted = findings.where("path <> '' AND line_number > 0").groupBy("repo_id", "path").agg(F.collect_set("line_number").alias("wanted"))
+    texts = files.select("repo_id", "path", X.split_lines(F.col("text")).alias("lines")).join(wanted, ["repo_id", "path"])
+    each = texts.select("repo_id", "path", "lines", F.explode("wanted").alias("line_number"))
+    at = F.col("line_number")
+    framed = each.select("repo_id", "path", "line_number", X.line_frame(F.col("lines"), at, window, window).alias("frame"))
+    first = F.greatest(at - window, F.lit(1))
+    numbered_lines = F.transform("frame", lambda line, i: F.struct((first + i).cast("int").alias("line_number"), line.alias("code")))
+    return framed.select("repo_id", "path", "line_number", numbered_lines.alias("context"))
+
+
+def fix_batches(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Requests for fixes of confirmed findings, each with the source lines around it; empty where
+    the file or the line is not there."""
+    confirmed = findings.filter(F.col("status") == "confirmed")
+    lines = source_lines(confirmed, files)
+    context = F.coalesce("context", F.array().cast("array<struct<line_number:int,code:string>>"))
+    return in_batches(confirmed.join(lines, ["repo_id", "path", "line_number"], "left").withColumn("context", context), fix_payload(), K.FIX_BATCH)
 
 
 def parse_verdicts(answers: DataFrame) -> DataFrame:

@@ -432,8 +432,20 @@ def verify_batches(spark, sf):
     )
 
 
+def fix_payloads(spark, sf):
+    """The confirmed findings of a scan as they go out for fixes, with the lines around them."""
+    batches = V.fix_batches(stage(_findings(spark, sf), "findings"), _files(spark, sf))
+    parsed = F.from_json("payload", "findings array<struct<id:string,file_path:string,line_number:int,context:array<struct<line_number:int,code:string>>>>")
+    return batches.select("repo_id", "batch", F.explode(parsed.findings).alias("f")).select(
+        "repo_id", "batch", "f.id", c("f.file_path").alias("path"), c("f.line_number").alias("line_number"),
+        F.size("f.context").cast("bigint").alias("n_lines"), F.get(c("f.context"), 0)["line_number"].alias("first_line"),
+        F.array_join(F.transform("f.context", lambda x: x.code), "\n").alias("code"),
+    )
+
+
 def fix_batches(spark, sf):
-    batches = V.fix_batches(_merged(spark, sf).withColumn("context", F.array().cast("array<string>")))
+    no_files = spark.createDataFrame([], "repo_id string, path string, text string")
+    batches = V.fix_batches(_merged(spark, sf), no_files)
     parsed = F.from_json("payload", "findings array<struct<id:string>>")
     return batches.select("repo_id", "batch", "n", _joined(F.transform(parsed.findings, lambda f: f.id)).alias("ids"))
 
@@ -835,6 +847,7 @@ QUERIES: dict[str, Query] = {
     "own_rules": own_rules,
     "verify_batches": verify_batches,
     "fix_batches": fix_batches,
+    "fix_payloads": fix_payloads,
     "verdict_merge": verdict_merge,
     "models_used": models_used,
     "package_audit": package_audit,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,21 +16,30 @@ def slices_of(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def cut_by_range(rows: DataFrame, by: list[str], order: list[Column], slices: int) -> DataFrame:
+    """_row, the group, slice, and ``at``, which counts up in the order of a slice."""
+    sort = [*[F.col(b) for b in by], *order, F.col("_row")]
+    return rows.repartitionByRange(slices, *sort).sortWithinPartitions(*sort).select(
+        "_row", *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("at")
+    )
+
+
 def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, slices: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in its group.
 
-    A plain window would sort a group in one task.  Here the rows are cut by range over
-    (group, order) into even slices, so that a large group spans many of them; the slices
-    are written once, which fixes their limits, then each is numbered by itself and
-    shifted by the rows its group has in the slices before.  Only one small row per group
-    and slice meets in a window of its own.
+    A plain window would sort a group in one task, with all that its rows carry.  Here the rows
+    are written once with a number of their own, and only that number, the group and what the
+    order needs are cut by range into even slices, so that a large group spans many of them.  The
+    places in the slices are written too, which fixes them; they are shifted by the rows that a
+    group has in the slices before, of which one small row per group and slice meets in a window.
+    The positions then go back to the rows by their numbers.
     """
-    keys = [F.col(b) for b in by]
-    cut = df.repartitionByRange(slices or slices_of(df), *keys, *order).withColumn("slice", F.spark_partition_id())
-    cut = stage(cut, "slices")
-    local = F.row_number().over(W.partitionBy("slice", *by).orderBy(*order)) - 1
-    counts = cut.groupBy("slice", *by).agg(F.count("*").alias("rows_here"))
-    ahead = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("slice", *by, F.coalesce(F.sum("rows_here").over(ahead), F.lit(0)).alias("offset"))
-    placed = cut.withColumn("local", local).join(offsets, ["slice", *by])
-    return placed.withColumn(name, F.col("offset") + F.col("local")).drop("slice", "local", "offset")
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    cut = stage(cut_by_range(rows, by, order, slices or slices_of(df)), "slices")
+    group = [f"_by{i}" for i in range(len(by))]
+    counts = cut.groupBy("slice", *group).agg(F.count("*").alias("here"), F.min("at").alias("first"))
+    ahead = W.partitionBy(*group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    shifts = counts.select(F.col("slice").alias("s"), *[F.col(g).alias(f"of{g}") for g in group], (F.coalesce(F.sum("here").over(ahead), F.lit(0)) - F.col("first")).alias("shift"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"of{g}")) for g in group], F.col("slice") == F.col("s"))
+    positions = cut.join(shifts, same).select("_row", (F.col("at") + F.col("shift")).alias(name))
+    return rows.join(positions, "_row").drop("_row")

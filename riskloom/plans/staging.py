@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +34,29 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Survives the loss of executors, and lets several consumers read only the columns
-    they need.
+    they need.  Within ``staged`` the folder goes when the block ends.
     """
     spark = df.sparkSession
     target = new_folder(spark, label)
+    for held in _open:
+        held.append(target)
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+_open: list[list[str]] = []
+
+
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged within the block at its end.  Results have to be written or collected
+    before, as their plans read the staged tables."""
+    held: list[str] = []
+    _open.append(held)
+    try:
+        yield
+    finally:
+        _open.remove(held)
+        for folder in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,8 +19,10 @@ def read_tree(spark: SparkSession, root: str, depth: int = 0) -> DataFrame:
     it is selected.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    full = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    inner = F.regexp_replace(F.substr(full, F.lit(len(root.rstrip("/")) + 1)), "^/+", "")
+    # The listing names files by full URI; the root is spelled the same way, whatever store it is in.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    inner = F.regexp_replace(F.substr("path", F.lit(len(whole) + 1)), "^/+", "")
     if depth:
         repo, rel = F.substring_index(inner, "/", 1), F.substr(inner, F.length(F.substring_index(inner, "/", 1)) + 2)
     else:

@@ -204,6 +204,10 @@ def test_folders_are_read(spark, tmp_path):
         target = tmp_path / repo / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(body)
+    for root in (f"file:{tmp_path}", f"file://{tmp_path}/", f"{tmp_path}/"):  # however the root is spelled
+        assert sorted((r.repo_id, r.path) for r in SF.read_tree(spark, root, depth=1).select("repo_id", "path").collect()) == [
+            ("one", "b.js"), ("one", "src/a.py"), ("two", "c/d.sql")
+        ]
     raw = SF.read_tree(spark, str(tmp_path), depth=1)
     listed = raw.select("repo_id", "path", "size")
     assert sorted(map(tuple, listed.collect())) == [("one", "b.js", 4), ("one", "src/a.py", 6), ("two", "c/d.sql", 9)]

@@ -1,13 +1,17 @@
 """The shape of plans that matters at size."""
 
+import os
+
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 from riskloom.operators import context as C
+from riskloom.operators import detect as D
 from riskloom.operators import findings as R
 from riskloom.plans import queries
 from riskloom.plans import scan as S
-from riskloom.plans.staging import stage
+from riskloom.plans.ranking import cut_by_range
+from riskloom.plans.staging import new_folder, stage, staged
 from riskloom.sources import files as SF
 
 
@@ -50,3 +54,26 @@ def test_a_staged_scan_reads_no_text_again(spark):
     facts = stage(S.file_facts(S.mark_ignored(files)), "plan")
     text = plan(S.evidenced(facts, S.repository_facts(facts)))
     assert "events.parquet" not in text and "ArrowEvalPython" not in text
+
+
+def test_numbering_moves_no_text(spark):
+    rows = stage(queries.stand_in(spark, SMALL).withColumn("_row", F.monotonically_increasing_id()), "plan")
+    text = plan(cut_by_range(rows, ["repo_id"], R.report_order(), 4))
+    read = text.split("ReadSchema")[1]
+    assert "Exchange rangepartitioning" in text
+    assert not any(wide in read for wide in ("description", "attack_chain", "recommendation", "evidence_refs", "proof", "fix"))
+
+
+def test_detectors_read_the_files_once(spark):
+    tree = str(new_folder(spark, "plan"))
+    spark.createDataFrame([("r", "a.sql", "CREATE TABLE public.a (id int);")], "repo_id string, path string, text string").write.parquet(tree)
+    text = plan(D.candidates(spark.read.parquet(tree)))
+    assert tree.rpartition("/")[2] not in text and text.count("file-items") >= 1
+
+
+def test_staged_folders_go_with_their_block(spark):
+    with staged(spark):
+        kept = stage(spark.range(3), "scope")
+        folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+        assert kept.count() == 3 and os.path.isdir(folder)
+    assert not os.path.isdir(folder)
