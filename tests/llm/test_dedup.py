@@ -108,6 +108,20 @@ def test_near_keeps_clean_and_null_ids(spark):
     assert got.columns == brute.documents(spark, data).columns
 
 
+def test_an_id_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    data = [(i, t, "en", "s", 0, *"abcdefg") for i, t in [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (7, a + " more"), (None, b), (None, "x y z"), (None, "x y z"), (None, None)]]
+    got = lsh_forest.near_duplicates(brute.documents(spark, data), words=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 1), (7, 1)]
+    assert sorted((r.n_shingles, r.component_id or -1, r.kept) for r in got if not r.doc_id) == [(0, -1, True), (1, -1, True), (1, -1, True), (58, 1, False)]
+    kept = lsh_forest.one_of_each(brute.documents(spark, data), words=3, percent=85)
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (-1, "x y z"), (1, a), (1, b)]
+    joined = [(1, a), (1, b), (2, b + " more"), (3, a + " more " + b)]  # a longer text links nothing by the id alone
+    data = [(i, t, "en", "s", 0, *"abcdefg") for i, t in joined]
+    kept = lsh_forest.one_of_each(brute.documents(spark, data), words=3, percent=85)
+    assert sorted((r.doc_id, len(r.text)) for r in kept.collect()) == sorted((i, len(t)) for i, t in joined if i != 2)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95)]
     got = links.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()

@@ -94,5 +94,5 @@ def test_shards_are_slices_of_the_order(spark):
 def test_entry_points():
     every = entry.queries()
     numbers = [int(k[2:].split("_")[0]) for k in queries.QUERIES]
-    assert numbers == list(range(1, 11)) and "pipeline" in every and set(queries.QUERIES) <= set(every)
+    assert numbers == list(range(1, 14)) and "pipeline" in every and set(queries.QUERIES) <= set(every)
     assert set(oracles.ORACLES) <= set(every)

@@ -153,6 +153,17 @@ def test_mixed_rows(spark):
     assert dict(words) == {s: math.floor(t + 1e-9) for s, (_, t) in brute.mix([(r[0], r[1], r[3]) for r in DATA]).items() if t >= 1}
 
 
+def test_mixed_equal_rows_and_null_ids(spark):
+    rows = [(1, "a b c d", "en", "s", 7, *"abcdefg")] * 2 + [(2, "e f", "en", "t", 3, *"abcdefg")] + [(None, f"w{i} x y", "en", "u", 5, *"abcdefg") for i in range(5)] + [(None, "w0 x y", "en", "u", 5, *"abcdefg")]
+    want = {s: math.floor(t + 1e-9) for s, (_, t) in brute.mix([(r[0], r[1], r[3]) for r in rows]).items()}
+    for slices in (1, 5):
+        got = curriculum.mixed(brute.documents(spark, rows, slices=slices)).collect()
+        words = Counter()
+        for r in got:
+            words[r.source] += len(r.text.split())
+        assert dict(words) == want and want["s"] < 16
+
+
 def test_packing(spark):
     ids = library("byte_bpe_50k.json")
     docs = brute.documents(spark)
