@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,20 @@ def test_an_id_with_several_texts(spark):
     assert sorted((r.doc_id, len(r.text)) for r in kept.collect()) == sorted((i, len(t)) for i, t in joined if i != 2)
 
 
+@pytest.mark.parametrize("most", [1, 40, 300, 10**6])
+def test_runs_cut_no_group(most):
+    pick = random.Random(most)
+    leading = sorted(pick.choice([b"a", b"ab", b"b", b"c", b"d", b"e"]) for _ in range(60))
+    batches = []
+    while leading:
+        n = pick.randint(1, 9)
+        some, leading = leading[:n], leading[n:]
+        batches.append(pa.RecordBatch.from_pydict({"leading": pa.array(some, pa.binary()), "around": pa.array([b"x" * pick.randint(0, 30) for _ in some], pa.binary())}))
+    got = [t.column("leading").to_pylist() for t in suffix_sort.whole_groups(iter(batches), most)]
+    assert sum(got, []) == [x for b in batches for x in b.column(0).to_pylist()]
+    assert all(x[-1] != y[0] for x, y in zip(got, got[1:])) and (most > 300 or len(got) > 1)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95)]
     got = links.components(spark.createDataFrame(pairs, "a long, b long").repartition(7)).collect()
