@@ -552,3 +552,12 @@ ORACLES["fix_payloads"] = _with(
     """SELECT repo_id, CAST(place // 4 AS INTEGER) AS batch, id, path, line_number, CAST(len(near) AS BIGINT) AS n_lines, CAST(first_line AS INTEGER) AS first_line,
         array_to_string(near, chr(10)) AS code FROM cut""",
 )
+ORACLES["scan_texts"] = _with(
+    [
+        """texts AS (SELECT source AS repo_id, 'corpus/' || doc_id || (['.py', '.js', '.ts', '.json', '.yaml', '.sql'])[doc_id % 6 + 1] AS path, coalesce(text, '') AS text FROM documents
+            UNION ALL SELECT 'pages', 'web/' || page_id || '.js', coalesce(html, '') FROM pages
+            UNION ALL SELECT 'turns', 'chat/' || conv_id || '-' || turn || '.py', coalesce(text, '') FROM conversations)""",
+        *B.file_ctes("texts"), *B.candidate_ctes(),
+    ],
+    f"SELECT {B.COLUMNS} FROM cand",
+)

@@ -177,6 +177,20 @@ def detectors_all(spark, sf):
     )
 
 
+def scan_texts(spark, sf):
+    """All detectors over all given texts: documents under six file types, pages as scripts, turns as code."""
+    kinds = F.array(*[F.lit(k) for k in (".py", ".js", ".ts", ".json", ".yaml", ".sql")])
+    text = F.coalesce("text", F.lit("")).alias("text")
+    docs = table(spark, sf, "documents").select(
+        c("source").alias("repo_id"), F.concat(F.lit("corpus/"), "doc_id", F.get(kinds, (c("doc_id") % 6).cast("int"))).alias("path"), text
+    )
+    pages = table(spark, sf, "pages").select(
+        F.lit("pages").alias("repo_id"), F.concat(F.lit("web/"), "page_id", F.lit(".js")).alias("path"), F.coalesce("html", F.lit("")).alias("text")
+    )
+    turns = table(spark, sf, "conversations").select(F.lit("turns").alias("repo_id"), F.concat(F.lit("chat/"), "conv_id", F.lit("-"), "turn", F.lit(".py")).alias("path"), text)
+    return _candidate_columns(D.candidates(docs.unionByName(pages).unionByName(turns)))
+
+
 def route_risk(spark, sf):
     """Route tests on the paths of web pages and of file-based handlers."""
     pages = table(spark, sf, "pages").select(
@@ -845,6 +859,7 @@ QUERIES: dict[str, Query] = {
     "saturation_ranks": saturation_ranks,
     "scan_findings": scan_findings,
     "own_rules": own_rules,
+    "scan_texts": scan_texts,
     "verify_batches": verify_batches,
     "fix_batches": fix_batches,
     "fix_payloads": fix_payloads,
