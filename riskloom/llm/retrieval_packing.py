@@ -88,17 +88,32 @@ def idf_of(n: int, df: np.ndarray) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def route(ids: np.ndarray, whole: Corpus, k1: float, b: float, shard_docs: int, terms: int = 6) -> bytes:
-    """The sort key of a rest: its heaviest terms of those that recur, first the one that
-    about fills a shard (nearest to ``shard_docs`` among the heaviest), then by weight."""
-    term, tf = np.unique(ids, return_counts=True)
+def routes(rests: list[np.ndarray], whole: Corpus, k1: float, b: float, shard_docs: int, terms: int = 6) -> list[bytes]:
+    """The sort key of each rest: its heaviest terms of those that recur, first the one that
+    about fills a shard (nearest to ``shard_docs`` among the heaviest), then by weight.  The
+    rests of a batch are sorted together."""
+    lengths = np.array([len(r) for r in rests], np.int64)
+    owner = np.repeat(np.arange(len(rests), dtype=np.int64), lengths)
+    ids = np.concatenate(rests).astype(np.int64) if len(rests) else np.zeros(0, np.int64)
+    pairs, tf = np.unique((owner << 32) | ids, return_counts=True)
+    owner, term = pairs >> 32, pairs & 0xFFFFFFFF
     df = whole.df[term]
     shared = df > 1
-    term, tf, df = term[shared], tf[shared], df[shared]
-    weight = idf_of(whole.n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(ids) / whole.mean))
-    heavy = np.lexsort((term, -weight))
-    common = heavy[df[heavy] >= shard_docs // 4][:1]
-    return term[np.concatenate([common, heavy[:terms]]).astype(np.int64)].astype(">u4").tobytes()
+    owner, term, tf, df = owner[shared], term[shared], tf[shared], df[shared]
+    weight = idf_of(whole.n, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[owner] / whole.mean))
+    begins = np.searchsorted(owner, np.arange(len(rests) + 1)).tolist()
+    common = np.where(df >= shard_docs // 4, weight, -1.0)
+    packed, out = term.astype(">u4"), []
+    for first, last in zip(begins, begins[1:]):  # terms ascend, so of equal weights the first is the smaller term
+        w, some = weight[first:last], np.arange(last - first)
+        if len(w) > terms:
+            some = np.flatnonzero(w >= np.partition(w, len(w) - terms)[len(w) - terms])
+        some = some[np.argsort(-w[some], kind="stable")[:terms]]
+        lead = int(np.argmax(common[first:last])) if len(w) else 0
+        if len(w) and common[first + lead] >= 0:
+            some = np.concatenate([[lead], some])
+        out.append(packed[first + some].tobytes())
+    return out
 
 
 class Index:
@@ -303,12 +318,13 @@ def pack(
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [route(np.frombuffer(r, code), whole, k1, b, shard_docs) for r in batch.column("rest").to_pylist()]
+            keys = routes([np.frombuffer(r, code) for r in batch.column("rest").to_pylist()], whole, k1, b, shard_docs)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "route"])
 
     if not ordered:
         keys = ["route", "doc_id", "doc_tokens", "salt"]
-        rows = encoded.mapInArrow(routed, f"{ENCODED}, route binary").withColumn("salt", F.xxhash64("rest"))
+        # written, as Spark reads the rows twice to cut them by range
+        rows = stage(encoded.mapInArrow(routed, f"{ENCODED}, route binary"), "routed").withColumn("salt", F.xxhash64("rest"))
     else:
         keys, rows = ["place"], encoded
     rows = rows.repartitionByRange(min(shards, PARTITIONS_MOST), *keys).sortWithinPartitions(*keys)

@@ -164,6 +164,24 @@ def test_mixed_equal_rows_and_null_ids(spark):
         assert dict(words) == want and want["s"] < 16
 
 
+def test_routes_are_the_heaviest_terms():
+    pick = np.random.default_rng(3)
+    rests = [np.minimum(pick.zipf(1.3, n), 900).astype("<u2") for n in (0, 1, 5, 40, 300, 300, 0, 77)]
+    df = pick.integers(0, 60, 901)
+    whole = retrieval_packing.Corpus(500, 60.0, df)
+    for shard_docs in (16, 100, 400):
+        want = []
+        for r in rests:
+            weights = {}
+            for t, tf in Counter(r.tolist()).items():
+                if df[t] > 1:
+                    weights[t] = math.log1p((500 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(r) / 60.0))
+            heavy = sorted(weights, key=lambda t: (-weights[t], t))
+            common = [t for t in heavy if df[t] >= shard_docs // 4][:1]
+            want.append(np.array(common + heavy[:6], ">u4").tobytes())
+        assert retrieval_packing.routes(rests, whole, 1.2, 0.75, shard_docs) == want
+
+
 def test_packing(spark):
     ids = library("byte_bpe_50k.json")
     docs = brute.documents(spark)
