@@ -726,22 +726,22 @@ def stream_status(spark, sf):
     return J.status_now(spark, folder).drop("seq").withColumn("updated_at", F.unix_micros("updated_at"))
 
 
-def _arriving_files(spark, sf) -> DataFrame:
-    """The corpus arrives in four slices that cut through every repository."""
+def _arriving_files(spark, sf, parts: int) -> DataFrame:
+    """The corpus arrives in slices that cut through every repository."""
     folder = new_folder(spark, "stream-scan")
     files = _files(spark, sf)
     place = F.pmod(F.xxhash64("repo_id", "path"), F.lit(1000))
-    for stream in arrivals(files, place, f"{folder}/files"):
+    for stream in arrivals(files, place, f"{folder}/files", parts):
         found = SS.run(stream, folder)
     return found
 
 
 def stream_scan(spark, sf):
-    return _flat(_arriving_files(spark, sf))
+    return _flat(_arriving_files(spark, sf, 3))
 
 
 def stream_risk(spark, sf):
-    return S.repository_scores(_arriving_files(spark, sf))
+    return S.repository_scores(_arriving_files(spark, sf, 2))
 
 
 def stream_upsert(spark, sf):
