@@ -561,3 +561,9 @@ ORACLES["scan_texts"] = _with(
     ],
     f"SELECT {B.COLUMNS} FROM cand",
 )
+ORACLES["archive_expand"] = """WITH d AS (SELECT doc_id, doc_id // 40 AS a, coalesce(text, '') AS t FROM documents), g AS (SELECT DISTINCT a FROM d)
+    SELECT 'z' || a AS repo_id, CASE WHEN a % 2 = 0 THEN 'src/d' WHEN doc_id % 2 = 0 THEN 'a/d' ELSE 'b/d' END || doc_id || '.txt' AS path,
+        CAST(octet_length(encode(t)) AS BIGINT) AS size, md5(t) AS digest, CAST(NULL AS VARCHAR) AS error FROM d WHERE a % 7 NOT IN (3, 5)
+    UNION ALL SELECT 'z' || a, 'c/info.txt', 4, md5('info'), NULL FROM g WHERE a % 2 = 1 AND a % 7 NOT IN (3, 5)
+    UNION ALL SELECT 'z' || a, '../evil.txt', NULL, NULL, 'unsafe member name' FROM g WHERE a % 7 = 3
+    UNION ALL SELECT 'z' || a, NULL, NULL, NULL, 'not a zip archive' FROM g WHERE a % 7 = 5"""

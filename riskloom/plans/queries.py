@@ -26,9 +26,10 @@ from riskloom.operators import plugins as PL
 from riskloom.operators import quota as QU
 from riskloom.operators import report as RP
 from riskloom.operators import review as V
-from riskloom.plans import corpus, modules, rules
+from riskloom.plans import corpus, modules, rules, zips
 from riskloom.plans import scan as S
 from riskloom.plans.staging import new_folder, stage
+from riskloom.sources import archives as AR
 from riskloom.sources import files as SF
 from riskloom.sources import scanlog as SL
 from riskloom.sources import store as ST
@@ -83,6 +84,14 @@ def scan_risk(spark, sf):
     return S.repository_scores(stage(_findings(spark, sf), "findings"))
 
 
+def archive_expand(spark, sf):
+    """All documents packed in archives and taken out of them again, with the archives that are turned away."""
+    files, rejected = AR.expand_archives(stage(zips.document_archives(table(spark, sf, "documents")), "archives"))
+    kept = files.select("repo_id", "path", "size", F.md5("content").alias("digest"), F.lit(None).cast("string").alias("error"))
+    gone = rejected.select("repo_id", c("member").alias("path"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("string").alias("digest"), "error")
+    return kept.unionByName(gone)
+
+
 def _sized(spark, sf) -> DataFrame:
     """The corpus with some files in folders that are skipped, and their sizes."""
     files = _files(spark, sf)
@@ -859,6 +868,7 @@ QUERIES: dict[str, Query] = {
     "saturation_ranks": saturation_ranks,
     "scan_findings": scan_findings,
     "own_rules": own_rules,
+    "archive_expand": archive_expand,
     "scan_texts": scan_texts,
     "verify_batches": verify_batches,
     "fix_batches": fix_batches,

@@ -13,60 +13,60 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import fixed as K
 from riskloom.functions.workers import by_value
+from riskloom.plans.staging import stage
 
-MEMBERS = "repo_id string, member string, size bigint, content binary, error string"
+MEMBERS = "repo_id string, member string, path string, size bigint, content binary, error string"
 _SCHEMA = pa.schema(
-    [("repo_id", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
+    [("repo_id", pa.string()), ("member", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
 )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r, strict=True)) for r in rows], schema=_SCHEMA)
+def _batch(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, row, strict=True))], schema=_SCHEMA)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of each archive, one batch per member; an archive with an unsafe name
-    yields only its error."""
+    """Members of each archive, one batch per member; an archive that is none, or has an unsafe
+    name, yields only its error.  The names are listed before any member is read, so the paths
+    below the root are known then."""
     for batch in batches:
-        for repo, content in zip(batch.column("repo_id").to_pylist(), batch.column("content"), strict=True):
+        for repo, content, looks_right in zip(batch.column("repo_id").to_pylist(), batch.column("content"), batch.column("is_zip").to_pylist(), strict=True):
+            if not looks_right:
+                yield _batch(repo, None, None, None, None, "not a zip archive")
+                continue
             try:
                 with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    names = [i for i in archive.infolist() if not i.is_dir()]
                     unsafe = [n for n in archive.namelist() if n.startswith("/") or ".." in n.split("/")]
                     if unsafe:
-                        yield _batch([(repo, unsafe[0], None, None, "unsafe member name")])
+                        yield _batch(repo, unsafe[0], None, None, None, "unsafe member name")
                         continue
-                    for info in names:
-                        yield _batch([(repo, info.filename, info.file_size, archive.read(info), None)])
-            except (zipfile.BadZipFile, NotImplementedError, RuntimeError) as exc:
-                yield _batch([(repo, None, None, None, f"unreadable archive: {exc}")])
+                    files = [i for i in archive.infolist() if not i.is_dir()]
+                    # as in the unpacked folder: exactly one folder at the top is the root, whatever files lie beside it
+                    tops = {i.filename.partition("/")[0] for i in files if "/" in i.filename}
+                    root = f"{min(tops)}/" if len(tops) == 1 else ""
+                    for info in files:
+                        if info.filename.startswith(root):
+                            yield _batch(repo, info.filename, info.filename.removeprefix(root), info.file_size, archive.read(info), None)
+            except Exception as exc:  # whatever a broken archive makes the reader raise
+                yield _batch(repo, None, None, None, None, f"unreadable archive: {exc}")
 
 
 def is_zip(content) -> F.Column:
     """The first four bytes are those of a zip archive."""
-    return F.hex(F.substring(content, 1, 4)) == K.ZIP_MAGIC_HEX
+    return F.coalesce(F.hex(F.substring(content, 1, 4)) == K.ZIP_MAGIC_HEX, F.lit(False))
 
 
 def expand_archives(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, rejected) of archives given as (repo_id, content).
 
-    A single top folder becomes the root of its repository.  Rejected archives carry
-    the reason.
+    A single top folder becomes the root of its repository.  Rejected archives carry the reason,
+    and give no files, even if some members could be read before one could not.  Each archive is
+    opened once, and its members are written; nothing joins or shuffles them.
     """
-    c = F.col
     by_value(sys.modules[__name__], K)
-    good = archives.filter(is_zip(c("content")))
-    bad = archives.filter(~is_zip(c("content"))).select("repo_id", F.lit(None).cast("string").alias("member"), F.lit("not a zip archive").alias("error"))
-    members = good.select("repo_id", "content").mapInArrow(_members, MEMBERS)
-    rejected = members.filter(c("error").isNotNull()).select("repo_id", "member", "error").unionByName(bad)
-    files = members.filter(c("error").isNull())
-    top = F.substring_index("member", "/", 1)
-    folder = F.contains("member", F.lit("/"))
-    # as in the unpacked folder: exactly one folder at the top is the root, whatever files lie beside it
-    roots = files.filter(folder).groupBy("repo_id").agg(F.min(top).alias("low"), F.max(top).alias("high"))
-    rooted = files.join(roots, "repo_id", "left")
-    one = F.coalesce(c("low") == c("high"), F.lit(False))
-    path = F.when(one & folder, F.substr("member", F.length("low") + 2)).when(~one, c("member"))
-    return rooted.select("repo_id", path.alias("path"), "size", "content").filter(c("path").isNotNull()), rejected
-
-
+    told = archives.select("repo_id", "content", is_zip(F.col("content")).alias("is_zip"))
+    members = stage(told.mapInArrow(_members, MEMBERS), "members")
+    rejected = members.filter("error IS NOT NULL").select("repo_id", "member", "error")
+    # few archives are rejected and one row stands for each, so Spark sends these to the members
+    files = members.filter("error IS NULL").join(rejected.select("repo_id").distinct(), "repo_id", "left_anti")
+    return files.select("repo_id", "path", "size", "content"), rejected

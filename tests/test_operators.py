@@ -247,6 +247,17 @@ def test_archives_are_expanded(spark):
     assert sorted(r.repo_id for r in rejected.collect()) == ["cut", "evil", "root", "text"]
 
 
+def test_a_broken_archive_gives_no_files(spark):
+    good = _zip({"a.py": "x" * 500, "b.py": "y" * 500})
+    broken = bytearray(good)
+    at = bytes(good).index(b"b.py") + 4
+    broken[at : at + 3] = b"\xff\xff\xff"  # the second member can't be read
+    none = spark.createDataFrame([("one", good), ("two", broken), ("three", None)], "repo_id string, content binary")
+    files, rejected = A.expand_archives(none)
+    assert sorted((r.repo_id, r.path) for r in files.collect()) == [("one", "a.py"), ("one", "b.py")]
+    assert {r.repo_id: r.error.partition(":")[0] for r in rejected.collect()} == {"two": "unreadable archive", "three": "not a zip archive"}
+
+
 def test_line_breaks(spark, files):
     text = "a\r\nb\rc\nd\x0be\x0cf\x1cg\x1dh\x1ei\x85j\u2028k\u2029l\n\n"
     rows = SF.line_table(files({"x": text})).orderBy("line_no").collect()
