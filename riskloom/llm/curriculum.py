@@ -32,9 +32,9 @@ SLOPE = 0.8
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the shuffled order."""
+    """A row number, doc_id, source, size in words, and the shuffled order."""
     return docs.select(
-        "doc_id", "source", F.size(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0))).cast("long").alias("size"),
+        F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.size(F.regexp_extract_all(whole_text(), F.lit(WORD), F.lit(0))).cast("long").alias("size"),
     ).withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
@@ -103,23 +103,30 @@ def position(begin: Column) -> Column:
     return F.when(F.col("target") > 0, 2 * part / (b + root))
 
 
-def totals(docs: DataFrame, weights: Column | None = None, most: int = 3, bucket_rows: int = 2_000) -> DataFrame:
-    """Per document: size, its source's size and target, the words taken over all uses, and
-    the position of its first use (null if it is not used)."""
-    got = placed(docs, weights, most, bucket_rows)
-    taken = sum((words_of_use(u) for u in range(1, most)), words_of_use(0))
-    first = F.when(words_of_use(0) > 0, position(F.col("ahead").cast("double")))
-    return got.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), first.alias("position"))
+def _uses(got: DataFrame, most: int) -> DataFrame:
+    """A row for each use of the placed documents, range-sorted by training position."""
+    got = got.withColumn("use", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    begin = (F.col("use") * F.col("source_size") + F.col("ahead")).cast("double")
+    got = got.withColumn("words", words_of_use(F.col("use"))).where("words > 0")
+    uses = got.select("row", "doc_id", "source", "use", "size", "words", position(begin).alias("position"))
+    return uses.orderBy("position", "source", "doc_id", "use")
 
 
 def schedule(docs: DataFrame, weights: Column | None = None, most: int = 3, bucket_rows: int = 2_000) -> DataFrame:
     """One row per use of a document, range-sorted by training position: doc_id, source, use,
     words (fewer than size where a source's demand ends inside the document), position."""
-    got = placed(docs, weights, most, bucket_rows).withColumn("use", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    begin = (F.col("use") * F.col("source_size") + F.col("ahead")).cast("double")
-    got = got.withColumn("words", words_of_use(F.col("use"))).where("words > 0")
-    uses = got.select("doc_id", "source", "use", "size", "words", position(begin).alias("position"))
-    return uses.orderBy("position", "source", "doc_id", "use")
+    return _uses(placed(docs, weights, most, bucket_rows), most).drop("row")
+
+
+def totals(docs: DataFrame, weights: Column | None = None, most: int = 3, bucket_rows: int = 2_000) -> DataFrame:
+    """Per document: size, its source's size and target, and from the schedule, which is written in
+    its order first, the words taken over all uses and the position of the first one (null if it
+    is not used)."""
+    got = stage(placed(docs, weights, most, bucket_rows), "placed")
+    uses = stage(_uses(got, most), "schedule")
+    per = uses.groupBy("row").agg(F.sum("words").alias("words"), F.min("position").alias("position"))
+    met = got.join(per, "row", "left")
+    return met.select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "position")
 
 
 def mixed(docs: DataFrame, weights: Column | None = None, most: int = 3) -> DataFrame:

@@ -142,6 +142,19 @@ def test_schedule_follows_the_demand(spark):
             given += r.words
 
 
+def test_totals_come_from_the_written_schedule(spark, monkeypatch):
+    written = {}
+    keep = curriculum.stage
+    monkeypatch.setattr(curriculum, "stage", lambda df, label: written.setdefault(label, keep(df, label)))
+    rows = [*DATA, (DATA[0][0], *DATA[0][1:]), (None, "a b", *DATA[0][2:])]
+    got = curriculum.totals(brute.documents(spark, rows), bucket_rows=3).collect()
+    assert len(got) == len(rows)
+    uses = written["schedule"].collect()
+    assert sum(r.taken for r in got) == sum(u.words for u in uses)
+    assert sorted(r.position for r in got if r.position is not None) == sorted(u.position for u in uses if u.use == 0)
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+
+
 def test_mixed_rows(spark):
     docs = brute.documents(spark)
     got = curriculum.mixed(docs)
