@@ -20,7 +20,8 @@ def code_index(files: DataFrame) -> DataFrame:
 
 def taint_flows(files: DataFrame) -> DataFrame:
     """One row per flow: (repo_id, path, category, line, confidence, sanitized, refs)."""
-    return code_index(files).select("repo_id", "path", F.explode("flows").alias("f")).select("repo_id", "path", "f.*")
+    # the outer form: for the plain one Spark adds a filter on the size of the array, for which each file would be parsed a second time
+    return code_index(files).select("repo_id", "path", F.explode_outer("flows").alias("f")).where("f IS NOT NULL").select("repo_id", "path", "f.*")
 
 
 def best_flows(flows: DataFrame) -> DataFrame:
@@ -31,18 +32,22 @@ def best_flows(flows: DataFrame) -> DataFrame:
 
 
 def join_flows(findings: DataFrame, flows: DataFrame) -> DataFrame:
-    """Findings with the best flow that ends on their line, if any."""
+    """Findings with the best flow that ends on their line, if any.
+
+    Both sides grow with the files.  Spark takes the size of flows from that of the table they are made
+    of, far below their own, and would send all of them through the driver; so the join is by sorting.
+    """
     best = best_flows(flows).withColumnRenamed("line", "line_number").withColumnsRenamed(
         {"confidence": "flow_confidence", "sanitized": "flow_sanitized", "refs": "flow_refs"}
     )
-    return findings.join(best, ["repo_id", "path", "line_number", "category"], "left")
+    return findings.join(best.hint("merge"), ["repo_id", "path", "line_number", "category"], "left")
 
 
 def python_routes(files: DataFrame) -> DataFrame:
     """Routes that decorators declare: (repo_id, path, route, method, line, guarded, seq)."""
     df = with_file_columns(files, ["f_python_routes"])
     facts = df.select("repo_id", "path", python_facts(F.col("text"), F.col("path"), F.col("f_python_routes"), flows=False).alias("py"))
-    return facts.select("repo_id", "path", F.explode("py.routes").alias("r")).select("repo_id", "path", "r.*")
+    return facts.select("repo_id", "path", F.explode_outer("py.routes").alias("r")).where("r IS NOT NULL").select("repo_id", "path", "r.*")
 
 
 def syntax_check(files: DataFrame) -> DataFrame:

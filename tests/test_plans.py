@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import context as C
 from riskloom.operators import detect as D
 from riskloom.operators import findings as R
+from riskloom.operators import flows as T
 from riskloom.plans import queries
 from riskloom.plans import scan as S
 from riskloom.plans.ranking import cut_by_range
@@ -77,3 +78,12 @@ def test_staged_folders_go_with_their_block(spark):
         folder = kept.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
         assert kept.count() == 3 and os.path.isdir(folder)
     assert not os.path.isdir(folder)
+
+
+def test_flows_are_parsed_once_and_joined_by_sorting(spark, files):
+    table = files({"m.py": "import os\nos.system(request.args)\n"})
+    flows = T.taint_flows(table)
+    assert plan(flows).count("ArrowEvalPython") == 1 and plan(T.python_routes(table)).count("ArrowEvalPython") == 1
+    found = D.candidates(table, ["DET-05"])
+    text = plan(T.join_flows(found, flows))
+    assert "Broadcast" not in text and "SortMergeJoin" in text
