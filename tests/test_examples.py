@@ -1,5 +1,7 @@
 """Small repositories with the findings they must or must not give."""
 
+import ast
+
 from pyspark.sql import functions as F
 
 from riskloom.operators import context as C
@@ -7,6 +9,7 @@ from riskloom.operators import detect as D
 from riskloom.operators import findings as R
 from riskloom.operators import packages as PK
 from riskloom.operators import plugins as PL
+from riskloom.operators import pyfacts
 from riskloom.plans import scan as S
 
 
@@ -279,3 +282,19 @@ def test_reviews_change_a_scan(spark, files):
     sql = rows["sql_injection", "vuln_sql.py", 6]
     assert sql.fix_code == patch and sql.fix and sql.fix_source == "static_table"
     assert all(r.recommendation for r in rows.values())
+
+
+def test_a_tree_is_walked_once(monkeypatch):
+    text = (
+        'class A:\n    @bp.route("/in")\n    def inner(self, q):\n        return eval(q)\n\n@app.get("/out")\nasync def out(a, request):\n'
+        '    if a:\n        print(f"got {request.args}", a.replace("x", ""))\n    return "curr" "ent_user"\n'
+    )
+    seen = []
+    keep = ast.iter_fields
+    monkeypatch.setattr(ast, "iter_child_nodes", lambda node: seen.append(node) or (x for _, v in keep(node) for x in (v if isinstance(v, list) else [v]) if isinstance(x, ast.AST)))
+    facts = pyfacts.file_facts(text.replace('"curr" "ent_user"', '"you"'), "a.py")
+    assert not seen and [(f["category"], f["line"], f["sanitized"]) for f in facts["flows"]] == [("command_injection", 4, False), ("log_injection", 9, True)]
+    assert [(r["route"], r["line"], r["guarded"], r["seq"]) for r in facts["routes"]] == [("/out", 7, False, 0), ("/in", 3, False, 1)]
+    assert [r["guarded"] for r in pyfacts.file_facts(text, "a.py")["routes"]] == [True, False]
+    rows = [facts, None, {"parses": False, "routes": [], "flows": []}]
+    assert pyfacts._arrow_facts(rows).to_pylist() == rows
