@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,25 @@ def test_suffixes_sort_as_bytes():
     assert [tuple(r) for r in rows[order]] == sorted(tuple(r) for r in rows)
 
 
+def test_large_groups_are_compared_in_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    size, grain = 40, 8
+    pool = [bytes(rng.integers(97, 99, size - grain).tolist()) for _ in range(30)]
+    around = sorted({pool[a][int(cut):] + b"sameword" + pool[b][: int(end)] for a, b, cut, end in zip(*rng.integers(0, 30, (4, 400)))})
+    left = np.array([x.index(b"sameword") for x in around])
+    asked = []
+    hashes = suffix_sort.stretch_hashes
+    monkeypatch.setattr(suffix_sort, "stretch_hashes", lambda text, begin, end: asked.append(len(begin)) or hashes(text, begin, end))
+    found = []
+    for most in (10**9, 1000):
+        monkeypatch.setattr(suffix_sort, "POSITIONS", most)
+        asked.clear()
+        found.append(suffix_sort.reaches(around, left, np.ones(len(around), np.int64), size, grain))
+        assert sum(asked) > 2000
+    assert max(asked) <= 1000 and found[0][1].any()
+    assert all((a == b).all() for a, b in zip(*found))
+
+
 @pytest.mark.parametrize("digest_chars, files", [(64, None), (1, None), (64, 1)])
 def test_exact(spark, digest_chars, files):
     """A digest of one hex digit makes different texts meet; their whole texts part them."""
