@@ -56,6 +56,8 @@ def repository_facts(facts: DataFrame) -> DataFrame:
     return C.repo_contexts(facts).join(flags, "repo_id", "left")
 
 
+#: Slices in which the findings of a repository meet what is known of it.
+SLICES = 32
 FOR_EVIDENCE = ["ctx", "flows", "f_web_hint"]
 
 
@@ -66,9 +68,11 @@ def raw_findings(facts: DataFrame, repos: DataFrame, keys=None, found: DataFrame
     about = repos.select(
         "repo_id", "project_auth", "supabase_project", "kind", "external_exposure_proven", "sensitive_public_surface"
     )
-    # the repository side grows with the corpus, so Spark picks the join by size
-    joined = found.join(about, "repo_id", "left")
-    return project_view(joined)
+    # The repository side grows with the corpus, so Spark picks the join by size.  Its narrow rows come once for
+    # each slice of a repository's files, so that the findings of a large repository do not meet in one task.
+    slices = about.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    sliced = found.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(SLICES)).cast("int"))
+    return project_view(sliced.join(slices, ["repo_id", "slice"], "left").drop("slice"))
 
 
 def project_view(joined: DataFrame) -> DataFrame:
@@ -110,8 +114,12 @@ def scan(files: DataFrame, keys=None, *, flows: bool = True, strict: bool = Fals
     facts = file_facts(mark_ignored(files, strict), keys, flows=flows)
     if staged:
         facts = stage(facts, "file-facts")
-    repos = repository_facts(facts)
-    return finish(evidenced(facts, repos, keys))
+    return scan_facts(facts, keys)
+
+
+def scan_facts(facts: DataFrame, keys=None) -> DataFrame:
+    """Findings from the facts of all files, for callers that read more from these."""
+    return finish(evidenced(facts, repository_facts(facts), keys))
 
 
 def scan_with_rules(files: DataFrame, rules: list, keys=None, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -87,3 +87,19 @@ def test_flows_are_parsed_once_and_joined_by_sorting(spark, files):
     found = D.candidates(table, ["DET-05"])
     text = plan(T.join_flows(found, flows))
     assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
+def test_findings_of_a_repository_are_spread(spark, files):
+    table = files({f"m{i}.py": 'import os\nos.popen(f"cat {request.args}")\n' for i in range(40)})
+    facts = S.file_facts(S.mark_ignored(table))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = S.raw_findings(facts, S.repository_facts(facts)).select("repo_id", "path", "kind", F.spark_partition_id().alias("at")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.at for r in rows}) > 1 and len({(r.repo_id, r.kind) for r in rows}) == 1
+    assert {r.path for r in rows} == {f"m{i}.py" for i in range(40)}
