@@ -14,6 +14,7 @@ from riskloom.plans import scan as S
 from riskloom.plans.ranking import cut_by_range
 from riskloom.plans.staging import new_folder, stage, staged
 from riskloom.sources import files as SF
+from riskloom.streaming.arrivals import arrivals
 
 
 def plan(df) -> str:
@@ -103,3 +104,16 @@ def test_findings_of_a_repository_are_spread(spark, files):
             spark.conf.set(k, v)
     assert len({r.at for r in rows}) > 1 and len({(r.repo_id, r.kind) for r in rows}) == 1
     assert {r.path for r in rows} == {f"m{i}.py" for i in range(40)}
+
+
+def test_arriving_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(30, numPartitions=3).mapInArrow(count, "id long")
+    sizes = [spark.read.schema("id long").parquet(str(tmp_path / "in")).count() for _ in arrivals(rows, F.col("id"), str(tmp_path / "in"), parts=3)]
+    assert made.value == 30 and sizes == [10, 20, 30]
