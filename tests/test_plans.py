@@ -117,3 +117,11 @@ def test_arriving_rows_are_made_once(spark, tmp_path):
     rows = spark.range(30, numPartitions=3).mapInArrow(count, "id long")
     sizes = [spark.read.schema("id long").parquet(str(tmp_path / "in")).count() for _ in arrivals(rows, F.col("id"), str(tmp_path / "in"), parts=3)]
     assert made.value == 30 and sizes == [10, 20, 30]
+
+
+def test_headers_make_the_files_once(spark, monkeypatch):
+    made = []
+    keep = queries._files
+    monkeypatch.setattr(queries, "_files", lambda *a: made.append(a) or keep(*a))
+    assert queries.scan_headers(spark, SMALL).count() == queries.repo_context(spark, SMALL).count()
+    assert len(made) == 2  # one for each query
