@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.workers import by_value
-from riskloom.llm.common import whole_text
+from riskloom.llm.common import pieces, whole_text
 from riskloom.llm.tokens import encoder
 from riskloom.plans.staging import stage
 
@@ -45,6 +45,8 @@ PIECE_NAMES = [p.split()[0] for p in PIECES.split(", ")]
 ENCODED = "doc_id long, place array<long>, doc_tokens long, window_crcs array<long>, windows binary, rest binary"
 #: Most partitions that the sorted rests are cut into; a partition holds as many shards as it needs.
 PARTITIONS_MOST = 10_000
+#: Bytes of texts that are encoded, and rests that are counted together.
+TEXTS_MOST, RESTS_MOST = 4 << 20, 512
 
 
 def crc(ids: np.ndarray) -> int:
@@ -65,13 +67,16 @@ def corpus(encoded: DataFrame, code: str) -> Corpus:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, tokens = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for rest in batch.column(0).to_pylist():
-                ids = np.unique(np.frombuffer(rest, code))
-                if len(ids) and ids[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
-                df[ids] += 1
-                n += 1
-                tokens += len(rest)
+            rests = batch.column(0).to_pylist()
+            for first in range(0, len(rests), RESTS_MOST):
+                some = rests[first : first + RESTS_MOST]
+                ids = np.frombuffer(b"".join(some), code)
+                owner = np.repeat(np.arange(len(some)), [len(r) // ids.itemsize for r in some])
+                seen = np.bincount(np.unique((owner << 32) | ids) & 0xFFFFFFFF, minlength=len(df))
+                seen[: len(df)] += df
+                df = seen
+                n += len(some)
+                tokens += ids.nbytes
         some = np.flatnonzero(df)
         term = np.concatenate([[-2, -1], some])
         yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "n": pa.array(np.concatenate([[n, tokens], df[some]]), pa.int64())})
@@ -132,17 +137,24 @@ class Index:
         mean = whole.mean if whole else max(lengths.mean() if self.n else 1.0, 1.0)
         norm = k1 * (1 - b + b * lengths / mean)
         self.weight = idf * tf * (k1 + 1) / (tf + norm[self.doc])
-        # The same entries by document, heaviest first: what each document asks with.
-        number = np.repeat(np.arange(len(self.terms)), df)
-        useful = np.repeat(df > 1, df)
-        order = np.lexsort((number, -self.weight, self.doc))
-        order = order[useful[order]]
-        self.asked = number[order]
-        self.ask_at = np.searchsorted(self.doc[order], np.arange(self.n + 1))
+        # The same entries by document, for what each document asks with: terms that others have.
+        useful = np.flatnonzero(np.repeat(df > 1, df))
+        by_doc = self.doc[useful]
+        order = useful[np.argsort(by_doc.astype(np.uint16) if self.n <= 1 << 16 else by_doc, kind="stable")]
+        self.own_term, self.own_weight = np.repeat(np.arange(len(self.terms)), df)[order], self.weight[order]
+        self.own_at = np.searchsorted(self.doc[order], np.arange(self.n + 1))
+
+    def asked(self, seed: int, query_terms: int) -> np.ndarray:
+        """The heaviest terms of a document, of equal weights the first."""
+        own = slice(self.own_at[seed], self.own_at[seed + 1])
+        weight, term = self.own_weight[own], self.own_term[own]
+        if len(weight) > query_terms > 0:
+            some = np.flatnonzero(weight >= np.partition(weight, len(weight) - query_terms)[len(weight) - query_terms])
+            weight, term = weight[some], term[some]
+        return term[np.argsort(-weight, kind="stable")[:query_terms]]
 
     def scores(self, seed: int, query_terms: int) -> np.ndarray:
-        at = self.ask_at[seed]
-        asked = self.asked[at : min(self.ask_at[seed + 1], at + query_terms)]
+        asked = self.asked(seed, query_terms)
         if not len(asked):
             return np.zeros(self.n)
         spans = [slice(self.first[t], self.last[t]) for t in asked]
@@ -237,10 +249,10 @@ def pack(
         enc = encoder(file, style)
         end = enc.pack([end_id])
         code = f"<u{enc.width}"
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text", TEXTS_MOST)):
             counts, crcs, windows, rests = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                packed = enc.ids(text) + end
+            for packed in enc.many(batch.column(2).to_pylist()):
+                packed += end
                 ids = np.frombuffer(packed, code)
                 whole = len(ids) // window * window
                 counts.append(len(ids))
@@ -266,9 +278,9 @@ def pack(
 
         def add(row: int, start: int, length: int, total: int, offset: int, ids: np.ndarray | None, check: int | None = None) -> None:
             check = crc(ids) if check is None else check
-            out.append((rows["doc_id"][row], start, length, check, total, number, offset, ids.astype("<u4").tobytes() if with_ids else None))
+            out.append((doc_ids[row], start, length, check, total, number, offset, ids.astype("<u4").tobytes() if with_ids else None))
 
-        totals = rows["doc_tokens"].to_list()
+        doc_ids, totals = rows["doc_id"].to_list(), rows["doc_tokens"].to_list()
         rests = [np.frombuffer(x, code) for x in rows["rest"]]
         before = [t - len(r) for t, r in zip(totals, rests)]
         same = None

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from riskloom.llm import curriculum, ppm, retrieval_packing, rule_ledger, token_store
+from riskloom.llm import curriculum, ppm, retrieval_packing, rule_ledger, token_store, tokens
 from riskloom.llm.tokens import Encoder
 
 DATA = brute.rows()
@@ -35,6 +35,27 @@ def test_pieces_have_the_library_ids(name, style, text):
     assert np.frombuffer(enc.ids(text), "<u2").tolist() == ids(text)
 
 
+@pytest.mark.parametrize("name, style", STYLES)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="ab''stmdrevlL1²é \n\t.,\xa0", max_size=20), st.text(max_size=10), st.sampled_from(["", "<|endoftext|> a", "it's", "'", " ", "\x1fa b"])), max_size=6))
+def test_batches_have_the_library_ids(name, style, texts):
+    if style not in test_batches_have_the_library_ids.__dict__:
+        setattr(test_batches_have_the_library_ids, style, (Encoder(public_tokenizers.path(name), style), Tokenizer.from_file(public_tokenizers.path(name))))
+    enc, plain = getattr(test_batches_have_the_library_ids, style)
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.many(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_met_again_are_merged_once(monkeypatch):
+    monkeypatch.setattr(tokens, "SEEN_MOST", 20)
+    enc, merged = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes"), []
+    merge = enc._merge
+    monkeypatch.setattr(enc, "_merge", lambda piece: merged.append(piece) or merge(piece))
+    for i in range(20):
+        enc.many([f" often also{' again' * i} w{'x' * i}"])
+    assert merged.count(" often") == merged.count(" also") == 1
+    assert len(enc.seen) + len(enc.before) <= 30
+
+
 @pytest.mark.parametrize("name, style", STYLES)
 def test_added_tokens_have_the_library_ids(name, style):
     plain, enc = Tokenizer.from_file(public_tokenizers.path(name)), Encoder(public_tokenizers.path(name), style)
