@@ -53,9 +53,8 @@ def _anchors(words: Words, size: int, grain: int) -> tuple[np.ndarray, np.ndarra
     return first, place, full[place], words.text[first]
 
 
-def _removed(words: list[bytes], gone: np.ndarray, text: bool) -> tuple[int, int, str, str | None]:
-    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if gone.any() else b" ".join(words)
-    return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if text else None
+def _removed(n: int, gone: int, kept: bytes, text: bool) -> tuple[int, int, str, str | None]:
+    return n, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if text else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -66,21 +65,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Stretches:
-    """The stretches of a text's recurring anchors: route, key, first word and end, and whether it
-    is a single window of a hot anchor."""
+    """The stretches of the recurring anchors of some texts: route, key, first word and end, number
+    of the text, and whether it is a single window of a hot anchor.  Words are counted through all
+    texts.  An anchor recurs or is hot in the whole corpus, so the texts' anchors go together."""
 
-    def __init__(self, text: bytes, cold: list[int], hot: list[int], size: int, grain: int):
-        self.words = Words([text])
-        first, place, hashes, _ = _anchors(self.words, size, grain)
+    def __init__(self, texts: list[bytes], cold: np.ndarray, hot: np.ndarray, size: int, grain: int):
+        self.words = Words(texts)
+        first, place, hashes, owner = _anchors(self.words, size, grain)
         signed = hashes.view(np.int64)
-        is_hot = np.isin(signed, np.array(hot, np.int64))
-        use = np.isin(signed, np.array(cold, np.int64)) | is_hot
-        first, place, hashes, is_hot = first[use], place[use], hashes[use], is_hot[use]
+        is_hot = np.isin(signed, hot)
+        use = np.isin(signed, cold) | is_hot
+        first, place, hashes, owner, is_hot = first[use], place[use], hashes[use], owner[use], is_hot[use]
         # Windows of one anchor are neighbours; a hot anchor's windows go one by one.
         new = np.ones(len(first), bool)
         new[1:] = (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | is_hot[1:]
         self.at = np.flatnonzero(new)
-        self.begin = first[self.at]
+        self.begin, self.owner = first[self.at], owner[self.at]
         stop = np.append(self.at[1:], len(first))
         self.n_windows = stop - self.at
         self.end = self.begin + self.n_windows + size - 1
@@ -89,9 +89,41 @@ class Stretches:
         self.key = mixed(content ^ (hashes[self.at] * np.uint64(3)))
         self.hot, self.route = is_hot[self.at], hashes[self.at]
 
-    def words_of(self, i: int) -> bytes:
-        w = self.words
-        return w.buffer[w.starts[self.begin[i]] : w.ends[self.end[i] - 1]].tobytes()
+
+def _hits(s: Stretches, found: pa.ListArray, own: np.ndarray, size: int) -> np.ndarray:
+    """Which words of the texts lie in a window that a document with an id below ``own`` has;
+    ``found`` has the keys, window places and smallest ids that each text's stretches met."""
+    row = np.repeat(np.arange(len(found)), pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+    key, places, lows = found.flatten().flatten()
+    count = pa.compute.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+    places, lows = (x.flatten().to_numpy(zero_copy_only=False) for x in (places, lows))
+    first = np.cumsum(count) - count
+    # Of a text and a key one number each, the same for stretches and for what was found.
+    distinct, number = np.unique(np.concatenate([key.to_numpy(zero_copy_only=False), s.key.view(np.int64)]), return_inverse=True)
+    number += np.concatenate([row, s.owner]) * len(distinct)
+    met, asked = number[: len(row)], number[len(row) :]
+    order = np.argsort(met, kind="stable")
+    at = np.minimum(np.searchsorted(met[order], asked), max(len(met) - 1, 0))
+    mine = np.flatnonzero(met[order][at] == asked) if len(met) else np.zeros(0, np.int64)
+    entry = order[at[mine]] if len(met) else mine
+    n = count[entry]
+    each = np.repeat(first[entry] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    begin = np.repeat(s.begin[mine], n) + places[each]
+    begin = begin[lows[each] < np.repeat(own[s.owner[mine]], n)]
+    total = len(s.words.starts)
+    return np.cumsum(np.bincount(begin, minlength=total + 1) - np.bincount(begin + size, minlength=total + 1))[:total] > 0
+
+
+def _kept(s: Stretches, gone: np.ndarray, text: bool) -> list[tuple]:
+    """A row for each text without its words that are ``gone``."""
+    w, rows = s.words, []
+    flat, starts, ends = w.buffer.tobytes(), w.starts, w.ends
+    for first, last in zip(w.first.tolist(), w.last.tolist()):
+        mine = gone[first:last]
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], mine, [True]]).view(np.int8))) + first
+        runs = zip(starts[edges[::2]].tolist(), ends[edges[1::2] - 1].tolist())
+        rows.append(_removed(last - first, int(mine.sum()), b" ".join([flat[a:b] for a, b in runs]), text))
+    return rows
 
 
 def _locate(group: list[tuple[int, bytes, int, int]], size: int, patterns: int) -> Iterator[tuple[int, list[int], list[int]]]:
@@ -99,22 +131,28 @@ def _locate(group: list[tuple[int, bytes, int, int]], size: int, patterns: int)
     smallest and largest doc_id) of one shard's part."""
     import ahocorasick
 
-    # Each word of the part becomes three characters, so a match must begin at a multiple of three.
+    # Each word of the part becomes two characters, so a match must begin at a multiple of two.
     number: dict[bytes, str] = {}
     for _, words, _, _ in group:
         for w in words.split(b" "):
             if w not in number:
                 n = len(number)
-                number[w] = chr(33 + (n >> 14)) + chr(33 + (n >> 7 & 127)) + chr(33 + (n & 127))
+                number[w] = chr(33 + (n >> 8)) + chr(33 + (n & 255))
     coded = [("".join(map(number.__getitem__, words.split(b" "))), key, low, high) for key, words, low, high in group]
-    span = 3 * size
+    span = 2 * size
     least: dict[str, int] = {}
     most: dict[str, int] = {}
     for text, _, low, high in coded:
-        for i in range(0, len(text) - span + 1, 3):
+        for i in range(0, len(text) - span + 1, 2):
             w = text[i : i + span]
-            least[w] = min(low, least.get(w, low))
-            most[w] = max(high, most.get(w, high))
+            known = least.get(w)
+            if known is None:
+                least[w], most[w] = low, high
+            else:
+                if low < known:
+                    least[w] = low
+                if high > most[w]:
+                    most[w] = high
     confirmed = [w for w, low in least.items() if low < most[w]]
     found: dict[int, list[tuple[int, int]]] = {}
     for a in range(0, len(confirmed), patterns):
@@ -124,8 +162,8 @@ def _locate(group: list[tuple[int, bytes, int, int]], size: int, patterns: int)
         automaton.make_automaton()
         for i, (text, _, _, _) in enumerate(coded):
             for end, low in automaton.iter(text):
-                if end % 3 == 2:
-                    found.setdefault(i, []).append(((end + 1 - span) // 3, low))
+                if end % 2 == 1:
+                    found.setdefault(i, []).append(((end + 1 - span) // 2, low))
     for i, hits in found.items():
         yield coded[i][1], [p for p, _ in hits], [low for _, low in hits]
 
@@ -165,7 +203,8 @@ def _settled(packs: list[bytes], size: int, patterns: int) -> Iterator[pa.Record
     first = 0
     for last in range(len(starts)):
         if stops[last] - starts[first] >= patterns // 4 or last == len(starts) - 1:
-            group = [(int(key[i]), words[i], int(low[i]), int(high[i])) for i in order[starts[first] : stops[last]]]
+            some = order[starts[first] : stops[last]]
+            group = [*zip(key[some].tolist(), [words[i] for i in some.tolist()], low[some].tolist(), high[some].tolist())]
             keys, places, lows = [], [], []
             for k, place, least in _locate(group, size, patterns):
                 keys.append(k)
@@ -187,7 +226,8 @@ def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int =
         rows = []
         for t, (copy, _) in zip(texts, copies):
             words = t.split()
-            rows.append(_removed(words, np.full(len(words), copy and len(words) >= size), with_text))
+            gone = copy and len(words) >= size
+            rows.append(_removed(len(words), len(words) if gone else 0, b"" if gone else b" ".join(words), with_text))
         return _batch(rows)
 
     done, open_docs = recurring(docs, find, finish, RESULT, hot)
@@ -195,26 +235,34 @@ def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int =
     sent = open_docs.select("doc_id", "text", "first_id", "cold", "hot")
     shards = partitions_for(docs)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, Stretches]]:
+    def stretches(batch: pa.RecordBatch) -> Stretches:
+        anchors = [batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("cold", "hot")]
+        return Stretches(opened(batch.column("text")), *anchors, size, grain)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Stretches, np.ndarray]]:
+        """Some documents at a time, their stretches, and the id that each document counts with."""
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 18):
-                for doc_id, text, first, cold, hot_ones in zip(batch.column(0).to_pylist(), opened(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                    yield doc_id, LAST_ID if first is None else first, Stretches(text, cold, hot_ones, size, grain)
+                yield batch, stretches(batch), pa.compute.fill_null(batch.column("first_id"), LAST_ID).to_numpy(zero_copy_only=False)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cold stretches, packed by shard; equal ones of a pack once, with their smallest and largest id."""
         held: list[dict[int, list]] = [{} for _ in range(shards)]
         total = 0
-        for _, low, s in each(batches):
-            routes, keys = s.route.view(np.int64).tolist(), s.key.view(np.int64).tolist()
-            for i in np.flatnonzero(~s.hot).tolist():
-                mine = held[routes[i] % shards]
-                known = mine.get(keys[i])
+        for _, s, lows in each(batches):
+            flat, cold = s.words.buffer.tobytes(), ~s.hot
+            route, begin, end = s.route.view(np.int64)[cold], s.begin[cold], s.end[cold]
+            columns = (route % shards, s.key.view(np.int64)[cold], route, lows[s.owner[cold]], s.words.starts[begin], s.words.ends[end - 1])
+            for shard, key, to, low, a, b in zip(*(c.tolist() for c in columns)):
+                mine = held[shard]
+                known = mine.get(key)
                 if known is None:
-                    mine[keys[i]] = [routes[i], low, low, s.words_of(i)]
+                    mine[key] = [to, low, low, flat[a:b]]
                     total += 1
-                else:
-                    known[1], known[2] = min(known[1], low), max(known[2], low)
+                elif low < known[1]:
+                    known[1] = low
+                elif low > known[2]:
+                    known[2] = low
             if total >= PACKED:
                 yield _packs(held)
                 held, total = [{} for _ in range(shards)], 0
@@ -239,23 +287,14 @@ def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int =
     found = "key long, places array<int>, lows array<long>"
 
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lows, sizes, every = [], [], [], []
-
-        def flush() -> pa.RecordBatch:
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            columns = {"doc_id": pa.array(ids, pa.int64()).take(pa.array(owner)), "key": pa.array(np.concatenate(every)), "low": pa.array(np.array(lows, np.int64)[owner])}
-            return pa.RecordBatch.from_pydict(columns)
-
-        for doc_id, low, s in each(batches):
-            ids.append(doc_id)
-            lows.append(low)
-            every.append(np.unique(s.key.view(np.int64)))
-            sizes.append(len(every[-1]))
-            if len(ids) == 1000:
-                yield flush()
-                ids, lows, sizes, every = [], [], [], []
-        if ids:
-            yield flush()
+        for batch, s, lows in each(batches):
+            key = s.key.view(np.int64)
+            order = np.lexsort((key, s.owner))
+            key, owner = key[order], s.owner[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            key, owner = key[new], owner[new]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(owner)), "key": pa.array(key), "low": pa.array(lows[owner])})
 
     listed = "doc_id long, key long, low long"
     keys = sent.mapInArrow(list_keys, listed)
@@ -270,22 +309,9 @@ def without_repeats(docs: DataFrame, size: int = 13, grain: int = 6, hot: int =
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for batch in pieces(whole_batch, "text", 1 << 18):
-                rows = []
-                for doc_id, text, cold, hot_ones, found in zip(batch.column(0).to_pylist(), opened(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                    words = text.split()
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    if found:
-                        at = {x["key"]: x for x in found}
-                        own = LAST_ID if doc_id is None else doc_id
-                        s = Stretches(text, cold, hot_ones, size, grain)
-                        for key, begin in zip(s.key.view(np.int64).tolist(), s.begin.tolist()):
-                            if key in at:
-                                for place, low in zip(at[key]["places"], at[key]["lows"]):
-                                    if low < own:
-                                        edges[begin + place] += 1
-                                        edges[begin + place + size] -= 1
-                    rows.append(_removed(words, np.cumsum(edges[:-1]) > 0, with_text))
-                made = _batch(rows)
+                s = stretches(batch)
+                own = pa.compute.fill_null(batch.column("doc_id"), LAST_ID).to_numpy(zero_copy_only=False)
+                made = _batch(_kept(s, _hits(s, batch.column("found"), own, size), with_text))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made.columns], names=["doc_id", *made.schema.names])
 
     return done.unionByName(whole.mapInArrow(remove, "doc_id long, " + RESULT))

@@ -21,6 +21,31 @@ def test_phrases(spark, hot):
     assert found == brute.without_words(PAIRS, 13)
 
 
+def test_stretches_of_a_batch_are_those_of_each_text():
+    rng, size, grain = random.Random(8), 5, 2
+    texts = [" ".join(rng.choices("abcd", k=n)).encode() for n in (0, 3, 5, 40, 6, 25)]
+    every = np.unique(phrase_automata._anchors(phrase_automata.Words(texts), size, grain)[2]).view(np.int64)
+    cold, hot = every[::3], every[1::3]
+    batch = phrase_automata.Stretches(texts, cold, hot, size, grain)
+    assert len(batch.key) and batch.hot.any() and not batch.hot.all()
+    for i, t in enumerate(texts):
+        alone, mine = phrase_automata.Stretches([t], cold, hot, size, grain), batch.owner == i
+        for name in ("key", "route", "hot", "n_windows"):
+            assert getattr(alone, name).tolist() == getattr(batch, name)[mine].tolist()
+        assert alone.begin.tolist() == (batch.begin[mine] - batch.words.first[i]).tolist()
+
+
+def test_words_of_a_batch():
+    rng = random.Random(9)
+    for _ in range(300):
+        texts = ["".join(rng.choices("aB \n\t\v\f\r\x1cé\0", k=rng.randrange(9))).encode() for _ in range(rng.randrange(5))]
+        words = phrase_automata.Words(texts, lower=True)
+        want = [t.lower().split() for t in texts]
+        assert [words.buffer[a:b].tobytes() for a, b in zip(words.starts, words.ends)] == [w for ws in want for w in ws]
+        assert words.buffer.tobytes() == b" ".join(w for ws in want for w in ws)
+        assert words.counts.tolist() == [len(ws) for ws in want] and words.text.tolist() == [i for i, ws in enumerate(want) for _ in ws]
+
+
 def test_phrases_keep_null_ids_and_equal_rows(spark):
     text = " ".join(f"w{i}" for i in range(20))
     data = [(i, text, None, None, 0, *"abcdefg") for i in (5, 5, 9, None)]
