@@ -45,7 +45,7 @@ PIECE_NAMES = [p.split()[0] for p in PIECES.split(", ")]
 ENCODED = "doc_id long, place array<long>, doc_tokens long, window_crcs array<long>, windows binary, rest binary"
 #: Most partitions that the sorted rests are cut into; a partition holds as many shards as it needs.
 PARTITIONS_MOST = 10_000
-#: Bytes of texts that are encoded, and rests that are counted together.
+#: Bytes of texts that are encoded, and rests that are counted or get their keys together.
 TEXTS_MOST, RESTS_MOST = 4 << 20, 512
 
 
@@ -330,7 +330,8 @@ def pack(
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = routes([np.frombuffer(r, code) for r in batch.column("rest").to_pylist()], whole, k1, b, shard_docs)
+            rests = [np.frombuffer(r, code) for r in batch.column("rest").to_pylist()]
+            keys = [k for i in range(0, len(rests), RESTS_MOST) for k in routes(rests[i : i + RESTS_MOST], whole, k1, b, shard_docs)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=[*batch.schema.names, "route"])
 
     if not ordered:

@@ -35,7 +35,7 @@ PATTERNS = {
 }
 #: Where other texts may be cut: word by word, or at a blank between two visible ASCII characters.
 SAFE_CUTS = {"words": f"[{BLANK}]+", "bytes": "(?<=[!-~])(?= [!-~])"}
-SEEN_MOST = 600_000
+SEEN_MOST = 800_000
 PIECE_MOST = 64
 
 
