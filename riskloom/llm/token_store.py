@@ -33,13 +33,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskloom.functions.workers import by_value
-from riskloom.llm.common import whole_text
+from riskloom.llm.common import pieces, whole_text
 from riskloom.llm.tokens import encoder
 
 SEGMENTS = (
     "shard int, segment long, first_id long, last_id long, dict_hash string, before long, n_segment_tokens long, "
     "doc_ids array<long>, ends array<long>, n_tokens array<long>, frames binary"
 )
+#: Bytes of text that are encoded at a time.
+TEXTS_MOST = 2 << 20
 
 
 def train_dictionary(docs: DataFrame, file: str, style: str, end_id: int, sample_docs: int, sample_bytes: int, dict_bytes: int) -> bytes:
@@ -107,9 +109,9 @@ def write_store(
             row = [shard, segment, ids[0], ids[-1], name, before, sum(counts), ids, ends, counts, b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packed = enc.ids(text) + end
+        for batch in (part for whole in batches for part in pieces(whole, "text", TEXTS_MOST)):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist())):
+                packed += end
                 frames.append(squeeze.compress(packed))
                 size += len(frames[-1])
                 ids.append(doc_id)

@@ -4,9 +4,9 @@ The tokenizers library spends most of its time outside the merging of bytes.  A
 therefore cut here at the limits where its pre-tokenizer cuts as well, each distinct piece
 is merged once by the library's model, and the packed ids of a text are the joined ids of
 its pieces.  ``many`` does so for a batch of texts: limits by comparing neighbouring
-characters, equal pieces by Arrow's dictionary.  Texts with characters above U+00FF, or with
-white space other than the six ASCII ones, are cut at safe white space only and go through
-the library as they are.
+characters, equal pieces by Arrow's dictionary, so that a piece is looked up once a batch.
+Texts with characters above U+00FF, or with white space other than the six ASCII ones, are
+cut at safe white space only and go through the library as they are.
 Added tokens such as ``<|endoftext|>`` get their own ids in a text, as in the library.
 """
 
@@ -55,24 +55,25 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-def piece_starts(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where the pieces of the pattern for ``bytes`` begin, in texts of Latin-1 joined to one
-    buffer; ``ends`` has the end of each text."""
+def piece_starts(text: np.ndarray, kinds: np.ndarray, ends: np.ndarray, style: str) -> np.ndarray:
+    """Which characters begin a piece of the pattern for a style, in texts of Latin-1 joined to
+    one buffer; ``ends`` has the end of each text.  White space that belongs to no piece
+    (``words``) is cut off like one."""
     n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    kinds = _kinds()[text]
     begins = np.concatenate([[0], ends[:-1]])
     begins = begins[begins < n]
     start = np.ones(n, bool)
     start[1:] = kinds[1:] != kinds[:-1]
-    # The last of some blanks before a visible character begins a piece, which goes on if it is a space.
-    joins = np.zeros(n, bool)
-    joins[1:] = start[1:] & (kinds[:-1] == 1)
-    joins[begins] = False
-    after = np.flatnonzero(joins)
-    start[after - 1] = True
-    start[after] = text[after - 1] != 32
+    if style == "bytes":
+        # The last of some blanks before a visible character begins a piece, which goes on if it is a space.
+        joins = np.zeros(n, bool)
+        joins[1:] = start[1:] & (kinds[:-1] == 1)
+        joins[begins] = False
+        after = np.flatnonzero(joins)
+        start[after - 1] = True
+        start[after] = text[after - 1] != 32
+    else:
+        start |= kinds == 3  # each digit is a piece
     start[begins] = True
     # Endings like 's where a piece begins with the apostrophe; what follows them begins another.
     marks = np.flatnonzero(text == 39)
@@ -85,16 +86,18 @@ def piece_starts(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         start[marks[one | two] + 1] = False
         follows = np.concatenate([marks[one] + 2, marks[two] + 3])
         start[follows[follows < n]] = True
-    return np.flatnonzero(start)
+    return start
 
 
-def _latin(text: str) -> bytes | None:
-    """The text in Latin-1; none if it has other characters or other white space."""
+def _latin(text: str, table: bytes | None) -> bytes | None:
+    """The text in Latin-1, its characters changed by a table; none if it has other characters
+    or other white space."""
     try:
         coded = text.encode("latin-1")
     except UnicodeEncodeError:
         return None
-    return coded if len(coded.translate(None, OTHER_BLANK.encode("latin-1"))) == len(coded) else None
+    made = coded.translate(table, OTHER_BLANK.encode("latin-1"))
+    return made if len(made) == len(coded) else None
 
 
 class Encoder:
@@ -111,10 +114,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.model = self.tokenizer.model
         # A text that holds one of the file's added tokens goes through the library whole.
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
-        self.lower = style == "words"
+        self.style, self.lower = style, style == "words"
+        self.kinds = _kinds()
+        self.small = bytes(ord(chr(i).lower()) for i in range(256)) if self.lower else None
         self.pattern = re.compile(PATTERNS[style])
         self.cut = re.compile(SAFE_CUTS[style])
         self.odd = re.compile(f"[{OTHER_BLANK}]|[^\\x00-\\xff]")
@@ -131,7 +137,7 @@ class Encoder:
         return made.tobytes()
 
     def _merge(self, piece: str) -> bytes:
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.table))])
+        return self.pack([t.id for t in self.model.tokenize(piece.translate(self.table))])
 
     def _library(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -139,11 +145,10 @@ class Encoder:
     def _each(self, parts: list, make) -> list[bytes]:
         if len(self.seen) > SEEN_MOST // 2:
             self.before, self.seen = self.seen, {}
-        seen, before = self.seen, self.before
-        long: dict[str | bytes, bytes] = {}
-        for part in set(parts).difference(seen):
-            (seen if len(part) <= PIECE_MOST else long)[part] = before.get(part) or make(part)
-        return [seen[p] if p in seen else long[p] for p in parts] if long else [*map(seen.__getitem__, parts)]
+        made = [*map(self.seen.get, parts)]
+        fresh = {part: self.before.get(part) or make(part) for part in {p for p, m in zip(parts, made) if m is None}}
+        self.seen.update((p, m) for p, m in fresh.items() if len(p) <= PIECE_MOST)
+        return [fresh[p] if m is None else m for p, m in zip(parts, made)] if fresh else made
 
     def _known(self, parts: list[str], make) -> bytes:
         try:
@@ -159,14 +164,22 @@ class Encoder:
         return self._known(self.pattern.findall(text.lower() if self.lower else text), self._merge)
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text, in the style ``bytes`` for a batch at a time."""
-        latin = [None if self.lower or self.added.search(t) else _latin(t) for t in texts]
+        """The packed ids of each text, for a batch at a time."""
+        latin = [None if self.added.search(t) else _latin(t, self.small) for t in texts]
         joined = [t for t in latin if t is not None]
-        if not joined:
+        if not any(joined):
             return [self.ids(t) for t in texts]
         buffer = b"".join(joined)
         ends = np.cumsum([len(t) for t in joined])
-        starts = piece_starts(np.frombuffer(buffer, np.uint8), ends)
+        chars = np.frombuffer(buffer, np.uint8)
+        kinds = self.kinds[chars]
+        start = piece_starts(chars, kinds, ends, self.style)
+        if self.lower:  # white space only parts the pieces
+            start = start[kinds != 1]
+            joined = [t.translate(None, BLANK.encode()) for t in joined]
+            buffer = b"".join(joined)
+            ends = np.cumsum([len(t) for t in joined])
+        starts = np.flatnonzero(start)
         offsets = pa.py_buffer(np.append(starts, len(buffer)).astype(np.int64))
         found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(buffer)]).dictionary_encode()
         piece = found.indices.to_numpy()

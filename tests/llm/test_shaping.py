@@ -45,6 +45,18 @@ def test_batches_have_the_library_ids(name, style, texts):
     assert [np.frombuffer(x, "<u2").tolist() for x in enc.many(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("name, style", STYLES)
+def test_batches_are_not_cut_text_by_text(monkeypatch, name, style):
+    texts = ["It'S we'LL ''s 'tis", "", "ÀÉ Þß×÷ÿµ 1²34 x'", "s a", " \t\n", "don't 're've5's!!'d", "'", "re", "a" * 100 + " \x00\x0b.\r"]
+    enc, ids = Encoder(public_tokenizers.path(name), style), library(name)
+    looked = []
+    each = enc._each
+    monkeypatch.setattr(enc, "ids", None)
+    monkeypatch.setattr(enc, "_each", lambda parts, make: looked.append(parts) or each(parts, make))
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.many(texts * 3)] == [ids(t) for t in texts] * 3
+    assert len(looked) == 1 and len(looked[0]) == len(set(looked[0]))
+
+
 def test_pieces_met_again_are_merged_once(monkeypatch):
     monkeypatch.setattr(tokens, "SEEN_MOST", 20)
     enc, merged = Encoder(public_tokenizers.path("byte_bpe_50k.json"), "bytes"), []
